@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, secrets
+from . import bpe, fingerprint, lm, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1,
         "op2_lm_score": lm.op2,
         "op3_secret_scan": secrets.op3,
+        "op4_length_buckets": packing.op4,
+        "op10_paragraph_sketch": fingerprint.op10,
     }
 
 
