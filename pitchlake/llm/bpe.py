@@ -7,8 +7,8 @@ minimum rank and repeats until no word has a pair left. Decoding joins the ids
 with the vocabulary and gathers their bytes by ordered aggregation.
 
 Work is per input partition: nothing is shuffled. A worker keeps the encodings
-of up to ``CACHE_WORDS`` distinct words and starts anew beyond that; the bound
-changes speed only.
+of the words it met last, in two generations of up to ``CACHE_WORDS`` distinct
+words (and those of one run of texts); the bound changes speed only.
 
 Edge cases: null text counts as empty (no ids, empty bytes); empty tables give
 empty results; repeated rows are encoded each; words of more than ``LONG_WORD``
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, runs, texts
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 CHUNK_WORDS = 20_000
 CHUNK_BYTES = 400_000
 LONG_WORD = 512
@@ -91,6 +91,7 @@ class Codec:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM arriving")
             self.con.unregister("arriving")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ask(self, name: str, table: pa.Table, query: str) -> pa.Table:
         self.con.register(name, table)
@@ -160,9 +161,11 @@ class Codec:
         split = [self.split(x) for x in texts]
         wanted = set().union(*split)
         if len(self.known) + len(wanted) > CACHE_WORDS:
-            self.known.clear()
-        self._learn([w for w in wanted if w not in self.known])
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        wanted.difference_update(known)
+        known.update((w, older.pop(w)) for w in wanted & older.keys())
+        self._learn([w for w in wanted if w not in known])
         return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
