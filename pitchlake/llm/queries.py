@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, langid, lm, packing, secrets
+from . import ann, bpe, fingerprint, langid, lm, packing, pii, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_score": lm.op2,
         "op3_secret_scan": secrets.op3,
         "op4_length_buckets": packing.op4,
+        "op5_contextual_pii": pii.op5,
         "op7_language_id": langid.op7,
         "op9_learned_partitions": ann.op9,
         "op10_paragraph_sketch": fingerprint.op10,
