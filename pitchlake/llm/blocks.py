@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import blocks_for
 
 U = np.uint64
+_BASE = U(0xC2B2AE3D27D4EB4F)
+_BASE_INVERSE = U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     """64-bit hash of pairs of 64-bit hashes."""
     with np.errstate(over="ignore"):
         x = a * _A + b
@@ -72,6 +74,17 @@ class Words:
             out = mixed(out, h[k : len(h) - n + 1 + k])
         return out[self.gram_places(n)], counts
 
+    def windows(self, n: int) -> np.ndarray:
+        """Hashes of the same runs, for long n: differences of sums of hashes times powers."""
+        if not len(self.ids):
+            return np.zeros(0, "u8")
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[U(1)], np.full(len(self.ids) - 1, _BASE)]))
+            inverse = np.cumprod(np.concatenate([[U(1)], np.full(len(self.ids) - 1, _BASE_INVERSE)]))
+            sums = np.concatenate([[U(0)], np.cumsum(self.hashes[self.ids] * powers)])
+            at = self.gram_places(n)
+            return mixed((sums[at + n] - sums[at]) * inverse[at], U(n))
+
     def gram_places(self, n: int) -> np.ndarray:
         """Where those runs start among all words."""
         counts = np.maximum(self.lengths - n + 1, 0)
@@ -114,6 +127,18 @@ def in_blocks(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.n_blocks)).cast("int"))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more follow in four bytes."""
+    counts = np.minimum(counts, 2**32 - 1)
+    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, "u1", n).astype("i8")
+    out[out == 255] = np.frombuffer(raw, "u1", offset=n).view("<u4")
+    return out
+
+
 Ask = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 Finish = Callable[[pa.Table, np.ndarray], pa.Table]
 
@@ -136,7 +161,7 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             bucket = int(buckets[a])
             offset = plan.cut(keys[a:b]) - plan.cut(U(0)) - plan.low(bucket)
-            for name, value in zip(rows, (bucket, block, b - a, offset.astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes(), counts[a:b].astype("<u4").tobytes()), strict=True):
+            for name, value in zip(rows, (bucket, block, b - a, offset.astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes(), packed(counts[a:b])), strict=True):
                 rows[name].append(value)
         return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
@@ -145,22 +170,23 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
         raw = np.zeros((sum(sizes), 8), "u1")
         raw[:, :width] = np.frombuffer(b"".join(table.column("keys").to_pylist()), "u1").reshape(-1, width)
         keys = raw.view("<u8").ravel()
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+        counts = np.concatenate([unpacked(raw, n) for raw, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
         order = np.argsort(keys)
-        first = np.diff(keys[order], prepend=keys[order[0]] + U(1)) != 0
+        first = np.diff(keys[order], prepend=keys[order[0]] ^ U(1)) != 0
         group = np.cumsum(first) - 1
-        sums = np.add.reduceat(counts[order].astype("i8"), np.flatnonzero(first))
-        totals = np.empty(len(keys), "<u4")
-        totals[order] = np.minimum(sums, 2**32 - 1)[group]
+        sums = np.add.reduceat(counts[order], np.flatnonzero(first))
+        totals = np.empty(len(keys), "i8")
+        totals[order] = sums[group]
         ends = np.cumsum(sizes).tolist()
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([totals[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+        replies = [packed(totals[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "totals": pa.array(replies, pa.binary())})
 
     def end(table: pa.Table, replies: pa.Table) -> pa.Table:
-        parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True))
-        return finish(sorted_block(table), np.frombuffer(b"".join(t for _, t in parts), "<u4").astype("i8"))
+        parts = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "n")), strict=True))
+        return finish(sorted_block(table), np.concatenate([np.zeros(0, "i8"), *(unpacked(raw, n) for _, raw, n in parts)]))
 
     requests = blocked.groupBy("block").applyInArrow(request, "bucket int, block int, n int, keys binary, counts binary")
-    replies = requests.groupBy("bucket").applyInArrow(answer, "block int, bucket int, totals binary")
+    replies = requests.groupBy("bucket").applyInArrow(answer, "block int, bucket int, n int, totals binary")
     return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(end, schema)
 
 
