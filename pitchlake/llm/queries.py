@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, langid, lm, packing, pii, secrets
+from . import ann, bpe, fingerprint, langid, lm, packing, pii, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_length_buckets": packing.op4,
         "op5_contextual_pii": pii.op5,
         "op7_language_id": langid.op7,
+        "op8_substring_dedup": substring.op8,
         "op9_learned_partitions": ann.op9,
         "op10_paragraph_sketch": fingerprint.op10,
     }
