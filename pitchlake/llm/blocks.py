@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,14 +144,31 @@ Ask = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 Finish = Callable[[pa.Table, np.ndarray], pa.Table]
 
 
-def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: str) -> DataFrame:
+def only(table: pa.Table, chosen: pa.Table) -> pa.Table:
+    """The first row of each text whose digest ``h`` is chosen in this block."""
+    left = set(chosen.column("c_h").to_pylist())
+    mask = []
+    for h in table.column("h").to_pylist():
+        mask.append(h in left)
+        left.discard(h)
+    return table.filter(pa.array(mask, pa.bool_()))
+
+
+def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: str, chosen: DataFrame | None = None) -> DataFrame:
     """Rows of ``finish`` for each block.
 
+    chosen: ``c_block`` and ``c_h``, block and digest ``h`` of the rows of ``blocked`` to go by; others are left out.
+
     ask: from a block's documents (in the order of ``sorted_block``) the sorted
     distinct 64-bit keys and the counts of each. finish: from the documents and
     the totals over all blocks, in the order of the keys, a table of ``schema``.
     """
-    width = plan.width
+    width, picky = plan.width, chosen is not None
+    empty = pa.table({"bucket": [], "block": [], "n": [], "keys": [], "counts": []}, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    def request_chosen(table: pa.Table, side: pa.Table) -> pa.Table:
+        table = only(sorted_block(table), side)
+        return request(table) if table.num_rows else empty
 
     def request(table: pa.Table) -> pa.Table:
         keys, counts = ask(sorted_block(table))
@@ -163,7 +181,7 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
             offset = plan.cut(keys[a:b]) - plan.cut(U(0)) - plan.low(bucket)
             for name, value in zip(rows, (bucket, block, b - a, offset.astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes(), packed(counts[a:b])), strict=True):
                 rows[name].append(value)
-        return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        return pa.table(rows, schema=empty.schema)
 
     def answer(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
@@ -182,11 +200,20 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "totals": pa.array(replies, pa.binary())})
 
     def end(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if picky:
+            sides = pc.is_valid(replies.column("c_h"))
+            table, replies = only(sorted_block(table), replies.filter(sides)), replies.filter(pc.invert(sides))
         parts = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "n")), strict=True))
         return finish(sorted_block(table), np.concatenate([np.zeros(0, "i8"), *(unpacked(raw, n) for _, raw, n in parts)]))
 
-    requests = blocked.groupBy("block").applyInArrow(request, "bucket int, block int, n int, keys binary, counts binary")
+    asked = "bucket int, block int, n int, keys binary, counts binary"
+    if chosen is None:
+        requests = blocked.groupBy("block").applyInArrow(request, asked)
+    else:
+        requests = blocked.groupBy("block").cogroup(chosen.groupBy("c_block")).applyInArrow(request_chosen, asked)
     replies = requests.groupBy("bucket").applyInArrow(answer, "block int, bucket int, n int, totals binary")
+    if chosen is not None:
+        replies = replies.unionByName(chosen.select(F.col("c_block").alias("block"), "c_h"), allowMissingColumns=True)
     return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(end, schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, langid, lm, packing, pii, secrets, substring
+from . import ann, bpe, fingerprint, langid, lm, ngram_join, packing, pii, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secrets.op3,
         "op4_length_buckets": packing.op4,
         "op5_contextual_pii": pii.op5,
+        "op6_ngram_jaccard": ngram_join.op6,
         "op7_language_id": langid.op7,
         "op8_substring_dedup": substring.op8,
         "op9_learned_partitions": ann.op9,
