@@ -201,7 +201,7 @@ def _between(sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
+    """``doc_id, n_shingles, component_id`` and ``h``, a digest of the text, for each row of ``docs`` (``doc_id``, ``text``)."""
     prepare(docs.sparkSession)
     plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES, exact=False)
     block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(plan.n_blocks)).cast("int")
@@ -223,9 +223,9 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     placed = classes.join(everything.select("h", "n", "node"), "h").join(labels, "node", "left").select("h", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     whole = placed.join(named, "label").select("h", F.col("n").alias("n_shingles"), "component_id")
-    return keyed.join(whole, "h").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return keyed.join(whole, "h").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` linked by a Jaccard similarity of 0.85 and more of 4-word shingles."""
-    return join(texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return join(texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_shingles", "component_id")

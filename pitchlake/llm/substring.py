@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import Plan, U, Words, counted, in_blocks, mixed, sorted_block
 from .common import blocks_for, prepare, texts, total_bytes
@@ -233,19 +234,25 @@ def _cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         else:
             n_removed.append(0)
         kept.append(b" ".join(words))
-    return pa.table({"doc_id": table.column("doc_id"), "text": table.column("text"), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+    table = table.drop_columns(["block"])
+    for name, values in (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept", pa.array(kept, pa.binary()).cast(pa.string()))):
+        table = table.append_column(name, values)
+    return table
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, text, n_words, n_removed, kept`` of ``docs`` (``doc_id``, ``text``); kept words are joined by one space."""
+    """All columns of ``docs`` (``doc_id``, ``text`` and more) and ``n_words, n_removed, kept``; kept words are joined by one space.
+
+    The three names and ``block`` must be free.
+    """
     prepare(docs.sparkSession)
     size = total_bytes(docs)
     plan = Plan.fit(size, BLOCK_BYTES, BUCKET_BYTES, exact=False)
     blocked = in_blocks(docs, plan)
     pieces = counted(blocked, plan, _ask(window), _pieces(window, blocks_for(size, SHARD_BYTES)), "shard int, block int, contents binary, counts binary, origins binary")
     spans = pieces.groupBy("shard").applyInArrow(_matched(window), "block int, spans binary")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, f"doc_id {kind}, text string, n_words long, n_removed long, kept string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
