@@ -8,7 +8,7 @@ characters whose mean log-likelihood ratio per transition, random against
 ordinary, passes a threshold is a further span of kind ``markov``, unless it
 overlaps a span of the fixed patterns.
 
-The sample is the ``SAMPLE_DOCS`` documents of smallest text hash and
+The sample is about ``SAMPLE_DOCS`` documents, chosen by a hash of the text, and
 ``SAMPLE_RANDOM`` digests; it bounds training only: every whole text is
 scanned. The model is a table of 128 x 128 numbers, in the plan as a literal.
 
@@ -78,7 +78,9 @@ def _pairs(s: Column) -> Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int = SAMPLE_RANDOM) -> list[float]:
     """Log-likelihood ratios of the 128 x 128 transitions. At most 2 x 16,384 counts reach the driver."""
     spark = docs.sparkSession
-    sample = texts(docs).select("text").orderBy(F.xxhash64("text"), "text").limit(sample_docs)
+    everything = texts(docs).select("text")
+    share = min(1.0, sample_docs / max(1, everything.count()))
+    sample = everything.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     digest = F.sha2(F.col("id").cast("string"), 256)
     rule = F.explode(F.array(digest, F.base64(F.unhex(digest)), F.translate(F.upper(F.base64(F.unhex(digest))), "+/=", "")))
     value = F.explode(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 1), (ACCESS, 0), (HEX, 0)))))
