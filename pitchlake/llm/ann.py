@@ -206,37 +206,32 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     right = dealt(queries, "q_rep", "q_groups", "i_groups", "q", "i").select(F.col("part").alias("q_part"), F.col("i").alias("q_i"), F.col("q").alias("q_q"), "q_rep", "q_v")
 
     def compare(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.table({"rep": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
-        if not vectors.num_rows or not asked.num_rows:
-            return empty
-        matrix = lambda t, v: t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        x, ids = matrix(vectors, "v"), vectors.column("ids").to_pylist()
-        first = np.array([i[0] for i in ids])
-        reps, found, scores = [], [], []
-        for a in range(0, asked.num_rows, 256):
-            part = asked.slice(a, 256)
-            q = matrix(part, "q_v")
-            s = q @ x.T
+        """For each query its k + 1 best of these vectors, ids of equal vectors told out, as one row."""
+        reps, best = [], []
+        if vectors.num_rows and asked.num_rows:
+            matrix = lambda t, v: t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            x, ids = matrix(vectors, "v"), vectors.column("ids").to_pylist()
+            first = np.array([i[0] for i in ids])
             most = min(k + 1, len(ids))
-            near = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < len(ids) else np.arange(len(ids))[None, :].repeat(len(q), 0)
-            for r, rep in enumerate(part.column("q_rep").to_pylist()):
-                at = near[r]
-                if most < len(ids):  # all that tie with the last
-                    at = np.flatnonzero(s[r] >= s[r][at].min())
-                exact = (x[at] * q[r]).sum(1)
-                for j in np.lexsort((first[at], -exact))[: k + 1].tolist():
+            for a in range(0, asked.num_rows, 256):
+                part = asked.slice(a, 256)
+                q = matrix(part, "q_v")
+                s = q @ x.T
+                limit = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                for r, rep in enumerate(part.column("q_rep").to_pylist()):
+                    at = np.flatnonzero(s[r] >= limit[r])  # with all that tie with the last
+                    exact = (x[at] * q[r]).sum(1)
+                    told = sorted((-float(exact[j]), i) for j in np.lexsort((first[at], -exact))[: k + 1].tolist() for i in ids[at[j]])
                     reps.append(rep)
-                    found.append(ids[at[j]])
-                    scores.append(float(exact[j]))
-        return pa.table({"rep": pa.array(reps, pa.int64()), "ids": pa.array(found, pa.list_(pa.int64())), "score": pa.array(scores, pa.float64())})
-
-    near = left.groupBy("part", "i", "q").cogroup(right.groupBy("q_part", "q_i", "q_q")).applyInArrow(compare, "rep bigint, ids array<bigint>, score double")
-    flat = near.select("rep", "score", F.explode("ids").alias("vec_id"))
-    best = flat.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    lists = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
+                    best.append([{"away": d, "vec_id": i} for d, i in told[: k + 1]])
+        return pa.table({"rep": pa.array(reps, pa.int64()), "best": pa.array(best, pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))})
+
+    near = left.groupBy("part", "i", "q").cogroup(right.groupBy("q_part", "q_i", "q_q")).applyInArrow(compare, "rep bigint, best array<struct<away:double,vec_id:bigint>>")
+    # at most a list of k + 1 from each group of each part that the query was sent to
+    lists = near.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
     pairs = asking.join(lists, "rep").select("query_id", F.filter("best", lambda b: b["vec_id"] != F.col("query_id")).alias("best"))
     return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "b")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score")
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score")
     )
 
 
