@@ -24,15 +24,27 @@ def project(u: Column, v: Column, h: Homography) -> tuple[Column, Column]:
 
 
 def ground_scales(u: Column, v: Column, h: Homography) -> tuple[Column, Column]:
-    """Metres a pixel, sideways and in depth: singular values of the homography's Jacobian; null on the horizon."""
-    n = h[2][0] * u + h[2][1] * v + h[2][2]
-    p, q = (h[i][0] * u + h[i][1] * v + h[i][2] for i in (0, 1))
-    j = [[(h[i][k] * n - top * h[2][k]) / (n * n) for k in (0, 1)] for i, top in ((0, p), (1, q))]
-    total = sum((x * x for row in j for x in row), F.lit(0.0))
-    det = j[0][0] * j[1][1] - j[0][1] * j[1][0]
-    root = F.sqrt(F.greatest(total * total - 4 * det * det, F.lit(0.0)))
-    ok = F.abs(n) >= 1e-12
-    return F.when(ok, F.sqrt(F.greatest((total - root) / 2, F.lit(0.0)))), F.when(ok, F.sqrt((total + root) / 2))
+    """Metres a pixel, sideways and in depth: singular values of the homography's Jacobian; null on the horizon.
+
+    The Jacobian's entries are linear in the pixel over the square of the
+    denominator, so the squares add up to few terms.
+    """
+    (a, b, c), (d, e, f), (g, i, j) = h
+    n = g * u + i * v + j
+    # numerators of the four entries; the terms in u (or v) cancel
+    xu, xv = (a * i - b * g) * v + (a * j - c * g), (b * g - a * i) * u + (b * j - c * i)
+    yu, yv = (d * i - e * g) * v + (d * j - f * g), (e * g - d * i) * u + (e * j - f * i)
+    squares = F.struct((xu * xu + xv * xv + yu * yu + yv * yv).alias("s"), (xu * yv - xv * yu).alias("d"), (n * n).alias("n2"), (F.abs(n) >= 1e-12).alias("ok"))
+
+    def of(sign: float) -> Column:
+        # a one-element array names the pieces, so they are computed once
+        def value(p: Column) -> Column:
+            root = F.sqrt(F.greatest(p["s"] * p["s"] - 4 * p["d"] * p["d"], F.lit(0.0)))
+            return F.when(p["ok"], F.sqrt(F.greatest((p["s"] + sign * root) / 2, F.lit(0.0))) / p["n2"])
+
+        return F.get(F.transform(F.array(squares), value), F.lit(0))
+
+    return of(-1.0), of(1.0)
 
 
 def implied_size(x1: Column, y1: Column, x2: Column, y2: Column, h: Homography) -> tuple[Column, Column]:

@@ -235,7 +235,7 @@ def choose_links(candidates: DataFrame, how: str = "greedy", dummy: float = 2.0,
         for a, b in g[["a", "b"]].itertuples(index=False):
             parent[root(("a", a))] = root(("b", b))
         out = []
-        for _, part in g.groupby([root(("a", a)) for a in g["a"]]):
+        for _, part in g.groupby(np.array([str(root(("a", a))) for a in g["a"]], object)):
             left, right = sorted(set(part["a"])), sorted(set(part["b"]))
             cost = np.full((len(left), len(right) + len(left)), 1e6)
             cost[np.arange(len(left)), len(right) + np.arange(len(left))] = dummy

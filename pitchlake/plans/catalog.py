@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import q_metrics
+from . import q_metrics, q_tracking
 from .base import Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(q_metrics.QUERIES)
+    return q_metrics.QUERIES | q_tracking.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(q_metrics.ORACLES)
+    return q_metrics.ORACLES | q_tracking.ORACLES
