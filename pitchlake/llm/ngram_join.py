@@ -93,7 +93,7 @@ def _sketch(k: int, percent: int):
         flat = np.concatenate([np.zeros(0, "u8"), *sets])
         df = totals[np.searchsorted(np.unique(flat), flat)] if len(flat) else totals
         alone = np.concatenate([[0], np.cumsum(df == 1)])
-        entries, marks, grams, a = [], [], [], 0
+        entries, marks, grams, single, a = [], [], [], [], 0
         for s in sets:
             b, n = a + len(s), len(s)
             first = n - -(-percent * n // 100) + 1
@@ -103,6 +103,7 @@ def _sketch(k: int, percent: int):
                 head = np.lexsort((s, own))[:first]
                 found = s[head][own[head] > 1]
             entries.append(found.view("i8").tolist())
+            single.append(int(alone[b] - alone[a]))
             if len(found):
                 shared = s[df[a:b] > 1]
                 marks.append([int(mixed(shared, U(i)).min().view("i8")) for i in range(ROUNDS)])
@@ -111,7 +112,7 @@ def _sketch(k: int, percent: int):
                 marks.append([])
                 grams.append(None)
             a = b
-        return pa.table({"h": table.column("h"), "n": pa.array([len(s) for s in sets], pa.int64()), "entries": pa.array(entries, pa.list_(pa.int64())), "marks": pa.array(marks, pa.list_(pa.int64())), "grams": pa.array(grams, pa.binary())})
+        return pa.table({"h": table.column("h"), "n": pa.array([len(s) for s in sets], pa.int64()), "alone": pa.array(single, pa.int64()), "entries": pa.array(entries, pa.list_(pa.int64())), "marks": pa.array(marks, pa.list_(pa.int64())), "grams": pa.array(grams, pa.binary())})
 
     return finish
 
@@ -180,17 +181,19 @@ def _leaders(sketches: DataFrame, i: int, percent: int) -> DataFrame:
 
 def _between(sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups."""
-    grouped = sketches.select("node", "entries").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "entries")
-    entries = grouped.select("node", "group", F.explode("entries").alias("gram"))
+    grouped = sketches.select("node", "n", "alone", "entries").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "n", "alone", "entries")
+    # left: how many shingles of a set stand at or after an entry; those that one class holds come first
+    entries = grouped.select("node", "group", "n", "alone", F.posexplode("entries").alias("place", "gram")).select("node", "group", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("left"), "gram")
     mixed_grams = entries.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("gram")
     entries = entries.join(mixed_grams, "gram").checkpoint()
     wanted = entries.select("group").distinct()
     sizes = grouped.join(wanted, "group", "left_semi").groupBy("group").agg(F.count("*").alias("size")).checkpoint()
     entries = entries.join(sizes, "group")
-    matrix = entries.select("gram", F.col("group").alias("other"), F.col("size").alias("other_size")).distinct()
-    # the smaller group asks the larger
+    matrix = entries.groupBy("gram", F.col("group").alias("other"), F.col("size").alias("other_size")).agg(F.max("left").alias("other_left"), F.min("n").alias("other_n"))
+    # the smaller group asks the larger, where enough shingles are left after the first that both may have
     asks = F.struct("size", "group") < F.struct(F.col("other_size").alias("size"), F.col("other").alias("group"))
-    pairs = entries.join(matrix, "gram").where(asks).select(F.col("node").alias("q_node"), F.col("other").alias("q_group")).distinct().checkpoint()
+    room = F.least("left", "other_left") * (100 + percent) >= (F.col("n") + F.greatest("other_n", F.ceil(F.col("n") * percent / 100))) * percent
+    pairs = entries.join(matrix, "gram").where(asks & room).select(F.col("node").alias("q_node"), F.col("other").alias("q_group")).distinct().checkpoint()
     asked = pairs.groupBy("q_group").agg(F.count("*").alias("asked")).join(sizes, F.col("q_group") == F.col("group")).select("q_group", _parts("size", GROUP_ROWS).alias("parts"), _parts("asked", QUERY_ROWS).alias("turns")).checkpoint()
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     queries = pairs.join(asked, "q_group").select("q_node", "q_group", _part("q_node", "turns").alias("q_turn"), every("parts").alias("q_part"))
@@ -209,9 +212,9 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     keyed = digested.select("doc_id", "h").checkpoint()
     classes = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     chosen = classes.select(block.alias("c_block"), F.col("h").alias("c_h"))
-    schema = "h binary, n long, entries array<bigint>, marks array<bigint>, grams binary"
+    schema = "h binary, n long, alone long, entries array<bigint>, marks array<bigint>, grams binary"
     everything = counted(digested.withColumn("block", block), plan, _ask(k), _sketch(k, percent), schema, chosen).withColumn("node", F.xxhash64("h")).checkpoint()
-    sketches = everything.where(F.size("entries") > 0).select("node", "entries", "marks", "grams")
+    sketches = everything.where(F.size("entries") > 0).select("node", "n", "alone", "entries", "marks", "grams")
     links = _leaders(sketches, 0, percent)
     for i in range(1, ROUNDS):
         links = links.unionAll(_leaders(sketches, i, percent))
