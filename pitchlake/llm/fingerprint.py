@@ -21,6 +21,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,9 +32,9 @@ from .common import blocks_for, texts, total_bytes
 RANGE_BYTES = 8 << 20
 #: More input makes larger ranges (their sort spills), never a longer list on the driver.
 MOST_RANGES = 100_000
-CELLS = 24
+CELLS = 48
 #: Sizes of the sketch and rounds of peeling, one after the other.
-LADDER = ((24, 6), (96, 8), (384, 10), (1536, 14))
+LADDER = ((48, 7), (192, 8), (768, 10), (3072, 14))
 _CHECK = 7919
 _LOWEST = -(2**63)
 
@@ -42,12 +44,14 @@ def paragraphs(text: Column | str) -> Column:
     return F.array_distinct(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p)))
 
 
-def _entries(digests: Column) -> Column:
-    """Each digest with its check and its three hashes."""
-    return F.transform(
-        digests,
-        lambda d: F.struct(d.alias("key"), F.xxhash64(d, F.lit(_CHECK)).alias("check"), *(F.xxhash64(d, F.lit(k)).alias(f"h{k}") for k in range(3))),
-    )
+def _entry(key: Column, sign: int = 1) -> Column:
+    """A digest with its check, its three hashes and the sign it counts with."""
+    hashes = (F.xxhash64(key, F.lit(k)).alias(f"h{k}") for k in range(3))
+    return F.struct(key.alias("key"), F.xxhash64(key, F.lit(_CHECK)).alias("check"), *hashes, F.lit(sign).alias("n"))
+
+
+def _entries(digests: Column, sign: int = 1) -> Column:
+    return F.transform(digests, lambda d: _entry(d, sign))
 
 
 def _zero() -> Column:
@@ -55,19 +59,29 @@ def _zero() -> Column:
 
 
 def sketch(entries: Column, size: int) -> Column:
-    """The cells of a set of entries: an array of count, key and check."""
+    """The cells of a set of entries: an array of count, key and check.
+
+    A third of the cells is dealt in as many strips as a strip has cells; an
+    entry passes the strips and then the cells of one, not all cells.
+    """
     third = size // 3
+    strip = math.isqrt(third)
+    if strip * strip != third:
+        raise ValueError("a third of the cells must be a square")
+
+    def added(c: Column, e: Column) -> Column:
+        return F.struct((c["n"] + e["n"]).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["check"].bitwiseXOR(e["check"]).alias("check"))
 
     def part(k: int) -> Column:
-        placed = F.transform(entries, lambda e: F.struct(F.pmod(e[f"h{k}"], F.lit(third)).cast("int").alias("at"), e["key"].alias("key"), e["check"].alias("check")))
-        return F.aggregate(
-            placed,
-            F.array_repeat(_zero(), third),
-            lambda cells, e: F.transform(
-                cells,
-                lambda c, j: F.when(e["at"] != j, c).otherwise(F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["check"].bitwiseXOR(e["check"]).alias("check"))),
-            ),
-        )
+        placed = F.transform(entries, lambda e: F.struct(F.pmod(e[f"h{k}"], F.lit(third)).cast("int").alias("at"), e["key"].alias("key"), e["check"].alias("check"), e["n"].alias("n")))
+
+        def strip_of(all_: Column, g: Column) -> Column:
+            mine = F.filter(all_, lambda e: (e["at"] >= g * strip) & (e["at"] < (g + 1) * strip))
+            return F.aggregate(mine, F.array_repeat(_zero(), strip), lambda cells, e: F.transform(cells, lambda c, j: F.when(e["at"] % strip != j, c).otherwise(added(c, e))))
+
+        # an array of one names the placed entries, so they are placed once
+        strips = F.array(*(F.lit(g) for g in range(strip)))
+        return F.flatten(F.flatten(F.transform(F.array(placed), lambda all_: F.transform(strips, lambda g: strip_of(all_, g)))))
 
     return F.concat(*(part(k) for k in range(3)))
 
@@ -80,26 +94,17 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column, size: int, rounds: int) -> Column:
     """How many digests the difference of two sketches holds; null if it can't be taken apart."""
-    third = size // 3
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"], F.lit(_CHECK)) == c["check"]))
-        out = F.transform(
-            F.array_distinct(pure),
-            lambda c: F.struct(c.alias("c"), F.array(*(F.pmod(F.xxhash64(c["key"], F.lit(k)), F.lit(third)).cast("int") + k * third for k in range(3))).alias("at")),
-        )
-
-        def less(cell: Column, j: Column) -> Column:
-            return F.aggregate(
-                F.filter(state["out"], lambda p: F.array_contains(p["at"], j)),
-                cell,
-                lambda x, p: F.struct((x["n"] - p["c"]["n"]).alias("n"), x["key"].bitwiseXOR(p["c"]["key"]).alias("key"), x["check"].bitwiseXOR(p["c"]["check"]).alias("check")),
-            )
+        def pure(sign: int) -> Column:
+            alone = F.filter(state["cells"], lambda c: (c["n"] == sign) & (F.xxhash64(c["key"], F.lit(_CHECK)) == c["check"]))
+            return _entries(F.array_distinct(F.transform(alone, lambda c: c["key"])), sign)
 
-        # the digests found in one round are taken out at the start of the next
+        # the digests found in one step are taken out in the next
+        found = F.size(state["out"]) > 0
         return F.struct(
-            F.when(F.size(state["out"]) > 0, F.transform(state["cells"], less)).otherwise(state["cells"]).alias("cells"),
-            F.when(F.size(state["out"]) > 0, F.array().cast(_OUT)).otherwise(out).alias("out"),
+            F.when(found, subtract(state["cells"], sketch(state["out"], size))).otherwise(state["cells"]).alias("cells"),
+            F.when(found, F.array().cast(_OUT)).otherwise(F.concat(pure(1), pure(-1))).alias("out"),
             (state["found"] + F.size(state["out"])).alias("found"),
         )
 
@@ -108,7 +113,7 @@ def peel(cells: Column, size: int, rounds: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(2 * rounds)), first, step, lambda s: F.when(empty(s) & (F.size(s["out"]) == 0), s["found"]))
 
 
-_OUT = "array<struct<c:struct<n:int,key:bigint,check:bigint>,at:array<int>>>"
+_OUT = "array<struct<key:bigint,check:bigint,h0:bigint,h1:bigint,h2:bigint,n:int>>"
 
 
 def likeness(a: Column, b: Column, n_a: Column, n_b: Column, print_a: Column, print_b: Column) -> Column:
