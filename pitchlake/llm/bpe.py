@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, runs, texts
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 CHUNK_WORDS = 20_000
 CHUNK_BYTES = 400_000
 LONG_WORD = 512
