@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from . import islands
+from .lineage import saved
 from .matching import assign
 
 
@@ -282,13 +283,14 @@ def link_funnel(tracklets: DataFrame, max_gap: float = 6.0, v_max: float = 8.0)
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``tracklet_id, identity_id``: the least tracklet that links reach. Labels spread and jump until none changes."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = nodes.select("tracklet_id", F.col("tracklet_id").alias("identity_id"))
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = saved(both)
+    labels = saved(nodes.select("tracklet_id", F.col("tracklet_id").alias("identity_id")))
     while True:
         near = both.join(labels, F.col("b") == F.col("tracklet_id")).groupBy("a").agg(F.min("identity_id").alias("near"))
         moved = labels.join(near, F.col("tracklet_id") == F.col("a"), "left").select("tracklet_id", F.least("identity_id", F.coalesce("near", "identity_id")).alias("label"), "identity_id")
         jump = moved.select(F.col("tracklet_id").alias("label"), F.col("label").alias("beyond"))
-        out = moved.join(jump, "label").select("tracklet_id", F.least("label", "beyond").alias("next"), "identity_id").persist()
+        out = saved(moved.join(jump, "label").select("tracklet_id", F.least("label", "beyond").alias("next"), "identity_id"))
         if not out.where("next <> identity_id").limit(1).count():
             return out.select("tracklet_id", F.col("next").alias("identity_id"))
         labels = out.select("tracklet_id", F.col("next").alias("identity_id"))
@@ -379,7 +381,7 @@ def roster_cap(rows: DataFrame, frames: DataFrame, cap: int, most_cost: float =
         if not best:
             return current
         pair = rows.sparkSession.createDataFrame([(best[0]["id_a"], best[0]["id_b"])], "a int, b int")
-        current = merge_identities(current, pair, key)
+        current = saved(merge_identities(current, pair, key))
 
 
 def fused_boxes(obs: DataFrame, least_jump_m: float = 3.0, growth: float = 1.25, half_frames: int = 25) -> DataFrame:
