@@ -24,5 +24,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"""words as (
+  select row_number() over () as rid, doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents)"""
+
+_OP6 = f"""with recursive {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+ grams as (
+  select distinct rid, array_to_string(ws[i:i + 3], ' ') as g from (select rid, ws, unnest(range(1, len(ws) - 2)) as i from words where len(ws) >= 4)
+  union all select rid, array_to_string(ws, ' ') || ' ' || len(ws) from words where len(ws) between 1 and 3),
+ sizes as (select rid, count(*) as n from grams group by rid),
+ pairs as (select a.rid as x, b.rid as y, count(*) as n from grams a join grams b on a.g = b.g and a.rid <> b.rid group by 1, 2),
+ links as (select x, y from pairs join sizes s on s.rid = x join sizes t on t.rid = y where 100 * pairs.n >= 85 * (s.n + t.n - pairs.n)),
+ reach(x, y) as (select rid, rid from words union select reach.x, links.y from reach join links on reach.y = links.x)
+select w.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, r.component_id
+from words w left join sizes s using (rid) join (select x, min(o.doc_id) as component_id from reach join words o on o.rid = y group by x) r on r.x = w.rid"""
+
+_OP8 = f"""with {_WORDS.format(text="coalesce(text, '')")},
+ windows as (select rid, i, md5(array_to_string(ws[i:i + 34], ' ')) as h from (select rid, ws, unnest(range(1, len(ws) - 33)) as i from words where len(ws) >= 35)),
+ gone as (select rid, list(distinct j) as js from (
+   select rid, unnest(range(i, i + 35)) as j from windows where h in (select h from windows group by h having count(*) > 1)) group by rid),
+ kept as (select doc_id, ws, case when js is null then ws else list_filter(ws, lambda x, k: not list_contains(js, k)) end as ks from words left join gone using (rid))
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - len(ks) as bigint) as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; hashes, models and searches of the others are tested against brute force."""
+    return {"op6_ngram_jaccard": _OP6, "op8_substring_dedup": _OP8}
