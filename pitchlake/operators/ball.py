@@ -196,7 +196,7 @@ def acceleration_peaks(track: DataFrame, least: float = 3.0, apart_s: float = 0.
     s = s.withColumns({"_vx": (F.col("mx") - F.lag("mx").over(w)) / F.col("_dt"), "_vy": (F.col("my") - F.lag("my").over(w)) / F.col("_dt")})
     s = s.withColumn("change", F.sqrt((F.lead("_vx").over(w) - F.col("_vx")) ** 2 + (F.lead("_vy").over(w) - F.col("_vy")) ** 2))
     peak = (F.col("change") >= least) & (F.col("change") >= F.coalesce(F.lag("change").over(w), F.lit(0.0))) & (F.col("change") > F.coalesce(F.lead("change").over(w), F.lit(0.0)))
-    peaks = s.where("_dt > 0").where(F.lit(True)).withColumn("_peak", peak).where("_peak").select(*([key] if key else []), "frame", "t", "mx", "my", "change")
+    peaks = s.where("_dt > 0").withColumn("_peak", peak).where("_peak").select(*([key] if key else []), "frame", "t", "mx", "my", "change")
 
     def spaced(g: pd.DataFrame) -> pd.DataFrame:
         g, keep, last = g.sort_values("t"), [], -np.inf

@@ -62,8 +62,7 @@ def savitzky_golay(rows: DataFrame, window: int, key: str = "id_jugador") -> Dat
     def value(c: str) -> Column:
         total = F.lit(0.0)
         for k, weight in zip(range(-half, half + 1), weights, strict=True):
-            shifted = F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w)
-            total = total + weight * (F.lag(c, -k).over(w) if k < 0 else shifted)
+            total = total + weight * (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(w)
         i, n = F.row_number().over(w), F.count("*").over(whole)
         return F.when((n >= window) & (i > half) & (i <= n - half), total).otherwise(F.col(c))
 

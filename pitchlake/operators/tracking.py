@@ -384,12 +384,11 @@ def roster_cap(rows: DataFrame, frames: DataFrame, cap: int, most_cost: float =
         current = saved(merge_identities(current, pair, key))
 
 
-def fused_boxes(obs: DataFrame, least_jump_m: float = 3.0, growth: float = 1.25, half_frames: int = 25) -> DataFrame:
-    """Rows where a trajectory jumps while its box is much larger than is usual around then: two people in one box."""
+def fused_boxes(obs: DataFrame, least_jump_m: float = 3.0, growth: float = 1.25) -> DataFrame:
+    """Rows where a trajectory jumps while its box is much larger than usual: two people in one box."""
     w = W.partitionBy("tracklet_id").orderBy("frame")
-    near = w.rangeBetween(-half_frames, half_frames)
     height = F.col("y2") - F.col("y1")
-    s = obs.withColumns({"h": height, "usual": F.expr("percentile(y2 - y1, 0.5)").over(W.partitionBy("tracklet_id")), "around": F.avg(height).over(near), "jump": F.sqrt((F.col("x_m") - F.lag("x_m").over(w)) ** 2 + (F.col("y_m") - F.lag("y_m").over(w)) ** 2)})
+    s = obs.withColumns({"h": height, "usual": F.expr("percentile(y2 - y1, 0.5)").over(W.partitionBy("tracklet_id")), "jump": F.sqrt((F.col("x_m") - F.lag("x_m").over(w)) ** 2 + (F.col("y_m") - F.lag("y_m").over(w)) ** 2)})
     return s.where((F.col("jump") > least_jump_m) & (F.col("h") >= growth * F.col("usual"))).select("tracklet_id", "frame", "jump", "h", "usual")
 
 

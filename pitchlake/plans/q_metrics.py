@@ -40,10 +40,6 @@ def _label_runs(p):
     return r.groupBy("label").agg(F.count("*").alias("runs"), F.sum("n").alias("n"), F.max("n").alias("longest"))
 
 
-def _half_real(p):
-    return p.withColumn("es_real", F.when((F.col("frame") / 3 + F.col("id_jugador")) % 5 < 2, 0).otherwise(1))
-
-
 _HALF = ", hr as (select frame, tiempo_s, id_jugador, equipo, x_m, y_m, case when (frame // 3 + id_jugador) % 5 < 2 then 0 else 1 end as es_real, case when frame % 4 = 0 then 'A' else etiqueta end as etiqueta from positions)"
 
 
@@ -107,7 +103,7 @@ QUERIES: dict[str, Query] = {
     "episodes_15s": over("positions")(metrics.episodes),
     "sliding_30s_windows": over("positions")(metrics.sliding_windows),
     "funnel": over("detections", "positions")(metrics.funnel),
-    "team_flip_runs": over("positions")(lambda p: _label_runs(p.withColumn("frame", F.col("frame")))),
+    "team_flip_runs": over("positions")(_label_runs),
     "jump_events": over("positions")(lambda p: metrics.jumps(p, 1.0, 0.35).select("id_jugador", "frame", "prev_frame")),
     "reentries": over("positions")(lambda p: metrics.reentries(p, 0.2).select("id_jugador", "frame", "prev_frame")),
     "tactical_lines": over("positions")(metrics.tactical_lines),
