@@ -21,9 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for
+from .common import blocks_for, tidied, tidied_pair
 
 U = np.uint64
+#: Bytes of texts whose words are coded at a time.
+CODED_BYTES = 1 << 20
 _BASE = U(0xC2B2AE3D27D4EB4F)
 _BASE_INVERSE = U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -53,12 +55,20 @@ class Words:
         """Words are separated by ASCII white space, as ``bytes.split`` does."""
         import xxhash
 
-        split = [t.split() for t in texts]
-        lengths = np.array([len(s) for s in split], "i8")
-        coded = pa.array([w for s in split for w in s], pa.large_binary()).dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
+        lengths, chunks, pending, size = [], [], [], 0
+        for i, t in enumerate(texts):  # a part of the words at a time, so that few are Python objects at once
+            lengths.append(-len(pending))
+            pending.extend(t.split())
+            lengths[-1] += len(pending)
+            size += len(t)
+            if size > CODED_BYTES or i == len(texts) - 1:
+                chunks.append(pa.array(pending, pa.large_binary()).dictionary_encode())
+                pending, size = [], 0
+        coded = pa.chunked_array(chunks, pa.dictionary(pa.int32(), pa.large_binary())).unify_dictionaries()
+        vocabulary = coded.chunk(0).dictionary.to_pylist() if chunks else []
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], "u8")
-        return cls(coded.indices.to_numpy(zero_copy_only=False).astype("i4", copy=False), lengths, vocabulary, hashes)
+        ids = np.concatenate([np.zeros(0, "i4"), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)]).astype("i4", copy=False)
+        return cls(ids, np.array(lengths, "i8"), vocabulary, hashes)
 
     @property
     def starts(self) -> np.ndarray:
@@ -208,13 +218,13 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
 
     asked = "bucket int, block int, n int, keys binary, counts binary"
     if chosen is None:
-        requests = blocked.groupBy("block").applyInArrow(request, asked)
+        requests = blocked.groupBy("block").applyInArrow(tidied(request), asked)
     else:
-        requests = blocked.groupBy("block").cogroup(chosen.groupBy("c_block")).applyInArrow(request_chosen, asked)
-    replies = requests.groupBy("bucket").applyInArrow(answer, "block int, bucket int, n int, totals binary")
+        requests = blocked.groupBy("block").cogroup(chosen.groupBy("c_block")).applyInArrow(tidied_pair(request_chosen), asked)
+    replies = requests.groupBy("bucket").applyInArrow(tidied(answer), "block int, bucket int, n int, totals binary")
     if chosen is not None:
         replies = replies.unionByName(chosen.select(F.col("c_block").alias("block"), "c_h"), allowMissingColumns=True)
-    return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(end, schema)
+    return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidied_pair(end), schema)
 
 
 def sorted_block(table: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, runs
+from .common import prepare, runs, tidied_batches
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -114,7 +114,7 @@ def sample_vectors(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[s
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(found, pa.binary()), pa.array(tfs, pa.binary())], names=["lang", "key", "ids", "tf"])
 
     chosen = labelled.where(place < share[F.col("lang")]).select("lang", F.xxhash64("text", "doc_id").alias("key"), "text")
-    got = chosen.mapInArrow(run, "lang string, key long, ids binary, tf binary").collect()
+    got = chosen.mapInArrow(tidied_batches(run), "lang string, key long, ids binary, tf binary").collect()
     return [(r["lang"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["tf"], "<f4").astype("f8")) for r in sorted(got, key=lambda r: (r["key"], r["lang"]))]
 
 
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidied_batches(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def fold(id_col: str = "doc_id"):

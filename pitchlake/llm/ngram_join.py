@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Plan, U, Words, counted, mixed
-from .common import prepare, texts, total_bytes
+from .common import prepare, texts, tidied, tidied_pair, total_bytes
 from .graph import components
 
 SHINGLE, PERCENT = 4, 85
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 GROUP_ROWS = 256
 QUERY_ROWS = 1024
@@ -176,7 +176,7 @@ def _leaders(sketches: DataFrame, i: int, percent: int) -> DataFrame:
     met = marked.join(stats, "mark")
     members = met.where("node <> leader").select("mark", _part("node", "parts").alias("part"), "node", "grams", F.lit(0).alias("lead"))
     lead = met.where("node = leader").select("mark", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "grams", F.lit(1).alias("lead"))
-    return members.unionAll(lead).groupBy("mark", "part").applyInArrow(_link_to_leaders(percent), "a long, b long")
+    return members.unionAll(lead).groupBy("mark", "part").applyInArrow(tidied(_link_to_leaders(percent)), "a long, b long")
 
 
 def _between(sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _between(sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     queries = queries.join(sketches.select(F.col("node").alias("q_node"), F.col("grams").alias("q_grams")), "q_node")
     members = grouped.select("node", "group").join(asked.withColumnRenamed("q_group", "group"), "group").select("node", "group", _part("node", "parts").alias("part"), every("turns").alias("turn"))
     members = members.join(sketches.select("node", "grams"), "node")
-    return members.groupBy("group", "part", "turn").cogroup(queries.groupBy("q_group", "q_part", "q_turn")).applyInArrow(_open(percent), "a long, b long")
+    return members.groupBy("group", "part", "turn").cogroup(queries.groupBy("q_group", "q_part", "q_turn")).applyInArrow(tidied_pair(_open(percent)), "a long, b long")
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

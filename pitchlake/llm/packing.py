@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, texts
+from .common import prepare, texts, tidied_batches
 
 MAX_TOKENS = 2048
 BUCKETS = 8
@@ -73,7 +73,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     source = texts(docs)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return source.mapInArrow(tidied_batches(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:

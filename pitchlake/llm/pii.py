@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, texts
+from .common import prepare, texts, tidied_batches
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 3
@@ -131,7 +131,7 @@ def extract(docs: DataFrame) -> DataFrame:
     source = texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, base array<struct<kind:int,start:bigint,end:bigint>>, mentions array<struct<start:bigint,end:bigint,seed:boolean,value:string,patterns:array<string>>>"
-    return source.mapInArrow(run, schema).checkpoint()
+    return source.mapInArrow(tidied_batches(run), schema).checkpoint()
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

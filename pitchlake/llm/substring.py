@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Plan, U, Words, counted, in_blocks, mixed, sorted_block
-from .common import blocks_for, prepare, texts, total_bytes
+from .common import blocks_for, prepare, texts, tidied, tidied_pair, total_bytes
 
 WINDOW = 35
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 #: Bytes of documents for each shard of candidates.
 SHARD_BYTES = 16 << 20
@@ -250,9 +250,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     plan = Plan.fit(size, BLOCK_BYTES, BUCKET_BYTES, exact=False)
     blocked = in_blocks(docs, plan)
     pieces = counted(blocked, plan, _ask(window), _pieces(window, blocks_for(size, SHARD_BYTES)), "shard int, block int, contents binary, counts binary, origins binary")
-    spans = pieces.groupBy("shard").applyInArrow(_matched(window), "block int, spans binary")
+    spans = pieces.groupBy("shard").applyInArrow(tidied(_matched(window)), "block int, spans binary")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, schema)
+    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(tidied_pair(_cut), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
