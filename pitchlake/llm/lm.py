@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Plan, Words, counted, in_blocks, mixed
-from .common import prepare, texts, total_bytes
+from .common import prepare, texts, tidied_batches, total_bytes
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -55,27 +55,30 @@ def _words(table: pa.Table) -> tuple[Words, np.ndarray, np.ndarray]:
     return Words(ids, words.lengths, [], hashes), held, np.repeat(held, words.lengths)
 
 
-def _keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words that occur and pairs that occur (as u * V + w), their keys, and the order of the keys."""
-    v = len(words.hashes)
-    ones = np.flatnonzero(np.bincount(words.ids, minlength=v))
+def _pairs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each place but the starts of texts, and its word pair as u * V + w."""
     inner = np.ones(len(words.ids), bool)
     inner[words.starts] = False
     at = np.flatnonzero(inner)
-    pairs = words.ids[at - 1].astype("i8") * v + words.ids[at]
-    twos = np.unique(pairs)
-    keys = np.concatenate([mixed(np.full(len(ones), 1, "u8"), words.hashes[ones]), mixed(mixed(np.full(len(twos), 2, "u8"), words.hashes[twos // v]), words.hashes[twos % v])])
-    return ones, twos, pairs, keys
+    return at, words.ids[at - 1].astype("i8") * len(words.hashes) + words.ids[at]
+
+
+def _keys(words: Words, twos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that occur, and the keys of them and of the distinct pairs."""
+    v = len(words.hashes)
+    ones = np.flatnonzero(np.bincount(words.ids, minlength=v))
+    return ones, np.concatenate([mixed(np.full(len(ones), 1, "u8"), words.hashes[ones]), mixed(mixed(np.full(len(twos), 2, "u8"), words.hashes[twos // v]), words.hashes[twos % v])])
 
 
 def _ask(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     words, _, held = _words(table)
-    ones, twos, pairs, keys = _keys(words)
-    inner = np.ones(len(words.ids), bool)
-    inner[words.starts] = False
+    at, pairs = _pairs(words)
+    marked = np.sort(pairs * 2 + held[at])  # one sort gives distinct pairs and their trained places
+    first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
+    twos = marked[first] >> 1
+    ones, keys = _keys(words, twos)
     c1 = np.bincount(words.ids[~held], minlength=len(words.hashes))[ones]
-    trained = pairs[~held[inner]]
-    c2 = np.bincount(np.searchsorted(twos, trained), minlength=len(twos))
+    c2 = np.add.reduceat(1 - (marked & 1), first)
     order = np.argsort(keys)
     return keys[order], np.concatenate([c1, c2])[order]
 
@@ -83,18 +86,17 @@ def _ask(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _finish(smoothing: float, n_train: int, v_train: int):
     def finish(table: pa.Table, totals: np.ndarray) -> pa.Table:
         words, _, _ = _words(table)
-        ones, twos, pairs, keys = _keys(words)
+        at, pairs = _pairs(words)
+        twos, which = np.unique(pairs, return_inverse=True)
+        ones, keys = _keys(words, twos)
         counts = np.empty(len(keys), "i8")
         counts[np.argsort(keys)] = totals
         c1 = np.zeros(len(words.hashes), "i8")
         c1[ones] = counts[: len(ones)]
-        inner = np.ones(len(words.ids), bool)
-        inner[words.starts] = False
-        at = np.flatnonzero(inner)
         word, state = words.ids[at], words.ids[at - 1]
         below = np.log10((c1 + 1.0) / (n_train + v_train + 1.0))
         p1 = (c1 + 1.0) / (n_train + v_train + 1.0)
-        arc = counts[len(ones) :][np.searchsorted(twos, pairs)]
+        arc = counts[len(ones) :][which]
         context = c1[state].astype("f8")
         taken = np.log10((arc + smoothing * p1[word]) / (context + smoothing))
         failed = np.log10(smoothing / (context + smoothing)) + below[word]
@@ -139,7 +141,7 @@ def training_size(docs: DataFrame) -> tuple[int, int]:
             yield out()
 
     kept = docs.where(~F.col("held_out"))
-    n, v = kept.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n, v = kept.select("text").mapInArrow(tidied_batches(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = kept.count()
     return n + ends, v + (ends > 0)
 
