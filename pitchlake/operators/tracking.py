@@ -105,28 +105,27 @@ def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2,
             looks = [None if e is None else np.asarray(e, float) for e in rows["emb"]]
             mine = [-1] * len(pos)
             if tracks and len(pos):
-                cost = np.full((len(tracks), len(pos)), 1e6)
+                gap = np.array([t - k["t"] for k in tracks])[:, None]
+                sigma = np.clip(0.11 + 0.026 * pos[:, 1], 0.11, 1.85)
+                radius = 7.0 * gap + 2.0 * sigma
+                apart = np.array([k["pos"] for k in tracks])[:, None] - pos[None]
+                away = np.hypot(apart[..., 0], apart[..., 1])
+                cost = np.where(away <= radius, away / np.maximum(radius, 1e-9), 1e6)
+                geometry = 1 / np.maximum(sigma**2 + (1.5 * gap) ** 2, 1e-9)
                 for i, k in enumerate(tracks):
-                    gap = t - k["t"]
-                    for j, q in enumerate(pos):
-                        sigma = np.clip(0.11 + 0.026 * q[1], 0.11, 1.85)
-                        radius = 7.0 * gap + 2.0 * sigma
-                        away = np.hypot(*(k["pos"] - q))
-                        if away > radius:
-                            continue
-                        c = away / max(radius, 1e-9)
-                        if k["looks"] and looks[j] is not None:
-                            m = np.mean(k["looks"][-signatures:], axis=0)
+                    if not k["looks"]:
+                        continue
+                    m = np.mean(k["looks"], axis=0)
+                    for j in np.flatnonzero(away[i] <= radius[i]):
+                        if looks[j] is not None:
                             unlike = 1 - m @ looks[j] / ((np.linalg.norm(m) + 1e-9) * (np.linalg.norm(looks[j]) + 1e-9))
-                            geometry = 1 / max(sigma**2 + (1.5 * gap) ** 2, 1e-9)
-                            c = (geometry * c + min(1.0, unlike)) / (geometry + 1)
-                        cost[i, j] = c
+                            cost[i, j] = (geometry[i, j] * cost[i, j] + min(1.0, unlike)) / (geometry[i, j] + 1)
                 for r, c in zip(*assign(cost), strict=True):
                     if cost[r, c] < 1e6:
                         mine[c] = tracks[r]["number"]
                         tracks[r].update(t=t, pos=pos[c])
                         if looks[c] is not None:
-                            tracks[r]["looks"].append(looks[c])
+                            tracks[r]["looks"] = [*tracks[r]["looks"], looks[c]][-signatures:]
             for c, conf in enumerate(rows["conf"]):
                 if mine[c] < 0 and conf >= open_conf:
                     tracks.append({"number": number, "t": t, "pos": pos[c], "looks": [] if looks[c] is None else [looks[c]]})

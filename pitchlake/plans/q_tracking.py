@@ -164,7 +164,7 @@ QUERIES: dict[str, Query] = {
     "hota": over("gt_obs", "positions")(lambda g, p: evaluation.hota(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
     # tracking
     "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12)),
-    "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.where("frame < 300").join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
+    "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
     "box_tracker": over("detections")(lambda d: tracking.box_tracker(d)),
     "stitch_greedy": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))))),
     "stitch_global": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))), "global")),
@@ -190,9 +190,9 @@ QUERIES: dict[str, Query] = {
     "keeper_set": over("positions")(lambda p: teams.keeper_set(teams.last_men(p), p)),
     "staff_rule": over("positions")(teams.staff),
     "one_referee": over("positions")(teams.one_referee),
-    "capped_labels": over("positions")(lambda p: teams.capped_labels(p.where("frame < 300").select("frame", "id_jugador", F.when(F.col("equipo") == 0, "A").when(F.col("equipo") == 1, "B").otherwise("otro").alias("team"), (F.col("x_m") / 100).alias("score")), 9)),
+    "capped_labels": over("positions")(lambda p: teams.capped_labels(p.select("frame", "id_jugador", F.when(F.col("equipo") == 0, "A").when(F.col("equipo") == 1, "B").otherwise("otro").alias("team"), (F.col("x_m") / 100).alias("score")), 9)),
     "emission_model": over("positions")(lambda p: teams.fit_emissions(p.withColumn("ref", F.col("etiqueta") == "otro"), "y_m", "ref", [-10.0, 10.0, 20.0, 30.0, 40.0, 64.0])),
-    "referee_path": over("detections")(lambda d: teams.referee_path(d.where("frame < 600").select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")))),
+    "referee_path": over("detections")(lambda d: teams.referee_path(d.select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")))),
     # ball
     "ball_plausible": over("ball_cand")(lambda b: ball.plausible(b.withColumn("mx", F.col("mx") * 1.5), 100.0, 64.0).select("frame", "cand_idx")),
     "static_marks": over("ball_cand")(lambda b: ball.static_marks(b, least=50, least_span_s=10.0).select("cx", "cy")),
