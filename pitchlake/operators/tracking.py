@@ -202,7 +202,8 @@ def stitch_candidates(tracklets: DataFrame, max_gap: float = 6.0, tol: float = 1
     pairs = islands.range_candidates(tracklets, max_gap)
     gap = F.col("gap")
     away = F.sqrt((F.col("a_x1") + F.col("a_vx") * gap - F.col("b_x0")) ** 2 + (F.col("a_y1") + F.col("a_vy") * gap - F.col("b_y0")) ** 2)
-    jump = F.sqrt((F.col("b_x0") - F.col("a_x1")) ** 2 + (F.col("b_y0") - F.col("a_y1")) ** 2) / gap
+    # the optimizer may test the speed before the gap: no division by a gap of 0
+    jump = F.sqrt((F.col("b_x0") - F.col("a_x1")) ** 2 + (F.col("b_y0") - F.col("a_y1")) ** 2) / F.nullif(gap, F.lit(0.0))
     ok = away <= tol + tol_per_s * gap
     if v_max is not None:
         ok = ok & (jump <= v_max)
@@ -239,8 +240,9 @@ def choose_links(candidates: DataFrame, how: str = "greedy", dummy: float = 2.0,
             left, right = sorted(set(part["a"])), sorted(set(part["b"]))
             cost = np.full((len(left), len(right) + len(left)), 1e6)
             cost[np.arange(len(left)), len(right) + np.arange(len(left))] = dummy
+            row, column = {a: i for i, a in enumerate(left)}, {b: j for j, b in enumerate(right)}
             for a, b, c in part[["a", "b", "cost"]].itertuples(index=False):
-                cost[left.index(a), right.index(b)] = c
+                cost[row[a], column[b]] = c
             for r, c in zip(*assign(cost), strict=True):
                 if c < len(right) and cost[r, c] < 1e6:
                     out.append((left[r], right[c], cost[r, c]))

@@ -52,8 +52,8 @@ def _frames(p):
     return p.select("frame", "tiempo_s").distinct()
 
 
-def _fill(p):
-    r = smoothing.fill_gaps(_half(p).where("id_jugador < 20"), _frames(p), 0.5)
+def _fill(p, who="id_jugador < 20"):
+    r = smoothing.fill_gaps(_half(p).where(who), _frames(p), 0.5)
     from ..functions import rounded
 
     return r.select("id_jugador", "frame", rounded(F.col("x_m")).alias("x_m"), rounded(F.col("y_m")).alias("y_m"), "es_real")
@@ -122,6 +122,11 @@ QUERIES: dict[str, Query] = {
     "gap_fill_linear": over("positions")(_fill),
     "moving_average_edge": over("positions")(lambda p: _rounded(smoothing.moving_average(p.where("id_jugador <= 6"), 5), "sx", "sy")),
     "savgol_interior": over("positions")(lambda p: _rounded(smoothing.savitzky_golay(p.where("id_jugador <= 6"), 7), "sx", "sy")),
+    # the four with SQL take the subsets that their SQL names; these take all rows
+    "gap_fill_linear_whole": over("positions")(lambda p: _fill(p, "true")),
+    "moving_average_edge_whole": over("positions")(lambda p: _rounded(smoothing.moving_average(p, 5), "sx", "sy")),
+    "savgol_interior_whole": over("positions")(lambda p: _rounded(smoothing.savitzky_golay(p, 7), "sx", "sy")),
+    "active_identities_whole": over("positions")(lambda p: tracking.concurrency(p, p)),
     "smooth_in_time": over("positions")(lambda p: _rounded(smoothing.within_time(p, 9), "sx", "sy")),
     "smooth_in_segments": over("positions")(lambda p: _rounded(smoothing.within_segments(p, 9, 2.5), "sx", "sy")),
     "jitter_sigma": over("positions")(smoothing.jitter),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import ball, matching, metrics, review, teams
+from ..operators import ball, matching, metrics, review, teams, tracking
 from . import matches, profiles
 from .base import PAIRS, Query, R, over, sql
 from .q_tracking import _DIST, _GROUP, _PROTO, _pairs, _pred, _q
@@ -39,11 +39,13 @@ QUERIES: dict[str, Query] = {
     "score_inversions": over("ball_cand")(lambda b: review.score_inversions(b.where("cand_idx = 1"), b.where("cand_idx = 0"))),
     "readmitted_flights": over("ball_cand")(lambda b: review.readmitted_flights(_aerial(b)).select("frame", "readmitted")),
     "field_prior": over("ball_cand")(lambda b: review.field_prior(b.withColumn("mx", F.when(F.col("frame") % 30 == 0, 150.0).otherwise(F.col("mx"))), 100.0, 64.0).select("frame", "cand_idx")),
-    "relink_at_crossings": over("positions")(lambda p: review.relink_at_crossings(p.where("id_jugador <= 8"), p.where("frame % 300 = 0")).groupBy("piece_id").agg(F.count("*").alias("n"))),
+    "relink_at_crossings": over("positions", "detections")(lambda p, d: review.relink_at_crossings(p, tracking.crossings(d)).groupBy("piece_id").agg(F.count("*").alias("n"))),
     "scaled_windows": over("positions")(lambda p: review.scaled_windows(p.withColumn("factor", 1.0 + F.col("y_m") / 64.0))),
     "smooth_ball": over("ball_cand")(lambda b: _q(review.smooth_ball(_aerial(b)), "bx", "by", keep=("frame",))),
     "prototype_drift": over("features")(lambda f: review.prototype_drift(f, 30, _PROTO.a, _PROTO.b)),
     "reweighted": over("positions")(lambda p: review.reweighted(p.where("id_jugador < 9").select("frame", "id_jugador", (F.col("frame") % 4).alias("stratum")), p.where("frame > 500").select((F.col("frame") % 4).alias("stratum"))).groupBy("stratum").agg(F.count("*").alias("n"), fn.rounded(F.sum("weight"), 5).alias("w"))),
+    # "reweighted" takes the subsets that its SQL names; this one weights all positions by all of the truth
+    "reweighted_whole": over("positions", "gt_obs")(lambda p, g: review.reweighted(p.select("frame", "id_jugador", (F.col("frame") % 4).alias("stratum")), g.select((F.col("frame") % 4).alias("stratum"))).groupBy("stratum").agg(F.count("*").alias("n"), fn.rounded(F.sum("weight"), 5).alias("w"))),
     "noise_whole_frames": over("detections")(lambda d: review.noisy(d, 0.1, "frame").select("frame", "det_idx")),
     "noise_surest": over("detections")(lambda d: review.noisy(d, 0.2, "confidence").select("frame", "det_idx")),
     "dominant_zone": over("positions")(review.dominant_zone),

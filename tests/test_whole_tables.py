@@ -106,3 +106,68 @@ def test_referee_path_sees_all_frames(spark, long_match):
         worth += move + (1.0 if r["det_idx"] == 11 else -1.0)
         last = r
     assert worth == pytest.approx(max(score))
+
+
+def identities(spark, path):
+    by = defaultdict(dict)
+    for r in fixtures.table(spark, path, "positions").collect():
+        by[r["id_jugador"]][r["frame"]] = (r["x_m"], r["y_m"])
+    return by
+
+
+def test_averages_take_all_identities(spark, long_match):
+    by = identities(spark, long_match)
+    got = {(r["id_jugador"], r["frame"]): (r["sx"], r["sy"]) for r in catalog.queries()["moving_average_edge_whole"](spark, long_match).collect()}
+    assert len(got) == sum(map(len, by.values())) and {i for i, _ in got} == set(range(1, 25))
+    for i, obs in by.items():
+        frames = sorted(obs)
+        for k, f in enumerate(frames):
+            near = [obs[frames[min(max(j, 0), len(frames) - 1)]] for j in range(k - 2, k + 3)]
+            assert got[i, f] == pytest.approx(tuple(np.mean(near, axis=0)), abs=2e-5)
+
+
+def test_polynomials_take_all_identities(spark, long_match):
+    by = identities(spark, long_match)
+    got = {(r["id_jugador"], r["frame"]): (r["sx"], r["sy"]) for r in catalog.queries()["savgol_interior_whole"](spark, long_match).collect()}
+    assert len(got) == sum(map(len, by.values()))
+    for i, obs in by.items():
+        frames = sorted(obs)
+        for k, f in enumerate(frames):
+            inside = 3 <= k < len(frames) - 3
+            fit = [np.polyval(np.polyfit(range(-3, 4), [obs[frames[j]][c] for j in range(k - 3, k + 4)], 2), 0) if inside else obs[f][c] for c in (0, 1)]
+            assert got[i, f] == pytest.approx(tuple(fit), abs=2e-5)
+
+
+def test_gaps_of_all_identities_are_filled(spark, long_match):
+    table = fixtures.table(spark, long_match, "positions").collect()
+    times = {r["frame"]: r["tiempo_s"] for r in table}
+    want, real = {}, defaultdict(dict)
+    for r in table:
+        if (r["frame"] // 3 + r["id_jugador"]) % 5 >= 2:
+            real[r["id_jugador"]][r["frame"]] = (r["x_m"], r["y_m"])
+            want[r["id_jugador"], r["frame"]] = (r["x_m"], r["y_m"], 1)
+    for i, obs in real.items():
+        for a, b in zip(sorted(obs), sorted(obs)[1:]):
+            if times[b] - times[a] <= 0.5:
+                for f in times:
+                    if a < f < b:
+                        u = (times[f] - times[a]) / (times[b] - times[a])
+                        want[i, f] = (*(p + u * (q - p) for p, q in zip(obs[a], obs[b])), 0)
+    got = {(r["id_jugador"], r["frame"]): (r["x_m"], r["y_m"], r["es_real"]) for r in catalog.queries()["gap_fill_linear_whole"](spark, long_match).collect()}
+    assert {i for i, _ in got} == set(range(1, 25)) and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_concurrency_and_weights_take_all_rows(spark, long_match):
+    by = identities(spark, long_match)
+    got = {r["frame"]: r["active"] for r in catalog.queries()["active_identities_whole"](spark, long_match).collect()}
+    assert got == {f: sum(min(o) <= f <= max(o) for o in by.values()) for f in {f for o in by.values() for f in o}}
+    truth = Counter(r["frame"] % 4 for r in fixtures.table(spark, long_match, "gt_obs").collect())
+    mine = Counter(f % 4 for o in by.values() for f in o)
+    got = {r["stratum"]: (r["n"], r["w"]) for r in catalog.queries()["reweighted_whole"](spark, long_match).collect()}
+    assert got == {k: (mine[k], pytest.approx(float(truth[k]))) for k in mine if k in truth}
+
+
+def test_relinking_takes_all_rows(spark, long_match):
+    got = catalog.queries()["relink_at_crossings"](spark, long_match).collect()
+    assert sum(r["n"] for r in got) == fixtures.table(spark, long_match, "positions").count()
