@@ -366,23 +366,59 @@ def crossings(dets: DataFrame, least_iou: float = 0.10) -> DataFrame:
     return occluded(dets, least_iou).select("frame").distinct()
 
 
-def interleaved_costs(rows: DataFrame, key: str = "id_jugador") -> DataFrame:
-    """Cost of joining pairs of identities: the median distance on shared frames, for pairs that share some."""
-    return islands.pair_overlap(rows, 1, key).select("id_a", "id_b", "shared", fn.rounded(F.col("median_m")).alias("cost"))
-
-
-def roster_cap(rows: DataFrame, frames: DataFrame, cap: int, most_cost: float = 2.0, key: str = "id_jugador") -> DataFrame:
-    """Identities merged, cheapest pair first, until the median number at once is within the cap or no pair is cheap enough. Identities of a match are some hundreds."""
-    current = rows
+def interleaved_costs(rows: DataFrame, key: str = "id_jugador", window_s: float | None = None, most_together: int | None = None, apart_m: float | None = None, least_shared: int = 3, t: str = "tiempo_s", only: int | None = None) -> DataFrame:
+    """Cost of joining pairs of identities whose rows alternate in time: ``id_a, id_b, shared, cost``.
+
+    Each row is measured against the other identity's place between its rows
+    before and after, both ways and never beyond its first and last row. The cost
+    is the median of these distances, or with ``window_s`` the largest of the
+    medians by window. Pairs seen together on ``most_together`` frames are two
+    people and have no cost, nor have those that are more than ``apart_m`` (by
+    median) apart on at least ``least_shared`` frames. ``only``: pairs with this
+    identity. A line between two rows is dealt to its frames, so frames join.
+    """
+    w = W.partitionBy(key).orderBy("frame")
+    own = rows.select(F.col(key).alias("i"), F.col("frame").alias("f0"), F.col(t).alias("t0"), F.col("x_m").alias("x0"), F.col("y_m").alias("y0"), *(F.lead(c).over(w).alias(n) for c, n in (("frame", "f1"), (t, "t1"), ("x_m", "x1"), ("y_m", "y1"))))
+    lines = own.withColumn("on", F.explode(F.sequence("f0", F.greatest(F.col("f0"), F.coalesce(F.col("f1") - 1, F.col("f0"))))))
+    seen = rows.select(F.col(key).alias("j"), "frame", F.col(t).alias("at"), "x_m", "y_m")
+    met = seen.join(lines, (F.col("frame") == F.col("on")) & (F.col("i") != F.col("j")))
+    if only is not None:
+        met = met.where((F.col("i") == only) | (F.col("j") == only))
+    u = F.when((F.col("at") > F.col("t0")) & (F.col("t1") > F.col("t0")), (F.col("at") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0.0))).otherwise(0.0)
+    along = lambda c: F.when(u == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}0") + u * (F.col(f"{c}1") - F.col(f"{c}0")))
+    d = F.sqrt((F.col("x_m") - along("x")) ** 2 + (F.col("y_m") - along("y")) ** 2)
+    each = met.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"), d.alias("d"), (F.col("frame") == F.col("f0")).alias("both"), (F.col("i") < F.col("j")).alias("first"), F.lit(0).alias("window") if window_s is None else F.floor(F.col("at") / window_s).alias("window"))
+    cost = each.groupBy("id_a", "id_b", "window").agg(F.median("d").alias("m"), F.count(F.when(F.col("both") & F.col("first"), 1)).alias("n")).groupBy("id_a", "id_b").agg(F.sum("n").alias("shared"), F.max("m").alias("cost"))
+    if most_together is not None:
+        cost = cost.where(F.col("shared") < most_together)
+    if apart_m is not None:
+        apart = each.where("both").groupBy("id_a", "id_b").agg(F.median("d").alias("apart"))
+        cost = cost.join(apart, ["id_a", "id_b"], "left").where((F.col("shared") < least_shared) | F.col("apart").isNull() | (F.col("apart") <= apart_m))
+    return cost.select("id_a", "id_b", "shared", fn.rounded(F.col("cost")).alias("cost"))
+
+
+def roster_cap(rows: DataFrame, frames: DataFrame, cap: int, most_cost: float = 2.0, key: str = "id_jugador", window_s: float | None = None, most_together: int | None = 3, apart_m: float | None = None, least_shared: int = 3, t: str = "tiempo_s") -> DataFrame:
+    """Identities merged, cheapest pair first, until the median number at once is within the cap or no pair is cheap enough.
+
+    Identities of a match are some hundreds: their pairs' costs are kept here, and
+    a merge asks for those of the merged identity only.
+    """
+    def costs(current: DataFrame, only: int | None = None) -> dict[tuple[int, int], float]:
+        found = interleaved_costs(current, key, window_s, most_together, apart_m, least_shared, t, only)
+        return {(r["id_a"], r["id_b"]): r["cost"] for r in found.where(F.col("cost") <= most_cost).collect()}
+
+    current, cheap = rows, None
     while True:
         median = concurrency(current, frames, key).agg(F.median("active")).first()[0]
         if median is None or median <= cap:
             return current
-        best = interleaved_costs(current, key).where(F.col("cost") <= most_cost).orderBy("cost", "id_a", "id_b").limit(1).collect()
-        if not best:
+        cheap = costs(current) if cheap is None else cheap
+        if not cheap:
             return current
-        pair = rows.sparkSession.createDataFrame([(best[0]["id_a"], best[0]["id_b"])], "a int, b int")
+        a, b = min(cheap, key=lambda p: (cheap[p], p))
+        pair = rows.sparkSession.createDataFrame([(a, b)], "a int, b int")
         current = saved(merge_identities(current, pair, key))
+        cheap = {p: c for p, c in cheap.items() if not {a, b} & set(p)} | costs(current, min(a, b))
 
 
 def fused_boxes(obs: DataFrame, least_jump_m: float = 3.0, growth: float = 1.25) -> DataFrame:
