@@ -167,8 +167,12 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     good = usable(rows)
     # -0.0 and 0.0 are one number: equal vectors must be one key
     good = good.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).checkpoint()
-    ranked = good.where("vec_id is not null").withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id")))
-    distinct = ranked.where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.get("ids", F.lit(0))).checkpoint()
+    # an id repeated with one vector is one entry with its number of rows: a query leaves out all its own rows and still has k others
+    repeated = good.where("vec_id is not null").groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
+    ranked = repeated.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id")))
+    entries = ranked.where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "m"))).alias("e"))
+    # a vector's number: the same id may have several vectors
+    distinct = entries.select("v", F.col("e.vec_id").alias("ids"), F.col("e.m").alias("times"), F.monotonically_increasing_id().alias("rep")).checkpoint()
     total = distinct.count()
     share = min(1.0, SAMPLE_ROWS / max(1, total))
     taken = distinct.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()
@@ -184,11 +188,11 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             out = own.outputs(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
             order = np.argsort(-out, axis=1, kind="stable")[:, :n].astype("i4")
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), v, pa.array(list(order), pa.list_(pa.int32()))], names=["rep", "ids", "v", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), batch.column("times"), v, pa.array(list(order), pa.list_(pa.int32()))], names=["rep", "ids", "times", "v", "parts"])
 
     kind = rows.schema["vec_id"].dataType.simpleString()
-    routed = distinct.select("rep", "ids", "v").mapInArrow(route, f"rep {kind}, ids array<{kind}>, v array<double>, parts array<int>").checkpoint()
-    index = routed.select("rep", "ids", "v", F.get("parts", F.lit(0)).alias("part"))
+    routed = distinct.select("rep", "ids", "times", "v").mapInArrow(route, f"rep bigint, ids array<{kind}>, times array<int>, v array<double>, parts array<int>").checkpoint()
+    index = routed.select("rep", "ids", "times", "v", F.get("parts", F.lit(0)).alias("part"))
     asking = good.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(distinct.select("v", "rep"), "v").select("query_id", "rep")
     reps = asking.select("rep").distinct()
     queries = routed.join(reps, "rep", "left_semi").select(F.col("rep").alias("q_rep"), F.col("v").alias("q_v"), F.explode("parts").alias("part"))
@@ -202,33 +206,52 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
         mine = F.pmod(F.xxhash64(rep), F.col(own)).cast("int")
         return with_sizes.withColumn(name, mine).withColumn(across, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    left = dealt(index, "rep", "i_groups", "q_groups", "i", "q").select("part", "i", "q", "rep", "ids", "v")
+    left = dealt(index, "rep", "i_groups", "q_groups", "i", "q").select("part", "i", "q", "rep", "ids", "times", "v")
     right = dealt(queries, "q_rep", "q_groups", "i_groups", "q", "i").select(F.col("part").alias("q_part"), F.col("i").alias("q_i"), F.col("q").alias("q_q"), "q_rep", "q_v")
 
     def compare(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        """For each query its k + 1 best of these vectors, ids of equal vectors told out, as one row."""
+        """For each query its best of these vectors, enough for k rows without any one id, as one row."""
         reps, best = [], []
         if vectors.num_rows and asked.num_rows:
             matrix = lambda t, v: t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            x, ids = matrix(vectors, "v"), vectors.column("ids").to_pylist()
+            x, ids, times = matrix(vectors, "v"), vectors.column("ids").to_pylist(), vectors.column("times").to_pylist()
             first = np.array([i[0] for i in ids])
-            most = min(k + 1, len(ids))
             for a in range(0, asked.num_rows, 256):
                 part = asked.slice(a, 256)
                 q = matrix(part, "q_v")
                 s = q @ x.T
-                limit = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                most = min(k + 1, len(ids))
+                limits = -np.partition(-s, most - 1, axis=1)[:, most - 1]
                 for r, rep in enumerate(part.column("q_rep").to_pylist()):
-                    at = np.flatnonzero(s[r] >= limit[r])  # with all that tie with the last
+                    limit, n = limits[r], most
+                    while True:
+                        at = np.flatnonzero(s[r] >= limit)  # with all that tie with the last
+                        if n == len(ids) or len(np.unique(first[at])) > k:
+                            break
+                        n = min(2 * n, len(ids))  # one id has many of these vectors
+                        limit = -np.partition(-s[r], n - 1)[n - 1]
                     exact = (x[at] * q[r]).sum(1)
-                    told = sorted((-float(exact[j]), i) for j in np.lexsort((first[at], -exact))[: k + 1].tolist() for i in ids[at[j]])
+                    told, firsts = [], set()
+                    for j in np.lexsort((first[at], -exact)).tolist():
+                        told += [(-float(exact[j]), i, m) for i, m in zip(ids[at[j]], times[at[j]], strict=True)]
+                        firsts.add(ids[at[j]][0])
+                        if len(firsts) > k:
+                            break
+                    rows: dict[int, int] = {}
+                    kept = []
+                    for d, i, m in sorted(told):
+                        if i not in rows and len(rows) > k:
+                            break
+                        m = min(m, k - rows.get(i, 0))
+                        rows[i] = rows.get(i, 0) + m
+                        kept += [{"away": d, "vec_id": i}] * m
                     reps.append(rep)
-                    best.append([{"away": d, "vec_id": i} for d, i in told[: k + 1]])
+                    best.append(kept)
         return pa.table({"rep": pa.array(reps, pa.int64()), "best": pa.array(best, pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))})
 
     near = left.groupBy("part", "i", "q").cogroup(right.groupBy("q_part", "q_i", "q_q")).applyInArrow(compare, "rep bigint, best array<struct<away:double,vec_id:bigint>>")
-    # at most a list of k + 1 from each group of each part that the query was sent to
-    lists = near.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    # a short list from each group of each part that the query was sent to; it is cut to k only when a query's own rows are out
+    lists = near.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
     pairs = asking.join(lists, "rep").select("query_id", F.filter("best", lambda b: b["vec_id"] != F.col("query_id")).alias("best"))
     return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "b")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score")

@@ -56,3 +56,17 @@ def test_parts_are_balanced():
     x = rng.standard_normal((512, 8))
     label = ann.partition(ann._neighbours(x, 8), 8, rng)
     assert np.bincount(label).tolist() == [64] * 8
+
+
+def test_repeated_queries_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    v = [x.tolist() for x in rng.standard_normal((70, 16)).astype("f4").astype(float)]
+    # 20 twice and 40 thirty times with one vector, which ids 101 to 125 share with 40; 60 with thirty vectors near each other; 7 three times
+    rows = list(enumerate(v)) + [(20, v[20])] + [(40, v[40])] * 29 + [(100 + i, v[40]) for i in range(1, 26)] + [(7, v[7])] * 2
+    rows += [(60, (np.array(v[60]) * (1 + i / 64)).astype("f4").astype(float).tolist()) for i in range(1, 30)]
+    rows = [r for r in rows if r[0] != 60 or r[1] != v[60]] + [(60, v[60])]
+    good = [(i, np.array(x)) for i, x in rows]
+    # each row of a query gets its own list
+    want = sorted((q, n + 1, i) for q, x in good if q % 20 == 0 for n, (_, i) in enumerate(sorted((-float((x * u).sum()), i) for i, u in good if i != q)[:20]))
+    got = ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == want
