@@ -197,17 +197,34 @@ def summaries(obs: DataFrame) -> DataFrame:
     return by.select("tracklet_id", first["t"].alias("t0"), first["x_m"].alias("x0"), first["y_m"].alias("y0"), end.alias("e"), F.size("o").alias("n")).select("tracklet_id", "t0", F.col("e.t").alias("t1"), "x0", "y0", F.col("e.x").alias("x1"), F.col("e.y").alias("y1"), F.col("e.vx").alias("vx"), F.col("e.vy").alias("vy"), "n")
 
 
-def stitch_candidates(tracklets: DataFrame, max_gap: float = 6.0, tol: float = 1.2, tol_per_s: float = 3.0, gap_weight: float = 0.3, v_max: float | None = None) -> DataFrame:
-    """Links (a, b) that motion allows, with a cost of distance over tolerance and of the gap."""
+def stitch_candidates(tracklets: DataFrame, max_gap: float = 6.0, tol: float = 1.2, tol_per_s: float = 3.0, gap_weight: float = 0.3, v_max: float | None = None, colour: str | None = None, label: str | None = None, most_colour: float = 1.2, colour_weight: float = 0.15, speed_weight: float = 0.0, v_ref: float = 7.0) -> DataFrame:
+    """Links (a, b) that motion allows, with a cost of distance over tolerance and of the gap.
+
+    ``colour`` names a column of mean colour vectors: links further apart than
+    ``most_colour`` are out, the others pay for their distance. ``label`` names a
+    column of team labels: two different ones are out. A null on either side
+    abstains. ``speed_weight`` prices the change from the velocity before the gap
+    to that of the jump, in units of ``v_ref``.
+    """
     pairs = islands.range_candidates(tracklets, max_gap)
     gap = F.col("gap")
+    # the optimizer may test speeds before the gap: no division by a gap of 0
+    some = F.nullif(gap, F.lit(0.0))
     away = F.sqrt((F.col("a_x1") + F.col("a_vx") * gap - F.col("b_x0")) ** 2 + (F.col("a_y1") + F.col("a_vy") * gap - F.col("b_y0")) ** 2)
-    # the optimizer may test the speed before the gap: no division by a gap of 0
-    jump = F.sqrt((F.col("b_x0") - F.col("a_x1")) ** 2 + (F.col("b_y0") - F.col("a_y1")) ** 2) / F.nullif(gap, F.lit(0.0))
+    jump = F.sqrt((F.col("b_x0") - F.col("a_x1")) ** 2 + (F.col("b_y0") - F.col("a_y1")) ** 2) / some
     ok = away <= tol + tol_per_s * gap
     if v_max is not None:
         ok = ok & (jump <= v_max)
     cost = away / (tol + tol_per_s * gap) + gap_weight * gap / max_gap
+    if label is not None:
+        ok = ok & F.coalesce(F.col(f"a_{label}") == F.col(f"b_{label}"), F.lit(True))
+    if colour is not None:
+        apart = F.sqrt(F.aggregate(F.zip_with(f"a_{colour}", f"b_{colour}", lambda x, y: (x.cast("double") - y) ** 2), F.lit(0.0), lambda s, d: s + d))
+        ok = ok & F.coalesce(apart <= most_colour, F.lit(True))
+        cost = cost + colour_weight * F.coalesce(apart / most_colour, F.lit(0.0))
+    if speed_weight > 0:
+        turn = F.sqrt(((F.col("b_x0") - F.col("a_x1")) / some - F.col("a_vx")) ** 2 + ((F.col("b_y0") - F.col("a_y1")) / some - F.col("a_vy")) ** 2)
+        cost = cost + speed_weight * turn / v_ref
     return pairs.where(ok).select(F.col("a_tracklet_id").alias("a"), F.col("b_tracklet_id").alias("b"), "gap", jump.alias("speed"), cost.alias("cost"))
 
 
