@@ -1,26 +1,33 @@
 """Byte-level BPE by DuckDB recursive queries, one small database per Python worker.
 
 Encoding: a text falls into pretokens (``pattern``); each distinct pretoken that
-is no token itself becomes token-position rows. A recursive query joins
-neighbouring rows with the merge table, contracts each word's leftmost pair of
-minimum rank and repeats until no word has a pair left. Decoding joins the ids
-with the vocabulary and gathers their bytes by ordered aggregation.
+is no token itself is cut where no token of the vocabulary can lie across (exact:
+a contraction never makes bytes meet that stand together in no token). Its
+pieces become token-position rows. A recursive query joins neighbouring rows with
+the merge table, contracts each piece's leftmost pair of minimum rank and repeats
+until no piece has a pair left. Decoding joins the ids with the vocabulary and
+gathers their bytes by ordered aggregation.
+
+Two recursive queries do the same. For pieces of up to ``SHORT`` bytes every
+step's rows are kept and the last step's read, which is fast, and takes memory by
+the square of a length; the sum of squares in one query is bounded. For longer
+pieces the recursion is keyed by position, so that only the newest rows stay,
+and a step contracts all places of the least pair, where the new token takes part
+in no pair of lower rank (then no contraction can come between them).
 
 Work is per input partition: nothing is shuffled. A worker keeps the encodings
 of the words it met last, in two generations of up to ``CACHE_WORDS`` distinct
 words (and those of one run of texts); the bound changes speed only.
 
 Edge cases: null text counts as empty (no ids, empty bytes); empty tables give
-empty results; repeated rows are encoded each; words of more than ``LONG_WORD``
-bytes, for which one contraction a round would take quadratic time, are
-contracted in the same order by a heap.
+empty results; repeated rows are encoded each; a long pretoken takes memory by
+its length and time by its length times the number of different contractions.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +38,11 @@ from pyspark.sql import functions as F
 from .common import prepare, runs, texts
 
 CACHE_WORDS = 500_000
-CHUNK_WORDS = 20_000
+#: Bytes of the longest piece whose steps are all kept, and the sum of squared lengths in one such query.
+SHORT = 48
+CHUNK_SQUARES = 2_000_000
+#: Bytes of longer pieces in one query (a single longer piece stands alone).
 CHUNK_BYTES = 400_000
-LONG_WORD = 512
 #: Bytes of text (of ids, when decoding) handled at a time.
 RUN_BYTES = 1_500_000
 
@@ -60,6 +69,27 @@ FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
 WHERE step = last GROUP BY word ORDER BY word
 """
 
+_ENCODE_LONG = """
+WITH RECURSIVE state(word, pos, nxt, id) USING KEY (word, pos) AS (
+    SELECT word, pos, pos + 1, id FROM symbols
+    UNION
+    (WITH live AS (SELECT s.* FROM recurring.state s SEMI JOIN state t ON t.word = s.word WHERE s.id >= 0),
+     pairs AS (
+        SELECT l.word, l.pos, r.pos AS gone, r.nxt AS follows, m.merged, m.alone, min(m.merged) OVER (PARTITION BY l.word) AS best
+        FROM live l
+        JOIN live r ON r.word = l.word AND r.pos = l.nxt
+        JOIN merges m ON m.a = l.id AND m.b = r.id),
+     least AS (
+        SELECT *, row_number() OVER places AS k, lag(gone) OVER places IS NOT DISTINCT FROM pos AS chained
+        FROM pairs WHERE merged = best WINDOW places AS (PARTITION BY word ORDER BY pos)),
+     runs AS (SELECT *, max(CASE WHEN chained THEN 0 ELSE k END) OVER (PARTITION BY word ORDER BY k) AS head FROM least),
+     chosen AS (SELECT * FROM runs WHERE CASE WHEN alone THEN k = 1 ELSE (k - head) % 2 = 0 END)
+     SELECT word, pos, follows, merged FROM chosen
+     UNION ALL
+     SELECT word, gone, -1, -1 FROM chosen))
+SELECT word, list(id ORDER BY pos) AS ids FROM state WHERE id >= 0 GROUP BY word ORDER BY word
+"""
+
 _DECODE = """
 SELECT doc, list(v.bytes ORDER BY pos) AS parts
 FROM tokens JOIN vocabulary v USING (id) GROUP BY doc ORDER BY doc
@@ -90,6 +120,17 @@ class Codec:
             self.con.register("arriving", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM arriving")
             self.con.unregister("arriving")
+        # a token that takes part in a pair of lower rank than its own is contracted alone, place by place
+        self.con.execute("ALTER TABLE merges ADD COLUMN alone BOOLEAN")
+        self.con.execute("UPDATE merges SET alone = merged IN (SELECT a FROM merges WHERE merged < a UNION SELECT b FROM merges WHERE merged < b)")
+        # pairs of bytes that are a token, and runs of three bytes that a token holds
+        self.pairs, self.threes = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for t in self.ranks:
+            x = np.frombuffer(t, "u1").astype("i4")
+            if len(x) == 2:
+                self.pairs[x[0] << 8 | x[1]] = True
+            elif len(x) > 2:
+                self.threes[x[:-2] << 16 | x[1:-1] << 8 | x[2:]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -99,62 +140,64 @@ class Codec:
         self.con.unregister(name)
         return out
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of words of at most LONG_WORD bytes."""
-        lengths = np.array([len(w) for w in words])
-        word = np.repeat(np.arange(len(words), dtype="i4"), lengths)
+    def _contract(self, pieces: list[bytes], query: str) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of each piece."""
+        lengths = np.array([len(w) for w in pieces])
+        word = np.repeat(np.arange(len(pieces), dtype="i4"), lengths)
         starts = np.cumsum(lengths) - lengths
-        symbols = pa.table({"word": word, "pos": (np.arange(len(word)) - starts[word]).astype("i4"), "id": self.byte_ids[np.frombuffer(b"".join(words), "u1")]})
-        ids = self._ask("symbols", symbols, _ENCODE)["ids"].combine_chunks()
+        symbols = pa.table({"word": word, "pos": (np.arange(len(word)) - starts[word]).astype("i4"), "id": self.byte_ids[np.frombuffer(b"".join(pieces), "u1")]})
+        ids = self._ask("symbols", symbols, query)["ids"].combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def _contract_long(self, word: bytes) -> bytes:
-        """The same contractions for one long word: a heap of (rank, position) over a linked list."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        after, before, version = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), [0] * len(word)
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(word) and (rank := self.ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (rank, i, version[i], version[j]))
-
-        for i in range(len(word) - 1):
-            offer(i)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i] if version[i] == left else len(word)
-            if j >= len(word) or version[j] != right:
-                continue
-            parts[i] += parts[j]
-            version[i] += 1
-            version[j] = -1
-            after[i] = after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([self.ranks[p] for p, v in zip(parts, version, strict=True) if v >= 0], "<u4").tobytes()
+    def _cut(self, words: list[bytes]) -> list[list[bytes]]:
+        """Each word in pieces that no token connects: a token across a place is its two bytes, or holds three about it."""
+        raw = b"".join(words)
+        x = np.frombuffer(raw, "u1").astype("i4")
+        lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
+        last = np.zeros(len(x), bool)
+        last[ends - 1] = True
+        three = self.threes[x[:-2] << 16 | x[1:-1] << 8 | x[2:]] & ~last[:-2] & ~last[1:-1]
+        across = np.zeros(len(x), bool)
+        across[:-1] = self.pairs[x[:-1] << 8 | x[1:]]
+        across[:-2] |= three
+        across[1:-1] |= three
+        stops = np.flatnonzero(~across | last) + 1
+        pieces = [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        at = [0, *np.searchsorted(stops, ends, side="right").tolist()]
+        return [pieces[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def _learn(self, words: list[str]) -> None:
-        chunk: list[tuple[str, bytes]] = []
-        size = 0
+        found: dict[bytes, bytes] = {}
+        cut: list[tuple[str, list[bytes]]] = []
+        rest = []
         for w in words:
             raw = w.encode()
             if raw in self.ranks:
                 self.known[w] = np.array([self.ranks[raw]], "<u4").tobytes()
-            elif len(raw) > LONG_WORD:
-                self.known[w] = self._contract_long(raw)
             else:
-                chunk.append((w, raw))
-                size += len(raw)
-                if len(chunk) >= CHUNK_WORDS or size >= CHUNK_BYTES:
-                    self.known.update(zip([a for a, _ in chunk], self._contract([b for _, b in chunk]), strict=True))
+                rest.append((w, raw))
+        if rest:
+            cut = list(zip([w for w, _ in rest], self._cut([r for _, r in rest]), strict=True))
+        wanted = {p for _, pieces in cut for p in pieces}
+        for p in wanted & self.ranks.keys():
+            found[p] = np.array([self.ranks[p]], "<u4").tobytes()
+        wanted.difference_update(found)
+        for pieces, weight, most, query in (
+            ([p for p in wanted if len(p) <= SHORT], lambda p: len(p) ** 2, CHUNK_SQUARES, _ENCODE),
+            ([p for p in wanted if len(p) > SHORT], len, CHUNK_BYTES, _ENCODE_LONG),
+        ):
+            chunk, size = [], 0
+            for p in pieces:
+                if chunk and size + weight(p) > most:
+                    found.update(zip(chunk, self._contract(chunk, query), strict=True))
                     chunk, size = [], 0
-        if chunk:
-            self.known.update(zip([a for a, _ in chunk], self._contract([b for _, b in chunk]), strict=True))
+                chunk.append(p)
+                size += weight(p)
+            if chunk:
+                found.update(zip(chunk, self._contract(chunk, query), strict=True))
+        self.known.update((w, b"".join([found[p] for p in pieces])) for w, pieces in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""

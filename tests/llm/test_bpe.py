@@ -35,12 +35,33 @@ def test_like_tiktoken(codec, reference, texts):
     assert codec.decode(got) == [t.encode() for t in texts]
 
 
-def test_long_words_by_heap(codec, reference):
+def test_long_words(codec, reference):
     rng = np.random.default_rng(1)
-    for n in (513, 2000, 20_000):
+    for n in (47, 48, 49, 513, 3000):
         word = "".join(rng.choice(list("abcdeth"), n))
         assert ids(codec.encode([word])[0]) == reference.encode_ordinary(word)
-    assert codec._contract_long(b"hello" * 3) == codec._contract([b"hello" * 3])[0]
+    for run in ("-" * 20_001, "=" * 4999, "ab" * 3000, " " * 7777, "aab" * 100):
+        assert ids(codec.encode([run])[0]) == reference.encode_ordinary(run)
+
+
+def test_both_queries_agree(codec, prose):
+    pieces = [w.encode() for t in prose(30, words=80) for w in t.split()] + [b"hello" * 9, b"aaaaaaa"]
+    assert codec._contract(pieces, bpe._ENCODE) == codec._contract(pieces, bpe._ENCODE_LONG)
+
+
+def test_many_long_pretokens(codec, reference):
+    rng = np.random.default_rng(2)
+    cjk = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 160))) for _ in range(5000)]
+    thai = ["".join(map(chr, rng.integers(0x0E01, 0x0E2E, 160))) for _ in range(500)]
+    ascii_ = ["".join(map(chr, rng.integers(97, 123, 500))) for _ in range(20_000)]
+    for words in (cjk, thai, ascii_):
+        text = " ".join(words)
+        assert ids(codec.encode([text])[0]) == reference.encode_ordinary(text)
+
+
+def test_repeated_rows(spark, make, reference):
+    rows = bpe.encode(make([(3, "the same"), (3, "the same"), (None, "x"), (None, None)]), PATH, P.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), ids(bytes(r["ids"]))) for r in rows) == sorted((str(i), reference.encode_ordinary(t)) for i, t in ((3, "the same"), (3, "the same"), (None, "x"), (None, "")))
 
 
 def test_cache_may_be_small(codec, reference, monkeypatch, prose):
