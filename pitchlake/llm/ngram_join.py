@@ -20,14 +20,14 @@ Edge cases: null and empty texts, or texts without words, have no shingles and
 are linked with nothing, each its own component; texts of fewer words than a
 shingle have their whole sequence as one; repeated rows are copies; a null id
 never names a component (a component of null ids only has none). Classes are
-told apart by 128-bit digests, sets compared by 64-bit shingle hashes.
+told apart by 128-bit digests and numbered, sets compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Plan, U, Words, counted, mixed
@@ -184,16 +184,19 @@ def _between(sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     grouped = sketches.select("node", "n", "alone", "entries").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "n", "alone", "entries")
     # left: how many shingles of a set stand at or after an entry; those that one class holds come first
     entries = grouped.select("node", "group", "n", "alone", F.posexplode("entries").alias("place", "gram")).select("node", "group", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("left"), "gram")
-    mixed_grams = entries.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("gram")
-    entries = entries.join(mixed_grams, "gram").checkpoint()
-    wanted = entries.select("group").distinct()
-    sizes = grouped.join(wanted, "group", "left_semi").groupBy("group").agg(F.count("*").alias("size")).checkpoint()
-    entries = entries.join(sizes, "group")
-    matrix = entries.groupBy("gram", F.col("group").alias("other"), F.col("size").alias("other_size")).agg(F.max("left").alias("other_left"), F.min("n").alias("other_n"))
-    # the smaller group asks the larger, where enough shingles are left after the first that both may have
-    asks = F.struct("size", "group") < F.struct(F.col("other_size").alias("size"), F.col("other").alias("group"))
-    room = F.least("left", "other_left") * (100 + percent) >= (F.col("n") + F.greatest("other_n", F.ceil(F.col("n") * percent / 100))) * percent
-    pairs = entries.join(matrix, "gram").where(asks & room).select(F.col("node").alias("q_node"), F.col("other").alias("q_group")).distinct().checkpoint()
+    # the matrix: a row for each shingle and group that has it among its first ones
+    matrix = entries.groupBy("gram", "group").agg(F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.count("*").alias("holders")).checkpoint()
+    other = matrix.select("gram", F.col("group").alias("q_group"), F.col("most_left").alias("other_left"), F.col("least_n").alias("other_n"), F.col("holders").alias("other_holders"))
+
+    def room(left: str, n: str) -> Column:
+        """Are enough shingles left after the first that both may have?"""
+        return F.least(left, "other_left") * (100 + percent) >= (F.col(n) + F.greatest("other_n", F.ceil(F.col(n) * percent / 100))) * percent
+
+    # the group with fewer holders of a shingle asks the other
+    asks = F.struct("holders", "group") < F.struct(F.col("other_holders").alias("holders"), F.col("q_group").alias("group"))
+    asking = matrix.join(other, "gram").where(asks & room("most_left", "least_n")).select("gram", "group", "q_group", "other_left", "other_n")
+    pairs = entries.join(asking, ["gram", "group"]).where(room("left", "n")).select(F.col("node").alias("q_node"), "q_group").distinct().checkpoint()
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("size"))
     asked = pairs.groupBy("q_group").agg(F.count("*").alias("asked")).join(sizes, F.col("q_group") == F.col("group")).select("q_group", _parts("size", GROUP_ROWS).alias("parts"), _parts("asked", QUERY_ROWS).alias("turns")).checkpoint()
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     queries = pairs.join(asked, "q_group").select("q_node", "q_group", _part("q_node", "turns").alias("q_turn"), every("parts").alias("q_part"))
@@ -213,16 +216,16 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     classes = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     chosen = classes.select(block.alias("c_block"), F.col("h").alias("c_h"))
     schema = "h binary, n long, alone long, entries array<bigint>, marks array<bigint>, grams binary"
-    everything = counted(digested.withColumn("block", block), plan, _ask(k), _sketch(k, percent), schema, chosen).withColumn("node", F.xxhash64("h")).checkpoint()
+    # a class's number is unique, and fixed by the checkpoint
+    everything = counted(digested.withColumn("block", block), plan, _ask(k), _sketch(k, percent), schema, chosen).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     sketches = everything.where(F.size("entries") > 0).select("node", "n", "alone", "entries", "marks", "grams")
     links = _leaders(sketches, 0, percent)
     for i in range(1, ROUNDS):
         links = links.unionAll(_leaders(sketches, i, percent))
     links = links.checkpoint()
     labels = components(links)
-    more = _between(sketches, labels, percent).checkpoint()
-    if more.limit(1).count():
-        labels = components(links.unionAll(more))
+    more = _between(sketches, labels, percent)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
     placed = classes.join(everything.select("h", "n", "node"), "h").join(labels, "node", "left").select("h", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     whole = placed.join(named, "label").select("h", F.col("n").alias("n_shingles"), "component_id")
