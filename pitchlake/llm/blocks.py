@@ -7,6 +7,11 @@ order of the request; the block, whose documents are at hand again, goes on
 with them. Every document, block and range is a row or a few, so a frequent key
 is one entry for each block, never a hot group. Sizes of blocks and ranges are
 bounded by parameters; their numbers grow with the input.
+
+A row goes from each block to at most ``FAN`` groups of ranges. With more ranges
+than that, ``FAN`` blocks and one group meet in a cell, which adds up their
+requests, asks the group's ranges for all of them, and shares the answers out
+again: rows then grow in proportion to the input, not with its square.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ from .common import blocks_for, tidied, tidied_pair
 U = np.uint64
 #: Bytes of texts whose words are coded at a time.
 CODED_BYTES = 1 << 20
+#: The most groups of ranges that a block sends rows to, and the blocks of a cell.
+FAN = 4096
+#: Of the holders of a key, so many at most ask the same one (see ``holders`` in ``counted``).
+ARITY = 16
 _BASE = U(0xC2B2AE3D27D4EB4F)
 _BASE_INVERSE = U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -110,49 +119,180 @@ class Plan:
     n_blocks: int
     n_buckets: int
     bits: int = 64
+    fan: int = FAN
 
     @classmethod
-    def fit(cls, size: int, block_bytes: int, bucket_bytes: int, exact: bool = True) -> Plan:
-        """For texts of ``size`` bytes. Not exact: 2 ** 7 times as many keys as bytes exist, so that few meet by chance."""
-        bits = 64 if exact else min(64, max(24, math.ceil(math.log2(max(size, 2))) + 7))
-        return cls(blocks_for(size, block_bytes), blocks_for(size, bucket_bytes), bits)
+    def fit(cls, size: int, block_bytes: int, bucket_bytes: int, spare: int = 64) -> Plan:
+        """For texts of ``size`` bytes. spare: 2 ** spare times as many keys as bytes exist, so that few meet by chance."""
+        bits = min(64, max(32, math.ceil(math.log2(max(size, 2))) + spare))
+        return cls(blocks_for(size, block_bytes), blocks_for(size, bucket_bytes), bits, FAN)
 
     @property
-    def width(self) -> int:
-        return max(1, math.ceil((self.bits - math.floor(math.log2(self.n_buckets))) / 8))
-
-    def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> U(32)) * U(self.n_buckets)) >> U(32)
+    def span(self) -> int:
+        """Ranges of one group."""
+        return math.ceil(self.n_buckets / self.fan)
 
-    def low(self, buckets: np.ndarray | int) -> np.ndarray:
-        """The least travelling key of a range."""
-        b = np.asarray(buckets, "u8")
-        return (((b << U(32)) + U(self.n_buckets - 1)) // U(self.n_buckets) << U(32)) >> U(64 - self.bits)
+    @property
+    def rows(self) -> int:
+        """The most rows that requests take."""
+        if self.span == 1:
+            return self.n_blocks * self.n_buckets
+        return self.n_blocks * math.ceil(self.n_buckets / self.span) + math.ceil(self.n_blocks / self.fan) * self.n_buckets
 
     def cut(self, keys: np.ndarray) -> np.ndarray:
+        """What travels of a key."""
         return keys >> U(64 - self.bits)
 
+    def bucket(self, cut: np.ndarray) -> np.ndarray:
+        """The range of each travelling key."""
+        return (((cut << U(64 - self.bits)) >> U(32)) * U(self.n_buckets)) >> U(32)
+
 
 def in_blocks(docs: DataFrame, plan: Plan) -> DataFrame:
     """``docs`` (``doc_id``, ``text`` and more) with the number of their block."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.n_blocks)).cast("int"))
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.n_blocks).cast("long")))
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts as a byte each; those of 255 and more follow in four bytes."""
-    counts = np.minimum(counts, 2**32 - 1)
-    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+    """Counts as a byte each; those of 255 and more follow in eight bytes."""
+    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
     out = np.frombuffer(raw, "u1", n).astype("i8")
-    out[out == 255] = np.frombuffer(raw, "u1", offset=n).view("<u4")
+    out[out == 255] = np.frombuffer(raw, "u1", offset=n).view("<u8").astype("i8")
     return out
 
 
+def coded(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences of the cheapest width, told by the first byte; wider ones follow in eight bytes."""
+    gaps = np.diff(keys, prepend=U(0))
+    wide = [int(np.count_nonzero(gaps >= U((1 << 8 * w) - 1))) for w in range(1, 8)] + [0]
+    width = min(range(1, 9), key=lambda w: len(gaps) * w + 8 * wide[w - 1])
+    if width == 8:
+        return b"\x08" + gaps.astype("<u8").tobytes()
+    most = U((1 << 8 * width) - 1)
+    return bytes([width]) + np.minimum(gaps, most).astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes() + gaps[gaps >= most].astype("<u8").tobytes()
+
+
+def decoded(raw: bytes, n: int) -> np.ndarray:
+    width = raw[0]
+    gaps = np.zeros((n, 8), "u1")
+    gaps[:, :width] = np.frombuffer(raw, "u1", n * width, 1).reshape(n, width)
+    gaps = gaps.view("<u8").ravel()
+    if width < 8:
+        gaps[gaps == U((1 << 8 * width) - 1)] = np.frombuffer(raw, "u1", offset=1 + n * width).view("<u8")
+    return np.cumsum(gaps, dtype="u8")
+
+
 Ask = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 Finish = Callable[[pa.Table, np.ndarray], pa.Table]
 
+_REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("who", pa.binary())])
+_REQUESTS = "bucket int, block long, n int, keys binary, counts binary, who binary"
+_REPLIES = "block long, bucket int, n int, told binary"
+
+
+def _told(holders: bool, totals: np.ndarray, parents: np.ndarray) -> bytes:
+    """An answer: the totals, or which keys occur twice and more and whom to ask about these."""
+    if not holders:
+        return packed(totals)
+    again = totals >= 2
+    return np.packbits(again).tobytes() + parents[again].astype("<i4").tobytes()
+
+
+def _heard(holders: bool, raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals (or 2 and 1 for keys that occur again and others), and parents (or none)."""
+    if not holders:
+        return unpacked(raw, n), np.zeros(0, "i8")
+    again = np.unpackbits(np.frombuffer(raw, "u1", -(-n // 8)), count=n).astype(bool)
+    parents = np.full(n, -1)
+    parents[again] = np.frombuffer(raw, "u1", offset=-(-n // 8)).view("<i4")
+    return again + 1, parents
+
+
+def _hear(holders: bool, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All answers of one asker, in the order of its keys."""
+    rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "told", "n")), strict=True))
+    parts = [_heard(holders, raw, n) for _, raw, n in rows]
+    return tuple(np.concatenate([np.zeros(0, "i8"), *x]) for x in (zip(*parts, strict=True) if parts else ((), ())))
+
+
+def _sent(plan: Plan, keys: np.ndarray, counts: np.ndarray, who: np.ndarray | None, unit: int, block: int) -> pa.Table:
+    """Requests for ascending keys: a row for each group of ``unit`` ranges that has some."""
+    groups = plan.bucket(keys).astype("i8") // unit
+    edges = np.flatnonzero(np.diff(groups, prepend=-1, append=-2)) if len(keys) else np.zeros(1, "i8")
+    rows: dict[str, list] = {name: [] for name in _REQUEST.names}
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        values = (int(groups[a]), block, b - a, coded(keys[a:b]), packed(counts[a:b]), None if who is None else who[a:b].astype("<i4").tobytes())
+        for name, value in zip(rows, values, strict=True):
+            rows[name].append(value)
+    return pa.table(rows, schema=_REQUEST)
+
+
+class _Met:
+    """The requests that meet in a range or cell: equal keys side by side, askers in an order by a hash of their numbers."""
+
+    def __init__(self, table: pa.Table):
+        blocks = table.column("block").to_numpy()
+        self.table = table = table.take(pa.array(np.lexsort((blocks, mixed(blocks.astype("u8"), U(17))))))
+        self.sizes = table.column("n").to_pylist()
+        self.blocks = table.column("block").to_pylist()
+        raw = lambda c: zip(table.column(c).to_pylist(), self.sizes, strict=True)
+        keys = np.concatenate([decoded(x, n) for x, n in raw("keys")])
+        counts = np.concatenate([unpacked(x, n) for x, n in raw("counts")])
+        self.order = np.argsort(keys, kind="stable")
+        keys = keys[self.order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        self.starts, self.group = np.flatnonzero(first), np.cumsum(first) - 1
+        self.keys, self.sums = keys[self.starts], np.add.reduceat(counts[self.order], self.starts)
+
+    def who(self) -> np.ndarray:
+        """The block behind each sorted key."""
+        parts = [np.full(n, b) if w is None else np.frombuffer(w, "<i4") for w, n, b in zip(self.table.column("who").to_pylist(), self.sizes, self.blocks, strict=True)]
+        return np.concatenate(parts)[self.order]
+
+    def parents(self, of_first: np.ndarray | int = -1) -> np.ndarray:
+        """Of each sorted key's askers all but the first are told another to ask, at most ARITY the same."""
+        who, start = self.who(), self.starts[self.group]
+        i = np.arange(len(who)) - start
+        return np.where(i > 0, who[start + np.maximum(i - 1, 0) // ARITY], of_first if isinstance(of_first, int) else of_first[self.group])
+
+    def replies(self, holders: bool, totals: np.ndarray, parents: np.ndarray) -> pa.Table:
+        """Back to the order of each request. totals: of each distinct key; parents: of each sorted key."""
+        all_ = np.empty(len(self.order), "i8")
+        all_[self.order] = totals[self.group]
+        told = np.empty(len(self.order), "i8")
+        if holders:
+            told[self.order] = parents
+        ends = np.cumsum(self.sizes).tolist()
+        out = [_told(holders, all_[e - n : e], told[e - n : e]) for e, n in zip(ends, self.sizes, strict=True)]
+        return pa.table({"block": self.table.column("block"), "bucket": self.table.column("bucket"), "n": self.table.column("n"), "told": pa.array(out, pa.binary())})
+
+
+def exchange(requests: DataFrame, plan: Plan, holders: bool) -> DataFrame:
+    """The answers to all requests (see ``counted``)."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        met = _Met(table)
+        return met.replies(holders, met.sums, met.parents() if holders else met.sums)
+
+    def merged(table: pa.Table) -> pa.Table:
+        met = _Met(table.drop_columns(["cell"]))
+        return _sent(plan, met.keys, met.sums, met.who()[met.starts] if holders else None, 1, table.column("cell")[0].as_py())
+
+    def shared(table: pa.Table, replies: pa.Table) -> pa.Table:
+        met = _Met(table.drop_columns(["cell"]))
+        totals, parents = _hear(holders, replies)
+        return met.replies(holders, totals, met.parents(parents) if holders else totals)
+
+    if plan.span == 1:
+        return requests.groupBy("bucket").applyInArrow(tidied(answer), _REPLIES)
+    cells = requests.withColumn("cell", F.floor(F.col("block") / plan.fan) * plan.fan + F.col("bucket"))
+    replies = cells.groupBy("cell").applyInArrow(tidied(merged), _REQUESTS).groupBy("bucket").applyInArrow(tidied(answer), _REPLIES)
+    return cells.groupBy("cell").cogroup(replies.groupBy("block")).applyInArrow(tidied_pair(shared), _REPLIES)
+
 
 def only(table: pa.Table, chosen: pa.Table) -> pa.Table:
     """The first row of each text whose digest ``h`` is chosen in this block."""
@@ -164,7 +304,7 @@ def only(table: pa.Table, chosen: pa.Table) -> pa.Table:
     return table.filter(pa.array(mask, pa.bool_()))
 
 
-def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: str, chosen: DataFrame | None = None) -> DataFrame:
+def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: str, chosen: DataFrame | None = None, holders: bool = False) -> DataFrame:
     """Rows of ``finish`` for each block.
 
     chosen: ``c_block`` and ``c_h``, block and digest ``h`` of the rows of ``blocked`` to go by; others are left out.
@@ -172,56 +312,37 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
     ask: from a block's documents (in the order of ``sorted_block``) the sorted
     distinct 64-bit keys and the counts of each. finish: from the documents and
     the totals over all blocks, in the order of the keys, a table of ``schema``.
+
+    holders: finish gets, instead of the totals, for each key -2 where it occurs
+    once in all blocks, else another block that holds it and that this block may
+    ask about it, or -1 if the others ask (a tree over the holders of each key, in
+    which at most ``ARITY`` ask the same; blocks come in the same order in all trees).
     """
-    width, picky = plan.width, chosen is not None
-    empty = pa.table({"bucket": [], "block": [], "n": [], "keys": [], "counts": []}, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    picky = chosen is not None
 
     def request_chosen(table: pa.Table, side: pa.Table) -> pa.Table:
         table = only(sorted_block(table), side)
-        return request(table) if table.num_rows else empty
+        return request(table) if table.num_rows else _REQUEST.empty_table()
 
     def request(table: pa.Table) -> pa.Table:
         keys, counts = ask(sorted_block(table))
-        buckets = plan.bucket(keys).astype("i8")
-        edges = np.flatnonzero(np.diff(buckets, prepend=-1, append=-2)) if len(keys) else np.zeros(1, "i8")
-        rows = {"bucket": [], "block": [], "n": [], "keys": [], "counts": []}
-        block = table.column("block")[0].as_py()
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            bucket = int(buckets[a])
-            offset = plan.cut(keys[a:b]) - plan.cut(U(0)) - plan.low(bucket)
-            for name, value in zip(rows, (bucket, block, b - a, offset.astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes(), packed(counts[a:b])), strict=True):
-                rows[name].append(value)
-        return pa.table(rows, schema=empty.schema)
-
-    def answer(table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        raw = np.zeros((sum(sizes), 8), "u1")
-        raw[:, :width] = np.frombuffer(b"".join(table.column("keys").to_pylist()), "u1").reshape(-1, width)
-        keys = raw.view("<u8").ravel()
-        counts = np.concatenate([unpacked(raw, n) for raw, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
-        order = np.argsort(keys)
-        first = np.diff(keys[order], prepend=keys[order[0]] ^ U(1)) != 0
-        group = np.cumsum(first) - 1
-        sums = np.add.reduceat(counts[order], np.flatnonzero(first))
-        totals = np.empty(len(keys), "i8")
-        totals[order] = sums[group]
-        ends = np.cumsum(sizes).tolist()
-        replies = [packed(totals[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "totals": pa.array(replies, pa.binary())})
+        return _sent(plan, plan.cut(keys), counts, None, plan.span, table.column("block")[0].as_py())
 
     def end(table: pa.Table, replies: pa.Table) -> pa.Table:
         if picky:
             sides = pc.is_valid(replies.column("c_h"))
             table, replies = only(sorted_block(table), replies.filter(sides)), replies.filter(pc.invert(sides))
-        parts = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "n")), strict=True))
-        return finish(sorted_block(table), np.concatenate([np.zeros(0, "i8"), *(unpacked(raw, n) for _, raw, n in parts)]))
+        table = sorted_block(table)
+        totals, parents = _hear(holders, replies)
+        if holders:
+            totals = np.where(totals >= 2, parents, -2)
+        return finish(table, totals)
 
-    asked = "bucket int, block int, n int, keys binary, counts binary"
     if chosen is None:
-        requests = blocked.groupBy("block").applyInArrow(tidied(request), asked)
+        requests = blocked.groupBy("block").applyInArrow(tidied(request), _REQUESTS)
     else:
-        requests = blocked.groupBy("block").cogroup(chosen.groupBy("c_block")).applyInArrow(tidied_pair(request_chosen), asked)
-    replies = requests.groupBy("bucket").applyInArrow(tidied(answer), "block int, bucket int, n int, totals binary")
+        requests = blocked.groupBy("block").cogroup(chosen.groupBy("c_block")).applyInArrow(tidied_pair(request_chosen), _REQUESTS)
+    replies = exchange(requests, plan, holders)
     if chosen is not None:
         replies = replies.unionByName(chosen.select(F.col("c_block").alias("block"), "c_h"), allowMissingColumns=True)
     return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidied_pair(end), schema)

@@ -37,6 +37,8 @@ from .graph import components
 SHINGLE, PERCENT = 4, 85
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Keys that meet by chance only make a shingle look more frequent; so few bits do.
+SPARE_BITS = 7
 GROUP_ROWS = 256
 QUERY_ROWS = 1024
 ROUNDS = 2
@@ -209,8 +211,8 @@ def _between(sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` and ``h``, a digest of the text, for each row of ``docs`` (``doc_id``, ``text``)."""
     prepare(docs.sparkSession)
-    plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES, exact=False)
-    block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(plan.n_blocks)).cast("int")
+    plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES, SPARE_BITS)
+    block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(plan.n_blocks).cast("long"))
     digested = docs.withColumn("h", F.unhex(F.md5("text")))
     keyed = digested.select("doc_id", "h").checkpoint()
     classes = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))

@@ -1,23 +1,26 @@
-"""Removal of long word runs that occur more than once, by compressed FM-indexes over shards.
-
-Every run of ``window`` words is hashed and counted over the whole input (see
-``blocks``; only some leading bits of a hash travel, so a count may be too high,
-never too low). Runs counted more than once are candidates. A candidate goes to
-the shard of its minimiser, the least hash of a few neighbouring words in it:
-equal runs have equal minimisers and meet in one shard, whatever surrounds
-them. Neighbouring candidates of one minimiser travel as one piece; equal
-pieces of a block travel once, with all their places.
-
-A shard builds an FM-index of its distinct pieces: the Burrows-Wheeler
-transform in a wavelet matrix of packed bits with rank directories. The pieces
-then stream against it: backward search from each end gives the matching
-statistic, the longest stretch that also occurs elsewhere, up to ``window``;
-where it reaches ``window`` the run is repeated, and the intervals of repeated
-runs are reported. Blocks cut them from their documents.
+"""Removal of long word runs that occur more than once, by compressed FM-indexes over shards of documents.
+
+A shard is a block of whole documents. Its FM-index is the Burrows-Wheeler
+transform of their words in a wavelet matrix of packed bits with rank
+directories, and a sample of the suffix array. Backward search gives matching
+statistics of runs of words that stream against it: how far back from a place
+they still occur in the shard, and where.
+
+Not every document can meet every shard. Every run of ``window`` words is hashed
+and counted over the whole input (see ``blocks``), only to choose the way: the
+shards that hold a hash ask each other, each another one, at most
+``blocks.ARITY`` the same. Neighbouring runs on one way travel as one piece, and
+equal pieces of a shard once, with all their places. Where a piece's matching
+statistics reach ``window``, the interval is repeated in the shard that asked and
+at the places found in the shard that was asked; runs that a shard holds twice
+are searched for in its own index, two occurrences at least. Blocks cut
+the reported intervals from their documents.
 
 Edge cases: null and empty texts have no words and keep the empty text; texts
 shorter than a window keep all words; repeated rows repeat each other; a run
-that repeats inside one document, overlapping itself or not, counts.
+that repeats inside one document, overlapping itself or not, counts. Nothing is
+removed that the index did not find; a repeat can be missed only where different
+runs share a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -28,83 +31,146 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Plan, U, Words, counted, in_blocks, mixed, sorted_block
-from .common import blocks_for, prepare, texts, tidied, tidied_pair, total_bytes
+from .blocks import Plan, U, Words, counted, in_blocks, sorted_block
+from .common import prepare, texts, tidied_pair, total_bytes
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-#: Bytes of documents for each shard of candidates.
-SHARD_BYTES = 16 << 20
-#: Words of the runs that minimisers are chosen from, and the most candidates of one piece.
-GRAM, MOST = 4, 64
+#: The most runs of one piece, and every so many-th place of the suffix array that an index keeps.
+MOST, SAMPLED = 128, 16
+
+
+class Bits:
+    """Packed bits with counts every 64."""
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.zeros((len(bits) // 64 + 1) * 64, "u1")
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype="i8")[:-1]])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        block = at >> 6
+        return self.counts[block] + np.bitwise_count(self.words[block] & ((U(1) << (at & 63).astype("u8")) - U(1)))
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype("u8")) & U(1)).astype(bool)
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: a level of packed bits, with counts every 64, for each bit of a symbol."""
+    """Ranks of symbols in a sequence: a level of packed bits for each bit of a symbol."""
 
     def __init__(self, symbols: np.ndarray, top: int):
-        self.n, self.levels = len(symbols), []
+        self.levels = []
         for bit in reversed(range(max(1, int(top).bit_length()))):
-            bits = (symbols >> bit) & 1
-            padded = np.zeros((self.n // 64 + 1) * 64, "u1")
-            padded[: self.n] = bits
-            words = np.packbits(padded, bitorder="little").view("<u8")
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype="i8")[:-1]])
-            zeros = self.n - int(bits.sum())
-            self.levels.append((bit, words, counts, zeros))
-            symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
+            ones = (symbols >> bit) & 1 == 1
+            self.levels.append((bit, Bits(ones), len(symbols) - int(ones.sum())))
+            symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
     def follow(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the prefix of length ``at`` ends among equal symbols, on the last level."""
-        for bit, words, counts, zeros in self.levels:
-            block = at >> 6
-            mask = (U(1) << (at & 63).astype("u8")) - U(1)
-            ones = counts[block] + np.bitwise_count(words[block] & mask)
+        for bit, bits, zeros in self.levels:
+            ones = bits.rank(at)
             at = np.where((symbols >> bit) & 1, zeros + ones, at - ones)
         return at
 
+    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and where it lies on the last level."""
+        symbols = np.zeros(len(at), "i8")
+        for bit, bits, zeros in self.levels:
+            ones, set_ = bits.rank(at), bits.at(at)
+            symbols |= set_.astype("i8") << bit
+            at = np.where(set_, zeros + ones, at - ones)
+        return symbols, at
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes, by doubling; zeros are separators, each unlike all others and before all symbols."""
+    n, m = len(text), int((text == 0).sum())
+    rank = text + m - 1
+    rank[text == 0] = np.arange(m)
+    order = np.argsort(rank, kind="stable")
+    places, step = np.arange(n), 0  # the places of the order that are not settled yet
+    while True:
+        at = order[places]
+        later = np.zeros(len(at), "i8")
+        if step:
+            inside = at + step < n
+            later[inside] = rank[at[inside] + step] + 1
+        key = rank[at] * (max(n, int(rank.max(initial=0))) + 2) + later
+        sub = np.argsort(key)
+        key, at = key[sub], at[sub]
+        order[places] = at
+        fresh = np.diff(key, prepend=-1) != 0
+        heads = places[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        rank[at] = heads
+        alone = fresh & np.append(fresh[1:], True)
+        places = places[~alone]
+        if not len(places):
+            return order
+        step = max(1, 2 * step)
+
 
 class FmIndex:
-    """Backward search in a set of word sequences. tokens: symbols from 1; ends: where each sequence ends."""
-
-    def __init__(self, tokens: np.ndarray, ends: np.ndarray):
-        m, n = len(ends), len(tokens) + len(ends)
-        self.places = np.arange(len(tokens)) + np.searchsorted(ends, np.arange(len(tokens)), side="right")
-        text = np.zeros(n, "i8")
-        text[self.places] = tokens
-        self.text, top = text, int(tokens.max(initial=0))
-        rank = text + m - 1
-        rank[text == 0] = np.arange(m)  # separators differ, and precede all words
-        step = 1
-        while True:
-            nxt = np.zeros(n, "i8")
-            nxt[: n - step] = rank[step:] + 1
-            key = rank * (max(n, m + top) + 2) + nxt
-            order = np.argsort(key)
-            new = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-            rank[order] = new
-            if int(new[-1]) == n - 1:
-                break
-            step *= 2
-        bwt = text[order - 1]
-        self.wavelet = WaveletMatrix(bwt, top)
+    """Backward search in a set of word sequences. tokens: symbols from 1; lengths: of the sequences."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray):
+        ends = np.cumsum(lengths)
+        self.starts = ends - lengths + np.arange(len(lengths))  # in the text with a separator after each sequence
+        self.n = len(tokens) + len(lengths)
+        text = np.zeros(self.n, "i8")
+        text[np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)), lengths)] = tokens
+        top = int(tokens.max(initial=0))
+        order = suffix_array(text)
+        before = text[order - 1]
+        kept = (order % SAMPLED == 0) | (before == 0)
+        self.kept, self.sample = Bits(kept), order[kept].astype("i4")
+        self.wavelet = WaveletMatrix(before, top)
         counts = np.bincount(text, minlength=top + 1)
-        symbols = np.arange(top + 1)
-        self.base = np.cumsum(counts) - counts - self.wavelet.follow(symbols, np.zeros(top + 1, "i8"))
-
-    def repeated(self, ends: np.ndarray, length: int) -> np.ndarray:
-        """True where the ``length`` symbols up to each end (a place in ``text``) occur at least twice."""
-        alive = np.arange(len(ends))
-        low, high = np.zeros(len(ends), "i8"), np.full(len(ends), len(self.text))
-        for k in range(1, length + 1):
-            c = self.text[ends[alive] - k]
-            low, high = (self.base[c] + self.wavelet.follow(c, x) for x in (low, high))
-            going = high - low >= 2
-            alive, low, high = alive[going], low[going], high[going]
-        out = np.zeros(len(ends), bool)
-        out[alive] = True
-        return out
+        self.base = np.cumsum(counts) - counts - self.wavelet.follow(np.arange(top + 1), np.zeros(top + 1, "i8"))
+
+    def stretches(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, least: int) -> tuple[np.ndarray, ...]:
+        """Matching statistics of pieces of ``symbols`` (0: not in the index) that reach ``window``.
+
+        From the end of each piece backwards: the longest stretch with at least
+        ``least`` occurrences, then the same from the last place whose run of
+        ``window`` is not inside it. Gives piece, start, end and the interval of rows.
+        """
+        piece = np.flatnonzero(ends - starts >= window)
+        end = ends[piece]
+        at, low, high = end.copy(), np.zeros(len(piece), "i8"), np.full(len(piece), self.n)
+        found = []
+        while len(piece):
+            c = symbols[at - 1]
+            both = self.wavelet.follow(np.concatenate([c, c]), np.concatenate([low, high])) + np.concatenate([self.base[c]] * 2)
+            new_low, new_high = both[: len(c)], both[len(c) :]
+            going = (c > 0) & (new_high - new_low >= least)
+            low, high, at = np.where(going, new_low, low), np.where(going, new_high, high), at - going
+            stop = ~going | (at == starts[piece])
+            if stop.any():
+                s = np.flatnonzero(stop)
+                long = s[end[s] - at[s] >= window]
+                found.append((piece[long], at[long], end[long], low[long], high[long]))
+                end[s] = np.minimum(end[s] - 1, at[s] - 1 + window)
+                at[s], low[s], high[s] = end[s], 0, self.n
+                keep = ~stop
+                keep[s] = ~going[s] & (end[s] - starts[piece[s]] >= window)
+                piece, at, end, low, high = piece[keep], at[keep], end[keep], low[keep], high[keep]
+        return tuple(np.concatenate([np.zeros(0, "i8"), *x]) for x in (zip(*found, strict=True) if found else ((),) * 5))
+
+    def locate(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and place of each row: steps back to the nearest row whose place is kept."""
+        places, steps, index = np.empty(len(rows), "i8"), 0, np.arange(len(rows))
+        while len(rows):
+            hit = self.kept.at(rows)
+            places[index[hit]] = self.sample[self.kept.rank(rows[hit])] + steps
+            index, rows = index[~hit], rows[~hit]
+            c, at = self.wavelet.read(rows)
+            rows, steps = self.base[c] + at, steps + 1
+        which = np.searchsorted(self.starts, places, side="right") - 1
+        return which, places - self.starts[which]
 
 
 def _words(table: pa.Table) -> Words:
@@ -118,99 +184,103 @@ def _ask(window: int):
     return ask
 
 
-def minimisers(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
-    """The least gram hash of the windows that start at ``starts``."""
-    h = words.hashes[words.ids]
-    least = np.full(max(0, len(h) - GRAM + 1), 5, "u8")
-    for k in range(GRAM):
-        least = mixed(least, h[k : len(h) - GRAM + 1 + k])
-    span, left = 1, window - GRAM + 1
-    while span < left:  # least of ever longer stretches
-        more = min(span, left - span)
-        least[: len(least) - more] = np.minimum(least[: len(least) - more], least[more:])
-        span += more
-    return least[starts]
+def _runs(starts: np.ndarray, same: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of pieces: at most MOST neighbouring ``starts`` of windows with the same value."""
+    fresh = (np.diff(starts, prepend=-2) != 1) | (np.diff(same, prepend=same[:1]) != 0)
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
+    fresh |= (np.arange(len(starts)) - head) % MOST == 0
+    heads = np.flatnonzero(fresh)
+    return starts[heads], starts[heads] + np.diff(np.append(heads, len(starts))) + window - 1
+
+
+def _document(words: Words, at: np.ndarray) -> np.ndarray:
+    """The text that each word stands in. Texts without words share a start with the next one: the last of these is the text."""
+    return np.searchsorted(words.starts, at, side="right") - 1
+
 
+_ASKED = pa.schema([("home", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("copies", pa.binary()), ("origins", pa.binary())])
 
-def _pieces(window: int, n_shards: int):
-    def finish(table: pa.Table, totals: np.ndarray) -> pa.Table:
+
+def _asked(window: int):
+    def finish(table: pa.Table, parents: np.ndarray) -> pa.Table:
+        """A row for each shard that this one asks: its distinct pieces as numbered words, and their places."""
         words = _words(table)
         hashes = words.windows(window)
-        keys = np.unique(hashes)
-        starts = words.gram_places(window)[(totals >= 2)[np.searchsorted(keys, hashes)]] if len(hashes) else np.zeros(0, "i8")
-        rows: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        if len(starts):
-            least = minimisers(words, starts, window)
-            fresh = (np.diff(starts, prepend=-2) != 1) | (np.diff(least, prepend=least[0] ^ U(1)) != 0)
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
-            fresh |= (np.arange(len(starts)) - head) % MOST == 0
-            heads = np.flatnonzero(fresh)
-            sizes = np.diff(np.append(heads, len(starts)))
-            shards = ((mixed(least[heads], U(9)) >> U(32)) * U(n_shards) >> U(32)).tolist()
-            first = starts[heads]
-            docs = np.searchsorted(words.starts, first, side="right") - 1
-            # texts without words share a start with the next one: the last of equal starts is the text
-            within = (first - words.starts[docs]).tolist()
-            vocabulary, ids = words.vocabulary, words.ids
-            for shard, a, size, doc, at in zip(shards, first.tolist(), sizes.tolist(), docs.tolist(), within, strict=True):
-                content = b" ".join([vocabulary[i] for i in ids[a : a + size + window - 1].tolist()])
-                rows.setdefault(shard, {}).setdefault(content, []).append((doc, at))
+        homes = parents[np.searchsorted(np.unique(hashes), hashes)] if len(hashes) else np.zeros(0, "i8")
+        places = words.gram_places(window)
+        firsts, ends = _runs(places[homes >= 0], homes[homes >= 0], window)
+        docs = _document(words, firsts)
+        within = firsts - words.starts[docs]
+        home = homes[np.searchsorted(places, firsts)]
         block = table.column("block")[0].as_py()
-        out = {"shard": [], "block": [], "contents": [], "counts": [], "origins": []}
-        for shard, pieces in sorted(rows.items()):
-            values = (shard, block, b"\n".join(pieces), np.array([len(v) for v in pieces.values()], "<i4").tobytes(), np.array([p for v in pieces.values() for p in v], "<i4").tobytes())
-            for name, value in zip(out, values, strict=True):
-                out[name].append(value)
-        return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("contents", pa.binary()), ("counts", pa.binary()), ("origins", pa.binary())]))
+        rows: dict[str, list] = {name: [] for name in _ASKED.names}
+        for h in np.unique(home).tolist():
+            mine = np.flatnonzero(home == h)
+            pieces: dict[bytes, list[tuple[int, int]]] = {}
+            for a, b, doc, at in zip(*(x[mine].tolist() for x in (firsts, ends, docs, within)), strict=True):
+                pieces.setdefault(words.ids[a:b].tobytes(), []).append((doc, at))
+            used, ids = np.unique(np.frombuffer(b"".join(pieces), "i4"), return_inverse=True)
+            values = (
+                h, block, b" ".join([words.vocabulary[i] for i in used.tolist()]), ids.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
+                np.array([len(p) // 4 for p in pieces], "<i4").tobytes(), np.array([len(v) for v in pieces.values()], "<i4").tobytes(), np.array([p for v in pieces.values() for p in v], "<i4").tobytes(),
+            )
+            for name, value in zip(rows, values, strict=True):
+                rows[name].append(value)
+        return pa.table(rows, schema=_ASKED)
 
     return finish
 
 
 def _matched(window: int):
-    def match(table: pa.Table) -> pa.Table:
-        """For each block: document, first word and end of the repeated intervals."""
-        number: dict[bytes, int] = {}
-        which, copies, blocks, origins = [], [], [], []
-        for block, contents, counts, places in zip(*(table.column(c).to_pylist() for c in ("block", "contents", "counts", "origins")), strict=True):
-            which += [number.setdefault(c, len(number)) for c in contents.split(b"\n")]
-            n = np.frombuffer(counts, "<i4")
-            copies.append(n)
-            blocks.append(np.full(len(n), block))
-            origins.append(np.frombuffer(places, "<i4").reshape(-1, 2))
-        which, copies, blocks, origins = np.array(which), np.concatenate(copies), np.concatenate(blocks), np.concatenate(origins)
-        times = np.bincount(which, weights=copies)
-        split = [c.split() for c in number]
-        del number
-        lengths = np.array([len(s) for s in split])
-        coded = pa.array([w for s in split for w in s], pa.large_binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype("i8") + 1
-        del split
-        ends = np.cumsum(lengths)
-        sizes = lengths - window + 1
-        first = np.cumsum(sizes) - sizes
-        repeated = np.repeat(times >= 2, sizes)
-        if not repeated.all():
-            index = FmIndex(coded, ends)
-            asked = np.flatnonzero(~repeated)
-            piece = np.searchsorted(first, asked, side="right") - 1
-            last = ends[piece] - lengths[piece] + asked - first[piece] + window - 1
-            repeated[asked] = index.repeated(index.places[last] + 1, window)
-        # intervals of repeated windows of each piece
-        inner = np.repeat(np.arange(len(sizes)), sizes)
-        on = np.flatnonzero(repeated)
-        cut = np.flatnonzero((np.diff(on, prepend=-2) != 1) | (np.diff(inner[on], prepend=-1) != 0)) if len(on) else on
-        from_, to = on[cut], on[np.append(cut[1:], len(on)) - 1] if len(on) else on
-        by_piece = np.searchsorted(inner[from_], np.arange(len(sizes) + 1))
-        piece_of = np.repeat(which, copies)
-        block_of = np.repeat(blocks, copies)
-        n_of = (by_piece[1:] - by_piece[:-1])[piece_of]
-        place = np.repeat(np.arange(len(piece_of)), n_of)
-        interval = np.arange(n_of.sum()) + np.repeat(by_piece[piece_of] - (np.cumsum(n_of) - n_of), n_of)
-        lead = origins[place, 1] - first[piece_of[place]]
-        spans = np.stack([origins[place, 0], lead + from_[interval], lead + to[interval] + window], 1).astype("<i4")
-        order = np.argsort(block_of[place], kind="stable")
-        own, spans = block_of[place][order], spans[order]
-        edges = np.flatnonzero(np.diff(own, prepend=-1, append=-1)) if len(own) else np.zeros(1, "i8")
-        return pa.table({"block": pa.array(own[edges[:-1]].tolist(), pa.int32()), "spans": pa.array([spans[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())})
+    def match(table: pa.Table, asked: pa.Table) -> pa.Table:
+        """For this shard and those that asked: document, first word and end of the repeated intervals."""
+        words = _words(sorted_block(table)) if table.num_rows else Words.of([])
+        hashes = words.windows(window)
+        order = np.argsort(hashes)
+        equal = np.diff(hashes[order]) == 0
+        twice = np.zeros(len(hashes), bool)
+        twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+        spans: dict[int, list[np.ndarray]] = {}
+        if asked.num_rows or twice.any():
+            tokens = words.ids.astype("i8") + 1
+            index = FmIndex(tokens, words.lengths)
+        if twice.any():
+            starts = words.gram_places(window)[twice]
+            firsts, ends = _runs(starts, np.zeros(len(starts), "i8"), window)
+            _, a, b, _, _ = index.stretches(tokens, firsts, ends, window, 2)
+            docs = _document(words, a)
+            spans.setdefault(table.column("block")[0].as_py(), []).append(np.stack([docs, a - words.starts[docs], b - words.starts[docs]], 1))
+        if asked.num_rows:
+            number = {w: i + 1 for i, w in enumerate(words.vocabulary)}
+            symbols, sizes, copies, origins, blocks = [], [], [], [], []
+            for block, known, ids, size, n, places in zip(*(asked.column(c).to_pylist() for c in ("block", "words", "ids", "sizes", "copies", "origins")), strict=True):
+                own = np.array([number.get(w, 0) for w in known.split()], "i8")
+                sizes.append(np.frombuffer(size, "<i4"))
+                symbols.append(own[np.frombuffer(ids, "<u2" if len(own) <= 1 << 16 else "<u4")])
+                copies.append(np.frombuffer(n, "<i4"))
+                origins.append(np.frombuffer(places, "<i4").reshape(-1, 2))
+                blocks.append(np.full(len(copies[-1]), block))
+            symbols, sizes, copies, origins, blocks = map(np.concatenate, (symbols, sizes, copies, origins, blocks))
+            ends = np.cumsum(sizes)
+            piece, a, b, low, high = index.stretches(symbols, ends - sizes, ends, window, 1)
+            # the places of each piece that asked
+            first = (np.cumsum(copies) - copies)[piece]
+            each = np.repeat(np.arange(len(piece)), copies[piece])
+            origin = origins[np.repeat(first, copies[piece]) + np.arange(len(each)) - np.repeat(np.cumsum(copies[piece]) - copies[piece], copies[piece])]
+            lead = origin[:, 1] - (ends - sizes)[piece[each]]
+            out, owner = np.stack([origin[:, 0], lead + a[each], lead + b[each]], 1), blocks[piece[each]]
+            by_owner = np.argsort(owner, kind="stable")
+            edges = np.flatnonzero(np.diff(owner[by_owner], prepend=-1, append=-1)) if len(owner) else np.zeros(1, "i8")
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                spans.setdefault(int(owner[by_owner[x]]), []).append(out[by_owner[x:y]])
+            # and the places where they were found
+            found = np.unique(np.stack([low, high, b - a], 1), axis=0)
+            times = found[:, 1] - found[:, 0]
+            rows = np.repeat(found[:, 0], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            docs, at = index.locate(rows)
+            spans.setdefault(table.column("block")[0].as_py(), []).append(np.stack([docs, at, at + np.repeat(found[:, 2], times)], 1))
+        kept = {block: np.unique(np.concatenate(s), axis=0) for block, s in spans.items()}
+        return pa.table({"block": pa.array(list(kept), pa.int64()), "spans": pa.array([s.astype("<i4").tobytes() for s in kept.values()], pa.binary())})
 
     return match
 
@@ -246,11 +316,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     The three names and ``block`` must be free.
     """
     prepare(docs.sparkSession)
-    size = total_bytes(docs)
-    plan = Plan.fit(size, BLOCK_BYTES, BUCKET_BYTES, exact=False)
+    plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES)
     blocked = in_blocks(docs, plan)
-    pieces = counted(blocked, plan, _ask(window), _pieces(window, blocks_for(size, SHARD_BYTES)), "shard int, block int, contents binary, counts binary, origins binary")
-    spans = pieces.groupBy("shard").applyInArrow(tidied(_matched(window)), "block int, spans binary")
+    asked = counted(blocked, plan, _ask(window), _asked(window), "home long, block long, words binary, ids binary, sizes binary, copies binary, origins binary", holders=True)
+    spans = blocked.groupBy("block").cogroup(asked.groupBy("home")).applyInArrow(tidied_pair(_matched(window)), "block long, spans binary")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(tidied_pair(_cut), schema)
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pitchlake.llm import substring
+from pitchlake.llm import blocks, substring
 
 
 def brute(rows, window):
@@ -20,10 +20,12 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "seed"), [(35, 0), (8, 1), (5, 2)])
-def test_against_brute_force(make, prose, odd, monkeypatch, window, seed):
-    for name, value in (("BLOCK_BYTES", 3000), ("BUCKET_BYTES", 6000), ("SHARD_BYTES", 6000)):
+@pytest.mark.parametrize(("window", "seed", "fan"), [(35, 0, 4096), (8, 1, 4096), (5, 2, 4096), (8, 3, 3)])
+def test_against_brute_force(make, prose, odd, monkeypatch, window, seed, fan):
+    for name, value in (("BLOCK_BYTES", 3000), ("BUCKET_BYTES", 6000), ("MOST", 7)):
         monkeypatch.setattr(substring, name, value)
+    monkeypatch.setattr(blocks, "ARITY", 2)
+    monkeypatch.setattr(blocks, "FAN", fan)
     rng = random.Random(seed)
     base = prose(40, seed, words=150)
     passage = " ".join(base[0].split()[:60] + base[1].split()[:60])
@@ -34,20 +36,41 @@ def test_against_brute_force(make, prose, odd, monkeypatch, window, seed):
     assert got == brute(rows, window)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_index_counts(seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics_and_places(seed):
     rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, 30, 20)
-    tokens = rng.integers(1, 5, lengths.sum())
+    lengths = rng.integers(0, 40, 25)
+    tokens = rng.integers(1, 4, lengths.sum())
     ends = np.cumsum(lengths)
-    index = substring.FmIndex(tokens, ends)
-    parts = [tuple(tokens[e - n : e]) for e, n in zip(ends, lengths, strict=True)]
-    for m in (1, 3, 6):
-        seen = collections.Counter(p[k : k + m] for p in parts for k in range(len(p) - m + 1))
-        asked = [(e - n + k + m - 1, p[k : k + m]) for e, n, p in zip(ends, lengths, parts, strict=True) for k in range(len(p) - m + 1)]
-        if asked:
-            got = index.repeated(index.places[np.array([a for a, _ in asked])] + 1, m)
-            assert got.tolist() == [seen[s] > 1 for _, s in asked]
+    index = substring.FmIndex(tokens, lengths)
+    parts = [tuple(tokens[e - n : e].tolist()) for e, n in zip(ends, lengths, strict=True)]
+    asked = [tuple(rng.integers(0, 4, n).tolist()) for n in rng.integers(1, 30, 20)] + [p for p in parts if p]
+    flat = np.array([x for p in asked for x in p])
+    stops = np.cumsum([len(p) for p in asked])
+    starts = stops - [len(p) for p in asked]
+    for window, least in ((1, 1), (4, 1), (4, 2), (9, 1)):
+        places = collections.defaultdict(set)
+        for d, p in enumerate(parts):
+            for k in range(len(p)):
+                for stop in range(k + 1, len(p) + 1):
+                    places[p[k:stop]].add((d, k))
+        covered = collections.defaultdict(set)
+        for piece, a, b, low, high in zip(*(x.tolist() for x in index.stretches(flat, starts, stops, window, least)), strict=True):
+            run = tuple(flat[a:b].tolist())
+            docs, at = index.locate(np.arange(low, high))
+            assert set(zip(docs.tolist(), at.tolist(), strict=True)) == places[run] and high - low >= least and b - a >= window
+            # no longer stretch ends here
+            assert a == starts[piece] or len(places[tuple(flat[a - 1 : b].tolist())]) < least
+            covered[piece].update(range(a, b - window + 1))
+        for piece, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+            assert covered[piece] == {k for k in range(a, b - window + 1) if len(places[tuple(flat[k : k + window].tolist())]) >= least}
+
+
+@pytest.mark.parametrize("text", [[0], [1, 1, 1, 1, 0, 1, 1, 0], [3, 1, 2, 0, 0, 3, 1, 2, 0], [2] * 50 + [0] + [2] * 49 + [0]])
+def test_suffix_array(text):
+    text, cuts = np.array(text), iter(range(-len(text), 0))
+    unlike = [next(cuts) if x == 0 else x for x in text.tolist()]
+    assert substring.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: unlike[i:])
 
 
 def test_other_columns_stay(make):
