@@ -6,48 +6,53 @@ import pytest
 from pitchlake.llm import lm
 
 
-def brute(rows, m):
-    words = {i: (t or "").encode().lower().split() for i, t, _ in rows}
-    end, start = object(), object()
-    c, b = collections.Counter(), collections.Counter()
-    for i, _, held in rows:
-        if not held:
-            c.update([*words[i], end, start])
-            b.update(zip([start, *words[i]], [*words[i], end], strict=True))
-    n, v = sum(c.values()) - c[start], len(c) - (start in c)
-    p = lambda w: (c[w] + 1) / (n + v + 1)
-    out = {}
-    for i, _, _ in rows:
-        seq = [*words[i], end]
-        steps = [math.log10((b[u, w] + m * p(w)) / (c[u] + m)) if b[u, w] else math.log10(m / (c[u] + m) * p(w)) for u, w in zip([start, *words[i]], seq, strict=True)]
-        out[i] = (len(seq), sum(c[w] > 0 for w in seq), n, sum(math.log10(p(w)) for w in seq), sum(steps))
-    return out
-
-
-@pytest.mark.parametrize("block", [1 << 20, 700])
-def test_against_brute_force(spark, prose, odd, monkeypatch, block):
+def model(texts, smoothing):
+    """Counts of training texts, and p(word | context) as one recursive formula, without states or arcs."""
+    counts = collections.Counter()
+    for words in texts:
+        seq = ["<s>", *words, "</s>"]
+        counts.update(tuple(seq[i:j]) for i in range(len(seq)) for j in range(i + 1, min(len(seq), i + 1 + len(smoothing)) + 1))
+    n = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(1 for g in counts if len(g) == 1 and g != ("<s>",))
+
+    def p(word, context):
+        if not context:
+            return (counts[word,] + 1) / (n + v + 1)
+        m = smoothing[len(context) - 1]
+        return (counts[(*context, word)] + m * p(word, context[1:])) / (counts[tuple(context)] + m)
+
+    return counts, n, p
+
+
+@pytest.mark.parametrize(("block", "smoothing", "segment"), [(1 << 20, (50.0, 5.0), 256), (700, (50.0, 5.0), 7), (700, (3.0,), 5), (5000, (9.0, 4.0, 2.0), 4)])
+def test_against_brute_force(spark, prose, odd, monkeypatch, block, smoothing, segment):
     monkeypatch.setattr(lm, "BLOCK_BYTES", block)
     monkeypatch.setattr(lm, "BUCKET_BYTES", 2 * block)
-    texts = prose(25, words=60, vocabulary=80) + odd
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    texts = prose(25, words=60, vocabulary=12) + prose(4, seed=5, words=3000, vocabulary=200) + odd + prose(5, words=60, vocabulary=12)
     rows = [(i, t, i % 4 == 0) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(i, t or "", h) for i, t, h in rows], "doc_id long, text string, held_out boolean")
-    want = brute(rows, lm.SMOOTHING)
-    got = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    words = {i: [w.decode() for w in (t or "").encode().lower().split()] for i, t, _ in rows}
+    counts, n, p = model([words[i] for i, _, held in rows if not held], smoothing)
+    got = {r["doc_id"]: r for r in lm.score(docs, len(smoothing) + 1, smoothing).collect()}
     assert len(got) == len(rows)
-    for i, (tokens, known, n, base, score) in want.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
-
-
-def test_weights_of_a_state_sum_to_one():
-    # counts of a tiny corpus: p over all words and one share for unknown ones
-    c, after = {"a": 3, "b": 2}, {"a": 1, "b": 1}
-    n, v, m = 5, 2, lm.SMOOTHING
-    p = {w: (k + 1) / (n + v + 1) for w, k in c.items()}
-    p["?"] = 1 / (n + v + 1)
-    total = sum((after.get(w, 0) + m * p[w]) / (sum(after.values()) + m) for w in p)
-    assert total == pytest.approx(1)
+    for i, _, held in rows:
+        seq, k, r = ["<s>", *words[i], "</s>"], len(smoothing), got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, len(seq) - 1, sum(counts[w,] > 0 for w in seq[1:]), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(p(w, ())) for w in seq[1:]))
+        assert r["score"] == pytest.approx(sum(math.log10(p(seq[j], tuple(seq[max(0, j - k) : j]))) for j in range(1, len(seq))))
+
+
+def test_probabilities_after_any_context_sum_to_one():
+    counts, _, p = model([list("abab"), list("abc"), list("ba")], lm.SMOOTHING)
+    words = [g[0] for g in counts if len(g) == 1 and g != ("<s>",)]
+    for context in ((), ("a",), ("a", "b"), ("<s>", "b"), ("c", "a")):
+        assert sum(p(w, context) for w in [*words, "unknown"]) == pytest.approx(1)
+
+
+def test_wrong_order(spark):
+    with pytest.raises(ValueError):
+        lm.score(spark.createDataFrame([], "doc_id long, text string, held_out boolean"), 3, (1.0,))
 
 
 def test_nothing_to_learn_from(spark):
