@@ -9,18 +9,20 @@ probable parts as reach ``RECALL`` on the sample. Candidates are ranked by
 their exact inner products in double precision.
 
 Only distinct vectors are placed; each keeps the ``k + 1`` smallest ids that
-share it, which is all that ties can need, so thousands of copies are one
-candidate. A part, and the queries sent to it, is dealt out in groups of
+share it, which is all that ties and a query's own row can need, so thousands of
+copies are one candidate. A part, and the queries sent to it, is dealt out in groups of
 bounded size by a hash.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components, and candidates without an id, take no part; with
-few candidates all are returned; repeated ids stay separate candidates, but a
-query never meets rows of its own id; an empty table gives an empty result.
+few candidates all are returned; rows that share an id are queries and candidates
+each, and a query leaves out its own row only; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,9 @@ from .common import prepare
 
 SAMPLE_ROWS = 6000
 NEIGHBOURS = 10
-#: Distinct vectors a part holds on average; there are at most MOST_PARTS.
+#: Distinct vectors a part holds on average, in at least and at most so many parts.
 PART_ROWS = 1500
-MOST_PARTS = 256
+LEAST_PARTS, MOST_PARTS = 4, 256
 RECALL = 0.97
 GROUP_ROWS = 4096
 HIDDEN = 128
@@ -130,7 +132,7 @@ class Router:
 def learn(sample: np.ndarray, rows: int, k: int) -> tuple[Router, int]:
     """A router for ``rows`` vectors, and how many parts a query needs."""
     rng = np.random.default_rng(7)
-    wanted = min(MOST_PARTS, max(1, rows // PART_ROWS), max(1, len(sample) // 32))
+    wanted = min(MOST_PARTS, max(LEAST_PARTS, rows // PART_ROWS), max(1, len(sample) // 32))
     parts = 1 << int(np.log2(wanted))
     scaled = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     if parts == 1 or len(sample) < 64:
@@ -167,8 +169,8 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     good = usable(rows)
     # -0.0 and 0.0 are one number: equal vectors must be one key
     good = good.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).checkpoint()
-    # an id repeated with one vector is one entry with its number of rows: a query leaves out all its own rows and still has k others
-    repeated = good.where("vec_id is not null").groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
+    # rows that share id and vector are one entry with their number
+    repeated = good.where("vec_id is not null").groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k + 1)).cast("int").alias("m"))
     ranked = repeated.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id")))
     entries = ranked.where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "m"))).alias("e"))
     # a vector's number: the same id may have several vectors
@@ -210,49 +212,36 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     right = dealt(queries, "q_rep", "q_groups", "i_groups", "q", "i").select(F.col("part").alias("q_part"), F.col("i").alias("q_i"), F.col("q").alias("q_q"), "q_rep", "q_v")
 
     def compare(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        """For each query its best of these vectors, enough for k rows without any one id, as one row."""
+        """For each query its k + 1 best of these rows, as one row; own: the row has the query's vector."""
         reps, best = [], []
         if vectors.num_rows and asked.num_rows:
             matrix = lambda t, v: t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
             x, ids, times = matrix(vectors, "v"), vectors.column("ids").to_pylist(), vectors.column("times").to_pylist()
-            first = np.array([i[0] for i in ids])
+            numbers = vectors.column("rep").to_pylist()
+            length = np.linalg.norm(x, axis=1).max()
+            most = min(k + 1, len(ids))
             for a in range(0, asked.num_rows, 256):
                 part = asked.slice(a, 256)
                 q = matrix(part, "q_v")
                 s = q @ x.T
-                most = min(k + 1, len(ids))
-                limits = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                # a sum of products in another order may differ by so much
+                slack = 4 * x.shape[1] * np.finfo("f8").eps * length * np.linalg.norm(q, axis=1)
+                limits = -np.partition(-s, most - 1, axis=1)[:, most - 1] - slack
                 for r, rep in enumerate(part.column("q_rep").to_pylist()):
-                    limit, n = limits[r], most
-                    while True:
-                        at = np.flatnonzero(s[r] >= limit)  # with all that tie with the last
-                        if n == len(ids) or len(np.unique(first[at])) > k:
-                            break
-                        n = min(2 * n, len(ids))  # one id has many of these vectors
-                        limit = -np.partition(-s[r], n - 1)[n - 1]
+                    at = np.flatnonzero(s[r] >= limits[r])  # with all that tie with the last
                     exact = (x[at] * q[r]).sum(1)
-                    told, firsts = [], set()
-                    for j in np.lexsort((first[at], -exact)).tolist():
-                        told += [(-float(exact[j]), i, m) for i, m in zip(ids[at[j]], times[at[j]], strict=True)]
-                        firsts.add(ids[at[j]][0])
-                        if len(firsts) > k:
-                            break
-                    rows: dict[int, int] = {}
-                    kept = []
-                    for d, i, m in sorted(told):
-                        if i not in rows and len(rows) > k:
-                            break
-                        m = min(m, k - rows.get(i, 0))
-                        rows[i] = rows.get(i, 0) + m
-                        kept += [{"away": d, "vec_id": i}] * m
+                    told = [(-e, i, numbers[j] == rep, m) for j, e in zip(at.tolist(), exact.tolist(), strict=True) for i, m in zip(ids[j], times[j], strict=True)]
+                    rows = [{"away": d, "vec_id": i, "own": own} for d, i, own, m in heapq.nsmallest(k + 1, told) for _ in range(m)]
                     reps.append(rep)
-                    best.append(kept)
-        return pa.table({"rep": pa.array(reps, pa.int64()), "best": pa.array(best, pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))})
+                    best.append(rows[: k + 1])
+        kind = pa.struct([("away", pa.float64()), ("vec_id", pa.int64()), ("own", pa.bool_())])
+        return pa.table({"rep": pa.array(reps, pa.int64()), "best": pa.array(best, pa.list_(kind))})
 
-    near = left.groupBy("part", "i", "q").cogroup(right.groupBy("q_part", "q_i", "q_q")).applyInArrow(compare, "rep bigint, best array<struct<away:double,vec_id:bigint>>")
-    # a short list from each group of each part that the query was sent to; it is cut to k only when a query's own rows are out
+    near = left.groupBy("part", "i", "q").cogroup(right.groupBy("q_part", "q_i", "q_q")).applyInArrow(compare, "rep bigint, best array<struct<away:double,vec_id:bigint,own:boolean>>")
+    # a short list from each group of each part that the query was sent to; the query's own row goes, k others stay
     lists = near.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
-    pairs = asking.join(lists, "rep").select("query_id", F.filter("best", lambda b: b["vec_id"] != F.col("query_id")).alias("best"))
+    own = F.array_position(F.transform("best", lambda b: b["own"] & (b["vec_id"] == F.col("query_id"))), True)
+    pairs = asking.join(lists, "rep").withColumn("own", own).select("query_id", F.filter("best", lambda b, i: i + 1 != F.col("own")).alias("best"))
     return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "b")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score")
     )

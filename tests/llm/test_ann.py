@@ -65,8 +65,15 @@ def test_repeated_queries_get_all_their_neighbours(spark):
     rows = list(enumerate(v)) + [(20, v[20])] + [(40, v[40])] * 29 + [(100 + i, v[40]) for i in range(1, 26)] + [(7, v[7])] * 2
     rows += [(60, (np.array(v[60]) * (1 + i / 64)).astype("f4").astype(float).tolist()) for i in range(1, 30)]
     rows = [r for r in rows if r[0] != 60 or r[1] != v[60]] + [(60, v[60])]
+    # each row of a query gets its own list, without itself alone
     good = [(i, np.array(x)) for i, x in rows]
-    # each row of a query gets its own list
-    want = sorted((q, n + 1, i) for q, x in good if q % 20 == 0 for n, (_, i) in enumerate(sorted((-float((x * u).sum()), i) for i, u in good if i != q)[:20]))
+    want = sorted((q, n + 1, i) for at, (q, x) in enumerate(good) if q % 20 == 0 for n, (_, i) in enumerate(sorted((-float((x * u).sum()), i) for j, (i, u) in enumerate(good) if j != at)[:20]))
     got = ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == want
+
+
+def test_one_id_with_two_vectors(spark):
+    unit = lambda *x: [float(a) for a in x] + [0.0] * (16 - len(x))
+    rows = [(20, unit(1, 0)), (20, unit(0, 1)), (1, unit(5, 7)), (2, unit(1, 1))]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(got) == sorted([(20, 1, 1, 5.0), (20, 2, 2, 1.0), (20, 3, 20, 0.0), (20, 1, 1, 7.0), (20, 2, 2, 1.0), (20, 3, 20, 0.0)])
