@@ -1,18 +1,23 @@
 """Personal data by fixed patterns and by bootstrapped contexts.
 
 The fixed patterns find e-mail addresses, IPv4 addresses, card and phone
-numbers. They are the seeds: the words around them are lexical patterns (the
-two words before; the word before and the word after). Identifier-like tokens
-that no fixed pattern covers are mentions too. Mentions and their patterns form
-a graph of distinct (pattern, value) edges. Round by round, a pattern's
-confidence is the mean score of its values (shrunk by ``SHRINK`` values of score
-0), and an unseen value's score is the chance that not all of its patterns are
-wrong. Tokens in a pattern of confidence ``LEAST_CONFIDENCE`` that at least
-``LEAST_SEEDS`` different seed values support are further spans, of kind
-``context``.
-
-One pass over the texts writes spans and mentions to the checkpoint folder;
-everything after that is joins and partial aggregates of edges.
+numbers. They are the seeds: a lexical pattern is the words around one (the two
+words before; the word before and the word after), with what is glued to it in
+its own word. Digits in context words count as 0.
+
+A first pass over the texts gathers seeds; patterns that at least
+``LEAST_SEEDS`` different seed values support are open. A second pass finds every
+whole token that fills the slot of an open pattern, whatever it is made of. Seeds
+and such tokens form a graph of distinct (pattern, value) edges. Round by round, a
+pattern's confidence is the mean score of its values (shrunk by ``SHRINK`` values
+of score 0), and an unseen value's score is the chance that not all of its
+patterns are wrong. Tokens in a pattern of confidence ``LEAST_CONFIDENCE`` are
+further spans, of kind ``context``.
+
+The second pass knows the open patterns by two bit fields of fixed size, which
+let too many tokens through, never too few; a join by the patterns' 64-bit
+hashes drops the others. Everything after that pass is joins and partial
+aggregates of edges.
 
 Edge cases: null and empty texts have no spans; without seeds there are no
 patterns; repeated rows each keep their spans (rows are told apart by a number
@@ -22,21 +27,26 @@ given in the pass, not by id); positions are code points, end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, texts, tidied_batches
+from .blocks import Words
+from .common import prepare, runs, texts, tidied_batches
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 3
 SHRINK = 1.0
 LEAST_CONFIDENCE = 0.6
 LEAST_SEEDS = 3
-#: Code points before and after a mention in which its context words are looked for.
-REACH = 80
+#: Bits of the fields that tell the second pass which patterns, and which words before a slot, are open.
+FIELD = 24
+#: Bytes of texts whose words are looked up at a time.
+RUN_BYTES = 2 << 20
 
 # The base patterns. A run of digits is entered at its start only, which finds the same matches in linear time.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,8 +56,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _DIGIT = re.compile("[0-9]")
-_TOKEN = re.compile(r"[A-Za-z0-9#/_:.-]{5,64}(?![A-Za-z0-9#/_:.-])")
 _DIGITS = re.compile("[0-9]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A token of a word: no mark that encloses or separates; a full stop or dash at its end is none of it.
+_TOKEN = re.compile(r"""[^\x20\x09-\x0D,;:=!?"'()<>\[\]{}|]+""")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,73 +100,165 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span; digits in context words count as 0."""
-    before = _DIGITS.sub("0", text[max(0, start - REACH) : start].lower()).split()
-    after = _DIGITS.sub("0", text[end : end + REACH].lower()).split()
-    one, two = (before[-1] if before else "^"), (before[-2] if len(before) > 1 else "^")
-    return [f"{two} {one} _", f"{one} _ {after[0] if after else '$'}"]
+def _number(text: str) -> int:
+    import xxhash
 
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, str, list[str]]]:
-    """Seeds and unseen identifier-like tokens: start, end, is a seed, value, patterns."""
-    out = [(a, b, True, text[a:b].lower(), contexts(text, a, b)) for _, a, b in base]
-    if _DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
-        i, reached = 0, 0
-        for m in _TOKEN.finditer(text):
-            a, b = m.start(), m.start() + len(m[0].rstrip(".:/#-"))
-            while i < len(taken) and taken[i][0] < b:
-                reached = max(reached, taken[i][1])
-                i += 1
-            if reached <= a and sum(map(len, _DIGITS.findall(m[0]))) >= 3:
-                out.append((a, b, False, text[a:b].lower(), contexts(text, a, b)))
-    return out
+
+class Context:
+    """A text's words, and the patterns around spans of it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.places]
+
+    def word(self, i: int) -> str:
+        """The i-th word as patterns see it; a mark stands before the first and after the last."""
+        if i < 0:
+            return " ^"
+        return _DIGITS.sub("0", self.text[slice(*self.places[i])].lower()) if i < len(self.places) else " $"
+
+    def patterns(self, start: int, end: int) -> tuple[int, int, int]:
+        """Numbers of the word before a span's word, and of its two patterns."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        before = _DIGITS.sub("0", self.text[self.places[i][0] : start].lower())
+        after = _DIGITS.sub("0", self.text[end : self.places[j][1]].lower())
+        one = self.word(i - 1)
+        return _number(one), _number(f"{self.word(i - 2)} {one} {before}_"), _number(f"{one} {before}_{after} {self.word(j + 1)}")
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-_MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+_MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, base, mentions`` of every text, checkpointed so that ``row`` stays."""
+def seeds(docs: DataFrame) -> DataFrame:
+    """``pattern``, ``before`` (its word before) and ``value``, as numbers, of every seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, found = [], []
+            rows: list[tuple[int, int, int]] = []
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-                found.append([dict(zip(("start", "end", "seed", "value", "patterns"), m, strict=True)) for m in mentions(text, spans)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION))], names=["row", "doc_id", "base", "mentions"])
+                if base := base_spans(text):
+                    context = Context(text)
+                    for _, a, b in base:
+                        one, *patterns = context.patterns(a, b)
+                        rows += [(p, one, _number(text[a:b].lower())) for p in patterns]
+            flat = np.array(rows, "u8").reshape(-1, 3).view("i8")
+            yield pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(3)], names=["pattern", "before", "value"])
+
+    return texts(docs).select("text").mapInArrow(tidied_batches(run), "pattern long, before long, value long")
+
+
+def field(numbers: DataFrame, column: str) -> np.ndarray:
+    """A bit for each number's last FIELD bits; the driver gets at most 2 ** FIELD / 64 rows."""
+    low = F.col(column).bitwiseAND(F.lit((1 << FIELD) - 1))
+    bit = F.expr("shiftleft(1L, cast(low % 64 as int))")
+    rows = numbers.select(low.alias("low")).select(F.floor(F.col("low") / 64).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(1 << (FIELD - 6), "i8")
+    for r in rows:
+        out[r["at"]] = r["bits"]
+    return out.view("u8")
+
+
+def _in_field(bits: np.ndarray, number: int) -> bool:
+    low = number & ((1 << FIELD) - 1)
+    return bool(int(bits[low >> 6]) >> (low & 63) & 1)
+
+
+def mentions(text: str, base: list[tuple[int, int, int]], slots: list[int], patterns: np.ndarray) -> list[tuple]:
+    """Seeds and tokens in open patterns: start, end, is a seed, value, patterns. slots: words behind an open word."""
+    if not base and not slots:
+        return []
+    context = Context(text)
+    found = [(a, b, True) for _, a, b in base]
+    taken = sorted((a, b) for _, a, b in base)
+    ends = list(np.maximum.accumulate([b for _, b in taken])) if taken else []
+    starts = [a for a, _ in taken]
+    for i in slots:
+        for m in _TOKEN.finditer(text, *context.places[i]):
+            a, b = m.start(), m.start() + len(m[0].rstrip(".-"))
+            k = bisect_right(starts, b - 1)
+            if a < b and (k == 0 or ends[k - 1] <= a):
+                found.append((a, b, False))
+    out = []
+    for a, b, seed in found:
+        open_ = [_signed(p) for p in context.patterns(a, b)[1:] if _in_field(patterns, p)]
+        if open_:
+            out.append((a, b, seed, _signed(_number(text[a:b].lower())), open_))
+    return out
+
+
+def _slots(raw: list[str], words: np.ndarray) -> list[list[int]]:
+    """For each text the words that follow an open one (or its start)."""
+    folded = [_DIGITS.sub("0", t.lower()).encode("utf-8", "surrogatepass") for t in raw]
+    if not words.any():
+        return [[] for _ in raw]
+    import xxhash
+
+    own = Words.of(folded)
+    low = np.array([xxhash.xxh3_64_intdigest(w) for w in own.vocabulary], "u8") & np.uint64((1 << FIELD) - 1)
+    opened = (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+    hit = np.flatnonzero(opened[own.ids]) if len(own.ids) else np.zeros(0, "i8")
+    doc = np.searchsorted(own.starts, hit, side="right") - 1
+    place = hit - own.starts[doc] + 1
+    inside = place < own.lengths[doc]
+    out: list[list[int]] = [[0] if n and _in_field(words, _number(" ^")) else [] for n in own.lengths.tolist()]
+    for d, i in zip(doc[inside].tolist(), place[inside].tolist(), strict=True):
+        out[d].append(i)
+    return out
+
+
+def extract(docs: DataFrame, patterns: np.ndarray, words: np.ndarray) -> DataFrame:
+    """``row, doc_id, base, mentions`` of every text, checkpointed so that ``row`` stays. patterns, words: fields of the open ones."""
+    shared = docs.sparkSession.sparkContext.broadcast((patterns, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, words = shared.value
+        for whole in batches:
+            for batch in runs(whole, "text", RUN_BYTES):
+                base, found = [], []
+                raw = batch.column("text").to_pylist()
+                for text, slots in zip(raw, _slots(raw, words), strict=True):
+                    spans = base_spans(text)
+                    base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
+                    found.append([dict(zip(("start", "end", "seed", "value", "patterns"), m, strict=True)) for m in mentions(text, spans, slots, patterns)])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION))], names=["row", "doc_id", "base", "mentions"])
 
     source = texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, base array<struct<kind:int,start:bigint,end:bigint>>, mentions array<struct<start:bigint,end:bigint,seed:boolean,value:string,patterns:array<string>>>"
+    schema = f"row long, doc_id {kind}, base array<struct<kind:int,start:bigint,end:bigint>>, mentions array<struct<start:bigint,end:bigint,seed:boolean,value:bigint,patterns:array<bigint>>>"
     return source.mapInArrow(tidied_batches(run), schema).checkpoint()
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern`` and ``confidence`` of the patterns that pass, from the mentions of ``extract``."""
-    each = found.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), F.xxhash64("m.value").alias("value"), "m.seed")
-    edges = each.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).checkpoint()
+def bootstrap(found: DataFrame, opened: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pattern`` and ``confidence`` of the ``opened`` patterns that pass, from the mentions of ``extract``."""
+    each = found.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.value", "m.seed")
+    edges = each.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).join(opened, "pattern", "left_semi").checkpoint()
     # a value that is a seed anywhere is one everywhere
     values = edges.groupBy("value").agg(F.max("seed").alias("known")).withColumn("score", F.col("known").cast("double")).checkpoint()
     for i in range(rounds):
         scored = edges.select("pattern", "value").join(values, "value")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence"), F.sum(F.col("known").cast("int")).alias("seeds"))
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence"))
         if i < rounds - 1:
             doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
-            by_value = edges.select("pattern", "value").join(patterns.where(F.col("seeds") >= LEAST_SEEDS), "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("new"))
+            by_value = edges.select("pattern", "value").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("new"))
             values = values.join(by_value, "value", "left").select("value", "known", F.when(F.col("known"), 1.0).otherwise(F.coalesce("new", F.lit(0.0))).alias("score")).checkpoint()
-    return patterns.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "confidence")
+    return patterns.where(F.col("confidence") >= LEAST_CONFIDENCE).select("pattern", "confidence")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` (by kind, then start) of every text."""
     prepare(docs.sparkSession)
-    found = extract(docs)
-    passed = bootstrap(found)
+    support = seeds(docs).groupBy("pattern", "before", "value").agg(F.lit(1).alias("one")).groupBy("pattern", "before").agg(F.count("*").alias("seeds"))
+    opened = support.where(F.col("seeds") >= LEAST_SEEDS).select("pattern", "before").checkpoint()
+    found = extract(docs, field(opened, "pattern"), field(opened, "before"))
+    passed = bootstrap(found, opened.select("pattern"))
     unseen = found.select("row", F.explode("mentions").alias("m")).where(~F.col("m.seed")).select("row", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
     more = unseen.join(passed, "pattern").select("row", F.struct(F.lit(4).alias("kind"), "start", "end").alias("s")).groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("more"))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")

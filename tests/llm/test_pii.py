@@ -38,6 +38,64 @@ def test_contexts_find_unseen_identifiers(make):
     assert all(len(found(i)) == 1 for i in range(30)) and len(got) == 34
 
 
+def context_spans(rows):
+    """Kind-context spans by the rules, with words and patterns as plain strings and no bit fields."""
+    word, token = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"""[^\x20\x09-\x0D,;:=!?"'()<>\[\]{}|]+""")
+    fold = lambda x: re.sub("[0-9]+", "0", x.lower())
+    mentions, base_of = [], []
+    for i, (_, t) in enumerate(rows):
+        t = t or ""
+        words = [m.span() for m in word.finditer(t)]
+        base = brute(t)
+        base_of.append(base)
+        spans = [(a, b, True) for _, a, b in base]
+        for lo, hi in words:
+            for m in token.finditer(t, lo, hi):
+                a, b = m.start(), m.start() + len(m[0].rstrip(".-"))
+                if a < b and not any(x < b and a < y for _, x, y in base):
+                    spans.append((a, b, False))
+        for a, b, seed in spans:
+            at, to = max(k for k, w in enumerate(words) if w[0] <= a), max(k for k, w in enumerate(words) if w[0] <= b - 1)
+            say = lambda k: "^" if k < 0 else "$" if k >= len(words) else fold(t[slice(*words[k])])  # noqa: B023, E731
+            pre, post = fold(t[words[at][0] : a]), fold(t[b : words[to][1]])
+            for p in ((1, say(at - 2), say(at - 1), pre), (2, say(at - 1), pre, post, say(to + 1))):
+                mentions.append((i, a, b, seed, t[a:b].lower(), p))
+    support = {}
+    for *_, seed, value, p in mentions:
+        if seed:
+            support.setdefault(p, set()).add(value)
+    opened = {p for p, v in support.items() if len(v) >= pii.LEAST_SEEDS}
+    edges = {(p, v) for *_, v, p in mentions if p in opened}
+    known = {v for *_, seed, v, p in mentions if seed and p in opened}
+    score = {v: float(v in known) for _, v in edges}
+    for r in range(pii.ROUNDS):
+        of = {p: [v for q, v in edges if q == p] for p in opened}
+        confidence = {p: sum(score[v] for v in vs) / (len(vs) + pii.SHRINK) for p, vs in of.items()}
+        if r < pii.ROUNDS - 1:
+            for v in score:
+                if v not in known:
+                    doubt = 1.0
+                    for p in [p for p, x in edges if x == v]:
+                        doubt *= max(1e-6, 1 - confidence[p])
+                    score[v] = 1 - doubt
+    passed = {p for p, c in confidence.items() if c >= pii.LEAST_CONFIDENCE}
+    return [sorted({(a, b) for i, a, b, seed, _, p in mentions if i == k and not seed and p in passed}) for k in range(len(rows))]
+
+
+def test_bootstrap_against_brute_force(make):
+    import random
+
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "mail", "call", "to", "id", "42", "(see"]
+    value = lambda: rng.choice([f"u{rng.randrange(9)}@x.org", f"10.0.0.{rng.randrange(9)}", "maria_k", "Zed", f"X-{rng.randrange(5)}.", "z" * 100])
+    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.6 else rng.choice(["", "id=", "("]) + value() + rng.choice(["", ",", ")"]) for _ in range(rng.randrange(40)))) for i in range(60)]
+    rows += [(100 + i, f"write to user{i}@mail.org now") for i in range(6)] + [(200, "please write to maria_k now"), (201, f"write to {'q7' * 50}. now"), (202, "write to"), (203, None)]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4] for r in pii.scan(make(rows)).collect()}
+    want = context_spans(rows)
+    assert [got[i] for i, _ in rows] == want
+    assert got[200] == [(16, 23)] and got[201] == [(9, 109)] and sum(map(len, want)) > 10
+
+
 def test_no_documents_and_repeated_rows(make):
     assert pii.scan(make([])).count() == 0
     rows = pii.scan(make([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")])).collect()
