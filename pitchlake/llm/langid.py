@@ -6,13 +6,16 @@ Weights come from follow-the-regularised-leader steps with elastic-net
 penalties, which leave most of them zero; a temperature fitted on a part kept
 apart turns the outputs into calibrated probabilities.
 
-Training uses a bounded sample of labelled rows: about ``SAMPLE_ROWS``, shared
-evenly among the languages, chosen by a hash of the id and the text. Predicting
-covers every whole text; the weights (2 ** ``BITS`` rows, a column for each
-language) are broadcast and do not grow with the input.
+Document frequencies are counted over all training rows, in one aggregate of
+2 ** ``BITS`` groups. Weights are fitted on a bounded sample of labelled rows:
+about ``SAMPLE_ROWS``, shared evenly among the languages, chosen by a hash of the
+id and the text. Predicting covers every whole text; the weights (2 ** ``BITS``
+rows, a column for each language) are broadcast and do not grow with the input.
+More than ``MOST_LANGS`` different labels are an error, not a model.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and
-so is every text if no row has a label; repeated rows count and predict each.
+so is every text if no row has a label; repeated rows count and predict each;
+equal probabilities go to the language that comes first in order.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from .common import prepare, runs, tidied_batches
 BITS = 16
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 4000
+MOST_LANGS = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.001
 SCALE = 30.0
@@ -96,7 +100,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def sample_vectors(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Language, features and their shares of about ``rows`` rows of ``labelled`` (``doc_id``, ``text``, ``lang``)."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: the labels are no languages")
     if not counts:
         return []
     each = max(1, rows // len(counts))
@@ -118,16 +124,36 @@ def sample_vectors(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[s
     return [(r["lang"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["tf"], "<f4").astype("f8")) for r in sorted(got, key=lambda r: (r["key"], r["lang"]))]
 
 
-def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> Model:
-    """Fit weights on four fifths of the vectors, in their order, and the temperature on the rest."""
+def document_frequencies(labelled: DataFrame) -> tuple[int, np.ndarray]:
+    """How many rows of ``labelled`` (``text``) there are, and how many of them have each feature; the driver gets 2 ** BITS counts at most."""
+    d = 1 << BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(d + 1, "i8")  # the last counts rows
+        for batch in batches:
+            for part in runs(batch, "text", RUN_BYTES):
+                codes, starts = _codes(part.column("text").to_pylist())
+                text = np.repeat(np.arange(len(starts), dtype="u8"), np.diff(np.append(starts, len(codes) - 2)))
+                both = np.unique(np.concatenate([text << np.uint64(BITS) | _features(codes, o) for o in ORDERS]))
+                seen[:d] += np.bincount((both & np.uint64(d - 1)).astype("i8"), minlength=d)
+                seen[d] += part.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["feature", "n"])
+
+    found = labelled.select("text").mapInArrow(tidied_batches(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(d + 1)
+    for r in found:
+        df[r["feature"]] = r["n"]
+    return int(df[d]), df[:d]
+
+
+def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], rows: int, df: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Fit weights on four fifths of the vectors, in their order, and the temperature on the rest. df: document frequencies in ``rows`` texts."""
     langs = sorted({v[0] for v in vectors})
     d, c = 1 << BITS, len(langs)
     if not langs:
         return Model([], np.zeros((d, 0), "f4"), np.zeros(0))
-    df = np.zeros(d)
-    for _, ids, _ in vectors:
-        df[ids] += 1
-    idf = np.log((1 + len(vectors)) / (1 + df)) + 1
+    idf = np.log((1 + rows) / (1 + df)) + 1
     apart = [v for i, v in enumerate(vectors) if i % 5 == 4] or vectors
     fitted = [v for i, v in enumerate(vectors) if i % 5 != 4]
     z, n = np.zeros((d + 1, c)), np.zeros((d + 1, c))
@@ -164,6 +190,8 @@ def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCH
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``score``; these two names must be free."""
+    if taken := {"lang_pred", "score"} & set(docs.columns):
+        raise ValueError(f"the names {sorted(taken)} must be free")
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.langs, model.table, model.bias))
 
@@ -187,7 +215,8 @@ def fold(id_col: str = "doc_id"):
 def fit(docs: DataFrame) -> Model:
     """The model of ``docs`` (``doc_id``, ``text``, ``lang``) outside the held-out fold."""
     prepare(docs.sparkSession)
-    return train(sample_vectors(docs.select("doc_id", "text", "lang").where(~fold() & F.col("lang").isNotNull() & F.col("text").isNotNull())))
+    labelled = docs.select("doc_id", "text", "lang").where(~fold() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return train(sample_vectors(labelled), *document_frequencies(labelled))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

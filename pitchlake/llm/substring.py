@@ -315,6 +315,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     The three names and ``block`` must be free.
     """
+    if taken := {"block", "n_words", "n_removed", "kept"} & set(docs.columns):
+        raise ValueError(f"the names {sorted(taken)} must be free")
     prepare(docs.sparkSession)
     plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES)
     blocked = in_blocks(docs, plan)
