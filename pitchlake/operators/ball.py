@@ -146,27 +146,28 @@ def continuity_segments(track: DataFrame, v_px: float = 1000.0, slack_px: float
     return track.withColumn("cut", cut).withColumn("segment", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
 
 
-def aerial(track: DataFrame, v_ground: float = 20.0, size_factor: float = 1.6, least_s: float = 0.15, v_sure: float = 40.0) -> DataFrame:
+def aerial(track: DataFrame, v_ground: float = 20.0, size_factor: float = 1.6, least_s: float = 0.15, v_sure: float = 40.0, key: list[str] | None = None) -> DataFrame:
     """The chosen ball with ``aerial``: too fast for the ground (both ends of a step), or larger than its distance allows; short runs are cleared, steps beyond all doubt set again."""
-    w = W.orderBy("frame")
+    own = key or []
+    w = W.partitionBy(*own).orderBy("frame")
     step = lambda d: F.sqrt((F.col("mx") - F.lag("mx").over(w)) ** 2 + (F.col("my") - F.lag("my").over(w)) ** 2) / F.when(d > 0, d)
     s = track.withColumn("_dt", F.col("t") - F.lag("t").over(w)).withColumn("_v", step(F.col("_dt")))
     away = F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2)
-    k = track.where("h_px > 0").agg(F.median(F.col("h_px") * away).alias("_k"), F.count("*").alias("_nk"))
-    s = s.crossJoin(F.broadcast(k)).withColumn("_away", away)
+    k = track.where("h_px > 0").groupBy(*own).agg(F.median(F.col("h_px") * away).alias("_k"), F.count("*").alias("_nk"))
+    s = (s.join(F.broadcast(k), own, "left") if own else s.crossJoin(F.broadcast(k))).withColumn("_away", away)
     fast = F.coalesce(F.col("_v") > v_ground, F.lit(False)) | F.coalesce(F.lead("_v").over(w) > v_ground, F.lit(False))
     large = (F.col("_nk") >= 8) & (F.col("h_px") > 0) & (F.col("_away") > 0) & (F.col("h_px") * F.col("_away") / F.col("_k") > size_factor)
     s = s.withColumn("_a", fast | F.coalesce(large, F.lit(False)))
-    s = islands.runs(s.withColumn("_one", F.lit(0)), "_one", "frame", F.col("_a"))
-    r = W.partitionBy("run")
+    s = islands.runs(s.withColumn("_one", F.lit(0)), ["_one", *own], "frame", F.col("_a"))
+    r = W.partitionBy(*own, "run")
     long = F.max("t").over(r) - F.min("t").over(r) >= least_s
     sure = F.coalesce(F.col("_v") > v_sure, F.lit(False))
     return s.withColumn("aerial", (F.col("_a") & long) | sure).select(*track.columns, "aerial")
 
 
-def contacts_by_angle(track: DataFrame, people: DataFrame, least_angle: float = 70.0, least_v: float = 4.0, reach_m: float = 3.0, persists: int = 1) -> DataFrame:
+def contacts_by_angle(track: DataFrame, people: DataFrame, least_angle: float = 70.0, least_v: float = 4.0, reach_m: float = 3.0, persists: int = 1, key: list[str] | None = None) -> DataFrame:
     """Where the ball turns sharply and keeps to it, with the nearest person within reach (null: nobody). ``track`` may have ``aerial``; such points and their neighbours don't count."""
-    w = W.orderBy("frame")
+    w = W.partitionBy(*(key or [])).orderBy("frame")
     v = lambda a, b, c: (F.col(b) - F.col(a)) / c
     s = track if "aerial" in track.columns else track.withColumn("aerial", F.lit(False))
     s = s.withColumns({f"{n}_{c}": F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w) for n, k in (("p", 1), ("n", -1), ("e", -1 - persists)) for c in ("t", "mx", "my", "aerial")})
@@ -177,14 +178,17 @@ def contacts_by_angle(track: DataFrame, people: DataFrame, least_angle: float =
     cosine = lambda a, b: (F.col(f"{a}x") * F.col(f"{b}x") + F.col(f"{a}y") * F.col(f"{b}y")) / (size(a) * size(b))
     turned = s.where(F.least(size("a"), size("b")) >= least_v).withColumn("angle", fn.degrees(cosine("a", "b"))).where(F.col("angle") >= least_angle)
     held = turned.where(F.col("cx").isNull() | (size("c") == 0) | (fn.degrees(cosine("b", "c")) <= 60.0))
-    return owned(held.select("frame", "t", "mx", "my", "angle"), people, reach_m)
+    return owned(held.select(*(key or []), "frame", "t", "mx", "my", "angle"), people, reach_m, key)
 
 
-def owned(events: DataFrame, people: DataFrame, reach_m: float) -> DataFrame:
+def owned(events: DataFrame, people: DataFrame, reach_m: float, key: list[str] | None = None) -> DataFrame:
     """Events with the nearest person of their frame within reach: ``id_jugador, equipo, player_m`` or nulls."""
-    p = people.select(F.col("frame").alias("p_frame"), "id_jugador", "equipo", F.col("x_m").alias("p_x"), F.col("y_m").alias("p_y"))
+    p = people.select(*(F.col(c).alias(f"p_{c}") for c in ("frame", *(key or []))), "id_jugador", "equipo", F.col("x_m").alias("p_x"), F.col("y_m").alias("p_y"))
     away = F.sqrt((F.col("mx") - F.col("p_x")) ** 2 + (F.col("my") - F.col("p_y")) ** 2)
-    near = events.join(p, (F.col("frame") == F.col("p_frame")) & (away <= reach_m), "left")
+    met = away <= reach_m
+    for c in ("frame", *(key or [])):
+        met = met & (F.col(c) == F.col(f"p_{c}"))
+    near = events.join(p, met, "left")
     best = F.min_by(F.struct("id_jugador", "equipo", away.alias("player_m")), F.struct(away, F.col("id_jugador")))
     return near.groupBy(*events.columns).agg(best.alias("b")).select(*events.columns, "b.id_jugador", "b.equipo", "b.player_m")
 
@@ -208,9 +212,10 @@ def acceleration_peaks(track: DataFrame, least: float = 3.0, apart_s: float = 0.
     return peaks.groupBy(*([key] if key else [])).applyInPandas(spaced, peaks.schema)
 
 
-def merge_contacts(a: DataFrame, b: DataFrame, apart_s: float = 0.2) -> DataFrame:
+def merge_contacts(a: DataFrame, b: DataFrame, apart_s: float = 0.2, key: list[str] | None = None) -> DataFrame:
     """Contacts of two criteria; those close in time become one of kind ``both`` (the first kind's row stays)."""
-    one = a.select("frame", "t", "mx", "my").withColumn("kind", F.lit("angle")).unionByName(b.select("frame", "t", "mx", "my").withColumn("kind", F.lit("acceleration")))
+    own = key or []
+    one = a.select(*own, "frame", "t", "mx", "my").withColumn("kind", F.lit("angle")).unionByName(b.select(*own, "frame", "t", "mx", "my").withColumn("kind", F.lit("acceleration")))
 
     def merged(g: pd.DataFrame) -> pd.DataFrame:
         rows: list[dict] = []
@@ -222,7 +227,7 @@ def merge_contacts(a: DataFrame, b: DataFrame, apart_s: float = 0.2) -> DataFram
                 rows.append(r)
         return pd.DataFrame(rows, columns=list(g.columns))
 
-    return one.groupBy().applyInPandas(merged, one.schema)
+    return one.groupBy(*own).applyInPandas(merged, one.schema)
 
 
 def flight_lines(track: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -240,17 +245,18 @@ def flight_lines(track: DataFrame, key: list[str] | None = None) -> DataFrame:
     return s.withColumns({"fx": line("mx"), "fy": line("my"), "es_real": F.when(F.col("aerial"), 0).otherwise(1)}).drop(*ends)
 
 
-def fill(track: DataFrame, frames: DataFrame, line_s: float = 1.2, line_v: float = 12.0, line_x: float = 20.0, hold_s: float = 0.4, hold_v: float = 4.0, step: int = 2) -> DataFrame:
+def fill(track: DataFrame, frames: DataFrame, line_s: float = 1.2, line_v: float = 12.0, line_x: float = 20.0, hold_s: float = 0.4, hold_v: float = 4.0, step: int = 2, key: list[str] | None = None) -> DataFrame:
     """Missing ball frames: the line to the next row if the gap is short, slow and far from the near goal; else the last place for a moment."""
-    w = W.orderBy("frame")
+    own = key or []
+    w = W.partitionBy(*own).orderBy("frame")
     led = track.withColumns({f"n_{c}": F.lead(c).over(w) for c in ("frame", "t", "mx", "my")}).where(F.col("n_frame") - F.col("frame") > step)
     gap = F.col("n_t") - F.col("t")
     v = F.sqrt((F.col("n_mx") - F.col("mx")) ** 2 + (F.col("n_my") - F.col("my")) ** 2) / gap
     how = F.when((gap <= line_s) & (v <= line_v) & ((F.col("mx") + F.col("n_mx")) / 2 >= line_x), "line").when((gap <= hold_s) & (v <= hold_v), "hold")
     inner = led.withColumn("how", how).where("how is not null").withColumn("f", F.explode(F.sequence(F.col("frame") + step, F.col("n_frame") - step, F.lit(step))))
-    placed = inner.join(frames.select(F.col("frame").alias("f"), F.col("t").alias("ft")).distinct(), "f")
+    placed = inner.join(frames.select(*own, F.col("frame").alias("f"), F.col("t").alias("ft")).distinct(), [*own, "f"])
     share = F.when(F.col("how") == "line", (F.col("ft") - F.col("t")) / gap).otherwise(0.0)
-    return placed.select(F.col("f").alias("frame"), F.col("ft").alias("t"), (F.col("mx") + share * (F.col("n_mx") - F.col("mx"))).alias("mx"), (F.col("my") + share * (F.col("n_my") - F.col("my"))).alias("my"), "how")
+    return placed.select(*own, F.col("f").alias("frame"), F.col("ft").alias("t"), (F.col("mx") + share * (F.col("n_mx") - F.col("mx"))).alias("mx"), (F.col("my") + share * (F.col("n_my") - F.col("my"))).alias("my"), "how")
 
 
 def quality(out: Column, aerial_: Column, measured: Column) -> Column:

@@ -225,3 +225,47 @@ def hota(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(i
         return pd.DataFrame(rows, columns=["threshold", "hota", "det_a", "ass_a"])
 
     return both.groupBy(*([key] if key else [])).applyInPandas(run, "threshold double, hota double, det_a double, ass_a double")
+
+
+def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, box_m: float = 2.0, key: list[str] | None = None) -> DataFrame:
+    """MOTA and its parts on square boxes of ``box_m`` metres, for each match of ``key``.
+
+    A frame's pairs overlap by ``threshold`` at least; pairs of the frame before come
+    first, then most overlap. A switch is a truth matched to another id than the last one.
+    """
+    from .matching import assign
+
+    own = key or []
+    cols = [*own, "frame", "obj_id", "x_m", "y_m"]
+    both = gt.select(*cols, F.lit(0).alias("side")).unionByName(pred.select(*cols, F.lit(1).alias("side")))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        before: dict[int, int] = {}
+        last: dict[int, int] = {}
+        tp = switches = 0
+        overlap = 0.0
+        for _, rows in d.groupby("frame", sort=True):
+            g, p = (rows[rows["side"] == k].sort_values("obj_id") for k in (0, 1))
+            now: dict[int, int] = {}
+            if len(g) and len(p):
+                w = np.clip(box_m - np.abs(g["x_m"].to_numpy()[:, None] - p["x_m"].to_numpy()[None]), 0, None)
+                h = np.clip(box_m - np.abs(g["y_m"].to_numpy()[:, None] - p["y_m"].to_numpy()[None]), 0, None)
+                iou = w * h / (2 * box_m**2 - w * h)
+                g_ids, p_ids = g["obj_id"].tolist(), p["obj_id"].tolist()
+                kept = np.array([[before.get(a) == b for b in p_ids] for a in g_ids])
+                gain = np.where(iou >= threshold - 1e-12, iou + 1000.0 * kept, 0.0)
+                for r, c in zip(*assign(-gain), strict=True):
+                    if gain[r, c] > 0:
+                        now[g_ids[r]] = p_ids[c]
+                        overlap += float(iou[r, c])
+                switches += sum(a in last and last[a] != b for a, b in now.items())
+                tp += len(now)
+            last |= now
+            before = now
+        n_gt, n_pred = int((d["side"] == 0).sum()), int((d["side"] == 1).sum())
+        return pd.DataFrame([(*(d[c].iloc[0] for c in own), tp, n_gt - tp, n_pred - tp, switches, (tp - (n_pred - tp) - switches) / max(n_gt, 1), overlap / max(tp, 1))], columns=[*own, "tp", "fn", "fp", "switches", "mota", "motp"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*(gt.schema[c] for c in own), *(T.StructField(c, T.LongType()) for c in ("tp", "fn", "fp", "switches")), *(T.StructField(c, T.DoubleType()) for c in ("mota", "motp"))])
+    return both.groupBy(*own).applyInPandas(run, schema)

@@ -3,7 +3,8 @@
 ``optimal_then_threshold`` matches a frame at least total distance and then drops
 pairs that are too far; ``threshold_then_optimal`` never allows such pairs;
 ``greedy_in_order`` serves observations in their order; ``nearest`` lets several
-share one detection. Each frame is a small group of its own.
+share one detection. Frames are matched one by one, in groups of ``FRAMES``
+neighbouring frame numbers.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cols, rows) if flipped else (rows, cols)
 
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    return np.hypot(a["x_m"].to_numpy()[:, None] - b["x_m"].to_numpy()[None], a["y_m"].to_numpy()[:, None] - b["y_m"].to_numpy()[None])
+#: Frame numbers that one task's group spans.
+FRAMES = 1500
 
 
 def _threshold(y: np.ndarray, fixed: float | None) -> np.ndarray:
@@ -61,25 +62,32 @@ _PAIRS = "frame int, gt_id int, pred_id int, distance double"
 
 
 def _per_frame(gt: DataFrame, pred: DataFrame, pairs) -> DataFrame:
-    """gt and pred: ``frame, obj_id, x_m, y_m``. pairs: row and column numbers from two frames of rows."""
-    cols = ["frame", "obj_id", "x_m", "y_m"]
+    """gt and pred: ``frame, obj_id, x_m, y_m``. pairs: row and column numbers from the truths' y and a frame's distances."""
+
+    def columns(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        rows = rows.sort_values(["frame", "obj_id"])
+        return tuple(rows[c].to_numpy() for c in ("frame", "obj_id", "x_m", "y_m"))
 
     def run(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        g, p = g.sort_values("obj_id"), p.sort_values("obj_id")
-        if g.empty or p.empty:
-            return pd.DataFrame({"frame": [], "gt_id": [], "pred_id": [], "distance": []}).astype({"frame": "int32", "gt_id": "int32", "pred_id": "int32"})
-        d = _distances(g, p)
-        r, c = pairs(g, p, d)
-        return pd.DataFrame({"frame": np.full(len(r), g["frame"].iloc[0], "int32"), "gt_id": g["obj_id"].to_numpy()[r].astype("int32"), "pred_id": p["obj_id"].to_numpy()[c].astype("int32"), "distance": d[r, c]})
+        (gf, gi, gx, gy), (pf, pi, px, py) = columns(g), columns(p)
+        out: list[tuple[np.ndarray, ...]] = []
+        for f in np.intersect1d(gf, pf):
+            a, b = slice(*np.searchsorted(gf, (f, f + 1))), slice(*np.searchsorted(pf, (f, f + 1)))
+            d = np.hypot(gx[a, None] - px[None, b], gy[a, None] - py[None, b])
+            r, c = pairs(gy[a], d)
+            out.append((np.full(len(r), f), gi[a][r], pi[b][c], d[r, c]))
+        found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+        return pd.DataFrame({n: x.astype(t) for n, x, t in zip(("frame", "gt_id", "pred_id", "distance"), found, ("int32", "int32", "int32", "float64"), strict=True)})
 
-    return gt.select(*cols).groupBy("frame").cogroup(pred.select(*cols).groupBy("frame")).applyInPandas(run, _PAIRS)
+    dealt = lambda df: df.select("frame", "obj_id", "x_m", "y_m", F.floor(F.col("frame") / FRAMES).alias("_range")).groupBy("_range")
+    return dealt(gt).cogroup(dealt(pred)).applyInPandas(run, _PAIRS)
 
 
 def optimal_then_threshold(gt: DataFrame, pred: DataFrame, threshold: float | None = None) -> DataFrame:
     """Least total distance, then pairs within the threshold (by default one that grows with depth)."""
-    def pairs(g, p, d):
+    def pairs(y: np.ndarray, d: np.ndarray):
         r, c = assign(d)
-        keep = d[r, c] <= _threshold(g["y_m"].to_numpy(), threshold)[r]
+        keep = d[r, c] <= _threshold(y, threshold)[r]
         return r[keep], c[keep]
 
     return _per_frame(gt, pred, pairs)
@@ -87,7 +95,7 @@ def optimal_then_threshold(gt: DataFrame, pred: DataFrame, threshold: float | No
 
 def threshold_then_optimal(gt: DataFrame, pred: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Pairs beyond the threshold cost so much that only others remain."""
-    def pairs(g, p, d):
+    def pairs(y: np.ndarray, d: np.ndarray):
         r, c = assign(np.where(d > threshold, 1e6, d))
         keep = d[r, c] <= threshold
         return r[keep], c[keep]
@@ -97,10 +105,10 @@ def threshold_then_optimal(gt: DataFrame, pred: DataFrame, threshold: float = 2.
 
 def greedy_in_order(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Each truth, by id, takes the nearest detection still free, if nearer than clip(1.5 + 0.09 y, 1.5, 6)."""
-    def pairs(g, p, d):
-        free, rows, cols = np.ones(len(p), bool), [], []
-        most = np.clip(1.5 + 0.09 * g["y_m"].to_numpy(), 1.5, 6.0)
-        for i in range(len(g)):
+    def pairs(y: np.ndarray, d: np.ndarray):
+        free, rows, cols = np.ones(d.shape[1], bool), [], []
+        most = np.clip(1.5 + 0.09 * y, 1.5, 6.0)
+        for i in range(len(y)):
             row = np.where(free, d[i], np.inf)
             j = int(row.argmin())
             if row[j] < most[i]:

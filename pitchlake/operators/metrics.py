@@ -137,12 +137,12 @@ def episodes(rows: DataFrame, seconds: float = 15.0, good: float = 20.0, medium:
     return by.withColumn("grade", F.when(F.col("mean_n") >= good, "good").when(F.col("mean_n") >= medium, "medium").otherwise("bad"))
 
 
-def sliding_windows(rows: DataFrame, size_s: int = 30, step_s: int = 5) -> DataFrame:
+def sliding_windows(rows: DataFrame, size_s: int = 30, step_s: int = 5, key: list[str] | None = None) -> DataFrame:
     """Detections in overlapping windows of time; each row goes to the windows that hold it."""
     last = F.floor(F.col("tiempo_s") / step_s)
     first = F.floor((F.col("tiempo_s") - size_s) / step_s) + 1
-    each = of_teams(rows).select("frame", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("w"))
-    return each.groupBy((F.col("w") * step_s).cast("bigint").alias("start_s")).agg(F.count("*").alias("n"), F.countDistinct("frame").alias("frames"))
+    each = of_teams(rows).select(*(key or []), "frame", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("w"))
+    return each.groupBy(*(key or []), (F.col("w") * step_s).cast("bigint").alias("start_s")).agg(F.count("*").alias("n"), F.countDistinct("frame").alias("frames"))
 
 
 def funnel(dets: DataFrame, rows: DataFrame, length: float = LENGTH, width: float = WIDTH) -> DataFrame:

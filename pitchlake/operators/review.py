@@ -12,9 +12,9 @@ from .. import functions as fn
 from . import islands, metrics
 
 
-def worst_windows(rows: DataFrame, n: int = 3, size_s: int = 30, step_s: int = 5) -> DataFrame:
-    """The windows with fewest detections a frame that do not overlap each other, the worst first. Windows of a match are some hundreds."""
-    windows = metrics.sliding_windows(rows, size_s, step_s).select("start_s", (F.col("n") / F.col("frames")).alias("rate"))
+def worst_windows(rows: DataFrame, n: int = 3, size_s: int = 30, step_s: int = 5, key: list[str] | None = None) -> DataFrame:
+    """The windows with fewest detections a frame that do not overlap each other, the worst first, in each match of ``key``. Windows of a match are some hundreds."""
+    windows = metrics.sliding_windows(rows, size_s, step_s, key).select(*(key or []), "start_s", (F.col("n") / F.col("frames")).alias("rate"))
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         chosen: list[int] = []
@@ -23,16 +23,16 @@ def worst_windows(rows: DataFrame, n: int = 3, size_s: int = 30, step_s: int = 5
                 chosen.append(s)
         return g[g["start_s"].isin(chosen)]
 
-    return windows.groupBy().applyInPandas(pick, windows.schema)
+    return windows.groupBy(*(key or [])).applyInPandas(pick, windows.schema)
 
 
-def play_score(track: DataFrame, size_s: int = 60, step_s: int = 10) -> DataFrame:
+def play_score(track: DataFrame, size_s: int = 60, step_s: int = 10, key: list[str] | None = None) -> DataFrame:
     """Windows by continuous play: share of frames with a ball, times its mean speed capped at 10 m/s."""
-    w = W.orderBy("frame")
+    w = W.partitionBy(*(key or [])).orderBy("frame")
     s = track.withColumn("v", F.sqrt((F.col("mx") - F.lag("mx").over(w)) ** 2 + (F.col("my") - F.lag("my").over(w)) ** 2) / (F.col("t") - F.lag("t").over(w)))
     last, first = F.floor(F.col("t") / step_s), F.floor((F.col("t") - size_s) / step_s) + 1
-    each = s.select("v", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("k"))
-    return each.groupBy((F.col("k") * step_s).cast("bigint").alias("start_s")).agg(F.count("*").alias("n"), fn.rounded(F.avg(F.least("v", F.lit(10.0))), 5).alias("mean_v"))
+    each = s.select(*(key or []), "v", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("k"))
+    return each.groupBy(*(key or []), (F.col("k") * step_s).cast("bigint").alias("start_s")).agg(F.count("*").alias("n"), fn.rounded(F.avg(F.least("v", F.lit(10.0))), 5).alias("mean_v"))
 
 
 def phases(rows: DataFrame, step: int, phase: int) -> DataFrame:
@@ -78,13 +78,14 @@ def score_inversions(cands: DataFrame, selected: DataFrame, tolerance_s: float =
     return known.agg(F.count("*").alias("n"), F.count(F.when(F.col("conf") > F.col("r_conf"), 1)).alias("inversions"))
 
 
-def readmitted_flights(track: DataFrame, most_s: float = 2.5) -> DataFrame:
+def readmitted_flights(track: DataFrame, most_s: float = 2.5, key: list[str] | None = None) -> DataFrame:
     """Aerial runs that leave the ground and come back in time; others stay out. ``track`` has ``aerial``."""
-    one = islands.runs(track.withColumn("_k", F.lit(0)), "_k", "frame", F.col("aerial"))
-    ends = one.agg(F.max("run").alias("last"))
-    by = one.groupBy("run", "aerial").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).crossJoin(F.broadcast(ends))
+    k = ["_k", *(key or [])]
+    one = islands.runs(track.withColumn("_k", F.lit(0)), k, "frame", F.col("aerial"))
+    ends = one.groupBy(*k).agg(F.max("run").alias("last"))
+    by = one.groupBy(*k, "run", "aerial").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).join(F.broadcast(ends), k)
     ok = by.where(F.col("aerial") & (F.col("run") > 1) & (F.col("run") < F.col("last")) & (F.col("t1") - F.col("t0") <= most_s))
-    return one.join(ok.select("run", F.lit(True).alias("back")), "run", "left").withColumn("readmitted", F.coalesce("back", F.lit(False))).drop("run", "_k", "back")
+    return one.join(ok.select(*k, "run", F.lit(True).alias("back")), [*k, "run"], "left").withColumn("readmitted", F.coalesce("back", F.lit(False))).select(*track.columns, "readmitted")
 
 
 def field_prior(cands: DataFrame, length: float, width: float, margin: float = 3.0, v_max: float = 35.0, key: str | None = None) -> DataFrame:
@@ -128,14 +129,14 @@ def scaled_windows(rows: DataFrame, base: int = 5, gain: float = 1.0, most: int
     return by.select(key, (size - F.when(size % 2 == 0, 1).otherwise(0)).alias("window"))
 
 
-def smooth_ball(track: DataFrame, window: int = 5, gap_s: float = 0.2) -> DataFrame:
+def smooth_ball(track: DataFrame, window: int = 5, gap_s: float = 0.2, key: list[str] | None = None) -> DataFrame:
     """The ball smoothed within continuous stretches on the ground; flights stay as they are. ``track`` has ``aerial``."""
     from .smoothing import moving_average
 
-    w = W.orderBy("frame")
+    w = W.partitionBy(*(key or [])).orderBy("frame")
     cut = F.when((F.col("t") - F.lag("t").over(w) > gap_s) | (F.col("aerial") != F.lag("aerial").over(w)), 1).otherwise(0)
     seg = track.withColumn("_c", cut).withColumn("seg", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    s = moving_average(seg.withColumns({"x_m": F.col("mx"), "y_m": F.col("my"), "es_real": F.lit(1)}), window, "seg")
+    s = moving_average(seg.withColumns({"x_m": F.col("mx"), "y_m": F.col("my"), "es_real": F.lit(1)}), window, [*(key or []), "seg"])
     keep = lambda a, b: F.when(F.col("aerial"), F.col(a)).otherwise(F.col(b))
     return s.withColumns({"bx": keep("mx", "sx"), "by": keep("my", "sy")}).select(*track.columns, "bx", "by")
 

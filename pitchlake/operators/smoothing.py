@@ -33,11 +33,11 @@ def adaptive_gap(base_s: float, factor: Column, least_s: float = 1.0) -> Column:
     return F.greatest(F.lit(least_s), base_s / F.sqrt(factor))
 
 
-def _measured(rows: DataFrame, key: str) -> tuple[DataFrame, W]:
+def _measured(rows: DataFrame, key: str | list[str]) -> tuple[DataFrame, W]:
     return rows.where("es_real = 1"), W.partitionBy(key).orderBy("frame")
 
 
-def moving_average(rows: DataFrame, window: int, key: str = "id_jugador") -> DataFrame:
+def moving_average(rows: DataFrame, window: int, key: str | list[str] = "id_jugador") -> DataFrame:
     """Centred mean of measured rows; beyond its ends a trajectory counts as staying at its first and last point. Shorter ones stay."""
     half = window // 2
     real, w = _measured(rows, key)

@@ -169,21 +169,38 @@ def last_men(rows: DataFrame, length: float = 100.0) -> DataFrame:
     return hits.join(seen, "id_jugador").select("side", "id_jugador", "hits", "seen", fn.rounded(fn.wilson_lower(F.col("hits"), F.col("seen"))).alias("score"))
 
 
-def keeper_set(scores: DataFrame, rows: DataFrame, least_score: float = 0.3, least_new: float = 0.5, most_together_m: float = 2.0) -> DataFrame:
-    """Identities that together are a side's keeper: by score, each must bring mostly new frames. Candidates are a few for each side."""
-    from .islands import pair_overlap
-
-    cands = scores.where(F.col("score") >= least_score).orderBy("side", F.desc("score"), "id_jugador").collect()
-    chosen: list[tuple[int, int]] = []
-    frames = {r["id_jugador"]: r["n"] for r in rows.groupBy("id_jugador").agg(F.countDistinct("frame").alias("n")).collect()}
-    ids = [c["id_jugador"] for c in cands]
-    together = {(r["id_a"], r["id_b"]): (r["shared"], r["median_m"]) for r in pair_overlap(rows.where(F.col("id_jugador").isin(ids))).collect()} if ids else {}
-    for c in cands:
-        shared = [together.get((min(c["id_jugador"], i), max(c["id_jugador"], i)), (0, 0.0)) for s, i in chosen if s == c["side"]]
-        clash = sum(n for n, m in shared if m > most_together_m)
-        if frames[c["id_jugador"]] and clash / frames[c["id_jugador"]] <= 1 - least_new:
-            chosen.append((c["side"], c["id_jugador"]))
-    return rows.sparkSession.createDataFrame(chosen, "side int, id_jugador int")
+def keeper_set(scores: DataFrame, rows: DataFrame, least_score: float = 0.3, least_new: float = 0.5, most_together_m: float = 2.0, least_presence: float = 0.5, key: list[str] | None = None) -> DataFrame:
+    """Identities that together are a side's keeper: those seen most come first, each must bring mostly new frames.
+
+    A frame is new if no chosen identity stands within ``most_together_m`` in it. A side
+    whose chosen identities cover less than ``least_presence`` of the frames has no
+    keeper. Candidates of a side of a match are one group.
+    """
+    own = key or []
+    total = rows.where(F.col("equipo").isin(0, 1)).groupBy(*own).agg(F.countDistinct("frame").alias("n_frames"))
+    each = rows.select(*own, "id_jugador", "frame", "x_m", "y_m").join(scores.where(F.col("score") >= least_score).select(*own, "side", "id_jugador"), [*own, "id_jugador"])
+    each = each.join(F.broadcast(total), own) if own else each.crossJoin(F.broadcast(total))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        places: dict[int, list[tuple[float, float]]] = {}
+        chosen = []
+        sizes = g.groupby("id_jugador")["frame"].nunique()
+        for i in sorted(sizes.index, key=lambda i: (-sizes[i], i)):
+            mine = g[g["id_jugador"] == i].drop_duplicates("frame")
+            new = sum(all(np.hypot(x - qx, y - qy) > most_together_m for qx, qy in places.get(f, ())) for f, x, y in mine[["frame", "x_m", "y_m"]].itertuples(index=False))
+            if new >= least_new * len(mine):
+                chosen.append(i)
+                for f, x, y in mine[["frame", "x_m", "y_m"]].itertuples(index=False):
+                    places.setdefault(f, []).append((x, y))
+        if len(places) < least_presence * g["n_frames"].iloc[0]:
+            chosen = []
+        out = pd.DataFrame({c: [g[c].iloc[0]] * len(chosen) for c in (*own, "side")} | {"id_jugador": chosen})
+        return out.astype({"side": "int32", "id_jugador": "int32"})
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*(rows.schema[c] for c in own), T.StructField("side", T.IntegerType()), T.StructField("id_jugador", T.IntegerType())])
+    return each.groupBy(*own, "side").applyInPandas(run, schema)
 
 
 def staff(rows: DataFrame, length: float = 100.0, width: float = 64.0, out_m: float = 2.0, far_m: float = 6.0, least: int = 5, slow: float = 0.6, slow_least: int = 25) -> DataFrame:
@@ -196,10 +213,10 @@ def staff(rows: DataFrame, length: float = 100.0, width: float = 64.0, out_m: fl
     return s.where(far | F.coalesce(idle, F.lit(False))).select("id_jugador", fn.rounded(F.col("out")).alias("out_m"), "n")
 
 
-def one_referee(rows: DataFrame, least: int = 25, length: float = 100.0, width: float = 64.0) -> DataFrame:
-    """The identity of neither team with most rows on the pitch."""
-    n = rows.where((F.col("equipo") == 2) & F.col("x_m").between(0, length) & F.col("y_m").between(0, width)).groupBy("id_jugador").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return n.withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "id_jugador"))).where("r = 1").select("id_jugador", "n")
+def one_referee(rows: DataFrame, least: int = 25, length: float = 100.0, width: float = 64.0, key: list[str] | None = None) -> DataFrame:
+    """The identity of neither team with most rows on the pitch, in each match of ``key``."""
+    n = rows.where((F.col("equipo") == 2) & F.col("x_m").between(0, length) & F.col("y_m").between(0, width)).groupBy(*(key or []), "id_jugador").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.withColumn("r", F.row_number().over(W.partitionBy(*(key or [])).orderBy(F.desc("n"), "id_jugador"))).where("r = 1").select(*(key or []), "id_jugador", "n")
 
 
 def fit_emissions(rows: DataFrame, value: str, is_referee: str, edges: list[float]) -> DataFrame:
@@ -251,12 +268,21 @@ def apply_referee(rows: DataFrame, path: DataFrame) -> DataFrame:
     return rows.join(on, (rows["frame"] == on["frame"]) & (rows["det_idx"] == F.col("_d")), "left").select(*(rows[c] for c in rows.columns if c != "etiqueta"), F.when(F.col("_ref"), "otro").otherwise(rows["etiqueta"]).alias("etiqueta"))
 
 
-def capped_labels(votes: DataFrame, cap: int = 7, others: int = 1) -> DataFrame:
-    """Labels within the numbers a frame allows: in each frame the surest rows of a team keep it, the others go to what is left. ``votes``: ``frame, id_jugador, team, score``."""
-    w = W.partitionBy("frame", "team").orderBy(F.desc("score"), "id_jugador")
-    ranked = votes.withColumn("_r", F.row_number().over(w))
-    n = ranked.groupBy("frame").agg(*(F.count(F.when(F.col("team") == t, 1)).alias(f"_{t}") for t in ("A", "B", "otro")))
-    s = ranked.join(n, "frame")
-    spill = F.when((F.col("team") == "A") & (F.col("_B") < cap), "B").when((F.col("team") == "B") & (F.col("_A") < cap), "A").when(F.col("_otro") < others, "otro").otherwise(F.col("team"))
+def capped_labels(votes: DataFrame, cap: int = 7, others: int = 1, key: list[str] | None = None) -> DataFrame:
+    """Labels within the numbers that a frame allows, at the least total score of the rows that change. ``votes``: ``frame, id_jugador, team, score``.
+
+    Rows of a team beyond its number are its least sure; of all such rows of a frame
+    the least sure fill the places that are left, those of A, then of B, then of
+    the others. Where places run out, the surest stay over the number.
+    """
+    frame = ["frame", *(key or [])]
+    order = (F.desc("score"), F.asc("id_jugador"))
     limit = F.when(F.col("team") == "otro", others).otherwise(cap)
-    return s.select("frame", "id_jugador", F.when(F.col("_r") <= limit, F.col("team")).otherwise(spill).alias("team"))
+    n = {t: F.sum((F.col("team") == t).cast("int")).over(W.partitionBy(*frame)) for t in ("A", "B", "otro")}
+    free = {t: F.greatest(F.lit(others if t == "otro" else cap) - c, F.lit(0)) for t, c in n.items()}
+    s = votes.withColumns({"_over": F.row_number().over(W.partitionBy(*frame, "team").orderBy(*order)) > limit, **{f"_{t}": c for t, c in free.items()}})
+    # least sure first among the rows over their number
+    turn = F.row_number().over(W.partitionBy(*frame, "_over").orderBy(F.asc("score"), F.desc("id_jugador")))
+    a, b, o = (F.col(f"_{t}") for t in ("A", "B", "otro"))
+    moved = F.when(turn <= a, "A").when(turn <= a + b, "B").when(turn <= a + b + o, "otro").otherwise(F.col("team"))
+    return s.select(*frame, "id_jugador", F.when(F.col("_over"), moved).otherwise(F.col("team")).alias("team"))

@@ -276,6 +276,41 @@ def mutual_best(candidates: DataFrame, ambiguity: float = 0.15) -> DataFrame:
     return ranked.where((F.col("rf") == 1) & (F.col("rb") == 1) & clear("nf") & clear("nb")).select("a", "b", "cost")
 
 
+def purity_stitch(obs: DataFrame, passes: int = 3, ambiguity: float = 0.15, max_gap: float = 6.0, v_max: float = 8.0, colour: str | None = None, key: str | None = None) -> DataFrame:
+    """Tracklets joined in up to ``passes`` passes of links that are the best both ways: ``tracklet_id, identity_id``.
+
+    In a pass the cheapest links come first, and a tracklet that continues another does
+    not go on itself; the next pass sees the joined ones as one, with their mean
+    ``colour``. Joined tracklets share no time, so no frame. Links of a match are one group.
+    """
+    from .teams import vector_means
+
+    def accepted(g: pd.DataFrame) -> pd.DataFrame:
+        used: set[int] = set()
+        keep = []
+        for a, b in g.sort_values(["cost", "a", "b"])[["a", "b"]].itertuples(index=False):
+            if a not in used and b not in used:
+                used.add(b)
+                keep.append((a, b))
+        return pd.DataFrame(keep, columns=["a", "b"]).astype("int32")
+
+    names = saved(obs.select("tracklet_id", F.col("tracklet_id").alias("identity_id")).distinct())
+    for _ in range(passes):
+        named = obs.join(names, "tracklet_id").drop("tracklet_id").withColumnRenamed("identity_id", "tracklet_id")
+        tracklets = summaries(named)
+        if colour is not None:
+            tracklets = tracklets.join(vector_means(named.where(F.col(colour).isNotNull()), ["tracklet_id"], colour), "tracklet_id", "left")
+        best = mutual_best(stitch_candidates(tracklets, max_gap=max_gap, v_max=v_max, colour=colour), ambiguity)
+        if key is not None:
+            best = best.join(named.select(F.col("tracklet_id").alias("a"), key).distinct(), "a")
+        links = saved(best.groupBy(*([key] if key else [])).applyInPandas(accepted, "a int, b int"))
+        if links.isEmpty():
+            break
+        joined = components(names.select(F.col("identity_id").alias("tracklet_id")).distinct(), links).withColumnRenamed("tracklet_id", "through").withColumnRenamed("identity_id", "joined")
+        names = saved(names.join(joined, F.col("identity_id") == F.col("through")).select("tracklet_id", F.col("joined").alias("identity_id")))
+    return names
+
+
 def unique_links(candidates: DataFrame) -> DataFrame:
     """Links of tracklets that have one candidate each, both ways."""
     n = candidates.withColumns({"out": F.count("*").over(W.partitionBy("a")), "in_": F.count("*").over(W.partitionBy("b"))})
@@ -329,13 +364,14 @@ def merge_identities(rows: DataFrame, pairs: DataFrame, key: str = "id_jugador")
     return placed.select(*[c for c in rows.columns if c != key], F.col("identity_id").alias(key))
 
 
-def concurrency(rows: DataFrame, frames: DataFrame, key: str = "id_jugador") -> DataFrame:
-    """Identities between their first and last frame, at each frame: starts and ends added up."""
-    life = rows.groupBy(key).agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
-    events = life.select(F.col("a").alias("frame"), F.lit(1).alias("d"), F.lit(0).alias("e")).unionAll(life.select(F.col("b").alias("frame"), F.lit(0).alias("d"), F.lit(1).alias("e")))
-    by = frames.select("frame").distinct().select("frame", F.lit(0).alias("d"), F.lit(0).alias("e")).unionAll(events).groupBy("frame").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))
-    w = W.orderBy("frame")
-    return by.select("frame", (F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.coalesce(F.sum("e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("active"))
+def concurrency(rows: DataFrame, frames: DataFrame, key: str = "id_jugador", match: list[str] | None = None) -> DataFrame:
+    """Identities between their first and last frame, at each frame: starts and ends added up, in each match of ``match``."""
+    own = match or []
+    life = rows.groupBy(*own, key).agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    events = life.select(*own, F.col("a").alias("frame"), F.lit(1).alias("d"), F.lit(0).alias("e")).unionAll(life.select(*own, F.col("b").alias("frame"), F.lit(0).alias("d"), F.lit(1).alias("e")))
+    by = frames.select(*own, "frame").distinct().select(*own, "frame", F.lit(0).alias("d"), F.lit(0).alias("e")).unionAll(events).groupBy(*own, "frame").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))
+    w = W.partitionBy(*own).orderBy("frame")
+    return by.select(*own, "frame", (F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.coalesce(F.sum("e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("active"))
 
 
 def colour_cuts(votes: DataFrame, least: int = 30, purity: float = 0.85, gain: float = 0.08, side: int = 10) -> DataFrame:
@@ -439,13 +475,51 @@ def roster_cap(rows: DataFrame, frames: DataFrame, cap: int, most_cost: float =
 
 
 def fused_boxes(obs: DataFrame, least_jump_m: float = 3.0, growth: float = 1.25) -> DataFrame:
-    """Rows where a trajectory jumps while its box is much larger than usual: two people in one box."""
+    """Rows where a trajectory jumps while its box is much larger than usual for the whole tracklet."""
     w = W.partitionBy("tracklet_id").orderBy("frame")
     height = F.col("y2") - F.col("y1")
     s = obs.withColumns({"h": height, "usual": F.expr("percentile(y2 - y1, 0.5)").over(W.partitionBy("tracklet_id")), "jump": F.sqrt((F.col("x_m") - F.lag("x_m").over(w)) ** 2 + (F.col("y_m") - F.lag("y_m").over(w)) ** 2)})
     return s.where((F.col("jump") > least_jump_m) & (F.col("h") >= growth * F.col("usual"))).select("tracklet_id", "frame", "jump", "h", "usual")
 
 
+def fused_cuts(obs: DataFrame, least_jump_m: float = 3.0, most_step_s: float = 0.35, side_s: float = 1.0, least_side: int = 3, usual_s: float = 2.0, taller: float = 1.25, wider: float = 1.5, head_share: float = 0.5, length: float = 100.0, width: float = 64.0, margin_y: float = 1.0) -> DataFrame:
+    """Where two people in one box part: rows of ``tracklet_id, frame, t, x_m, y_m, x1, y1, x2, y2`` that begin a new person.
+
+    The step into the row is short in time and jumps; so do the medians of the
+    second before and after, by position on the pitch, and the top edge of the box
+    moves with its bottom edge (the whole box, not a foot that came into sight); the
+    box of the row or of the one before is taller or wider than the median of the
+    rows within ``usual_s`` of it, itself left out.
+    """
+    # windows take whole numbers: microseconds
+    by = W.partitionBy("tracklet_id").orderBy(F.round(F.col("t") * 1e6).cast("long"))
+    us = lambda s: round(s * 1e6)
+    around = by.rangeBetween(-us(usual_s), us(usual_s))
+    before, after = by.rangeBetween(-us(side_s), 0), by.rangeBetween(0, us(side_s))
+    s = obs.withColumns({"_cx": (F.col("x1") + F.col("x2")) / 2, "_h": F.col("y2") - F.col("y1"), "_w": F.col("x2") - F.col("x1")})
+
+    def usual(c: str) -> Column:
+        """Median of the rows around without the row itself: one of its values is taken out of the sorted list."""
+        all_ = F.array_sort(F.collect_list(c).over(around))
+        place = F.array_position(all_, F.col(c)).cast("int")
+        rest = F.filter(all_, lambda x, i: i + 1 != place)
+        n = F.size(rest)
+        return F.when(n > 0, (F.get(rest, F.floor((n - 1) / 2).cast("int")) + F.get(rest, F.floor(n / 2).cast("int"))) / 2)
+
+    fused = (F.col("_h") >= taller * usual("_h")) | (F.col("_w") >= wider * usual("_w"))
+    median = lambda c, w: F.percentile(c, 0.5).over(w)
+    columns = ("x_m", "y_m", "_cx", "y1", "y2")
+    s = s.withColumns({"_f": F.coalesce(fused, F.lit(False)), "_na": F.count("*").over(before), "_nb": F.count("*").over(after), **{f"_a{c}": median(c, before) for c in columns}, **{f"_b{c}": median(c, after) for c in columns}})
+    # the side before ends with the row before
+    s = s.withColumns({f"_p{c}": F.lag(c).over(by) for c in ("t", "x_m", "y_m", "_f", "_na", *(f"_a{c}" for c in columns))})
+    away = lambda *pairs: F.sqrt(sum(((F.col(a) - F.col(b)) ** 2 for a, b in pairs), F.lit(0.0)))
+    top, bottom = away(("_b_cx", "_p_a_cx"), ("_by1", "_p_ay1")), away(("_b_cx", "_p_a_cx"), ("_by2", "_p_ay2"))
+    ok = (F.col("t") - F.col("_pt") <= most_step_s) & (F.col("_p_na") >= least_side) & (F.col("_nb") >= least_side)
+    ok = ok & F.col("_p_ax_m").between(0, length) & F.col("_p_ay_m").between(-margin_y, width + margin_y)
+    ok = ok & (away(("x_m", "_px_m"), ("y_m", "_py_m")) > least_jump_m) & (away(("_bx_m", "_p_ax_m"), ("_by_m", "_p_ay_m")) > least_jump_m)
+    return s.where(ok & (F.col("_f") | F.col("_p_f")) & (top >= head_share * bottom)).select("tracklet_id", "frame")
+
+
 def pruned_embeddings(rows: DataFrame, keys: DataFrame, window: int, least_gap: int) -> DataFrame:
     """Keys (``tracklet_id, frame, det_idx``) near a re-entry, the only ones whose vectors are needed."""
     w = W.partitionBy("tracklet_id").orderBy("frame")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_metrics, q_review, q_tracking
+from . import q_metrics, q_review, q_sql, q_tracking
 from .base import Query
 
 
@@ -11,4 +11,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return q_metrics.ORACLES | q_tracking.ORACLES | q_review.ORACLES
+    return q_metrics.ORACLES | q_tracking.ORACLES | q_review.ORACLES | q_sql.ORACLES

@@ -52,8 +52,8 @@ def _frames(p):
     return p.select("frame", "tiempo_s").distinct()
 
 
-def _fill(p, who="id_jugador < 20"):
-    r = smoothing.fill_gaps(_half(p).where(who), _frames(p), 0.5)
+def _fill(p):
+    r = smoothing.fill_gaps(_half(p), _frames(p), 0.5)
     from ..functions import rounded
 
     return r.select("id_jugador", "frame", rounded(F.col("x_m")).alias("x_m"), rounded(F.col("y_m")).alias("y_m"), "es_real")
@@ -71,13 +71,13 @@ def _savgol_sql() -> str:
     w = savitzky_golay_weights(7)
     term = lambda c: " + ".join(f"{x!r}e0 * lag({c}, {-k}) over w" if k < 0 else (f"{x!r}e0 * lead({c}, {k}) over w" if k else f"{x!r}e0 * {c}") for k, x in zip(range(-3, 4), w, strict=True))
     return sql("positions", f""", s as (select id_jugador, frame, x_m, y_m, row_number() over w as i, count(*) over (partition by id_jugador) as n, {term("x_m")} as gx, {term("y_m")} as gy
- from positions where id_jugador <= 6 window w as (partition by id_jugador order by frame))
+ from positions window w as (partition by id_jugador order by frame))
  select id_jugador, frame, {R("case when n >= 7 and i > 3 and i <= n - 3 then gx else x_m end", 5)} as sx, {R("case when n >= 7 and i > 3 and i <= n - 3 then gy else y_m end", 5)} as sy from s""")
 
 
 def _moving_sql() -> str:
     m = lambda c: f"case when n < 5 then {c} else (coalesce(sum({c}) over (partition by id_jugador order by frame rows between 2 preceding and 2 following), 0) + greatest(3 - i, 0) * first_value({c}) over (partition by id_jugador order by frame rows between unbounded preceding and unbounded following) + greatest(i + 2 - n, 0) * last_value({c}) over (partition by id_jugador order by frame rows between unbounded preceding and unbounded following)) / 5e0 end"
-    return sql("positions", f""", a as (select *, row_number() over (partition by id_jugador order by frame) as i, count(*) over (partition by id_jugador) as n from positions where id_jugador <= 6)
+    return sql("positions", f""", a as (select *, row_number() over (partition by id_jugador order by frame) as i, count(*) over (partition by id_jugador) as n from positions)
  select id_jugador, frame, {R(m("x_m"), 5)} as sx, {R(m("y_m"), 5)} as sy from a""")
 
 
@@ -120,13 +120,8 @@ QUERIES: dict[str, Query] = {
     "leave_out": over("detections")(lambda d: metrics.leave_out(d, 0.1).select("frame", "det_idx")),
     "showable": over("positions")(lambda p: metrics.showable(islands.speeds(p), "step_m", 1.0, 3.0).select("n", "show")),
     "gap_fill_linear": over("positions")(_fill),
-    "moving_average_edge": over("positions")(lambda p: _rounded(smoothing.moving_average(p.where("id_jugador <= 6"), 5), "sx", "sy")),
-    "savgol_interior": over("positions")(lambda p: _rounded(smoothing.savitzky_golay(p.where("id_jugador <= 6"), 7), "sx", "sy")),
-    # the four with SQL take the subsets that their SQL names; these take all rows
-    "gap_fill_linear_whole": over("positions")(lambda p: _fill(p, "true")),
-    "moving_average_edge_whole": over("positions")(lambda p: _rounded(smoothing.moving_average(p, 5), "sx", "sy")),
-    "savgol_interior_whole": over("positions")(lambda p: _rounded(smoothing.savitzky_golay(p, 7), "sx", "sy")),
-    "active_identities_whole": over("positions")(lambda p: tracking.concurrency(p, p)),
+    "moving_average_edge": over("positions")(lambda p: _rounded(smoothing.moving_average(p, 5), "sx", "sy")),
+    "savgol_interior": over("positions")(lambda p: _rounded(smoothing.savitzky_golay(p, 7), "sx", "sy")),
     "smooth_in_time": over("positions")(lambda p: _rounded(smoothing.within_time(p, 9), "sx", "sy")),
     "smooth_in_segments": over("positions")(lambda p: _rounded(smoothing.within_segments(p, 9, 2.5), "sx", "sy")),
     "jitter_sigma": over("positions")(smoothing.jitter),
@@ -138,7 +133,7 @@ QUERIES: dict[str, Query] = {
     "impossible_runs": over("positions")(lambda p: islands.fast_runs(p, 2.0, 0.3).select("id_jugador", "start_frame", "end_frame")),
     "speed_cut": over("positions")(_cut_pieces),
     "replay_credible": over("positions")(lambda p: filters.credible(_half(p), 0.13, 2.0).select("frame", "id_jugador")),
-    "active_identities": over("positions")(lambda p: tracking.concurrency(p.where("frame % 2 = 0"), p)),
+    "active_identities": over("positions")(lambda p: tracking.concurrency(p, p)),
 }
 
 _BIN9 = "case when frame % 7 = 0 then x_m + 9e0 else x_m end"
@@ -175,7 +170,7 @@ ORACLES: dict[str, str] = {
     "bin_proxies": sql("positions", ", moved as (select * replace (" + _BIN9 + " as x_m) from positions)" + SPEEDS.replace("from positions", "from moved") + f", c as (select frame, tiempo_s, count(*) as n from {_TEAM} group by 1, 2), d as (select cast(floor(tiempo_s / 15e0) as int) as bin, avg(greatest(22 - n, 0)) as deficit, count(*) as frames from c group by 1), j as (select cast(floor(tiempo_s / 15e0) as int) as bin, count(*) as jumps from speeds where step_m > 3 group by 1), b as (select * from d join j using (bin)) select bin, frames, jumps, {R('deficit')} as deficit, {R('(deficit - (select avg(deficit) from b)) / (select stddev_samp(deficit) from b)', 5)} as z from b"),
     "weighted_quantile": sql("positions", ", b as (select x_m, sum(id_jugador) as w from positions group by 1), r as (select x_m, sum(w) over (order by x_m) as below from b) select min(x_m) as value from r where below >= 0.5e0 * (select sum(w) from b)"),
     "showable": sql("positions", SPEEDS + " select count(step_m) as n, median(step_m) <= 1e0 and quantile_cont(step_m, 0.9e0) <= 3e0 and count(step_m) >= 30 as show from speeds"),
-    "gap_fill_linear": sql("positions", _HALF + f""", re as (select id_jugador, frame, tiempo_s, x_m, y_m, lead(frame) over w as nf, lead(tiempo_s) over w as nt, lead(x_m) over w as nx, lead(y_m) over w as ny from hr where es_real = 1 and id_jugador < 20 window w as (partition by id_jugador order by frame)),
+    "gap_fill_linear": sql("positions", _HALF + f""", re as (select id_jugador, frame, tiempo_s, x_m, y_m, lead(frame) over w as nf, lead(tiempo_s) over w as nt, lead(x_m) over w as nx, lead(y_m) over w as ny from hr where es_real = 1 window w as (partition by id_jugador order by frame)),
  f as (select distinct frame as ff, tiempo_s as ft from positions)
  select id_jugador, frame, {R('x_m')} as x_m, {R('y_m')} as y_m, 1 as es_real from re
  union all select id_jugador, ff, {R('x_m + (ft - tiempo_s) / (nt - tiempo_s) * (nx - x_m)')}, {R('y_m + (ft - tiempo_s) / (nt - tiempo_s) * (ny - y_m)')}, 0 from re join f on ff > frame and ff < nf where nt - tiempo_s <= 0.5e0"""),
@@ -200,5 +195,9 @@ ORACLES: dict[str, str] = {
     "replay_credible": sql("positions", _HALF + """, a as (select *, max(case when es_real = 1 then tiempo_s end) over (partition by id_jugador) - min(case when es_real = 1 then tiempo_s end) over (partition by id_jugador) as life,
  tiempo_s - last_value(case when es_real = 1 then tiempo_s end ignore nulls) over (partition by id_jugador order by tiempo_s rows between unbounded preceding and current row) as b, first_value(case when es_real = 1 then tiempo_s end ignore nulls) over (partition by id_jugador order by tiempo_s rows between current row and unbounded following) - tiempo_s as c from hr)
  select frame, id_jugador from a where life >= 2e0 and (es_real = 1 or least(coalesce(b, 1e9), coalesce(c, 1e9)) <= 0.13e0)"""),
-    "active_identities": sql("positions", ", l as (select id_jugador, min(frame) as a, max(frame) as b from positions where frame % 2 = 0 group by 1) select f.frame, count(l.id_jugador) as active from (select distinct frame from positions) f left join l on f.frame between a and b group by 1"),
+    "active_identities": sql("positions", ", l as (select id_jugador, min(frame) as a, max(frame) as b from positions group by 1) select f.frame, count(l.id_jugador) as active from (select distinct frame from positions) f left join l on f.frame between a and b group by 1"),
 }
+
+# names under which a query of the same rows was added before these read whole tables
+for _name in ("gap_fill_linear", "moving_average_edge", "savgol_interior", "active_identities"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

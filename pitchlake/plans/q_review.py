@@ -43,9 +43,7 @@ QUERIES: dict[str, Query] = {
     "scaled_windows": over("positions")(lambda p: review.scaled_windows(p.withColumn("factor", 1.0 + F.col("y_m") / 64.0))),
     "smooth_ball": over("ball_cand")(lambda b: _q(review.smooth_ball(_aerial(b)), "bx", "by", keep=("frame",))),
     "prototype_drift": over("features")(lambda f: review.prototype_drift(f, 30, _PROTO.a, _PROTO.b)),
-    "reweighted": over("positions")(lambda p: review.reweighted(p.where("id_jugador < 9").select("frame", "id_jugador", (F.col("frame") % 4).alias("stratum")), p.where("frame > 500").select((F.col("frame") % 4).alias("stratum"))).groupBy("stratum").agg(F.count("*").alias("n"), fn.rounded(F.sum("weight"), 5).alias("w"))),
-    # "reweighted" takes the subsets that its SQL names; this one weights all positions by all of the truth
-    "reweighted_whole": over("positions", "gt_obs")(lambda p, g: review.reweighted(p.select("frame", "id_jugador", (F.col("frame") % 4).alias("stratum")), g.select((F.col("frame") % 4).alias("stratum"))).groupBy("stratum").agg(F.count("*").alias("n"), fn.rounded(F.sum("weight"), 5).alias("w"))),
+    "reweighted": over("positions", "gt_obs")(lambda p, g: review.reweighted(p.select("frame", "id_jugador", (F.col("frame") % 4).alias("stratum")), g.select((F.col("frame") % 4).alias("stratum"))).groupBy("stratum").agg(F.count("*").alias("n"), fn.rounded(F.sum("weight"), 5).alias("w"))),
     "noise_whole_frames": over("detections")(lambda d: review.noisy(d, 0.1, "frame").select("frame", "det_idx")),
     "noise_surest": over("detections")(lambda d: review.noisy(d, 0.2, "confidence").select("frame", "det_idx")),
     "dominant_zone": over("positions")(review.dominant_zone),
@@ -70,7 +68,7 @@ ORACLES: dict[str, str] = {
     "reappearance": sql("gt_obs positions", PAIRS.replace("distance <= 2e0", "distance <= 0.45e0") + ", m as (select g.frame, g.obj_id, p.gt_id as hit from gt_obs g left join pairs p on g.frame = p.frame and g.obj_id = p.gt_id), l as (select obj_id, min(case when hit is null then frame end) as lost from m group by 1) select l.obj_id, lost, min(case when m.frame > lost and hit is not null then m.frame end) as back from l join m using (obj_id) group by 1, 2"),
     "score_inversions": sql("ball_cand", ", s as (select t as st, conf as sc from ball_cand where cand_idx = 0), c as (select b.frame, b.conf, sc, row_number() over (partition by b.frame order by abs(t - st), st) as r from ball_cand b join s on abs(t - st) <= 1 where b.cand_idx = 1) select count(*) as n, count(case when conf > sc then 1 end) as inversions from c where r = 1"),
     "readmitted_flights": sql("ball_cand", _RUNS + ", b as (select run, aerial, min(t) as a, max(t) as z from r group by 1, 2) select r.frame, r.aerial and r.run > 1 and r.run < (select max(run) from r) and z - a <= 2.5e0 as readmitted from r join b using (run)"),
-    "reweighted": sql("positions", f", s as (select frame % 4 as stratum, count(*) as n from positions where id_jugador < 9 group by 1), r as (select frame % 4 as stratum, count(*) as r from positions where frame > 500 group by 1) select stratum, n, {R('r * 1e0', 5)} as w from s join r using (stratum)"),
+    "reweighted": sql("positions gt_obs", f", s as (select frame % 4 as stratum, count(*) as n from positions group by 1), r as (select frame % 4 as stratum, count(*) as r from gt_obs group by 1) select stratum, n, {R('r * 1e0', 5)} as w from s join r using (stratum)"),
     "noise_surest": sql("detections", ", r as (select *, percent_rank() over (partition by frame order by conf desc, det_idx) as r from detections) select frame, det_idx from r where r >= 0.2e0"),
     "dominant_zone": sql("positions", ", z as (select id_jugador, case when x_m < 100e0/3 then 'left' when x_m < 200e0/3 then 'middle' else 'right' end as zone, count(*) as n from positions group by 1, 2) select id_jugador, zone, n from (select *, row_number() over (partition by id_jugador order by n desc, zone) as r from z) where r = 1"),
     "many_matches": sql("positions", f", b as (select frame, equipo, {R('avg(x_m)')} as cx from {_TEAM} group by 1, 2 having count(*) >= 3) select cast(m as int) as match_no, count(*) as n, {R('avg(cx)', 4)} as cx from b, range(3) t(m) group by 1"),
@@ -82,3 +80,6 @@ ORACLES: dict[str, str] = {
     "oracle_identity": sql("gt_obs positions", PAIRS + " select q.frame, coalesce(p.gt_id, q.obj_id) as obj_id from pred q left join pairs p on q.frame = p.frame and q.obj_id = p.pred_id"),
     "prototype_drift": sql("features", f", d as (select frame, det_idx, feat, {_DIST(0)} as a, {_DIST(1)} as b from features), n as (select cast(floor(frame / 30) as int) as segment, case when a <= b then 'A' else 'B' end as team, feat from d), e as (select segment, team, unnest(feat) as v, unnest(range(len(feat))) as k from n), m as (select segment, team, k, avg(cast(v as double)) as m from e group by 1, 2, 3) select segment, team, {R('sqrt(sum((m - case when (team = ' + chr(39) + 'A' + chr(39) + ' and k = 0) or (team = ' + chr(39) + 'B' + chr(39) + ' and k = 1) then 1e0 else 0e0 end) * (m - case when (team = ' + chr(39) + 'A' + chr(39) + ' and k = 0) or (team = ' + chr(39) + 'B' + chr(39) + ' and k = 1) then 1e0 else 0e0 end)))', 5)} as away from m group by 1, 2"),
 }
+
+# the name under which it was added before it read whole tables
+QUERIES["reweighted_whole"], ORACLES["reweighted_whole"] = QUERIES["reweighted"], ORACLES["reweighted"]

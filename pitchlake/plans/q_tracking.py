@@ -82,6 +82,14 @@ def _violations(d):
     return sources.content_violations(bad, frames.where("frame not between 90 and 140"), 3)
 
 
+def _jumping(d):
+    """Detections as tracklets that jump every 40 frames of their own, into a box twice as tall that moves as a whole."""
+    own = F.floor(F.col("frame") / 120)
+    tall = F.col("frame") % 120 < 6
+    shift = (own % 2) * 5.0
+    return d.select(F.col("det_idx").alias("tracklet_id"), "frame", "t", (F.col("det_idx") * 3 + 10.0 + shift).alias("x_m"), F.lit(20.0).alias("y_m"), (F.col("det_idx") * 20 + shift * 10).alias("x1"), (300 + shift * 10 - F.when(tall, 40).otherwise(0)).alias("y1"), (F.col("det_idx") * 20 + shift * 10 + 15).alias("x2"), (340 + shift * 10).alias("y2"))
+
+
 def _errors(g, p):
     prox = evaluation.proximity(g, _pairs(g, p))
     return prox.select((F.col("neighbour_m") % 2).alias("position"), (1.0 - F.col("found")).alias("missing"), F.lit(0.25).alias("phantom"), (F.col("obj_id") % 3 * 0.5).alias("team"), (F.col("frame") % 2 * 0.5).alias("duplicate"))
@@ -139,7 +147,7 @@ QUERIES: dict[str, Query] = {
     "nearest_gt_row": over("gt_obs", "positions")(lambda g, p: _q(_pairs(g, p), "distance", keep=("frame", "gt_id", "pred_id"))),
     "optimal_match_after": over("gt_obs", "positions")(lambda g, p: matching.optimal_then_threshold(g, _pred(p))),
     "optimal_match_before": over("gt_obs", "positions")(lambda g, p: matching.threshold_then_optimal(g, _pred(p))),
-    "greedy_match": over("gt_obs", "positions")(lambda g, p: matching.greedy_in_order(g, _pred(p))),
+    "greedy_match": over("gt_obs", "positions")(lambda g, p: _q(matching.greedy_in_order(g, _pred(p)), "distance", keep=("frame", "gt_id", "pred_id"))),
     "box_hits": over("detections")(lambda d: matching.box_hits(d.select("frame", F.col("det_idx").alias("obj_id"), (F.col("x1") + 3).alias("px"), (F.col("y1") + 3).alias("py")), d)),
     "alignment_sanity": over("gt_obs", "detections")(matching.mean_alignment),
     # evaluation
@@ -162,6 +170,7 @@ QUERIES: dict[str, Query] = {
     "first_lost": over("gt_obs", "positions")(lambda g, p: evaluation.first_lost([("found", _pairs(g, p).select("frame", F.col("gt_id").alias("obj_id"))), ("near", _pairs(g, p).where("distance < 0.4").select("frame", F.col("gt_id").alias("obj_id")))], g).groupBy("lost_at").agg(F.count("*").alias("n"))),
     "proximity": over("gt_obs", "positions")(lambda g, p: evaluation.proximity(g, _pairs(g, p))),
     "hota": over("gt_obs", "positions")(lambda g, p: evaluation.hota(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
+    "clear_mot": over("gt_obs", "positions")(lambda g, p: evaluation.clear_mot(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
     # tracking
     "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12)),
     "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
@@ -169,12 +178,15 @@ QUERIES: dict[str, Query] = {
     "stitch_greedy": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))))),
     "stitch_global": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))), "global")),
     "purity_stitch_pass": over("positions")(lambda p: tracking.mutual_best(tracking.stitch_candidates(tracking.summaries(_tracklets(p)), v_max=8.0))),
+    "purity_stitch": over("positions")(lambda p: tracking.purity_stitch(_tracklets(p)).groupBy("identity_id").agg(F.count("*").alias("n"))),
     "identities": over("positions")(lambda p: tracking.components(_tracklets(p).select("tracklet_id").distinct(), tracking.unique_links(tracking.plausible_links(tracking.summaries(_tracklets(p)))))),
     "duplicate_pairs": over("positions")(lambda p: tracking.duplicates(p, 3, 6.0)),
     "duplicate_merge": over("positions")(lambda p: tracking.merge_identities(p, tracking.duplicates(p, 3, 4.0)).groupBy("id_jugador").agg(F.count("*").alias("n"))),
     "roster_cap": over("positions")(lambda p: tracking.roster_cap(p, p, 23, 6.0).groupBy("id_jugador").agg(F.count("*").alias("n"))),
     "colour_cuts": over("positions")(lambda p: tracking.colour_cuts(p.withColumn("equipo", F.when((F.col("id_jugador") < 6) & (F.col("frame") > 600), 1).otherwise(F.col("equipo"))))),
     "fused_boxes": over("detections")(lambda d: tracking.fused_boxes(d.withColumn("tracklet_id", F.col("det_idx")).withColumnsRenamed({"mx": "x_m", "my": "y_m"}), 1.0, 1.1).select("tracklet_id", "frame")),
+    "fused_cuts": over("detections")(lambda d: tracking.fused_cuts(_jumping(d), 1.0)),
+    "pruned_embeddings": over("detections", "features")(lambda d, f: tracking.pruned_embeddings(d.select((F.col("det_idx") % 4).alias("tracklet_id"), "frame").distinct(), f.select((F.col("det_idx") % 4).alias("tracklet_id"), "frame", "det_idx"), 3, 6)),
     "crossing_frames": over("detections")(tracking.crossings),
     "reentry_gate": over("features")(lambda f: tracking.reentry_gate(f.select((F.col("det_idx") % 4).alias("tracklet_id"), (F.col("frame") * 10 + F.col("det_idx")).alias("frame"), F.col("feat").alias("emb")), 8, 0.1)),
     "appearance_cuts": over("features")(lambda f: tracking.appearance_cuts(f.select((F.col("det_idx") % 4).cast("int").alias("tracklet_id"), (F.col("frame") * 10 + F.col("det_idx")).cast("int").alias("frame"), F.col("feat").alias("emb")), 6, 0.3)),
@@ -204,7 +216,7 @@ QUERIES: dict[str, Query] = {
     "ball_segments": over("ball_cand", "positions")(lambda b, p: ball.continuity_segments(_track(b, p)).select("frame", "segment")),
     "aerial_phases": over("ball_cand")(lambda b: ball.aerial(b.where("cand_idx = 0"), 20.0, 1.6, 0.0, 40.0).select("frame", "aerial")),
     "contacts_angle": over("ball_cand", "positions")(lambda b, p: ball.contacts_by_angle(b.where("cand_idx = 0"), p, 70.0, 1.0, 6.0, 0).select("frame", "id_jugador", fn.rounded(F.col("angle"), 5).alias("angle"))),
-    "acceleration_peaks": over("ball_cand")(lambda b: ball.acceleration_peaks(b.where("cand_idx = 0"))),
+    "acceleration_peaks": over("ball_cand")(lambda b: _q(ball.acceleration_peaks(b.where("cand_idx = 0")), "change", keep=("frame", "t", "mx", "my"))),
     "merged_contacts": over("ball_cand", "positions")(lambda b, p: ball.merge_contacts(ball.contacts_by_angle(b.where("cand_idx = 0"), p, 70.0, 1.0), ball.acceleration_peaks(b.where("cand_idx = 0")))),
     "flight_lines": over("ball_cand")(lambda b: _q(ball.flight_lines(ball.aerial(b.where("cand_idx = 0"))), "fx", "fy", keep=("frame", "es_real"))),
     "ball_fill": over("ball_cand")(lambda b: _q(ball.fill(b.where("cand_idx = 0 and frame % 10 < 6"), b), "mx", "my", keep=("frame", "how"))),
