@@ -48,9 +48,9 @@ def test_against_brute_force(make, odd, monkeypatch, size):
 def test_large_differences_are_counted(spark):
     df = spark.range(1).select(F.array(*(F.lit(i) for i in range(400))).alias("a"), F.array(*(F.lit(i) for i in range(390, 700))).alias("b"))
     e = df.select(fingerprint._entries(F.col("a").cast("array<bigint>")).alias("a"), fingerprint._entries(F.col("b").cast("array<bigint>")).alias("b"))
-    peeled = e.select(fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 3072), fingerprint.sketch(F.col("b"), 3072)), 3072, 14)).first()[0]
+    peeled = e.select(fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 32), fingerprint.sketch(F.col("b"), 32)), 32, 14)).first()[0]
     assert peeled == 390 + 300
-    small = e.select(fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 48), fingerprint.sketch(F.col("b"), 48)), 48, 7)).first()[0]
+    small = e.select(fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 4), fingerprint.sketch(F.col("b"), 4)), 4, 7)).first()[0]
     assert small is None
 
 
