@@ -10,7 +10,7 @@ overlaps a span of the fixed patterns.
 
 The sample is about ``SAMPLE_DOCS`` documents, chosen by a hash of the text, and
 ``SAMPLE_RANDOM`` digests; it bounds training only: every whole text is
-scanned. The model is a table of 128 x 128 numbers, in the plan as a literal.
+scanned. The model is a table of 128 x 128 numbers, one broadcast row.
 
 Edge cases: null and empty texts have no spans; with no documents the models
 come from the digests and a few built-in identifiers; repeated rows are scanned
@@ -19,6 +19,7 @@ each; positions are code points, end exclusive.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,19 +52,29 @@ def _spans(text: Column, pattern: str) -> tuple[Column, Column]:
     )
 
 
+_PLACED = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
+#: Spans put together at a time: a list that grows is copied for each span, one of lists for each such number.
+CHUNK = 256
+
+
 def _placed(between: Column, found: Column, kind: int) -> Column:
     """Spans with their text, from the lengths of what lies before each."""
-    kept = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["pos"] + F.length(F.get(between, i))
         end = start + F.length(F.get(found, i))
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.get(found, i).alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(kept).alias("out"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(_PLACED).alias("out"))
+
+    def chunk(acc: Column, c: Column) -> Column:
+        last = F.least((c + 1) * CHUNK, F.size(found)) - 1
+        first = F.struct(acc["pos"].alias("pos"), F.array().cast(_PLACED).alias("out"))
+        inner = F.aggregate(F.sequence(c * CHUNK, last), first, step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["pos"].alias("pos"), F.concat(acc["all"], F.array(x["out"])).cast(f"array<{_PLACED}>").alias("all"))), F.lit(0))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(kept).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(kept))
+    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(f"array<{_PLACED}>").alias("all"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), start, chunk, lambda acc: F.flatten(acc["all"]))
+    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_PLACED))
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -117,7 +128,7 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, kee
         split = split.withColumns({f"between{kind}": between, f"found{kind}": found})
     placed = split.select(*source.columns, *(_placed(F.col(f"between{k}"), F.col(f"found{k}"), k).alias(f"spans{k}") for k in range(4)))
     base = F.array_sort(F.concat(F.filter("spans0", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= LEAST_VALUE), F.col("spans1"), F.col("spans2")), _by_start)
-    table = F.lit(ratios)
+    table = F.col("ratios")
 
     def random(s: Column) -> Column:
         """Mean log-likelihood ratio of a run's transitions."""
@@ -126,9 +137,11 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, kee
         return total / (F.length(s["value"]) - 1)
 
     based = placed.withColumn("base", base)
-    free = F.filter("spans3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # a run that holds a match of one of the other patterns overlaps a base span; others may lie inside an assignment
+    free = F.filter("spans3", lambda s: ~s["value"].rlike(HEX) & ~s["value"].rlike(ACCESS) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     more = F.filter(free, lambda s: random(s) > threshold)
-    return based.withColumn("more", more).select(*source.columns, "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"), _by_start)).otherwise(F.col("base")).alias("spans"))
+    model = docs.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(ratios)), "array<double>").alias("ratios"))
+    return based.crossJoin(F.broadcast(model)).withColumn("more", more).select(*source.columns, "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"), _by_start)).otherwise(F.col("base")).alias("spans"))
 
 
 def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
