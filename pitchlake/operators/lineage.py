@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,12 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there.
 
     The folder is the one named in ``spark.checkpoint.dir``, which driver and
-    executors share; only a session without it, as in tests, gets its own.
+    executors share; only a local session without it, as in tests, gets its own.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pitchlake-checkpoints"))
     return df.checkpoint()
