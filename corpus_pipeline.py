@@ -3,6 +3,11 @@
 Each stage calls one operator of ``pitchlake.llm``; its result is written as
 Parquet and read again as the next stage's documents. All stages but the last
 return the columns of ``documents``, ``n_chars`` brought up to date.
+
+Edge cases: null texts and texts without a letter go in the first stage; without
+any label no language can be told and every text with a letter stays; of repeated
+rows one stays; a null id stands for no group, so of a group of null ids only each
+different text stays; empty tables pass through; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -32,9 +37,12 @@ def _renewed(docs: DataFrame, changed: DataFrame, text: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those without a letter, or in no likely language, go."""
+    """Documents in a language that the model knows; those without a letter, or in no likely language, go. Without labels all others stay."""
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = docs.select("text", F.struct("*").alias(_REST))
-    kept = langid.predict(rows, langid.fit(docs)).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    kept = langid.predict(rows, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return kept.select(*(F.col(f"{_REST}.{c}").alias(c) for c in docs.columns))
 
 
