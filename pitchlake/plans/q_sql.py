@@ -213,6 +213,61 @@ _REENTRY = f""", fe as (select det_idx % 4 as tracklet_id, frame * 10 + det_idx
  ab as (select a.tracklet_id, a.cut_frame, sum(a.v * b.v) as ab, sqrt(sum(a.v * a.v)) + 1e-9 as na, sqrt(sum(b.v * b.v)) + 1e-9 as nb, least(max(a.n), max(b.n)) as n from me a join me b on a.tracklet_id = b.tracklet_id and a.cut_frame = b.cut_frame and a.k = b.k where not a.after and b.after group by 1, 2)
  select tracklet_id, cut_frame from ab where n >= 3 and 1 - ab / (na * nb) > 0.1e0"""
 
+# tracklets with the velocity at their end: six tenths of the old, four of the new step
+_TRACKLETS = """, obs as (select cast(id_jugador * 1000 + floor(frame / 250) as int) as tracklet_id, tiempo_s as t, x_m as x, y_m as y from positions where equipo < 2),
+ fo as (select tracklet_id, list(struct_pack(t := t, x := x, y := y, vx := 0e0, vy := 0e0) order by t, x, y) as o from obs group by 1),
+ tl as (select tracklet_id, o[1] as s, list_reduce(o, lambda a, p: struct_pack(t := p.t, x := p.x, y := p.y, vx := case when p.t - a.t > 0 then 0.6e0 * a.vx + 0.4e0 * (p.x - a.x) / (p.t - a.t) else a.vx end, vy := case when p.t - a.t > 0 then 0.6e0 * a.vy + 0.4e0 * (p.y - a.y) / (p.t - a.t) else a.vy end)) as e from fo),
+ pr as (select a.tracklet_id as a, b.tracklet_id as b, b.s.t - a.e.t as gap, sqrt((a.e.x + a.e.vx * (b.s.t - a.e.t) - b.s.x) * (a.e.x + a.e.vx * (b.s.t - a.e.t) - b.s.x) + (a.e.y + a.e.vy * (b.s.t - a.e.t) - b.s.y) * (a.e.y + a.e.vy * (b.s.t - a.e.t) - b.s.y)) as away,
+  sqrt((b.s.x - a.e.x) * (b.s.x - a.e.x) + (b.s.y - a.e.y) * (b.s.y - a.e.y)) / (b.s.t - a.e.t) as jump from tl a join tl b on b.s.t > a.e.t and b.s.t <= a.e.t + 6 and a.tracklet_id <> b.tracklet_id),
+ ca as (select a, b, jump, away / (1.2e0 + 3 * gap) + 0.3e0 * gap / 6 as cost from pr where away <= 1.2e0 + 3 * gap)"""
+
+_GREEDY_LINKS = f""", nu as (select *, row_number() over (order by cost, a, b) as i from ca),
+ go(i, has, is_, a, b, cost) as (select cast(0 as bigint), cast([] as int[]), cast([] as int[]), cast(null as int), cast(null as int), cast(null as double) union all
+  select nu.i, case when free then list_append(has, nu.a) else has end, case when free then list_append(is_, nu.b) else is_ end, case when free then nu.a end, nu.b, nu.cost
+  from (select go.i, has, is_, n.a as na, n.b as nb, not list_contains(has, n.a) and not list_contains(is_, n.b) as free from go join nu n on n.i = go.i + 1) g join nu on nu.i = g.i + 1)
+ select a, b, {R("cost")} as cost from go where a is not null"""
+
+_MUTUAL = f""", ra as (select *, row_number() over f as rf, row_number() over k as rb, lead(cost) over f as nf, lead(cost) over k as nb from ca where jump <= 8 window f as (partition by a order by cost, b), k as (partition by b order by cost, a))
+ select a, b, {R("cost")} as cost from ra where rf = 1 and rb = 1 and (nf is null or nf > cost * 1.15e0) and (nb is null or nb > cost * 1.15e0)"""
+
+# candidates in order, each with the first object that is still open and near: a list of each object's last place
+_OBJECTS = """, nu as (select *, row_number() over (order by frame, cand_idx) as i from ball_cand),
+ go(i, open_, object) as (select cast(0 as bigint), cast([] as struct(f int, x double, y double)[]), cast(null as int) union all
+  select i, case when spot > len(open_) then list_append(open_, struct_pack(f := frame, x := mx, y := my)) else list_concat(list_append(open_[:spot - 1], struct_pack(f := frame, x := mx, y := my)), open_[spot + 1:]) end, cast(spot - 1 as int)
+  from (select n.i, n.frame, n.mx, n.my, open_, coalesce(list_position(list_transform(open_, lambda o: n.frame - o.f <= 30 and sqrt((n.mx - o.x) * (n.mx - o.x) + (n.my - o.y) * (n.my - o.y)) <= 8), true), len(open_) + 1) as spot from go join nu n on n.i = go.i + 1)),
+ ob as (select nu.*, object from nu join go using (i))"""
+
+_PARKED = """, np as (select o.i, min(sqrt((mx - x_m) * (mx - x_m) + (my - y_m) * (my - y_m))) as d from ob o left join positions p on p.frame = o.frame group by 1),
+ sm as (select ob.*, d, sqrt((mx - lag(mx) over w) * (mx - lag(mx) over w) + (my - lag(my) over w) * (my - lag(my) over w)) as step from ob join np using (i) window w as (partition by object order by frame, cand_idx)),
+ pa as (select object from sm group by 1 having count(*) >= 3 and median(step) < 0.05e0 and coalesce(median(d), 'inf') > 10)
+ select frame, cand_idx from ob where object not in (select object from pa)"""
+
+_MERGED_BOXES = """, bx as (select frame, det_idx, 0 as tile, x1, y1, x2, y2 from detections where det_idx < 10 union all select frame, det_idx, 1, x1, y1, x2, y2 from detections where det_idx >= 8),
+ nu as (select *, row_number() over (partition by frame order by tile, det_idx) as i from bx),
+ go(frame, i, kept, ok) as (select distinct frame, cast(0 as bigint), cast([] as struct(a double, b double, c double, d double)[]), false from bx union all
+  select frame, i, case when fits then list_append(kept, struct_pack(a := x1, b := y1, c := x2, d := y2)) else kept end, fits
+  from (select n.frame, n.i, n.x1, n.y1, n.x2, n.y2, kept, n.tile = 0 or len(list_filter(kept, lambda k: greatest(least(n.x2, k.c) - greatest(n.x1, k.a), 0) * greatest(least(n.y2, k.d) - greatest(n.y1, k.b), 0) > 0.3e0 * ((n.x2 - n.x1) * (n.y2 - n.y1) + (k.c - k.a) * (k.d - k.b) - greatest(least(n.x2, k.c) - greatest(n.x1, k.a), 0) * greatest(least(n.y2, k.d) - greatest(n.y1, k.b), 0)))) = 0 as fits from go join nu n on n.frame = go.frame and n.i = go.i + 1))
+ select go.frame, det_idx as box_idx, tile from go join nu using (frame, i) where ok"""
+
+_FIELD_PRIOR = """, ca as (select frame, t, cand_idx, case when frame % 30 = 0 then 150e0 else mx end as mx, my from ball_cand),
+ fr as (select frame, t, list(struct_pack(c := cand_idx, x := mx, y := my) order by cand_idx) as cs, row_number() over (order by frame) as i from ca group by 1, 2),
+ go(i, last_t, last, out, frame) as (select cast(0 as bigint), cast(null as double), cast([] as struct(c int, x double, y double)[]), cast([] as struct(c int, x double, y double)[]), cast(null as int) union all
+  select i, case when len(ok) > 0 then t else last_t end, case when len(ok) > 0 then ok else last end, case when len(ok) > 0 then ok else cs end, frame
+  from (select f.i, f.t, f.frame, f.cs, last_t, last, list_filter(f.cs, lambda k: k.x >= -3 and k.x <= 103 and k.y >= -3 and k.y <= 67 and (last_t is null or len(list_filter(last, lambda q: sqrt((k.x - q.x) * (k.x - q.x) + (k.y - q.y) * (k.y - q.y)) <= 35 * (f.t - last_t) + 3)) > 0)) as ok from go join fr f on f.i = go.i + 1))
+ select frame, unnest(list_transform(out, lambda k: k.c)) as cand_idx from go where frame is not null"""
+
+_VALIDATION = """, bad as (select frame, det_idx, mx, my, x1, y1, y2, case when frame = 30 and det_idx = 1 then 1.5e0 else conf end as conf, case when frame = 60 then x1 else x2 end as x2 from detections),
+ fr as (select distinct frame from detections where frame not between 90 and 140), st as (select frame - lag(frame) over (order by frame) as step from fr),
+ ru as (select 'frames grow' as rule, 'error' as level, count(case when step <= 0 then 1 end) as n from st
+  union all select 'steps fit the sample', 'error', count(case when step % 3 <> 0 then 1 end) from st
+  union all select 'long gap', 'warning', count(case when step > 5 * (select min(step) from st where step > 0) then 1 end) from st
+  union all select 'mostly empty', 'error', count(case when b then 1 end) from (select count(case when n is null then 1 end) > 0.95e0 * count(*) as b from fr left join (select frame, count(*) as n from bad group by 1) using (frame))
+  union all select 'mx in metres', 'error', count(case when b then 1 end) from (select median(abs(mx)) > 300 as b from bad)
+  union all select 'my in metres', 'error', count(case when b then 1 end) from (select median(abs(my)) > 300 as b from bad)
+  union all select 'confidence', 'error', count(case when not (conf between 0 and 1) then 1 end) from bad
+  union all select 'upright boxes', 'error', count(case when x2 <= x1 or y2 <= y1 then 1 end) from bad)
+ select rule, level, n from ru where n > 0"""
+
 ORACLES: dict[str, str] = {
     "fine_heatmap": _fine_heatmap(),
     "resolution_lookup": _resolution(),
@@ -246,4 +301,12 @@ ORACLES: dict[str, str] = {
     "ball_anchor_share": _recursive(_anchored(0, 3.0)),
     "greedy_match": _recursive(sql("gt_obs positions", _GREEDY)),
     "reentry_gate": sql("features", _REENTRY),
+    "stitch_greedy": _recursive(sql("positions", _TRACKLETS + _GREEDY_LINKS)),
+    "purity_stitch_pass": sql("positions", _TRACKLETS + _MUTUAL),
+    "ball_objects": _recursive(sql("ball_cand", _OBJECTS + " select object, count(*) as n from ob group by 1")),
+    "parked_balls": _recursive(sql("ball_cand positions", _OBJECTS + _PARKED)),
+    "merged_boxes": _recursive(sql("detections", _MERGED_BOXES)),
+    "field_prior": _recursive(sql("ball_cand", _FIELD_PRIOR)),
+    "cache_validation": sql("detections", _VALIDATION),
+    "fused_boxes": sql("detections", ", j as (select det_idx as tracklet_id, frame, y2 - y1 as h, quantile_cont(y2 - y1, 0.5e0) over (partition by det_idx) as usual, sqrt((mx - lag(mx) over w) * (mx - lag(mx) over w) + (my - lag(my) over w) * (my - lag(my) over w)) as jump from detections window w as (partition by det_idx order by frame)) select tracklet_id, frame from j where jump > 1 and h >= 1.1e0 * usual"),
 }

@@ -175,9 +175,9 @@ QUERIES: dict[str, Query] = {
     "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12)),
     "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
     "box_tracker": over("detections")(lambda d: tracking.box_tracker(d)),
-    "stitch_greedy": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))))),
+    "stitch_greedy": over("positions")(lambda p: _q(tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p)))), "cost", keep=("a", "b"))),
     "stitch_global": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))), "global")),
-    "purity_stitch_pass": over("positions")(lambda p: tracking.mutual_best(tracking.stitch_candidates(tracking.summaries(_tracklets(p)), v_max=8.0))),
+    "purity_stitch_pass": over("positions")(lambda p: _q(tracking.mutual_best(tracking.stitch_candidates(tracking.summaries(_tracklets(p)), v_max=8.0)), "cost", keep=("a", "b"))),
     "purity_stitch": over("positions")(lambda p: tracking.purity_stitch(_tracklets(p)).groupBy("identity_id").agg(F.count("*").alias("n"))),
     "identities": over("positions")(lambda p: tracking.components(_tracklets(p).select("tracklet_id").distinct(), tracking.unique_links(tracking.plausible_links(tracking.summaries(_tracklets(p)))))),
     "duplicate_pairs": over("positions")(lambda p: tracking.duplicates(p, 3, 6.0)),
