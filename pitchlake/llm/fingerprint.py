@@ -22,6 +22,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,18 +152,17 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     if n > 1:
         cuts = sorted(set(source.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0]))
     step = max(1, int(len(cuts) ** 0.5))
-    fine, coarse = F.lit(cuts or [_LOWEST]), F.lit(cuts[step - 1 :: step] or [_LOWEST])
-    if cuts:
-        over = F.size(F.filter(coarse, lambda c: c < F.col("place"))) * step
-        number = over + F.size(F.filter(F.slice(fine, over + 1, F.lit(step)), lambda c: c < F.col("place")))
-    else:
-        number = F.lit(0)
-    ranged = source.withColumn("range", number.cast("int")).withColumn("tie", F.xxhash64("text"))
+    spark = docs.sparkSession
+    listed = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")
+    bounds = spark.range(1).select(listed(cuts).alias("fine"), listed(cuts[step - 1 :: step]).alias("coarse"))
+    # a place's range: how many bounds are below it, by coarse steps first
+    over = F.size(F.filter("coarse", lambda c: c < F.col("place"))) * step
+    number = over + F.size(F.filter(F.slice("fine", over + 1, F.lit(step)), lambda c: c < F.col("place")))
+    ranged = source.crossJoin(F.broadcast(bounds)).withColumn("range", number.cast("int")).withColumn("tie", F.xxhash64("text")).drop("fine", "coarse")
     order = [F.col("place").desc(), F.col("tie"), F.col("text")]
     # one row for each range reaches the driver: its number and largest id
     tops = sorted((r["range"], r["place"]) for r in ranged.groupBy("range").agg(F.max("place").alias("place")).collect())
     above = {place: tops[(i + 1) % len(tops)][0] for i, (_, place) in enumerate(tops)}
-    spark = docs.sparkSession
     target = spark.createDataFrame(list(above.items()), "place bigint, target int")
     heads = ranged.join(F.broadcast(target), "place").withColumn("first", F.row_number().over(W.partitionBy("place").orderBy("tie", "text"))).where("first = 1")
     both = ranged.withColumn("extra", F.lit(0)).unionByName(heads.select("doc_id", "text", "place", F.col("target").alias("range"), "tie", F.lit(1).alias("extra")))

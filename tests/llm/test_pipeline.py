@@ -60,3 +60,8 @@ def test_repeated_rows_and_null_ids(spark, make):
     assert cp.near_duplicates(spark, docs, "").count() == 3
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_without_labels_all_texts_stay(spark, make):
+    docs = make([(1, "abc def"), (2, None), (3, "12 34"), (4, "ä"), (None, "x")])
+    assert sorted(str(r["doc_id"]) for r in cp.language(spark, docs, "").collect()) == ["1", "4", "None"]
