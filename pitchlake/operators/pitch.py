@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 
@@ -108,6 +112,60 @@ def reprojection_error(points: DataFrame, h: fn.Homography) -> DataFrame:
     return points.select("name", fn.rounded(F.sqrt((x - F.col("x_m")) ** 2 + (y - F.col("y_m")) ** 2)).alias("error_m"))
 
 
+def least_squares_homography(px: np.ndarray, m: np.ndarray) -> np.ndarray | None:
+    """The homography that takes pixels (n x 2) to metres at the least algebraic error, both scaled to unit spread first; none if the points are on a line."""
+
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        centre, spread = x.mean(0), max(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).mean(), 1e-12)
+        t = np.array([[2**0.5 / spread, 0, -(2**0.5) * centre[0] / spread], [0, 2**0.5 / spread, -(2**0.5) * centre[1] / spread], [0, 0, 1]])
+        return np.c_[x, np.ones(len(x))] @ t.T, t
+
+    (a, ta), (b, tb) = unit(px), unit(m)
+    zero = np.zeros_like(a)
+    rows = np.vstack([np.hstack([a, zero, -b[:, :1] * a]), np.hstack([zero, a, -b[:, 1:2] * a])])
+    _, sizes, v = np.linalg.svd(rows)
+    if len(sizes) >= 8 and sizes[7] < 1e-9 * sizes[0]:
+        return None
+    h = np.linalg.inv(tb) @ v[-1].reshape(3, 3) @ ta
+    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+
+
+def fit_homography(clicks: DataFrame, most_m: float = 1.0, key: list[str] | None = None, trials: int = 500) -> DataFrame:
+    """A homography for each camera of ``key`` from clicks (``name, px, py, x_m, y_m``): ``h`` (nine numbers by rows), ``inliers``, ``clicks``, ``error_m``.
+
+    Consensus: of the fits to four clicks the one that most clicks agree with to
+    ``most_m`` metres (of equals the least error), fitted again to all of these. Clicks
+    of a camera are a few dozen; all fours are tried, or ``trials`` of them by a
+    fixed seed. Fewer than four clicks, or none that fit, give no row.
+    """
+    own = key or []
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("name")
+        px, m = g[["px", "py"]].to_numpy(float), g[["x_m", "y_m"]].to_numpy(float)
+
+        def errors(h: np.ndarray) -> np.ndarray:
+            at = np.c_[px, np.ones(len(px))] @ h.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.nan_to_num(np.hypot(*(at[:, :2] / at[:, 2:] - m).T), nan=np.inf)
+
+        fours = list(itertools.combinations(range(len(g)), 4)) if math.comb(len(g), 4) <= trials else [np.random.default_rng(7 + i).choice(len(g), 4, replace=False) for i in range(trials)]
+        best: tuple[int, float, np.ndarray] | None = None
+        for four in fours:
+            h = least_squares_homography(px[list(four)], m[list(four)])
+            if h is not None:
+                e = errors(h)
+                near = e <= most_m
+                if near.sum() >= 4 and (best is None or (near.sum(), -e[near].sum()) > (best[0], -best[1])):
+                    best = (int(near.sum()), float(e[near].sum()), near)
+        h = least_squares_homography(px[best[2]], m[best[2]]) if best else None
+        rows = [] if h is None else [(*(g[c].iloc[0] for c in own), h.ravel().tolist(), int((errors(h) <= most_m).sum()), len(g), float(errors(h)[best[2]].mean()))]
+        return pd.DataFrame(rows, columns=[*own, "h", "inliers", "clicks", "error_m"])
+
+    schema = T.StructType([*(clicks.schema[c] for c in own), T.StructField("h", T.ArrayType(T.DoubleType())), T.StructField("inliers", T.IntegerType()), T.StructField("clicks", T.IntegerType()), T.StructField("error_m", T.DoubleType())])
+    return clicks.groupBy(*own).applyInPandas(run, schema)
+
+
 def image_band(spark: SparkSession, h: fn.Homography, x1: float, x2: float, y1: float, y2: float, n: int = 25) -> DataFrame:
     """Rows of the image that a rectangle of the pitch covers."""
     i = spark.range(n * n).select((F.col("id") % n).alias("a"), F.floor(F.col("id") / n).alias("b"))

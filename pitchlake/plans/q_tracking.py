@@ -82,6 +82,14 @@ def _violations(d):
     return sources.content_violations(bad, frames.where("frame not between 90 and 140"), 3)
 
 
+def _clicks(spark):
+    """Clicks on the pitch's named points through the homography of these queries; every ninth is far off."""
+    back = pitch.inverse(H)
+    at = lambda x, y: [(r[0] * x + r[1] * y + r[2]) / (back[2][0] * x + back[2][1] * y + back[2][2]) for r in back[:2]]
+    rows = [(n, *(c + (90.0 if i % 9 == 4 else 0.0) for c in at(x, y)), x, y) for i, (n, (x, y)) in enumerate(sorted(_P.points().items()))]
+    return spark.createDataFrame(rows, "name string, px double, py double, x_m double, y_m double")
+
+
 def _jumping(d):
     """Detections as tracklets that jump every 40 frames of their own, into a box twice as tall that moves as a whole."""
     own = F.floor(F.col("frame") / 120)
@@ -119,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "occluded_detections": over("detections")(lambda d: filters.occluded(d).select("frame", "det_idx")),
     "resolution_lookup": over("positions")(lambda p: pitch.with_resolution(p, pitch.resolution_grid(p.sparkSession, H, _P), _P).groupBy("id_jugador").agg(F.count("*").alias("n"), fn.rounded(F.avg("factor"), 4).alias("factor"))),
     "scale_audit": over("positions")(lambda p: pitch.scale_audit(pitch.points_table(p.sparkSession, _P).withColumn("x_m", F.col("x_m") + 0.5), p.sparkSession, _P)),
+    "homography_fit": over("positions")(lambda p: _q(pitch.fit_homography(_clicks(p.sparkSession)), "error_m", keep=("inliers", "clicks"))),
     "image_band": over("positions")(lambda p: pitch.image_band(p.sparkSession, H, 80.0, 100.0, 0.0, 64.0)),
     "visible_field": over("positions")(lambda p: pitch.visible_field(p.sparkSession, H, 1920, 1080, _P)),
     "input_checks": over("detections")(lambda d: pitch.input_checks(d, 400, 500)),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.operators import ball, evaluation, review, teams, tracking
+from pitchlake.operators import ball, evaluation, pitch, review, teams, tracking
 
 POS = "match_no int, frame int, tiempo_s double, id_jugador int, equipo int, etiqueta string, x_m double, y_m double, es_real int"
 BALL = "match_no int, frame int, t double, cand_idx int, mx double, my double, px double, py double, h_px double, conf double"
@@ -161,3 +161,19 @@ def test_fused_cuts_against_plain_python(spark, seed):
     df = spark.createDataFrame([(7, 3 * k, *map(float, r)) for k, r in enumerate(rows)], "tracklet_id int, frame int, t double, x_m double, y_m double, x1 double, y1 double, x2 double, y2 double")
     got = sorted(r["frame"] // 3 for r in tracking.fused_cuts(df).collect())
     assert got == brute_cuts(rows)
+
+
+def test_homography_fit(spark):
+    h = np.array([[0.05, 0.002, -3.0], [0.001, 0.09, -12.0], [0.00001, 0.0004, 1.0]])
+    rng = np.random.default_rng(3)
+    rows = []
+    for cam in (1, 2):
+        px = rng.uniform([100, 100], [1800, 1000], (14, 2))
+        m = np.c_[px, np.ones(14)] @ h.T
+        m = m[:, :2] / m[:, 2:] + (rng.normal(0, 0.05, (14, 2)) if cam == 2 else 0)
+        m[:3] += 20.0  # clicked on the wrong point
+        rows += [(cam, f"p{i:02}", *map(float, (*px[i], *m[i]))) for i in range(14)]
+    rows += [(3, f"p{i}", float(i), float(i), float(i), float(i)) for i in range(6)] + [(4, "a", 1.0, 2.0, 3.0, 4.0)]
+    got = {r["cam"]: r for r in pitch.fit_homography(spark.createDataFrame(rows, "cam int, name string, px double, py double, x_m double, y_m double"), key=["cam"]).collect()}
+    assert set(got) == {1, 2} and all(got[c]["inliers"] == 11 and got[c]["clicks"] == 14 for c in got)
+    assert np.allclose(np.array(got[1]["h"]).reshape(3, 3), h, atol=1e-6) and got[2]["error_m"] < 0.1
