@@ -309,4 +309,5 @@ ORACLES: dict[str, str] = {
     "field_prior": _recursive(sql("ball_cand", _FIELD_PRIOR)),
     "cache_validation": sql("detections", _VALIDATION),
     "fused_boxes": sql("detections", ", j as (select det_idx as tracklet_id, frame, y2 - y1 as h, quantile_cont(y2 - y1, 0.5e0) over (partition by det_idx) as usual, sqrt((mx - lag(mx) over w) * (mx - lag(mx) over w) + (my - lag(my) over w) * (my - lag(my) over w)) as jump from detections window w as (partition by det_idx order by frame)) select tracklet_id, frame from j where jump > 1 and h >= 1.1e0 * usual"),
+    "pruned_embeddings": sql("detections features", ", b as (select det_idx as k, frame, frame - lag(frame) over (partition by det_idx order by frame) as gap from detections), re as (select k, frame as f from b where gap >= 6 union all select k, frame - gap from b where gap >= 6) select det_idx as tracklet_id, frame, det_idx from features x where exists (select 1 from re where k = x.det_idx and abs(x.frame - f) <= 3)"),
 }

@@ -91,9 +91,9 @@ def _clicks(spark):
 
 
 def _jumping(d):
-    """Detections as tracklets that jump every 40 frames of their own, into a box twice as tall that moves as a whole."""
-    own = F.floor(F.col("frame") / 120)
-    tall = F.col("frame") % 120 < 6
+    """Detections as tracklets that jump every 60 frame numbers, into a box twice as tall that moves as a whole."""
+    own = F.floor(F.col("frame") / 60)
+    tall = F.col("frame") % 60 < 6
     shift = (own % 2) * 5.0
     return d.select(F.col("det_idx").alias("tracklet_id"), "frame", "t", (F.col("det_idx") * 3 + 10.0 + shift).alias("x_m"), F.lit(20.0).alias("y_m"), (F.col("det_idx") * 20 + shift * 10).alias("x1"), (300 + shift * 10 - F.when(tall, 40).otherwise(0)).alias("y1"), (F.col("det_idx") * 20 + shift * 10 + 15).alias("x2"), (340 + shift * 10).alias("y2"))
 
@@ -195,7 +195,7 @@ QUERIES: dict[str, Query] = {
     "colour_cuts": over("positions")(lambda p: tracking.colour_cuts(p.withColumn("equipo", F.when((F.col("id_jugador") < 6) & (F.col("frame") > 600), 1).otherwise(F.col("equipo"))))),
     "fused_boxes": over("detections")(lambda d: tracking.fused_boxes(d.withColumn("tracklet_id", F.col("det_idx")).withColumnsRenamed({"mx": "x_m", "my": "y_m"}), 1.0, 1.1).select("tracklet_id", "frame")),
     "fused_cuts": over("detections")(lambda d: tracking.fused_cuts(_jumping(d), 1.0)),
-    "pruned_embeddings": over("detections", "features")(lambda d, f: tracking.pruned_embeddings(d.select((F.col("det_idx") % 4).alias("tracklet_id"), "frame").distinct(), f.select((F.col("det_idx") % 4).alias("tracklet_id"), "frame", "det_idx"), 3, 6)),
+    "pruned_embeddings": over("detections", "features")(lambda d, f: tracking.pruned_embeddings(d.select(F.col("det_idx").alias("tracklet_id"), "frame"), f.select(F.col("det_idx").alias("tracklet_id"), "frame", "det_idx"), 3, 6)),
     "crossing_frames": over("detections")(tracking.crossings),
     "reentry_gate": over("features")(lambda f: tracking.reentry_gate(f.select((F.col("det_idx") % 4).alias("tracklet_id"), (F.col("frame") * 10 + F.col("det_idx")).alias("frame"), F.col("feat").alias("emb")), 8, 0.1)),
     "appearance_cuts": over("features")(lambda f: tracking.appearance_cuts(f.select((F.col("det_idx") % 4).cast("int").alias("tracklet_id"), (F.col("frame") * 10 + F.col("det_idx")).cast("int").alias("frame"), F.col("feat").alias("emb")), 6, 0.3)),
