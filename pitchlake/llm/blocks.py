@@ -4,7 +4,8 @@ Documents fall into blocks by a hash. A block sends each of ``n_buckets`` hash
 ranges the sorted distinct keys that it needs, packed, with its own counts; a
 range adds up what all blocks sent and answers each with the totals, in the
 order of the request; the block, whose documents are at hand again, goes on
-with them. Every document, block and range is a row or a few, so a frequent key
+with them. A block's documents travel as compressed Arrow data, packed where they
+are read. Every document, block and range is a row or a few, so a frequent key
 is one entry for each block, never a hot group. Sizes of blocks and ranges are
 bounded by parameters; their numbers grow with the input.
 
@@ -17,7 +18,7 @@ again: rows then grow in proportion to the input, not with its square.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, tidied, tidied_pair
+from .common import blocks_for, tidied, tidied_batches, tidied_pair
 
 U = np.uint64
 #: Bytes of texts whose words are coded at a time.
@@ -35,6 +36,8 @@ CODED_BYTES = 1 << 20
 FAN = 4096
 #: Of the holders of a key, so many at most ask the same one (see ``holders`` in ``counted``).
 ARITY = 16
+#: Bytes of documents that a task packs at a time.
+PACKED_BYTES = 16 << 20
 _BASE = U(0xC2B2AE3D27D4EB4F)
 _BASE_INVERSE = U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -122,9 +125,9 @@ class Plan:
     fan: int = FAN
 
     @classmethod
-    def fit(cls, size: int, block_bytes: int, bucket_bytes: int, spare: int = 64) -> Plan:
-        """For texts of ``size`` bytes. spare: 2 ** spare times as many keys as bytes exist, so that few meet by chance."""
-        bits = min(64, max(32, math.ceil(math.log2(max(size, 2))) + spare))
+    def fit(cls, size: int, block_bytes: int, bucket_bytes: int, spare: int = 64, least: int = 32) -> Plan:
+        """For texts of ``size`` bytes. spare: 2 ** spare times as many keys as bytes exist (2 ** least keys at least), so that few meet by chance."""
+        bits = min(64, max(least, math.ceil(math.log2(max(size, 2))) + spare))
         return cls(blocks_for(size, block_bytes), blocks_for(size, bucket_bytes), bits, FAN)
 
     @property
@@ -148,37 +151,88 @@ class Plan:
         return (((cut << U(64 - self.bits)) >> U(32)) * U(self.n_buckets)) >> U(32)
 
 
-def in_blocks(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``docs`` (``doc_id``, ``text`` and more) with the number of their block."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.n_blocks).cast("long")))
+def in_blocks(docs: DataFrame, plan: Plan, *key: str) -> DataFrame:
+    """``block`` and ``rows``: ``docs`` (``doc_id``, ``text`` and more) dealt by a hash of ``key`` (by default id and text) and packed."""
+    number = F.pmod(F.xxhash64(*(key or ("doc_id", "text"))), F.lit(plan.n_blocks).cast("long"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting)
+            blocks = table.column("block").to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            table, blocks = table.take(pa.array(order)).drop_columns(["block"]).combine_chunks(), blocks[order]
+            edges = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(blocks[edges[:-1]]), pa.array([_closed(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["block", "rows"])
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+            if sum(x.nbytes for x in waiting) >= PACKED_BYTES:
+                yield flush()
+                waiting.clear()
+        if waiting:
+            yield flush()
+
+    return docs.withColumn("block", number).mapInArrow(tidied_batches(pack), "block long, rows binary")
+
+
+def _closed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def sorted_block(table: pa.Table) -> pa.Table:
+    """A block's documents in an order of their own, whatever order they arrived in (a recomputed task may see another)."""
+    parts = [pa.ipc.open_stream(pa.py_buffer(raw.as_buffer())).read_all() for raw in table.column("rows")]
+    return pa.concat_tables(parts).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def shut(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def opened(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts as a byte each; those of 255 and more follow in eight bytes."""
-    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """Counts as a byte each, compressed; those of 255 and more follow in eight bytes."""
+    return shut(np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<u8").tobytes())
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
+    raw = opened(raw)
     out = np.frombuffer(raw, "u1", n).astype("i8")
     out[out == 255] = np.frombuffer(raw, "u1", offset=n).view("<u8").astype("i8")
     return out
 
 
 def coded(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences of the cheapest width, told by the first byte; wider ones follow in eight bytes."""
+    """Ascending keys as differences of the cheapest width, told by the first byte; wider ones follow in eight bytes.
+
+    Bytes of one rank stand together, so that those of high ranks compress.
+    """
     gaps = np.diff(keys, prepend=U(0))
     wide = [int(np.count_nonzero(gaps >= U((1 << 8 * w) - 1))) for w in range(1, 8)] + [0]
     width = min(range(1, 9), key=lambda w: len(gaps) * w + 8 * wide[w - 1])
-    if width == 8:
-        return b"\x08" + gaps.astype("<u8").tobytes()
-    most = U((1 << 8 * width) - 1)
-    return bytes([width]) + np.minimum(gaps, most).astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes() + gaps[gaps >= most].astype("<u8").tobytes()
+    most = U((1 << 8 * width) - 1) if width < 8 else U(2**64 - 1)
+    planes = np.ascontiguousarray(np.minimum(gaps, most).astype("<u8").view("u1").reshape(-1, 8)[:, :width].T)
+    return shut(bytes([width]) + planes.tobytes() + (gaps[gaps >= most].astype("<u8").tobytes() if width < 8 else b""))
 
 
 def decoded(raw: bytes, n: int) -> np.ndarray:
+    raw = opened(raw)
     width = raw[0]
     gaps = np.zeros((n, 8), "u1")
-    gaps[:, :width] = np.frombuffer(raw, "u1", n * width, 1).reshape(n, width)
+    gaps[:, :width] = np.frombuffer(raw, "u1", n * width, 1).reshape(width, n).T
     gaps = gaps.view("<u8").ravel()
     if width < 8:
         gaps[gaps == U((1 << 8 * width) - 1)] = np.frombuffer(raw, "u1", offset=1 + n * width).view("<u8")
@@ -186,7 +240,7 @@ def decoded(raw: bytes, n: int) -> np.ndarray:
 
 
 Ask = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
-Finish = Callable[[pa.Table, np.ndarray], pa.Table]
+Finish = Callable[[pa.Table, int, np.ndarray], pa.Table]
 
 _REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("who", pa.binary())])
 _REQUESTS = "bucket int, block long, n int, keys binary, counts binary, who binary"
@@ -198,13 +252,14 @@ def _told(holders: bool, totals: np.ndarray, parents: np.ndarray) -> bytes:
     if not holders:
         return packed(totals)
     again = totals >= 2
-    return np.packbits(again).tobytes() + parents[again].astype("<i4").tobytes()
+    return shut(np.packbits(again).tobytes() + parents[again].astype("<i4").tobytes())
 
 
 def _heard(holders: bool, raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Totals (or 2 and 1 for keys that occur again and others), and parents (or none)."""
     if not holders:
         return unpacked(raw, n), np.zeros(0, "i8")
+    raw = opened(raw)
     again = np.unpackbits(np.frombuffer(raw, "u1", -(-n // 8)), count=n).astype(bool)
     parents = np.full(n, -1)
     parents[again] = np.frombuffer(raw, "u1", offset=-(-n // 8)).view("<i4")
@@ -310,8 +365,9 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
     chosen: ``c_block`` and ``c_h``, block and digest ``h`` of the rows of ``blocked`` to go by; others are left out.
 
     ask: from a block's documents (in the order of ``sorted_block``) the sorted
-    distinct 64-bit keys and the counts of each. finish: from the documents and
-    the totals over all blocks, in the order of the keys, a table of ``schema``.
+    distinct 64-bit keys and the counts of each. finish: from the documents, the
+    block's number and the totals over all blocks, in the order of the keys, a table
+    of ``schema``.
 
     holders: finish gets, instead of the totals, for each key -2 where it occurs
     once in all blocks, else another block that holds it and that this block may
@@ -321,22 +377,26 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
     picky = chosen is not None
 
     def request_chosen(table: pa.Table, side: pa.Table) -> pa.Table:
-        table = only(sorted_block(table), side)
-        return request(table) if table.num_rows else _REQUEST.empty_table()
+        found = only(sorted_block(table), side) if table.num_rows else table
+        return asked(found, table.column("block")[0].as_py()) if found.num_rows else _REQUEST.empty_table()
 
     def request(table: pa.Table) -> pa.Table:
-        keys, counts = ask(sorted_block(table))
-        return _sent(plan, plan.cut(keys), counts, None, plan.span, table.column("block")[0].as_py())
+        return asked(sorted_block(table), table.column("block")[0].as_py())
+
+    def asked(found: pa.Table, block: int) -> pa.Table:
+        keys, counts = ask(found)
+        return _sent(plan, plan.cut(keys), counts, None, plan.span, block)
 
     def end(table: pa.Table, replies: pa.Table) -> pa.Table:
         if picky:
             sides = pc.is_valid(replies.column("c_h"))
-            table, replies = only(sorted_block(table), replies.filter(sides)), replies.filter(pc.invert(sides))
-        table = sorted_block(table)
+            found, replies = only(sorted_block(table), replies.filter(sides)), replies.filter(pc.invert(sides))
+        else:
+            found = sorted_block(table)
         totals, parents = _hear(holders, replies)
         if holders:
             totals = np.where(totals >= 2, parents, -2)
-        return finish(table, totals)
+        return finish(found, table.column("block")[0].as_py(), totals)
 
     if chosen is None:
         requests = blocked.groupBy("block").applyInArrow(tidied(request), _REQUESTS)
@@ -346,8 +406,3 @@ def counted(blocked: DataFrame, plan: Plan, ask: Ask, finish: Finish, schema: st
     if chosen is not None:
         replies = replies.unionByName(chosen.select(F.col("c_block").alias("block"), "c_h"), allowMissingColumns=True)
     return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidied_pair(end), schema)
-
-
-def sorted_block(table: pa.Table) -> pa.Table:
-    """A block's rows in an order of their own, whatever order they arrived in (a recomputed task may see another)."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,17 +23,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set what the Python stages need: small Arrow batches, a checkpoint folder.
 
     The folder named in ``spark.checkpoint.dir`` is used as it stands (it is the
-    one that driver and executors share); only a session without it, as in
+    one that driver and executors share); only a local session without it, as in
     tests, gets a folder of its own.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pitchlake-checkpoints"))
     return spark
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage between two phases: only then does Spark delete their shuffle files and dropped checkpoints, and the driver's heap stays small."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` only (null text: empty); other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

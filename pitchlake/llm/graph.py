@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U, mixed
+from .common import swept
+
+#: Links of a later round that one task takes: few are left, and a forest of all of them ends the rounds.
+TASK_LINKS = 1 << 17
 
 
 def roots(a: np.ndarray, b: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges share is one row of each partition. A node that partitions give
     different roots connects those roots: these are the edges of the next round.
     Roots come first by a hash salted anew, so that the nodes of any graph that is
-    left become fewer by a constant share, long chains too. Rounds are
-    checkpointed; nothing but whether edges are left reaches the driver.
+    left become fewer by a constant share, long chains too. Later rounds take
+    ``TASK_LINKS`` links a task. Rounds are checkpointed; nothing but the number of
+    links left reaches the driver.
     """
     rounds: list[DataFrame] = []
     edges = edges.where("a <> b").select("a", "b")
@@ -58,11 +63,14 @@ def components(edges: DataFrame) -> DataFrame:
         first: Column = F.array_min(F.transform("roots", lambda r: F.struct(F.xxhash64(r, F.lit(salt)).alias("h"), r.alias("r"))))["r"]
         forest = edges.mapInArrow(_forest(salt), "node long, root long").groupBy("node").agg(F.collect_set("root").alias("roots"))
         rounds.append(forest.select("node", "roots", first.alias("label")).checkpoint())
-        edges = rounds[-1].where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("label").alias("b")).where("a <> b").distinct()
-        if edges.isEmpty():
+        edges = rounds[-1].where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("label").alias("b")).where("a <> b")
+        left = edges.count()
+        if not left:
             break
+        edges = edges.coalesce(-(-left // TASK_LINKS))
+        swept(edges.sparkSession)
     labels = rounds[-1].select("node", "label")
     for earlier in reversed(rounds[:-1]):
         beyond = labels.select(F.col("node").alias("through"), F.col("label").alias("beyond"))
         labels = earlier.select("node", F.col("label").alias("through")).join(beyond, "through", "left").select("node", F.coalesce("beyond", "through").alias("label"))
-    return labels
+    return labels.checkpoint() if len(rounds) > 1 else labels

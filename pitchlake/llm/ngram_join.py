@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Plan, U, Words, counted, mixed
-from .common import prepare, texts, tidied, tidied_pair, total_bytes
+from .blocks import Plan, U, Words, counted, in_blocks, mixed
+from .common import prepare, swept, texts, tidied, tidied_pair, total_bytes
 from .graph import components
 
 SHINGLE, PERCENT = 4, 85
@@ -90,7 +90,7 @@ def _ask(k: int):
 
 
 def _sketch(k: int, percent: int):
-    def finish(table: pa.Table, totals: np.ndarray) -> pa.Table:
+    def finish(table: pa.Table, block: int, totals: np.ndarray) -> pa.Table:
         sets = shingle_sets(table, k)
         flat = np.concatenate([np.zeros(0, "u8"), *sets])
         df = totals[np.searchsorted(np.unique(flat), flat)] if len(flat) else totals
@@ -212,22 +212,26 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     """``doc_id, n_shingles, component_id`` and ``h``, a digest of the text, for each row of ``docs`` (``doc_id``, ``text``)."""
     prepare(docs.sparkSession)
     plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES, SPARE_BITS)
-    block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(plan.n_blocks).cast("long"))
     digested = docs.withColumn("h", F.unhex(F.md5("text")))
     keyed = digested.select("doc_id", "h").checkpoint()
     classes = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    chosen = classes.select(block.alias("c_block"), F.col("h").alias("c_h"))
+    blocked = in_blocks(digested, plan, "doc_id", "h")
+    chosen = classes.select(F.pmod(F.xxhash64("doc_id", "h"), F.lit(plan.n_blocks).cast("long")).alias("c_block"), F.col("h").alias("c_h"))
     schema = "h binary, n long, alone long, entries array<bigint>, marks array<bigint>, grams binary"
     # a class's number is unique, and fixed by the checkpoint
-    everything = counted(digested.withColumn("block", block), plan, _ask(k), _sketch(k, percent), schema, chosen).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    everything = counted(blocked, plan, _ask(k), _sketch(k, percent), schema, chosen).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    swept(docs.sparkSession)
     sketches = everything.where(F.size("entries") > 0).select("node", "n", "alone", "entries", "marks", "grams")
     links = _leaders(sketches, 0, percent)
     for i in range(1, ROUNDS):
         links = links.unionAll(_leaders(sketches, i, percent))
     links = links.checkpoint()
+    swept(docs.sparkSession)
     labels = components(links)
+    swept(docs.sparkSession)
     more = _between(sketches, labels, percent)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
+    swept(docs.sparkSession)
     placed = classes.join(everything.select("h", "n", "node"), "h").join(labels, "node", "left").select("h", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     whole = placed.join(named, "label").select("h", F.col("n").alias("n_shingles"), "component_id")

@@ -202,7 +202,7 @@ _ASKED = pa.schema([("home", pa.int64()), ("block", pa.int64()), ("words", pa.bi
 
 
 def _asked(window: int):
-    def finish(table: pa.Table, parents: np.ndarray) -> pa.Table:
+    def finish(table: pa.Table, block: int, parents: np.ndarray) -> pa.Table:
         """A row for each shard that this one asks: its distinct pieces as numbered words, and their places."""
         words = _words(table)
         hashes = words.windows(window)
@@ -212,7 +212,6 @@ def _asked(window: int):
         docs = _document(words, firsts)
         within = firsts - words.starts[docs]
         home = homes[np.searchsorted(places, firsts)]
-        block = table.column("block")[0].as_py()
         rows: dict[str, list] = {name: [] for name in _ASKED.names}
         for h in np.unique(home).tolist():
             mine = np.flatnonzero(home == h)
@@ -304,7 +303,6 @@ def _cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         else:
             n_removed.append(0)
         kept.append(b" ".join(words))
-    table = table.drop_columns(["block"])
     for name, values in (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept", pa.array(kept, pa.binary()).cast(pa.string()))):
         table = table.append_column(name, values)
     return table

@@ -42,8 +42,9 @@ def test_roots_of_one_partition():
     assert sorted(map(sorted, by_root.values())) == groups(edges) and all(r in s for r, s in by_root.items())
 
 
-@pytest.mark.parametrize("parts", [1, 7, 40])
-def test_components_over_partitions(spark, parts):
+@pytest.mark.parametrize(("parts", "links"), [(1, 1 << 17), (7, 1 << 17), (40, 10)])
+def test_components_over_partitions(spark, monkeypatch, parts, links):
+    monkeypatch.setattr(graph, "TASK_LINKS", links)
     edges = shapes()
     df = spark.createDataFrame([*edges, (77, 77)], "a long, b long").repartition(parts)
     by_label = {}
