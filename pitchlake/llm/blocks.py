@@ -37,7 +37,7 @@ FAN = 4096
 #: Of the holders of a key, so many at most ask the same one (see ``holders`` in ``counted``).
 ARITY = 16
 #: Bytes of documents that a task packs at a time.
-PACKED_BYTES = 16 << 20
+PACKED_BYTES = 8 << 20
 _BASE = U(0xC2B2AE3D27D4EB4F)
 _BASE_INVERSE = U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)

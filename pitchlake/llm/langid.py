@@ -131,7 +131,7 @@ def document_frequencies(labelled: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(d + 1, "i8")  # the last counts rows
         for batch in batches:
-            for part in runs(batch, "text", RUN_BYTES):
+            for part in runs(batch, "text", RUN_BYTES // 8):  # a place is three keys of eight bytes here
                 codes, starts = _codes(part.column("text").to_pylist())
                 text = np.repeat(np.arange(len(starts), dtype="u8"), np.diff(np.append(starts, len(codes) - 2)))
                 both = np.unique(np.concatenate([text << np.uint64(BITS) | _features(codes, o) for o in ORDERS]))

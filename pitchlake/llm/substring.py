@@ -35,7 +35,7 @@ from .blocks import Plan, U, Words, counted, in_blocks, sorted_block
 from .common import prepare, texts, tidied_pair, total_bytes
 
 WINDOW = 35
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
 #: The most runs of one piece, and every so many-th place of the suffix array that an index keeps.
 MOST, SAMPLED = 128, 16
@@ -239,6 +239,7 @@ def _matched(window: int):
         equal = np.diff(hashes[order]) == 0
         twice = np.zeros(len(hashes), bool)
         twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+        del hashes, order, equal
         spans: dict[int, list[np.ndarray]] = {}
         if asked.num_rows or twice.any():
             tokens = words.ids.astype("i8") + 1
