@@ -199,10 +199,8 @@ def _slots(raw: list[str], words: np.ndarray) -> list[list[int]]:
     folded = [_DIGITS.sub("0", t.lower()).encode("utf-8", "surrogatepass") for t in raw]
     if not words.any():
         return [[] for _ in raw]
-    import xxhash
-
     own = Words.of(folded)
-    low = np.array([xxhash.xxh3_64_intdigest(w) for w in own.vocabulary], "u8") & np.uint64((1 << FIELD) - 1)
+    low = own.hashes & np.uint64((1 << FIELD) - 1)  # the same hash as _number's
     opened = (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
     hit = np.flatnonzero(opened[own.ids]) if len(own.ids) else np.zeros(0, "i8")
     doc = np.searchsorted(own.starts, hit, side="right") - 1
