@@ -1,9 +1,9 @@
 """Byte-level BPE by DuckDB recursive queries, one small database per Python worker.
 
-Encoding: a text falls into pretokens (``pattern``); each distinct pretoken that
-is no token itself is cut where no token of the vocabulary can lie across (exact:
-a contraction never makes bytes meet that stand together in no token). Its
-pieces become token-position rows. A recursive query joins neighbouring rows with
+Encoding: a text falls into pretokens (``pattern``). A distinct pretoken that is
+no token itself is a piece; one of more than ``SHORT`` bytes is cut into pieces
+where no token of the vocabulary can lie across (exact: a contraction never makes
+bytes meet that stand together in no token). Pieces become token-position rows. A recursive query joins neighbouring rows with
 the merge table, contracts each piece's leftmost pair of minimum rank and repeats
 until no piece has a pair left. Decoding joins the ids with the vocabulary and
 gathers their bytes by ordered aggregation.
@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,7 @@ WITH RECURSIVE state(step, word, pos, nxt, id) AS (
             CASE WHEN s.pos = c.spot THEN (c.best >> {_POSITION_BITS})::INT ELSE s.id END
      FROM state s JOIN chosen c ON c.word = s.word AND s.pos <> c.gone))
 SELECT word, list(id ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word ORDER BY word
+FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) GROUP BY word ORDER BY word
 """
 
 _ENCODE_LONG = """
@@ -168,36 +168,36 @@ class Codec:
         at = [0, *np.searchsorted(stops, ends, side="right").tolist()]
         return [pieces[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def _contracted(self, pieces: list[bytes], weigh: Callable[[bytes], int], most: int, query: str) -> Iterator[list[bytes]]:
+        """Ids of each piece, some pieces of a bounded weight at a time."""
+        first, size = 0, 0
+        for i, p in enumerate(pieces):
+            w = weigh(p)
+            if i > first and size + w > most:
+                yield self._contract(pieces[first:i], query)
+                first, size = i, 0
+            size += w
+        if first < len(pieces):
+            yield self._contract(pieces[first:], query)
+
     def _learn(self, words: list[str]) -> None:
-        found: dict[bytes, bytes] = {}
-        cut: list[tuple[str, list[bytes]]] = []
-        rest = []
-        for w in words:
-            raw = w.encode()
-            if raw in self.ranks:
-                self.known[w] = np.array([self.ranks[raw]], "<u4").tobytes()
-            else:
-                rest.append((w, raw))
-        if rest:
-            cut = list(zip([w for w, _ in rest], self._cut([r for _, r in rest]), strict=True))
-        wanted = {p for _, pieces in cut for p in pieces}
-        for p in wanted & self.ranks.keys():
-            found[p] = np.array([self.ranks[p]], "<u4").tobytes()
-        wanted.difference_update(found)
-        for pieces, weight, most, query in (
-            ([p for p in wanted if len(p) <= SHORT], lambda p: len(p) ** 2, CHUNK_SQUARES, _ENCODE),
-            ([p for p in wanted if len(p) > SHORT], len, CHUNK_BYTES, _ENCODE_LONG),
-        ):
-            chunk, size = [], 0
-            for p in pieces:
-                if chunk and size + weight(p) > most:
-                    found.update(zip(chunk, self._contract(chunk, query), strict=True))
-                    chunk, size = [], 0
-                chunk.append(p)
-                size += weight(p)
-            if chunk:
-                found.update(zip(chunk, self._contract(chunk, query), strict=True))
-        self.known.update((w, b"".join([found[p] for p in pieces])) for w, pieces in cut)
+        ranks = self.ranks
+        raw = [w.encode() for w in words]
+        whole = [i for i, r in enumerate(raw) if r in ranks]
+        short = [i for i, r in enumerate(raw) if len(r) <= SHORT and r not in ranks]
+        long = [i for i, r in enumerate(raw) if len(r) > SHORT and r not in ranks]
+        self.known.update(zip([words[i] for i in whole], np.array([ranks[raw[i]] for i in whole], "<u4").view("V4").tolist(), strict=True))
+        square = lambda p: len(p) ** 2
+        ids = itertools.chain.from_iterable(self._contracted([raw[i] for i in short], square, CHUNK_SQUARES, _ENCODE))
+        self.known.update(zip([words[i] for i in short], ids, strict=True))
+        if long:
+            cut = self._cut([raw[i] for i in long])
+            wanted = {p for pieces in cut for p in pieces}
+            found = {p: np.array([ranks[p]], "<u4").tobytes() for p in wanted & ranks.keys()}
+            wanted.difference_update(found)
+            for pieces, weigh, most, query in (([p for p in wanted if len(p) <= SHORT], square, CHUNK_SQUARES, _ENCODE), ([p for p in wanted if len(p) > SHORT], len, CHUNK_BYTES, _ENCODE_LONG)):
+                found.update(zip(pieces, itertools.chain.from_iterable(self._contracted(pieces, weigh, most, query)), strict=True))
+            self.known.update((words[i], b"".join([found[p] for p in pieces])) for i, pieces in zip(long, cut, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
