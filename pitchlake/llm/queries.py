@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, ann, bpe, fingerprint, langid, lm, ngram_join, packing, pii, secrets, substring
+from . import align, ann, bpe, fingerprint, langid, lm, ngram_join, packing, pii, search, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_learned_partitions": ann.op9,
         "op10_paragraph_sketch": fingerprint.op10,
         "op12_tokenizer_alignment": align.op12,
+        "op13_lexical_search": search.op13,
     }
 
 
@@ -47,7 +48,22 @@ _OP8 = f"""with {_WORDS.format(text="coalesce(text, '')")},
  kept as (select doc_id, ws, case when js is null then ws else list_filter(ws, lambda x, k: not list_contains(js, k)) end as ks from words left join gone using (rid))
 select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - len(ks) as bigint) as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept"""
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+_OP13 = f"""with docs as (select row_number() over () as rid, doc_id, {_TERMS} as ws from documents),
+ items as (select row_number() over () as item, item_id, {_TERMS} as ws from benchmark),
+ n as (select count(*) filter (len(ws) > 0) as n_docs, cast(sum(len(ws)) as bigint) as n_terms from docs),
+ m as (select rid, doc_id, 100 - 75 + (75 * len(ws) * n_docs) // n_terms as m from docs, n where len(ws) > 0),
+ tf as (select rid, t, count(*) as tf from (select rid, unnest(ws) as t from docs) group by rid, t),
+ w as (select t, cast(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, n group by t),
+ asked as (select item, t, count(*) as times from (select item, unnest(ws) as t from items) group by item, t),
+ scored as (
+  select item, rid, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from asked join w using (t) join tf using (t) join m using (rid) group by item, rid),
+ ranked as (select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scored join m using (rid) where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked join items using (item) where rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; hashes, models and searches of the others are tested against brute force."""
-    return {"op6_ngram_jaccard": _OP6, "op8_substring_dedup": _OP8}
+    return {"op6_ngram_jaccard": _OP6, "op8_substring_dedup": _OP8, "op13_lexical_search": _OP13}
