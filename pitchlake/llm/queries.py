@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, ann, bpe, fingerprint, langid, lm, ngram_join, packing, pii, search, secrets, substring
+from . import align, ann, bpe, fingerprint, langid, lm, ngram_join, packing, pii, quality, search, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring.op8,
         "op9_learned_partitions": ann.op9,
         "op10_paragraph_sketch": fingerprint.op10,
+        "op11_quality_boosting": quality.op11,
         "op12_tokenizer_alignment": align.op12,
         "op13_lexical_search": search.op13,
     }

@@ -69,8 +69,9 @@ def test_tables_without_rows(make, ask):
     assert not found(make([]), ask([(1, "a b", 0.5, "x")])) and not found(make([(1, "a b")]), ask([])) and not found(make([(1, None), (2, "!!")]), ask([(1, "a", 0.5, "x")]))
 
 
-def test_bounds_save_work(prose):
+def test_bounds_save_work(prose, monkeypatch):
     """A tree bounds what is below it, and a search of rare terms opens few ranges."""
+    monkeypatch.setattr(search, "FANOUT", 8)
     texts = prose(3000, 16, 40, 4000)
     number = {w: i for i, w in enumerate(sorted({w.encode() for t in texts for w in words(t)}))}
     p = search.Postings.of(list(range(3000)), texts, number)
