@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from . import islands
+from .boxes import Boxes, Look, box_tracker  # noqa: F401
 from .lineage import saved
 from .matching import assign
 
@@ -139,48 +140,6 @@ def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2,
     return dets.groupBy(*([key] if key else [])).applyInPandas(run, "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int")
 
 
-def box_tracker(dets: DataFrame, high: float = 0.5, low: float = 0.1, most_cost: float = 0.995, buffer_s: float = 1.0, key: str | None = None) -> DataFrame:
-    """Two-stage association of boxes by overlap: sure detections first, unsure ones for what is left; boxes move at constant velocity."""
-    def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        w = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-        h = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        return w * h / (area(a)[:, None] + area(b)[None] - w * h + 1e-9)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", "det_idx"])
-        tracks: list[dict] = []
-        number, out = 1, []
-        for (frame, t), rows in g.groupby(["frame", "t"], sort=True):
-            tracks = [k for k in tracks if t - k["t"] <= buffer_s]
-            boxes, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(), rows["conf"].to_numpy()
-            mine = np.full(len(boxes), -1)
-            left = list(range(len(tracks)))
-            for pick in (np.flatnonzero(conf >= high), np.flatnonzero((conf >= low) & (conf < high))):
-                if not left or not len(pick):
-                    continue
-                ahead = np.array([tracks[i]["box"] + tracks[i]["vel"] * (t - tracks[i]["t"]) for i in left])
-                cost = 1 - overlap(ahead, boxes[pick])
-                taken = []
-                for r, c in zip(*assign(cost), strict=True):
-                    if cost[r, c] <= most_cost:
-                        k = tracks[left[r]]
-                        k["vel"] = 0.6 * k["vel"] + 0.4 * (boxes[pick[c]] - k["box"]) / max(t - k["t"], 1e-9)
-                        k.update(t=t, box=boxes[pick[c]])
-                        mine[pick[c]] = k["number"]
-                        taken.append(left[r])
-                left = [i for i in left if i not in taken]
-            for c in np.flatnonzero((mine < 0) & (conf >= high)):
-                tracks.append({"number": number, "t": t, "box": boxes[c], "vel": np.zeros(4)})
-                mine[c] = number
-                number += 1
-            out.append(pd.DataFrame({"tracklet_id": mine, "frame": frame, "t": t, "x_m": rows["mx"].to_numpy(), "y_m": rows["my"].to_numpy(), "det_idx": rows["det_idx"].to_numpy()}))
-        got = pd.concat(out)
-        return got[got["tracklet_id"] > 0].astype({"tracklet_id": "int32", "frame": "int32", "det_idx": "int32"})
-
-    return dets.groupBy(*([key] if key else [])).applyInPandas(run, "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int")
-
-
 def summaries(obs: DataFrame) -> DataFrame:
     """Tracklets as rows: first and last time and place, and the smoothed velocity at the end."""
     ordered = F.array_sort(F.collect_list(F.struct("t", "x_m", "y_m")))

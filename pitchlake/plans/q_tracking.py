@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import sources
-from ..operators import ball, capacity, evaluation, filters, islands, matching, pitch, teams, tracking
+from ..operators import ball, boxes, capacity, evaluation, filters, islands, matching, pitch, teams, tracking
 from .base import PAIRS, SPEEDS, ZONE, H, Query, R, over, sql
 
 _P = pitch.Pitch()
@@ -110,6 +110,11 @@ def _features_labelled(f, n=None):
 _PROTO = teams.Prototypes([1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62, [0.0, 0.0, 1.0] + [0.0] * 61)
 _DIST = lambda k: f"sqrt(list_sum(list_transform(feat, lambda x, i: (cast(x as double) - (case when i = {k + 1} then 1e0 else 0e0 end)) * (cast(x as double) - (case when i = {k + 1} then 1e0 else 0e0 end)))))"
 
+def _halves(d):
+    """The stretches of a table as matches of their own: 600 frames each."""
+    return d.withColumn("match_no", F.floor(F.col("frame") / 600).cast("int"))
+
+
 _PLACE_PROTO = teams.Prototypes([0.25, 0.4], [0.7, 0.4], [0.5, 0.9])
 
 
@@ -192,6 +197,8 @@ QUERIES: dict[str, Query] = {
     "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12)),
     "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
     "box_tracker": over("detections")(lambda d: tracking.box_tracker(d)),
+    "box_tracker_matches": over("detections")(lambda d: tracking.box_tracker(_halves(d), key="match_no")),
+    "box_tracker_look": over("detections", "features")(lambda d, f: tracking.box_tracker(d.join(f.select("frame", "det_idx", "feat"), ["frame", "det_idx"], "left"), vector="feat", look=boxes.Look(1.4))),
     "stitch_greedy": over("positions")(lambda p: _q(tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p)))), "cost", keep=("a", "b"))),
     "stitch_global": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))), "global")),
     "purity_stitch_pass": over("positions")(lambda p: _q(tracking.mutual_best(tracking.stitch_candidates(tracking.summaries(_tracklets(p)), v_max=8.0)), "cost", keep=("a", "b"))),
