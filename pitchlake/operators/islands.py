@@ -65,8 +65,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: float, left_t:
     return best.select(*left.columns, F.col("_best._rt").alias("r_time"), *(F.col(f"_best.{n}").alias(n) for n in names))
 
 
-def range_candidates(tracklets: DataFrame, max_gap: float) -> DataFrame:
-    """Pairs (a, b) where b starts within (end of a, end of a + max_gap].
+def range_candidates(tracklets: DataFrame, max_gap: float, key: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b) where b starts within (end of a, end of a + max_gap], both of the same ``key``.
 
     ``tracklets``: ``tracklet_id, t0, t1`` and more. Starts and ends fall into
     buckets of ``max_gap``: an equi-join on at most two buckets replaces a
@@ -75,6 +75,8 @@ def range_candidates(tracklets: DataFrame, max_gap: float) -> DataFrame:
     a = tracklets.select(*(F.col(c).alias(f"a_{c}") for c in tracklets.columns)).withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("a_t1") / max_gap), F.floor((F.col("a_t1") + max_gap) / max_gap)))))
     b = tracklets.select(*(F.col(c).alias(f"b_{c}") for c in tracklets.columns)).withColumn("_b_bucket", F.floor(F.col("b_t0") / max_gap))
     inside = (F.col("b_t0") > F.col("a_t1")) & (F.col("b_t0") <= F.col("a_t1") + max_gap) & (F.col("a_tracklet_id") != F.col("b_tracklet_id"))
+    for c in key or []:
+        inside = inside & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     return a.join(b, (F.col("_bucket") == F.col("_b_bucket")) & inside).drop("_bucket", "_b_bucket").withColumn("gap", F.col("b_t0") - F.col("a_t1"))
 
 

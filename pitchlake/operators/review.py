@@ -106,21 +106,6 @@ def field_prior(cands: DataFrame, length: float, width: float, margin: float = 3
     return cands.groupBy(*([key] if key else [])).applyInPandas(run, cands.schema)
 
 
-def relink_at_crossings(rows: DataFrame, crossing_frames: DataFrame, most_s: float = 1.0, v_cap: float = 8.5, key: str = "id_jugador") -> DataFrame:
-    """Identities cut at crossings and linked again by where each piece was going: ``piece_id`` for each row.
-
-    Pieces that meet at one crossing are few; each crossing is its own assignment.
-    """
-    from .tracking import choose_links, components, stitch_candidates, summaries
-
-    w = W.partitionBy(key).orderBy("frame")
-    cut = rows.join(crossing_frames.select("frame").distinct().withColumn("_x", F.lit(1)), "frame", "left")
-    pieces = cut.withColumn("_n", F.sum(F.coalesce("_x", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("tracklet_id", F.dense_rank().over(W.orderBy(key, "_n")).cast("int"))
-    obs = pieces.select("tracklet_id", "frame", F.col("tiempo_s").alias("t"), "x_m", "y_m")
-    links = choose_links(stitch_candidates(summaries(obs), max_gap=most_s, v_max=v_cap), "global")
-    return pieces.join(components(obs.select("tracklet_id").distinct(), links), "tracklet_id").select(*rows.columns, F.col("identity_id").alias("piece_id"))
-
-
 def scaled_windows(rows: DataFrame, base: int = 5, gain: float = 1.0, most: int = 61, key: str = "id_jugador") -> DataFrame:
     """An odd smoothing window for each identity, larger where resolution (``factor``) is worse."""
     by = rows.groupBy(key).agg(F.avg("factor").alias("f"), F.count("*").alias("n"))

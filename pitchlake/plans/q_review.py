@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import ball, matching, metrics, review, teams, tracking
+from ..operators import ball, crossings, filters, matching, metrics, review, teams, tracking
 from . import matches, profiles
 from .base import PAIRS, Query, R, over, sql
-from .q_tracking import _DIST, _GROUP, _PROTO, _pairs, _pred, _q
+from .q_tracking import _DIST, _GROUP, _IOU, _PROTO, _pairs, _pred, _q
 
 _TEAM = "positions where equipo in (0, 1)"
 
@@ -24,6 +25,13 @@ def _lifted(p):
     return matches.lowered(metrics.blocks(up), ids=()).groupBy("match_no").agg(F.count("*").alias("n"), fn.rounded(F.avg("cx"), 4).alias("cx"))
 
 
+def _crossed(p, d):
+    """Positions with the number of their detection and whether its box touches another."""
+    numbered = p.withColumn("det_idx", (F.row_number().over(W.partitionBy("frame").orderBy("id_jugador")) - 1).cast("int"))
+    touching = filters.occluded(d).select("frame", "det_idx", F.lit(True).alias("crossed"))
+    return numbered.join(touching, ["frame", "det_idx"], "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
+
+
 QUERIES: dict[str, Query] = {
     "profile_candidato": over("detections")(lambda d: profiles.run(d)),
     "profile_oficial": over("detections")(lambda d: profiles.run(d, profiles.Profile("oficial"))),
@@ -39,7 +47,9 @@ QUERIES: dict[str, Query] = {
     "score_inversions": over("ball_cand")(lambda b: review.score_inversions(b.where("cand_idx = 1"), b.where("cand_idx = 0"))),
     "readmitted_flights": over("ball_cand")(lambda b: review.readmitted_flights(_aerial(b)).select("frame", "readmitted")),
     "field_prior": over("ball_cand")(lambda b: review.field_prior(b.withColumn("mx", F.when(F.col("frame") % 30 == 0, 150.0).otherwise(F.col("mx"))), 100.0, 64.0).select("frame", "cand_idx")),
-    "relink_at_crossings": over("positions", "detections")(lambda p, d: review.relink_at_crossings(p, tracking.crossings(d)).groupBy("piece_id").agg(F.count("*").alias("n"))),
+    "relink_at_crossings": over("positions", "detections")(lambda p, d: crossings.relink(_crossed(p, d)).groupBy("piece_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("kept"))),
+    "relink_by_look": over("positions", "detections", "features")(lambda p, d, f: crossings.relink(_crossed(p, d).join(f.select("frame", "det_idx", "feat"), ["frame", "det_idx"], "left"), vector="feat", separation=1.4).groupBy("piece_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("kept"))),
+    "crossing_pieces": over("positions", "detections")(lambda p, d: crossings.pieces(_crossed(p, d)).groupBy("id_jugador", "piece").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"))),
     "scaled_windows": over("positions")(lambda p: review.scaled_windows(p.withColumn("factor", 1.0 + F.col("y_m") / 64.0))),
     "smooth_ball": over("ball_cand")(lambda b: _q(review.smooth_ball(_aerial(b)), "bx", "by", keep=("frame",))),
     "prototype_drift": over("features")(lambda f: review.prototype_drift(f, 30, _PROTO.a, _PROTO.b)),
@@ -61,6 +71,10 @@ QUERIES: dict[str, Query] = {
 _RUNS = ", r as (select *, sum(ch) over (order by frame) as run from (select *, case when aerial = lag(aerial) over (order by frame) then 0 else 1 end as ch from (select *, frame % 50 < 8 as aerial from ball_cand where cand_idx = 0)))"
 
 ORACLES: dict[str, str] = {
+    "crossing_pieces": sql("positions detections", _IOU + """, c as (select p.*, oc.det_idx is not null as crossed from (select *, cast(row_number() over (partition by frame order by id_jugador) - 1 as int) as det_idx from positions) p left join (select frame, det_idx from m where max_iou > 0.10e0) oc using (frame, det_idx)),
+ b as (select *, not crossed and coalesce(lag(crossed) over (partition by id_jugador order by frame), true) as begins from c),
+ n as (select id_jugador, frame, cast(id_jugador as bigint) * 1000000 + cast(greatest(sum(case when begins then 1 else 0 end) over (partition by id_jugador order by frame), 1) as bigint) as piece from b)
+ select id_jugador, piece, count(*) as n, min(frame) as first, max(frame) as last from n group by 1, 2"""),
     "play_score": sql("ball_cand", f", s as (select t, sqrt((mx - lag(mx) over w)*(mx - lag(mx) over w) + (my - lag(my) over w)*(my - lag(my) over w)) / (t - lag(t) over w) as v from ball_cand where cand_idx = 0 window w as (order by frame)), e as (select v, unnest(generate_series(greatest(cast(floor((t - 60) / 10) as bigint) + 1, 0), cast(floor(t / 10) as bigint))) as k from s) select k * 10 as start_s, count(*) as n, {R('avg(case when v is null then 10e0 else least(v, 10e0) end)', 5)} as mean_v from e group by 1"),
     "sample_phase": sql("positions", "select frame, id_jugador from positions where frame % 6 = 3"),
     "sub_match": sql("positions gt_obs", "select frame, id_jugador from positions where frame in (select frame from gt_obs)"),

@@ -338,8 +338,6 @@ ORACLES: dict[str, str] = {
     "last_man": sql("positions", f", t as (select * from positions where equipo in (0,1)), e as (select frame, 0 as side, id_jugador from (select *, row_number() over (partition by frame order by x_m, id_jugador) as r from t) where r = 1 union all select frame, 1, id_jugador from (select *, row_number() over (partition by frame order by x_m desc, id_jugador desc) as r from t) where r = 1), h as (select side, id_jugador, count(*) as hits from e group by 1, 2), s as (select id_jugador, count(*) as seen from t group by 1), w as (select *, hits * 1e0 / seen as p from h join s using (id_jugador)) select side, id_jugador, hits, seen, {R('greatest((p + 1.96e0*1.96e0/(2*seen) - 1.96e0 * sqrt((p*(1-p) + 1.96e0*1.96e0/(4*seen))/seen)) / (1 + 1.96e0*1.96e0/seen), 0)')} as score from w"),
     "staff_rule": sql("positions", SPEEDS + f", o as (select id_jugador, median(greatest({_EDGE}, 0)) as o, median({_EDGE}) as e, count(*) as n, max(case when etiqueta like 'portero%' then 1 else 0 end) as k from positions group by 1), v as (select id_jugador, sum(step_m)/sum(dt) as v from speeds group by 1) select o.id_jugador, {R('o')} as out_m, n from o left join v using (id_jugador) where (o > 2 and (n >= 5 or o > 6)) or (e > -2 and v < 0.6e0 and n >= 25 and k = 0)"),
     "one_referee": sql("positions", "select id_jugador, count(*) as n from positions where equipo = 2 and x_m between 0 and 100 and y_m between 0 and 64 group by 1 having count(*) >= 25 order by n desc, id_jugador limit 1"),
-    "capped_identities": over("positions")(lambda p: capacity.label_rows(_by_place(p), _PLACE_PROTO, 9, 2, 0.3, None).select("id_jugador", "unit", "label").distinct()),
-    "capped_chunks": over("positions")(lambda p: capacity.label_rows(_by_place(p), _PLACE_PROTO, 9, 2, 0.3, 1.5).select("id_jugador", "unit", "label").distinct()),
     "emission_model": sql("positions", f", b as (select case when y_m < 10 then 0 when y_m < 20 then 1 when y_m < 30 then 2 when y_m < 40 then 3 else 4 end as bin, etiqueta = 'otro' as ref from positions), n as (select g.bin, count(case when ref then 1 end) as y, count(case when not ref then 1 end) as n from (select unnest([0,1,2,3,4]) as bin) g left join b using (bin) group by 1) select bin, {R('ln((y + 1) / ((select sum(y) from n) + 5e0)) - ln((n + 1) / ((select sum(n) from n) + 5e0))')} as log_lr from n"),
     "ball_plausible": sql("ball_cand", "select frame, cand_idx from ball_cand where mx*1.5e0 between -3 and 103 and my between -3 and 67"),
     "static_marks": sql("ball_cand", _MARKS + " select cx, cy from cells"),
