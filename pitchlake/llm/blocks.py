@@ -1,6 +1,6 @@
 """Exact counts of word n-grams for documents in blocks, without a row for each n-gram.
 
-Documents fall into blocks by a hash. A block sends each of ``n_buckets`` hash
+Documents fall into blocks by a hash of their places. A block sends each of ``n_buckets`` hash
 ranges the sorted distinct keys that it needs, packed, with its own counts; a
 range adds up what all blocks sent and answers each with the totals, in the
 order of the request; the block, whose documents are at hand again, goes on
@@ -151,9 +151,16 @@ class Plan:
         return (((cut << U(64 - self.bits)) >> U(32)) * U(self.n_buckets)) >> U(32)
 
 
-def in_blocks(docs: DataFrame, plan: Plan, *key: str) -> DataFrame:
-    """``block`` and ``rows``: ``docs`` (``doc_id``, ``text`` and more) dealt by a hash of ``key`` (by default id and text) and packed."""
-    number = F.pmod(F.xxhash64(*(key or ("doc_id", "text"))), F.lit(plan.n_blocks).cast("long"))
+def dealt(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``docs`` with ``block``, by the place of a row in what is read: equal rows, however many, spread over all blocks.
+
+    A row must keep its place when it is read again, so ``docs`` come from files or a checkpoint, by narrow steps.
+    """
+    return docs.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(plan.n_blocks).cast("long")))
+
+
+def in_blocks(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``block`` and ``rows``: ``docs`` (``doc_id``, ``text`` and more) dealt, if they are not yet, and packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -175,7 +182,7 @@ def in_blocks(docs: DataFrame, plan: Plan, *key: str) -> DataFrame:
         if waiting:
             yield flush()
 
-    return docs.withColumn("block", number).mapInArrow(tidied_batches(pack), "block long, rows binary")
+    return (docs if "block" in docs.columns else dealt(docs, plan)).mapInArrow(tidied_batches(pack), "block long, rows binary")
 
 
 def _closed(table: pa.Table) -> bytes:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Plan, U, Words, counted, in_blocks, mixed
+from .blocks import Plan, U, Words, counted, dealt, in_blocks, mixed
 from .common import prepare, swept, texts, tidied, tidied_pair, total_bytes
 from .graph import components
 
@@ -212,11 +212,13 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     """``doc_id, n_shingles, component_id`` and ``h``, a digest of the text, for each row of ``docs`` (``doc_id``, ``text``)."""
     prepare(docs.sparkSession)
     plan = Plan.fit(total_bytes(docs), BLOCK_BYTES, BUCKET_BYTES, SPARE_BITS)
-    digested = docs.withColumn("h", F.unhex(F.md5("text")))
-    keyed = digested.select("doc_id", "h").checkpoint()
-    classes = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    blocked = in_blocks(digested, plan, "doc_id", "h")
-    chosen = classes.select(F.pmod(F.xxhash64("doc_id", "h"), F.lit(plan.n_blocks).cast("long")).alias("c_block"), F.col("h").alias("c_h"))
+    digested = dealt(docs.withColumn("h", F.unhex(F.md5("text"))), plan)
+    keyed = digested.select("doc_id", "h", "block").checkpoint()
+    # of a class of equal texts the row of the smallest id stands for all, in the block where that row is
+    classes = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("block", F.struct(F.col("doc_id").isNull(), "doc_id", "block")).alias("block"))
+    blocked = in_blocks(digested, plan)
+    chosen = classes.select(F.col("block").alias("c_block"), F.col("h").alias("c_h"))
+    classes = classes.drop("block")
     schema = "h binary, n long, alone long, entries array<bigint>, marks array<bigint>, grams binary"
     # a class's number is unique, and fixed by the checkpoint
     everything = counted(blocked, plan, _ask(k), _sketch(k, percent), schema, chosen).withColumn("node", F.monotonically_increasing_id()).checkpoint()

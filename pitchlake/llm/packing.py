@@ -81,10 +81,11 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
     if budget < max_tokens:
         raise ValueError("a batch must have room for the longest sequence")
     prepare(docs.sparkSession)
-    counts = token_counts(docs).checkpoint()
+    # rows are dealt by a number of their own, fixed by the checkpoint: equal ids do not meet in one group
+    counts = token_counts(docs).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / max_tokens).cast("int") - 1)))
-    pieces = counts.select("doc_id", piece.alias("piece"), "n_tokens").select(
-        "doc_id", "piece", (F.col("piece").cast("long") * max_tokens).alias("first_token"), F.least(F.col("n_tokens") - F.col("piece").cast("long") * max_tokens, F.lit(max_tokens)).cast("int").alias("n_tokens")
+    pieces = counts.select("row", "doc_id", piece.alias("piece"), "n_tokens").select(
+        "row", "doc_id", "piece", (F.col("piece").cast("long") * max_tokens).alias("first_token"), F.least(F.col("n_tokens") - F.col("piece").cast("long") * max_tokens, F.lit(max_tokens)).cast("int").alias("n_tokens")
     )
     histogram = {r["n_tokens"]: r["count"] for r in pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()}
     ends = boundaries(histogram, buckets)
@@ -95,9 +96,9 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
         bucket = F.when(F.col("n_tokens") <= ends[i], F.lit(ends[i])).otherwise(bucket)
         salts = F.when(F.col("n_tokens") <= ends[i], F.lit(-(-within // group_rows))).otherwise(salts)
     placed = pieces.withColumn("bucket_tokens", F.when(F.col("n_tokens") > 0, bucket))
-    placed = placed.withColumn("salt", F.when(F.col("n_tokens") > 0, F.pmod(F.xxhash64("doc_id", "piece"), salts.cast("bigint"))).cast("int"))
+    placed = placed.withColumn("salt", F.when(F.col("n_tokens") > 0, F.pmod(F.xxhash64("row", "piece"), salts.cast("bigint"))).cast("int"))
     full, rest = placed.where("n_tokens > 0"), placed.where("n_tokens = 0")
-    number = F.row_number().over(W.partitionBy("bucket_tokens", "salt").orderBy("doc_id", "piece", "n_tokens")) - 1
+    number = F.row_number().over(W.partitionBy("bucket_tokens", "salt").orderBy("doc_id", "piece", "n_tokens", "row")) - 1
     room = F.floor(F.lit(budget) / F.col("bucket_tokens")).cast("int")
     numbered = full.withColumn("number", number)
     batch = F.concat_ws("-", "bucket_tokens", "salt", F.floor(F.col("number") / room).cast("long"))

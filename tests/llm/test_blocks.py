@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitchlake.llm import blocks
@@ -20,3 +21,19 @@ def test_rows_grow_with_the_input():
     plans = [blocks.Plan.fit(size, 4 << 20, 16 << 20) for size in (10**9, 10**11, 10**12, 10**13, 10**14)]
     assert all(p.rows <= 2.1 * p.n_blocks * p.fan for p in plans)
     assert plans[-1].rows < plans[-1].n_blocks * plans[-1].n_buckets / 1000
+
+
+def test_equal_rows_spread(spark, make):
+    """A third of the rows is one id and text: no block holds more than twice its share, and places stay when rows are read again."""
+    docs = make([(i, f"text {i}") for i in range(2000)] + [(7, "hot")] * 1000)
+    plan = blocks.Plan(30, 4)
+    deal = blocks.dealt(docs.select("doc_id", "text"), plan)
+    n = {r["block"]: r["count"] for r in deal.groupBy("block").count().collect()}
+    assert set(n) == set(range(30)) and max(n.values()) <= 200
+
+    def opened(t: pa.Table) -> pa.Table:
+        rows = blocks.sorted_block(t)
+        return rows.append_column("block", pa.array([t.column("block")[0].as_py()] * rows.num_rows))
+
+    packed = blocks.in_blocks(docs.select("doc_id", "text"), plan).groupBy("block").applyInArrow(opened, "doc_id long, text string, block long")
+    assert packed.select("doc_id", "text", "block").exceptAll(deal).count() == 0 and packed.count() == 3000

@@ -46,3 +46,18 @@ def test_every_token_is_packed_once(make, prose, odd):
 def test_budget_must_hold_a_sequence(make):
     with pytest.raises(ValueError):
         packing.pack(make([]), max_tokens=100, budget=50)
+
+
+def test_a_third_of_the_rows_is_one_id_and_text(make, prose):
+    """No group is over twice its bound, and repeated rows are sequences each."""
+    texts = [*prose(400, 8, words=30), *["the very same text"] * 300]
+    docs = make([(i if i < 400 else 7, t) for i, t in enumerate(texts)])
+    rows = packing.pack(docs, max_tokens=20, buckets=2, budget=64, group_rows=50).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(tuple(r["batch_id"].split("-")[:2]), []).append(r)
+    assert max(map(len, groups.values())) <= 100
+    assert sum(r["doc_id"] == 7 and r["n_tokens"] == 4 for r in rows) >= 300
+    for _, batch in itertools.groupby(sorted(rows, key=lambda r: r["batch_id"]), key=lambda r: r["batch_id"]):
+        batch = list(batch)
+        assert len(batch) * batch[0]["bucket_tokens"] <= 64 and sorted(r["slot"] for r in batch) == list(range(len(batch)))
