@@ -60,3 +60,17 @@ def test_nothing_to_learn_from(spark):
     rows = lm.score(docs).collect()
     assert len(rows) == 3 and all(r["train_tokens"] == 0 and r["base_score"] == 0 for r in rows)
     assert lm.score(docs.limit(0)).count() == 0
+
+
+def test_a_third_of_the_rows_is_one_id_and_text(spark, prose, monkeypatch):
+    """Hot rows are counted each, and each gets the same score, whatever block it is in."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1400)
+    texts = prose(40, 2, words=40, vocabulary=15)
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(7, "hot text hot", False)] * 20 + [(-1, "a very long query " * 3000, True)]
+    counts, n, p = model([t.split() for _, t, held in rows if not held], (5.0, 2.0))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), 3, (5.0, 2.0)).collect()
+    assert len(got) == len(rows) and {r["train_tokens"] for r in got} == {n}
+    for text, mine in (("hot text hot", [r for r in got if r["doc_id"] == 7 and r["n_tokens"] == 4]), (rows[-1][1], [r for r in got if r["doc_id"] == -1])):
+        seq = ["<s>", *text.split(), "</s>"]
+        assert mine and all(r["score"] == pytest.approx(sum(math.log10(p(seq[j], tuple(seq[max(0, j - 2) : j]))) for j in range(1, len(seq)))) for r in mine)

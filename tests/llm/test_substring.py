@@ -78,3 +78,12 @@ def test_other_columns_stay(make):
     got = {r["doc_id"]: (r["kept"], r["source"]) for r in substring.remove_repeats(docs, 4).collect()}
     assert got == {None: ("", "s"), 2: ("x", "s")}
     assert substring.remove_repeats(docs.limit(0), 4).count() == 0
+
+
+def test_a_third_of_the_rows_is_one_id_and_text(make, prose, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 3000), ("BUCKET_BYTES", 6000)):
+        monkeypatch.setattr(substring, name, value)
+    hot = "a hot text of nine words in every row"
+    rows = [*enumerate(prose(60, 4, words=80)), *[(7, hot)] * 30, (99, f"before {hot} after")]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(make(rows).select("doc_id", "text"), 9).collect()), key=str)
+    assert got == brute(rows, 9)
