@@ -35,7 +35,7 @@ from .blocks import Plan, U, Words, counted, in_blocks, sorted_block
 from .common import prepare, texts, tidied_pair, total_bytes
 
 WINDOW = 35
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 BUCKET_BYTES = 16 << 20
 #: The most runs of one piece, and every so many-th place of the suffix array that an index keeps.
 MOST, SAMPLED = 128, 16
