@@ -135,15 +135,25 @@ def unmatched(rows: DataFrame, other: DataFrame, radius: float = 1.0) -> DataFra
     return rows.join(o, (F.col("frame") == F.col("o_frame")) & (away <= radius), "left_anti")
 
 
-def identity_map(pairs: DataFrame) -> DataFrame:
-    """One predicted id for each true id so that most frames agree. Counts are aggregated first; ids of a match are some hundreds."""
-    counts = pairs.groupBy("gt_id", "pred_id").agg(F.count("*").alias("n")).toPandas()
-    if counts.empty:
-        return pairs.sparkSession.createDataFrame([], "gt_id int, pred_id int, n long")
-    table = counts.pivot(index="gt_id", columns="pred_id", values="n").fillna(0)
-    r, c = assign(-table.to_numpy())
-    rows = [(int(table.index[i]), int(table.columns[j]), int(table.iat[i, j])) for i, j in zip(r, c, strict=True) if table.iat[i, j] > 0]
-    return pairs.sparkSession.createDataFrame(rows, "gt_id int, pred_id int, n long")
+def identity_map(pairs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """One predicted id for each true id so that most frames agree, in each match (``key``).
+
+    Counts are aggregated first; those of a match, whose ids are some hundreds, are one group.
+    """
+    own = key or []
+    counts = pairs.groupBy(*own, "gt_id", "pred_id").agg(F.count("*").alias("n"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        truths, row = np.unique(g["gt_id"], return_inverse=True)
+        found, column = np.unique(g["pred_id"], return_inverse=True)
+        table = np.zeros((len(truths), len(found)), "i8")
+        table[row, column] = g["n"]
+        r, c = assign(-table)
+        real = table[r, c] > 0
+        return pd.DataFrame({**{k: g[k].iloc[0] for k in own}, "gt_id": truths[r[real]], "pred_id": found[c[real]], "n": table[r, c][real]})
+
+    schema = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in (*own, "gt_id", "pred_id", "n"))
+    return counts.groupBy(*own).applyInPandas(run, schema)
 
 
 def same_box(a: DataFrame, b: DataFrame) -> DataFrame:

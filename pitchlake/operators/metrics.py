@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands
+from . import islands, scans
+from .lineage import saved
 
 LENGTH, WIDTH = 100.0, 64.0
 
@@ -191,8 +192,12 @@ def densest_window(rows: DataFrame, frames_in_window: int = 25, least_each: int
     """The first window of frames with most frames in which both teams can be measured."""
     n = lambda e: F.count(F.when(F.col("equipo") == e, 1))
     ok = players(rows).groupBy("frame").agg(((n(0) >= least_each) & (n(1) >= least_each)).cast("int").alias("ok"))
-    w = W.orderBy("frame").rowsBetween(0, frames_in_window - 1)
-    return ok.withColumn("n", F.sum("ok").over(w)).orderBy(F.desc("n"), "frame").limit(1).select(F.col("frame").alias("start_frame"), "n")
+    run = saved(scans.running(ok, "frame", {"at": F.lit(1), "up_to": F.col("ok")}))
+    # a window of rows is the difference of two sums; the last windows end with the table
+    end = run.select((F.col("at") - frames_in_window + 1).alias("at"), F.col("up_to").alias("end"))
+    all_ = run.agg(F.sum("ok").alias("all"))
+    n = F.coalesce("end", "all") - F.col("up_to") + F.col("ok")
+    return run.join(end, "at", "left").crossJoin(F.broadcast(all_)).select(F.col("frame").alias("start_frame"), n.alias("n")).orderBy(F.desc("n"), "start_frame").limit(1)
 
 
 def deepest(rows: DataFrame, n: int = 4, length: float = LENGTH) -> DataFrame:
@@ -261,7 +266,7 @@ def bin_proxies(rows: DataFrame, seconds: float = 15.0, full: int = 22) -> DataF
 def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float) -> DataFrame:
     """The least value whose cumulative weight reaches a share of the total."""
     by = rows.groupBy(value).agg(F.sum(weight).alias("w"))
-    run = by.withColumns({"below": F.sum("w").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))})
+    run = scans.running(by, value, {"below": F.col("w")})
     total = by.agg(F.sum("w").alias("total"))
     return run.crossJoin(F.broadcast(total)).where(F.col("below") >= q * F.col("total")).agg(F.min(value).alias("value"))
 

@@ -197,7 +197,3 @@ ORACLES: dict[str, str] = {
  select frame, id_jugador from a where life >= 2e0 and (es_real = 1 or least(coalesce(b, 1e9), coalesce(c, 1e9)) <= 0.13e0)"""),
     "active_identities": sql("positions", ", l as (select id_jugador, min(frame) as a, max(frame) as b from positions group by 1) select f.frame, count(l.id_jugador) as active from (select distinct frame from positions) f left join l on f.frame between a and b group by 1"),
 }
-
-# names under which a query of the same rows was added before these read whole tables
-for _name in ("gap_fill_linear", "moving_average_edge", "savgol_interior", "active_identities"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

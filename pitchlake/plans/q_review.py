@@ -94,6 +94,3 @@ ORACLES: dict[str, str] = {
     "oracle_identity": sql("gt_obs positions", PAIRS + " select q.frame, coalesce(p.gt_id, q.obj_id) as obj_id from pred q left join pairs p on q.frame = p.frame and q.obj_id = p.pred_id"),
     "prototype_drift": sql("features", f", d as (select frame, det_idx, feat, {_DIST(0)} as a, {_DIST(1)} as b from features), n as (select cast(floor(frame / 30) as int) as segment, case when a <= b then 'A' else 'B' end as team, feat from d), e as (select segment, team, unnest(feat) as v, unnest(range(len(feat))) as k from n), m as (select segment, team, k, avg(cast(v as double)) as m from e group by 1, 2, 3) select segment, team, {R('sqrt(sum((m - case when (team = ' + chr(39) + 'A' + chr(39) + ' and k = 0) or (team = ' + chr(39) + 'B' + chr(39) + ' and k = 1) then 1e0 else 0e0 end) * (m - case when (team = ' + chr(39) + 'A' + chr(39) + ' and k = 0) or (team = ' + chr(39) + 'B' + chr(39) + ' and k = 1) then 1e0 else 0e0 end)))', 5)} as away from m group by 1, 2"),
 }
-
-# the name under which it was added before it read whole tables
-QUERIES["reweighted_whole"], ORACLES["reweighted_whole"] = QUERIES["reweighted"], ORACLES["reweighted"]

@@ -194,7 +194,7 @@ _COLOUR_CUTS = f""", v as (select id_jugador, frame, case when id_jugador < 6 an
  b as (select * from (select *, row_number() over (partition by id_jugador order by split desc, frame) as r from o) where r = 1)
  select id_jugador, frame as last_frame, {R("before")} as before, {R("split")} as after from b where before < 0.85e0 and split - before >= 0.08e0"""
 
-_ROW_CLASSES = PAIRS.replace("distance <= 2e0", "distance <= 0.4e0") + """, l as (select p.* from pred p where frame % 15 = 0 and not exists (select 1 from pairs q where q.frame = p.frame and q.pred_id = p.obj_id)),
+_ROW_CLASSES = PAIRS.replace("distance <= 2e0", "distance <= 0.4e0") + """, l as (select p.* from pred p where not exists (select 1 from pairs q where q.frame = p.frame and q.pred_id = p.obj_id)),
  g as (select g.*, q.gt_id is not null as has from gt_obs g left join pairs q on g.frame = q.frame and g.obj_id = q.gt_id),
  m as (select l.frame, l.obj_id, l.team, coalesce(min(case when g.label = 'referee' then d end), 'inf') as ref, coalesce(min(case when g.has then d end), 'inf') as dup, coalesce(min(case when not g.has then d end), 'inf') as free
   from l left join (select *, 0 as z from g) g on l.frame = g.frame, lateral (select sqrt((l.x_m-g.x_m)*(l.x_m-g.x_m)+(l.y_m-g.y_m)*(l.y_m-g.y_m)) as d) group by 1, 2, 3)

@@ -165,7 +165,7 @@ QUERIES: dict[str, Query] = {
     "unique_links": over("positions")(lambda p: tracking.unique_links(tracking.plausible_links(tracking.summaries(_tracklets(p)))).select("a", "b")),
     "link_funnel": over("positions")(lambda p: tracking.link_funnel(tracking.summaries(_tracklets(p)))),
     "same_box": over("detections")(lambda d: matching.same_box(d, d.where("conf > 0.5"))),
-    "unmatched_rows": over("gt_obs", "positions")(lambda g, p: matching.unmatched(_pred(p).where("frame % 15 = 0"), g, 1.0).select("frame", "obj_id")),
+    "unmatched_rows": over("gt_obs", "positions")(lambda g, p: matching.unmatched(_pred(p), g, 1.0).select("frame", "obj_id")),
     "nearest_gt_row": over("gt_obs", "positions")(lambda g, p: _q(_pairs(g, p), "distance", keep=("frame", "gt_id", "pred_id"))),
     "optimal_match_after": over("gt_obs", "positions")(lambda g, p: matching.optimal_then_threshold(g, _pred(p))),
     "optimal_match_before": over("gt_obs", "positions")(lambda g, p: matching.threshold_then_optimal(g, _pred(p))),
@@ -188,7 +188,7 @@ QUERIES: dict[str, Query] = {
     "localisation_by_band": over("gt_obs", "positions")(lambda g, p: evaluation.localisation(_pairs(g, p), g)),
     "team_crossings": over("gt_obs", "positions")(lambda g, p: evaluation.team_crossings(_pairs(g, p), g)),
     "identity_purity": over("gt_obs", "positions")(lambda g, p: evaluation.purity(_pairs(g, p))),
-    "row_classes": over("gt_obs", "positions")(lambda g, p: evaluation.classify_rows(_pred(p).where("frame % 15 = 0"), g, matching.nearest(g, _pred(p), 0.4)).groupBy("kind").agg(F.count("*").alias("n"))),
+    "row_classes": over("gt_obs", "positions")(lambda g, p: evaluation.classify_rows(_pred(p), g, matching.nearest(g, _pred(p), 0.4)).groupBy("kind").agg(F.count("*").alias("n"))),
     "first_lost": over("gt_obs", "positions")(lambda g, p: evaluation.first_lost([("found", _pairs(g, p).select("frame", F.col("gt_id").alias("obj_id"))), ("near", _pairs(g, p).where("distance < 0.4").select("frame", F.col("gt_id").alias("obj_id")))], g).groupBy("lost_at").agg(F.count("*").alias("n"))),
     "proximity": over("gt_obs", "positions")(lambda g, p: evaluation.proximity(g, _pairs(g, p))),
     "hota": over("gt_obs", "positions")(lambda g, p: evaluation.hota(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
@@ -312,7 +312,7 @@ ORACLES: dict[str, str] = {
     "unique_links": sql("positions", _TRK + ", l as (select a.tracklet_id as a, b.tracklet_id as b from trk a join trk b on b.t0 > a.t1 and b.t0 <= a.t1 + 3 and a.tracklet_id <> b.tracklet_id where sqrt((b.x0-a.x1)*(b.x0-a.x1)+(b.y0-a.y1)*(b.y0-a.y1)) <= 7*(b.t0-a.t1) + 2*least(greatest(0.11e0+0.026e0*b.y0, 0.11e0), 1.85e0)) select a, b from (select *, count(*) over (partition by a) as x, count(*) over (partition by b) as y from l) where x = 1 and y = 1"),
     "link_funnel": sql("positions", _TRK + ", l as (select b.t0 - a.t1 as gap, sqrt((b.x0-a.x1)*(b.x0-a.x1)+(b.y0-a.y1)*(b.y0-a.y1)) / (b.t0 - a.t1) as v from trk a join trk b on b.t0 > a.t1 and b.t0 <= a.t1 + 6 and a.tracklet_id <> b.tracklet_id) select count(*) as in_time, count(case when v <= 8 then 1 end) as in_speed, count(case when v <= 8 and gap <= 3 then 1 end) as soon from l"),
     "same_box": sql("detections", "select a.frame, a.det_idx as a_idx, b.det_idx as b_idx from detections a join detections b using (frame, x1, y1, x2, y2) where b.conf > 0.5e0"),
-    "unmatched_rows": sql("gt_obs positions", PAIRS + " select frame, obj_id from pred p where frame % 15 = 0 and not exists (select 1 from gt_obs g where g.frame = p.frame and sqrt((g.x_m-p.x_m)*(g.x_m-p.x_m)+(g.y_m-p.y_m)*(g.y_m-p.y_m)) <= 1)"),
+    "unmatched_rows": sql("gt_obs positions", PAIRS + " select frame, obj_id from pred p where not exists (select 1 from gt_obs g where g.frame = p.frame and sqrt((g.x_m-p.x_m)*(g.x_m-p.x_m)+(g.y_m-p.y_m)*(g.y_m-p.y_m)) <= 1)"),
     "nearest_gt_row": sql("gt_obs positions", PAIRS + f" select frame, gt_id, pred_id, {R('distance')} as distance from pairs"),
     "box_hits": sql("detections", ", c as (select frame, det_idx as obj_id, x1 + 3 as px, y1 + 3 as py from detections) select c.frame, c.obj_id, count(*) as boxes from c join detections d on c.frame = d.frame and ((px between d.x1 and d.x2 and py between d.y1 and d.y2) or sqrt((px - (d.x1+d.x2)/2)*(px - (d.x1+d.x2)/2) + (py - d.y2)*(py - d.y2)) < 20) group by 1, 2"),
     "alignment_sanity": sql("gt_obs detections", f", n as (select g.frame, g.obj_id, min(sqrt((x_m-mx)*(x_m-mx)+(y_m-my)*(y_m-my))) as d from gt_obs g join detections d on g.frame = d.frame group by 1, 2) select count(*) as n, {R('avg(d)')} as mean_m from n"),

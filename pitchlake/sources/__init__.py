@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import scans
+
 BOX = "struct<mx:double,my:double,x1:double,y1:double,x2:double,y2:double,conf:double>"
 CACHE = f"frame_idx int, t double, dets array<{BOX}>"
 POSITIONS = "frame int, tiempo_s double, id_jugador int, equipo int, etiqueta string, x_m double, y_m double, es_real int"
@@ -125,9 +127,8 @@ def feet(boxes: DataFrame, h, offset: int = 0, step: int = 1) -> DataFrame:
 
 def mot_rows(obs: DataFrame, box_m: float = 2.0) -> DataFrame:
     """Observations as lines of the MOT challenge format: frames 1 to N, square boxes in metres."""
-    frames = obs.select("frame").distinct().withColumn("n", F.row_number().over(W.orderBy("frame")))
-    b = obs.join(F.broadcast(frames), "frame")
-    return b.select(F.col("n").alias("frame"), F.col("obj_id").alias("id"), (F.col("x_m") - box_m / 2).alias("left"), (F.col("y_m") - box_m / 2).alias("top"), F.lit(box_m).alias("width"), F.lit(box_m).alias("height"), F.lit(1).alias("conf"))
+    b = obs.join(scans.numbered(obs.select("frame").distinct(), "frame"), "frame")
+    return b.select(F.col("n").cast("int").alias("frame"), F.col("obj_id").alias("id"), (F.col("x_m") - box_m / 2).alias("left"), (F.col("y_m") - box_m / 2).alias("top"), F.lit(box_m).alias("width"), F.lit(box_m).alias("height"), F.lit(1).alias("conf"))
 
 
 def write_mot(obs: DataFrame, path: str, box_m: float = 2.0) -> None:

@@ -117,7 +117,7 @@ def identities(spark, path):
 
 def test_averages_take_all_identities(spark, long_match):
     by = identities(spark, long_match)
-    got = {(r["id_jugador"], r["frame"]): (r["sx"], r["sy"]) for r in catalog.queries()["moving_average_edge_whole"](spark, long_match).collect()}
+    got = {(r["id_jugador"], r["frame"]): (r["sx"], r["sy"]) for r in catalog.queries()["moving_average_edge"](spark, long_match).collect()}
     assert len(got) == sum(map(len, by.values())) and {i for i, _ in got} == set(range(1, 25))
     for i, obs in by.items():
         frames = sorted(obs)
@@ -128,7 +128,7 @@ def test_averages_take_all_identities(spark, long_match):
 
 def test_polynomials_take_all_identities(spark, long_match):
     by = identities(spark, long_match)
-    got = {(r["id_jugador"], r["frame"]): (r["sx"], r["sy"]) for r in catalog.queries()["savgol_interior_whole"](spark, long_match).collect()}
+    got = {(r["id_jugador"], r["frame"]): (r["sx"], r["sy"]) for r in catalog.queries()["savgol_interior"](spark, long_match).collect()}
     assert len(got) == sum(map(len, by.values()))
     for i, obs in by.items():
         frames = sorted(obs)
@@ -153,18 +153,18 @@ def test_gaps_of_all_identities_are_filled(spark, long_match):
                     if a < f < b:
                         u = (times[f] - times[a]) / (times[b] - times[a])
                         want[i, f] = (*(p + u * (q - p) for p, q in zip(obs[a], obs[b])), 0)
-    got = {(r["id_jugador"], r["frame"]): (r["x_m"], r["y_m"], r["es_real"]) for r in catalog.queries()["gap_fill_linear_whole"](spark, long_match).collect()}
+    got = {(r["id_jugador"], r["frame"]): (r["x_m"], r["y_m"], r["es_real"]) for r in catalog.queries()["gap_fill_linear"](spark, long_match).collect()}
     assert {i for i, _ in got} == set(range(1, 25)) and set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
 def test_concurrency_and_weights_take_all_rows(spark, long_match):
     by = identities(spark, long_match)
-    got = {r["frame"]: r["active"] for r in catalog.queries()["active_identities_whole"](spark, long_match).collect()}
+    got = {r["frame"]: r["active"] for r in catalog.queries()["active_identities"](spark, long_match).collect()}
     assert got == {f: sum(min(o) <= f <= max(o) for o in by.values()) for f in {f for o in by.values() for f in o}}
     truth = Counter(r["frame"] % 4 for r in fixtures.table(spark, long_match, "gt_obs").collect())
     mine = Counter(f % 4 for o in by.values() for f in o)
-    got = {r["stratum"]: (r["n"], r["w"]) for r in catalog.queries()["reweighted_whole"](spark, long_match).collect()}
+    got = {r["stratum"]: (r["n"], r["w"]) for r in catalog.queries()["reweighted"](spark, long_match).collect()}
     assert got == {k: (mine[k], pytest.approx(float(truth[k]))) for k in mine if k in truth}
 
 
