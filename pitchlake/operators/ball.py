@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands
+from . import islands, paths
 
 
 def plausible(cands: DataFrame, length: float, width: float, margin: float = 3.0) -> DataFrame:
@@ -91,13 +91,21 @@ def without_parked(grouped: DataFrame, people: DataFrame, least: int = 3, most_s
     return grouped.join(parked, "object", "left_anti")
 
 
-def best_path(cands: DataFrame, no_ball: float = 1.0, jump: float = 3.0, v_px: float = 1000.0, slack_px: float = 20.0, most_s: float = 0.5, key: str | None = None) -> DataFrame:
+def best_path(cands: DataFrame, no_ball: float = 1.0, jump: float = 3.0, v_px: float = 1000.0, slack_px: float = 20.0, most_s: float = 0.5, key: str | None = None, seconds: float | None = None) -> DataFrame:
     """At most one candidate a frame so that missing frames and jumps between objects cost least in all.
 
     Candidates of a frame come preferred first (``cand_idx``); between equally
     cheap paths the one with more preferred candidates wins. The path of a
-    match is one sequence, so a match is one group.
+    match is one sequence, so a match is one group; with ``seconds`` a group is
+    a segment of that length, and the path is the same (``paths.cheapest``).
     """
+    if seconds is not None:
+        def move(dt: np.ndarray, off: np.ndarray, between: np.ndarray) -> np.ndarray:
+            return np.where(np.hypot(*off.T) <= v_px * dt + slack_px, no_ball * between, np.inf)
+
+        chain = paths.Chain(most_s, move, jump, (no_ball, 1.0), ("px", "py"), tie=lambda rank: float(rank > 0))
+        return paths.cheapest(cands, chain, "cand_idx", seconds, key=[key] if key else None)
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["frame", "cand_idx"]).reset_index(drop=True)
         frames = [(t, rows.index.to_numpy()) for t, rows in g.groupby("t", sort=True)]

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands
+from . import islands, paths
 
 
 def vector_means(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
@@ -229,8 +229,18 @@ def fit_emissions(rows: DataFrame, value: str, is_referee: str, edges: list[floa
     return all_bins.crossJoin(F.broadcast(t)).select("bin", fn.rounded(F.log((F.col("yes") + 1) / (F.col("ty") + k)) - F.log((F.col("no") + 1) / (F.col("tn") + k))).alias("log_lr"))
 
 
-def referee_path(cands: DataFrame, sigma: float = 1.5, most_s: float = 2.5, hidden: float = 0.0, reacquire: float = 8.0, key: str | None = None) -> DataFrame:
-    """The most likely path of the one referee through candidates (``frame, t, det_idx, mx, my, log_lr``), who may be out of sight."""
+def referee_path(cands: DataFrame, sigma: float = 1.5, most_s: float = 2.5, hidden: float = 0.0, reacquire: float = 8.0, key: str | None = None, seconds: float | None = None) -> DataFrame:
+    """The most likely path of the one referee through candidates (``frame, t, det_idx, mx, my, log_lr``), who may be out of sight.
+
+    A match is one group; with ``seconds`` a group is a segment of that length, and the path is the same (``paths.cheapest``).
+    """
+    if seconds is not None:
+        def move(dt: np.ndarray, off: np.ndarray, between: np.ndarray) -> np.ndarray:
+            return (off**2).sum(1) / (2 * (sigma**2) * np.maximum(dt, 1e-6) * 4)
+
+        chain = paths.Chain(most_s, move, reacquire, (-hidden, 0.0), ("mx", "my"), own="_cost", folded=True)
+        return paths.cheapest(cands.withColumn("_cost", -F.col("log_lr")), chain, "det_idx", seconds, key=[key] if key else None).drop("_cost")
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["frame", "det_idx"]).reset_index(drop=True)
         xy, t, lr = g[["mx", "my"]].to_numpy(), g["t"].to_numpy(), g["log_lr"].to_numpy()
