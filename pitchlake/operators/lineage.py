@@ -5,8 +5,15 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for files that a job writes and reads again."""
+    _set(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -15,10 +22,14 @@ def saved(df: DataFrame) -> DataFrame:
     The folder is the one named in ``spark.checkpoint.dir``, which driver and
     executors share; only a local session without it, as in tests, gets its own.
     """
-    context = df.sparkSession.sparkContext
+    _set(df.sparkSession)
+    return df.checkpoint()
+
+
+def _set(spark: SparkSession) -> None:
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pitchlake-checkpoints"))
-    return df.checkpoint()

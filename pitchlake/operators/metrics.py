@@ -106,6 +106,12 @@ def lateral_shift(rows: DataFrame, window: int) -> DataFrame:
     return mean.select("equipo", "tiempo_s", fn.rounded(F.avg("y").over(w), 5).alias("shift_m"))
 
 
+def series_summary(series: DataFrame, by: str, value: str) -> DataFrame:
+    """A series told by its mean, least and largest value, at one digit."""
+    told = lambda c, n: fn.rounded(c, 1).alias(f"{value}_{n}")
+    return series.groupBy(by).agg(told(F.avg(value), "mean"), told(F.min(value), "min"), told(F.max(value), "max"))
+
+
 def blocks(rows: DataFrame, least: int = 3) -> DataFrame:
     """Centroid and extents of each frame and team with enough points."""
     return of_teams(rows).groupBy("frame", "equipo").agg(F.count("*").alias("n"), fn.rounded(F.avg("x_m")).alias("cx"), fn.rounded(F.avg("y_m")).alias("cy"), (F.max("x_m") - F.min("x_m")).alias("depth_m"), (F.max("y_m") - F.min("y_m")).alias("width_m")).where(F.col("n") >= least)

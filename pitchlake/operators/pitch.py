@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +166,54 @@ def fit_homography(clicks: DataFrame, most_m: float = 1.0, key: list[str] | None
     return clicks.groupBy(*own).applyInPandas(run, schema)
 
 
+def edge_clicks(clicks: DataFrame, width: int, height: int, margin: float = 2.0) -> DataFrame:
+    """Clicks within ``margin`` pixels of the image's border: their true place may lie outside it."""
+    return clicks.where((F.col("px") <= margin) | (F.col("py") <= margin) | (F.col("px") >= width - 1 - margin) | (F.col("py") >= height - 1 - margin))
+
+
+def _noise(*by: Column | str, seed: int) -> tuple[Column, Column]:
+    """Two independent normal numbers that depend on ``by`` only, not on how rows are spread."""
+    u = [(F.pmod(F.xxhash64(*by, F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (0, 1)]
+    size = F.sqrt(-2 * F.log(u[0]))
+    return size * F.cos(2 * math.pi * u[1]), size * F.sin(2 * math.pi * u[1])
+
+
+def _through(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """A place through a homography that is an array of nine numbers by rows."""
+    row = lambda i: F.get(h, F.lit(3 * i)) * x + F.get(h, F.lit(3 * i + 1)) * y + F.get(h, F.lit(3 * i + 2))
+    return row(0) / row(2), row(1) / row(2)
+
+
+def _back(h: Column) -> Column:
+    """The inverse up to its scale, which does not matter to places."""
+    a, b, c, d, e, f, g, i, j = (F.get(h, F.lit(k)) for k in range(9))
+    return F.array(e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d)
+
+
+def click_stability(clicks: DataFrame, places: list[tuple[float, float]], noise_px: float = 2.0, trials: int = 300, most_m: float = 5.0, fours: int = 60, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """How far each of ``places`` (metres) moves when the clicks of a camera shake: ``x_m, y_m, moved_m`` and the number of ``fits``.
+
+    A row is a click in a trial. Each trial has a fit of its own by consensus; a place
+    goes to its pixel by the fit of the clicks as they are, and back by the trial's.
+    moved_m: median distance from the mean of the trials, so it tells spread, not bias.
+    Trials and cameras without a fit give no row.
+    """
+    own = key or []
+    on = [*own, "_one"]
+    clicks = clicks.withColumn("_one", F.lit(0))
+    u, v = _noise(*on, "name", "_trial", seed=seed)
+    shaken = clicks.withColumn("_trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumns({"px": F.col("px") + noise_px * u, "py": F.col("py") + noise_px * v})
+    pixel = _through(_back(F.col("h")), F.col("_p.x"), F.col("_p.y"))
+    listed = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(i).alias("i")) for i, (x, y) in enumerate(places)))
+    targets = fit_homography(clicks, most_m, on, fours).select(*on, "h", F.explode(listed).alias("_p")).select(*on, "_p", pixel[0].alias("_u"), pixel[1].alias("_v"))
+    fits = fit_homography(shaken, most_m, [*on, "_trial"], fours).select(*(F.col(c).alias(f"_f_{c}") for c in on), "_trial", "h")
+    at = _through(F.col("h"), F.col("_u"), F.col("_v"))
+    moved = targets.join(fits, [targets[c].eqNullSafe(fits[f"_f_{c}"]) for c in on]).select(*on, "_trial", "_p", at[0].alias("_x"), at[1].alias("_y"))
+    w = W.partitionBy(*on, "_p")
+    away = F.sqrt((F.col("_x") - F.avg("_x").over(w)) ** 2 + (F.col("_y") - F.avg("_y").over(w)) ** 2)
+    return moved.withColumn("_away", away).groupBy(*on, "_p").agg(F.median("_away").alias("moved_m"), F.count("*").alias("fits")).select(*own, F.col("_p.x").alias("x_m"), F.col("_p.y").alias("y_m"), "moved_m", "fits")
+
+
 def image_band(spark: SparkSession, h: fn.Homography, x1: float, x2: float, y1: float, y2: float, n: int = 25) -> DataFrame:
     """Rows of the image that a rectangle of the pitch covers."""
     i = spark.range(n * n).select((F.col("id") % n).alias("a"), F.floor(F.col("id") / n).alias("b"))

@@ -95,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "lines_per_frame": over("positions")(metrics.lines),
     "team_line_metrics": over("positions")(metrics.team_lines),
     "relative_thirds_lanes": over("positions")(metrics.territory),
+    "lateral_summary": over("positions")(lambda p: metrics.series_summary(metrics.lateral_shift(p, 16), "equipo", "shift_m")),
     "lateral_shift": over("positions")(lambda p: metrics.lateral_shift(p, 16)),
     "block_metrics": over("positions")(metrics.blocks),
     "headcount_pivot": over("positions", "detections")(metrics.head_count),
@@ -145,6 +146,7 @@ ORACLES: dict[str, str] = {
     "lines_per_frame": sql("positions", _LINES + " select * from lines"),
     "team_line_metrics": sql("positions", _LINES + f" select equipo, {R('avg(defence_m)', 5)} as defence_m, {R('avg(block_m)', 5)} as block_m, {R('avg(attack_m - defence_m)', 5)} as between_m, count(*) as frames from lines group by 1"),
     "relative_thirds_lanes": sql("positions", _HEIGHT + " select equipo, " + ", ".join(f"{R(f'100e0 * sum(case when {c} then 1 else 0 end) / count(*)')} as {n}" for n, c in (("own_third", "height < 100e0/3"), ("middle_third", "height >= 100e0/3 and height < 200e0/3"), ("far_third", "height >= 200e0/3"), ("near_lane", "y_m < 64e0/3"), ("central_lane", "y_m >= 64e0/3 and y_m < 128e0/3"), ("far_lane", "y_m >= 128e0/3"))) + " from h group by 1"),
+    "lateral_summary": sql("positions", f", m as (select equipo, tiempo_s, {R('avg(y_m)')} as y from positions where equipo in (0,1) and etiqueta not like 'portero%' group by 1, 2), s as (select equipo, tiempo_s, {R('avg(y) over (partition by equipo order by tiempo_s rows between 8 preceding and 7 following)', 5)} as shift_m from m) select equipo, {R('avg(shift_m)', 1)} as shift_m_mean, {R('min(shift_m)', 1)} as shift_m_min, {R('max(shift_m)', 1)} as shift_m_max from s group by 1"),
     "lateral_shift": sql("positions", f", m as (select equipo, tiempo_s, {R('avg(y_m)')} as y from positions where equipo in (0,1) and etiqueta not like 'portero%' group by 1, 2) select equipo, tiempo_s, {R('avg(y) over (partition by equipo order by tiempo_s rows between 8 preceding and 7 following)', 5)} as shift_m from m"),
     "block_metrics": sql("positions", _blocks()),
     "headcount_pivot": sql("positions detections", ", c as (select frame, count(case when equipo = 0 then 1 end) as a, count(case when equipo = 1 then 1 end) as b, count(case when equipo = 2 then 1 end) as other from positions group by 1) select f.frame, coalesce(a, 0) as a, coalesce(b, 0) as b, coalesce(other, 0) as other from (select distinct frame from detections) f left join c using (frame)"),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import sources
-from ..operators import ball, boxes, capacity, evaluation, filters, islands, matching, pitch, teams, tracking
+from ..operators import ball, boxes, capacity, evaluation, filters, islands, matching, pitch, reduction, teams, tracking
+from ..operators.lineage import folder
 from .base import PAIRS, SPEEDS, ZONE, H, Query, R, over, sql
 
 _P = pitch.Pitch()
@@ -90,6 +91,30 @@ def _clicks(spark):
     return spark.createDataFrame(rows, "name string, px double, py double, x_m double, y_m double")
 
 
+def _cameras(g):
+    """A camera for each minute of observations: a person's mean place there is a named point, clicked through the homography of these queries."""
+    points = g.groupBy(F.floor(F.col("frame") / 1500).cast("int").alias("camera"), F.col("obj_id").cast("string").alias("name")).agg(F.avg("x_m").alias("x_m"), F.avg("y_m").alias("y_m"))
+    px, py = fn.project(F.col("x_m"), F.col("y_m"), pitch.inverse(H))
+    return points.select("camera", "name", px.alias("px"), py.alias("py"), "x_m", "y_m")
+
+
+def _components(f):
+    """The vectors along their 16 main components, and what that loses."""
+    c = reduction.principal(f, "feat", 16)
+    if c is None:
+        return f.select("frame", "det_idx", F.lit(None).cast("array<double>").alias("low"), F.lit(None).cast("double").alias("error"))
+    low = f.select("frame", "det_idx", "feat", reduction.projected(F.col("feat"), c).alias("low"))
+    return low.select("frame", "det_idx", F.transform("low", lambda x: fn.rounded(x, 5)).alias("low"), fn.rounded(reduction.squared_error(F.col("feat"), F.col("low"), c), 5).alias("error"))
+
+
+def _round_trip(g):
+    """Observations as clicks, written as an annotation file and read back."""
+    clicks = g.select("frame", "obj_id", (F.col("x_m") * 10).alias("px"), (F.col("y_m") * 10 + 50).alias("py"), F.when(F.col("label") == "referee", "referee").otherwise(F.col("team")).alias("team"))
+    path = folder(g.sparkSession, "annotation")
+    sources.write_cvat(sources.cvat_tracks(clicks), path)
+    return sources.read_cvat(g.sparkSession, path).select("frame", "obj_id", "label", "team", "x1", "y1", "x2", "y2")
+
+
 def _jumping(d):
     """Detections as tracklets that jump every 60 frame numbers, into a box twice as tall that moves as a whole."""
     own = F.floor(F.col("frame") / 60)
@@ -141,6 +166,8 @@ QUERIES: dict[str, Query] = {
     "resolution_lookup": over("positions")(lambda p: pitch.with_resolution(p, pitch.resolution_grid(p.sparkSession, H, _P), _P).groupBy("id_jugador").agg(F.count("*").alias("n"), fn.rounded(F.avg("factor"), 4).alias("factor"))),
     "scale_audit": over("positions")(lambda p: pitch.scale_audit(pitch.points_table(p.sparkSession, _P).withColumn("x_m", F.col("x_m") + 0.5), p.sparkSession, _P)),
     "homography_fit": over("positions")(lambda p: _q(pitch.fit_homography(_clicks(p.sparkSession)), "error_m", keep=("inliers", "clicks"))),
+    "homography_stability": over("gt_obs")(lambda g: _q(pitch.click_stability(_cameras(g), [(x, y) for x in (10.0, 50.0, 90.0) for y in (5.0, 32.0, 59.0)], key=["camera"]), "moved_m", keep=("camera", "x_m", "y_m", "fits"))),
+    "edge_clicks": over("detections")(lambda d: pitch.edge_clicks(d.select("frame", "det_idx", ((F.col("x1") + F.col("x2")) / 2).alias("px"), F.col("y2").alias("py")), 350, 540).select("frame", "det_idx")),
     "image_band": over("positions")(lambda p: pitch.image_band(p.sparkSession, H, 80.0, 100.0, 0.0, 64.0)),
     "visible_field": over("positions")(lambda p: pitch.visible_field(p.sparkSession, H, 1920, 1080, _P)),
     "input_checks": over("detections")(lambda d: pitch.input_checks(d, 400, 500)),
@@ -211,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "fused_boxes": over("detections")(lambda d: tracking.fused_boxes(d.withColumn("tracklet_id", F.col("det_idx")).withColumnsRenamed({"mx": "x_m", "my": "y_m"}), 1.0, 1.1).select("tracklet_id", "frame")),
     "fused_cuts": over("detections")(lambda d: tracking.fused_cuts(_jumping(d), 1.0)),
     "pruned_embeddings": over("detections", "features")(lambda d, f: tracking.pruned_embeddings(d.select(F.col("det_idx").alias("tracklet_id"), "frame"), f.select(F.col("det_idx").alias("tracklet_id"), "frame", "det_idx"), 3, 6)),
+    "embedding_components": over("features")(_components),
     "crossing_frames": over("detections")(tracking.crossings),
     "reentry_gate": over("features")(lambda f: tracking.reentry_gate(f.select((F.col("det_idx") % 4).alias("tracklet_id"), (F.col("frame") * 10 + F.col("det_idx")).alias("frame"), F.col("feat").alias("emb")), 8, 0.1)),
     "appearance_cuts": over("features")(lambda f: tracking.appearance_cuts(f.select((F.col("det_idx") % 4).cast("int").alias("tracklet_id"), (F.col("frame") * 10 + F.col("det_idx")).cast("int").alias("frame"), F.col("feat").alias("emb")), 6, 0.3)),
@@ -230,6 +258,7 @@ QUERIES: dict[str, Query] = {
     "capped_identities": over("positions")(lambda p: capacity.label_rows(_by_place(p), _PLACE_PROTO, 9, 2, 0.3, None).select("id_jugador", "unit", "label").distinct()),
     "capped_chunks": over("positions")(lambda p: capacity.label_rows(_by_place(p), _PLACE_PROTO, 9, 2, 0.3, 1.5).select("id_jugador", "unit", "label").distinct()),
     "emission_model": over("positions")(lambda p: teams.fit_emissions(p.withColumn("ref", F.col("etiqueta") == "otro"), "y_m", "ref", [-10.0, 10.0, 20.0, 30.0, 40.0, 64.0])),
+    "referee_path_segments": over("detections")(lambda d: teams.referee_path(d.select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")), seconds=30.0)),
     "referee_path": over("detections")(lambda d: teams.referee_path(d.select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")))),
     # ball
     "ball_plausible": over("ball_cand")(lambda b: ball.plausible(b.withColumn("mx", F.col("mx") * 1.5), 100.0, 64.0).select("frame", "cand_idx")),
@@ -238,6 +267,7 @@ QUERIES: dict[str, Query] = {
     "ball_nearest_pick": over("ball_cand", "positions")(lambda b, p: ball.pick_nearest(b, p).select("frame", "cand_idx")),
     "ball_objects": over("ball_cand")(lambda b: ball.group_objects(b).groupBy("object").agg(F.count("*").alias("n"))),
     "parked_balls": over("ball_cand", "positions")(lambda b, p: ball.without_parked(ball.group_objects(b), p).select("frame", "cand_idx")),
+    "ball_viterbi_segments": over("ball_cand")(lambda b: ball.best_path(b, seconds=20.0).select("frame", "cand_idx")),
     "ball_viterbi": over("ball_cand")(lambda b: ball.best_path(b).select("frame", "cand_idx")),
     "ball_segments": over("ball_cand", "positions")(lambda b, p: ball.continuity_segments(_track(b, p)).select("frame", "segment")),
     "aerial_phases": over("ball_cand")(lambda b: ball.aerial(b.where("cand_idx = 0"), 20.0, 1.6, 0.0, 40.0).select("frame", "aerial")),
@@ -261,6 +291,7 @@ QUERIES: dict[str, Query] = {
     "merge_partial_caches": over("detections")(lambda d: _parts(d).groupBy((F.col("frame") < 700).alias("first")).agg(F.count("*").alias("n"), fn.rounded(F.sum("conf")).alias("conf"))),
     "cache_round_trip": over("detections")(lambda d: sources.flatten(sources.nest(d)).select("frame", "det_idx", "mx", "conf")),
     "mot_export": over("gt_obs")(lambda g: _q(sources.mot_rows(g), "left", "top", keep=("frame", "id", "width"))),
+    "cvat_round_trip": over("gt_obs")(_round_trip),
     "plan_segments": over("positions")(lambda p: sources.segments(p.sparkSession, 5400.0, 600.0, 30.0)),
     "resume_frames": over("detections")(lambda d: sources.left_to_do(d.select("frame").distinct(), d.where("frame < 600"), "s", "s")),
     "metrics_json": over("positions")(lambda p: sources.metrics_json(p.groupBy("equipo").agg(F.count("*").alias("n")))),
@@ -356,6 +387,8 @@ ORACLES: dict[str, str] = {
     "merge_partial_caches": sql("detections", f", m as (select frame, conf from detections where frame < 700 union all select frame, conf * 0.5e0 from detections where frame >= 700) select frame < 700 as first, count(*) as n, {R('sum(conf)')} as conf from m group by 1"),
     "cache_round_trip": sql("detections", "select frame, det_idx, mx, conf from detections"),
     "mot_export": sql("gt_obs", f"select cast(dense_rank() over (order by frame) as int) as frame, obj_id as id, 2e0 as width, {R('x_m - 1')} as left, {R('y_m - 1')} as top from gt_obs"),
+    "cvat_round_trip": sql("gt_obs", f", c as (select *, x_m * 10 as px, y_m * 10 + 50 as py from gt_obs) select cast(dense_rank() over (order by frame) - 1 as int) as frame, cast(dense_rank() over (order by obj_id) - 1 as bigint) as obj_id, label, team, {R('px - 9', 2)} as x1, {R('py - 40', 2)} as y1, {R('px + 9', 2)} as x2, {R('py', 2)} as y2 from c"),
+    "edge_clicks": sql("detections", "select frame, det_idx from detections where (x1 + x2) / 2 <= 2 or y2 <= 2 or (x1 + x2) / 2 >= 350 - 1 - 2 or y2 >= 540 - 1 - 2"),
     "plan_segments": "select cast(i as int) as segment, i * 570e0 as start_s, least(i * 570e0 + 600, 5400e0) as end_s from range(10) t(i)",
     "resume_frames": sql("detections", "select distinct frame from detections where frame >= 600"),
     "same_settings": "select cast(2 as bigint) as settings",

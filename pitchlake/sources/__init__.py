@@ -117,6 +117,36 @@ def read_cvat(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("team", F.coalesce("own", F.first("own", True).over(w))).where("outside = 0").drop("own", "outside")
 
 
+_TRACKS = "array<struct<_frame:int,_outside:int,_occluded:int,_keyframe:int,_xtl:double,_ytl:double,_xbr:double,_ybr:double,attribute:array<struct<_name:string,_VALUE:string>>>>"
+
+
+def cvat_tracks(clicks: DataFrame, tall: float = 40.0, wide: float = 18.0) -> DataFrame:
+    """Clicks on feet (``frame, obj_id, px, py, team``) as an annotation's tracks: a row a person with its boxes by frame.
+
+    The click is the middle of a box's lower edge. Frames and persons are numbered
+    from 0 in their order; pixels have two digits. A person's team is the first by frame
+    that is known; ``referee`` becomes the track's label, others an attribute of each box.
+    """
+    frames = scans.numbered(clicks.select("frame").distinct(), "frame", "_f")
+    people = scans.numbered(clicks.select("obj_id").distinct(), "obj_id", "_n")
+    team = clicks.groupBy("obj_id").agg(F.min_by("team", F.when(F.col("team").isNotNull(), F.col("frame"))).alias("_team")).withColumnRenamed("obj_id", "_who")
+    rows = clicks.join(frames, "frame").join(people, "obj_id").join(team, F.col("obj_id") == F.col("_who"))
+    place = lambda c: F.floor(c * 100 + 0.5) / 100
+    named = F.struct(F.lit("team").alias("_name"), F.col("_team").alias("_VALUE"))
+    has = F.col("_team").isNotNull() & (F.col("_team") != "referee")
+    box = F.struct(
+        (F.col("_f") - 1).cast("int").alias("_frame"), F.lit(0).alias("_outside"), F.lit(0).alias("_occluded"), F.lit(1).alias("_keyframe"), place(F.col("px") - wide / 2).alias("_xtl"), place(F.col("py") - tall).alias("_ytl"),
+        place(F.col("px") + wide / 2).alias("_xbr"), place(F.col("py")).alias("_ybr"), F.when(has, F.array(named)).alias("attribute"),
+    )
+    label = F.when(F.col("_team") == "referee", "referee").otherwise("player")
+    return rows.groupBy((F.col("_n") - 1).alias("_id"), label.alias("_label"), F.lit("manual").alias("_source")).agg(F.sort_array(F.collect_list(box)).cast(_TRACKS).alias("box"))
+
+
+def write_cvat(tracks: DataFrame, path: str) -> None:
+    """Tracks as XML files of one root each; a person's track stays in one file."""
+    tracks.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "track").option("declaration", 'version="1.0" encoding="UTF-8"').save(path)
+
+
 def feet(boxes: DataFrame, h, offset: int = 0, step: int = 1) -> DataFrame:
     """Annotated boxes as observations: global frame, and the foot's place in metres."""
     from ..functions import project
