@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import sources
-from ..operators import ball, boxes, capacity, evaluation, filters, islands, matching, pitch, reduction, teams, tracking
+from ..operators import ball, boxes, capacity, evaluation, filters, islands, matching, pitch, reduction, stretches, teams, tracking
 from ..operators.lineage import folder
 from .base import PAIRS, SPEEDS, ZONE, H, Query, R, over, sql
 
@@ -221,6 +221,7 @@ QUERIES: dict[str, Query] = {
     "hota": over("gt_obs", "positions")(lambda g, p: evaluation.hota(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
     "clear_mot": over("gt_obs", "positions")(lambda g, p: evaluation.clear_mot(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
     # tracking
+    "conservative_tracker_stretches": over("detections")(lambda d: stretches.tracked_in_stretches(d, lambda rows, by: tracking.conservative_tracker(rows, 0.12, key=by), 40.0, 10.0)[0].select("identity_id", "frame", "det_idx")),
     "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12)),
     "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
     "box_tracker": over("detections")(lambda d: tracking.box_tracker(d)),
