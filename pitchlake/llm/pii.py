@@ -14,7 +14,7 @@ of score 0), and an unseen value's score is the chance that not all of its
 patterns are wrong. Tokens in a pattern of confidence ``LEAST_CONFIDENCE`` are
 further spans, of kind ``context``.
 
-The second pass knows the open patterns by two bit fields of fixed size, which
+The second pass knows the open patterns by two bit fields sized by their number, which
 let too many tokens through, never too few; a join by the patterns' 64-bit
 hashes drops the others. Everything after that pass is joins and partial
 aggregates of edges.
@@ -43,8 +43,12 @@ ROUNDS = 3
 SHRINK = 1.0
 LEAST_CONFIDENCE = 0.6
 LEAST_SEEDS = 3
-#: Bits of the fields that tell the second pass which patterns, and which words before a slot, are open.
-FIELD = 24
+#: Bits for each number of the fields that tell the second pass which patterns, and which words before a slot, are open,
+#: and the largest field, as a power of two: 32 MB.
+NUMBER_BITS = 16
+MOST_BITS = 28
+#: Bits of a field that a task puts together, as a power of two.
+CHUNK_BITS = 19
 #: Bytes of texts whose words are looked up at a time.
 RUN_BYTES = 2 << 20
 
@@ -155,23 +159,64 @@ def seeds(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(tidied_batches(run), "pattern long, before long, value long")
 
 
-def field(numbers: DataFrame, column: str) -> np.ndarray:
-    """A bit for each number's last FIELD bits; the driver gets at most 2 ** FIELD / 64 rows."""
-    low = F.col(column).bitwiseAND(F.lit((1 << FIELD) - 1))
-    bit = F.expr("shiftleft(1L, cast(low % 64 as int))")
-    rows = numbers.select(low.alias("low")).select(F.floor(F.col("low") / 64).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(1 << (FIELD - 6), "i8")
-    for r in rows:
-        out[r["at"]] = r["bits"]
-    return out.view("u8")
+#: Odd factors whose products' leading bits are a number's places in a field.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_64 = (1 << 64) - 1
 
 
-def _in_field(bits: np.ndarray, number: int) -> bool:
-    low = number & ((1 << FIELD) - 1)
-    return bool(int(bits[low >> 6]) >> (low & 63) & 1)
+class Field:
+    """A Bloom filter of 64-bit numbers: at 16 bits a number fewer than 3 in 1,000 others seem to be in it."""
 
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
-def mentions(text: str, base: list[tuple[int, int, int]], slots: list[int], patterns: np.ndarray) -> list[tuple]:
+    def __contains__(self, number: int) -> bool:
+        for f in _FACTORS:
+            at = (number * f & _64) >> (64 - self.bits)
+            if not int(self.words[at >> 6]) >> (at & 63) & 1:
+                return False
+        return True
+
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        """For each number whether it seems to be in the field."""
+        out = np.ones(len(numbers), bool)
+        for at in places(numbers, self.bits):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def places(numbers: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(numbers.astype("u8") * np.uint64(f)) >> np.uint64(64 - bits) for f in _FACTORS]
+
+
+def field(numbers: DataFrame, column: str) -> Field:
+    """The field of ``column``, sized by how many numbers there are; the driver gets it in chunks of 64 KB, 32 MB at most.
+
+    Beyond 16 million numbers it lets more others through. That costs volume only:
+    what passes is joined with the open patterns themselves afterwards.
+    """
+    numbers = numbers.select(column).distinct()
+    bits = min(MOST_BITS, max(12, (NUMBER_BITS * numbers.count()).bit_length()))
+    chunk = min(bits, CHUNK_BITS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(places(batch.column(0).to_numpy(zero_copy_only=False).view("u8"), bits)).astype("i8")
+            yield pa.RecordBatch.from_arrays([pa.array((at >> chunk).astype("i4")), pa.array((at & ((1 << chunk) - 1)).astype("i4"))], names=["chunk", "at"])
+
+    def packed(group: pa.Table) -> pa.Table:
+        out = np.zeros(1 << chunk, bool)
+        out[group.column("at").to_numpy()] = True
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "bytes": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    words = np.zeros(1 << (bits - 6), "u8")
+    size = 1 << (chunk - 6)
+    for r in numbers.mapInArrow(spread, "chunk int, at int").groupBy("chunk").applyInArrow(packed, "chunk int, bytes binary").collect():
+        words[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bytes"], "<u8")
+    return Field(bits, words)
+
+
+def mentions(text: str, base: list[tuple[int, int, int]], slots: list[int], patterns: Field) -> list[tuple]:
     """Seeds and tokens in open patterns: start, end, is a seed, value, patterns. slots: words behind an open word."""
     if not base and not slots:
         return []
@@ -188,31 +233,31 @@ def mentions(text: str, base: list[tuple[int, int, int]], slots: list[int], patt
                 found.append((a, b, False))
     out = []
     for a, b, seed in found:
-        open_ = [_signed(p) for p in context.patterns(a, b)[1:] if _in_field(patterns, p)]
+        open_ = [_signed(p) for p in context.patterns(a, b)[1:] if p in patterns]
         if open_:
             out.append((a, b, seed, _signed(_number(text[a:b].lower())), open_))
     return out
 
 
-def _slots(raw: list[str], words: np.ndarray) -> list[list[int]]:
+def _slots(raw: list[str], words: Field) -> list[list[int]]:
     """For each text the words that follow an open one (or its start)."""
     folded = [_DIGITS.sub("0", t.lower()).encode("utf-8", "surrogatepass") for t in raw]
-    if not words.any():
+    if not words.words.any():
         return [[] for _ in raw]
     own = Words.of(folded)
-    low = own.hashes & np.uint64((1 << FIELD) - 1)  # the same hash as _number's
-    opened = (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+    opened = words.holds(own.hashes)  # the same hash as _number's
     hit = np.flatnonzero(opened[own.ids]) if len(own.ids) else np.zeros(0, "i8")
     doc = np.searchsorted(own.starts, hit, side="right") - 1
     place = hit - own.starts[doc] + 1
     inside = place < own.lengths[doc]
-    out: list[list[int]] = [[0] if n and _in_field(words, _number(" ^")) else [] for n in own.lengths.tolist()]
+    start = _number(" ^") in words
+    out: list[list[int]] = [[0] if n and start else [] for n in own.lengths.tolist()]
     for d, i in zip(doc[inside].tolist(), place[inside].tolist(), strict=True):
         out[d].append(i)
     return out
 
 
-def extract(docs: DataFrame, patterns: np.ndarray, words: np.ndarray) -> DataFrame:
+def extract(docs: DataFrame, patterns: Field, words: Field) -> DataFrame:
     """``row, doc_id, base, mentions`` of every text, checkpointed so that ``row`` stays. patterns, words: fields of the open ones."""
     shared = docs.sparkSession.sparkContext.broadcast((patterns, words))
 

@@ -96,6 +96,32 @@ def test_bootstrap_against_brute_force(make):
     assert got[200] == [(16, 23)] and got[201] == [(9, 109)] and sum(map(len, want)) > 10
 
 
+def test_fields_grow_with_their_numbers(spark):
+    """Far more numbers than the least field has bits: all are found, few others are."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("n"))
+    f = pii.field(rows, "n")
+    inside = np.array([r["n"] for r in rows.collect()], "i8").view("u8")
+    others = np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype="u8")
+    assert f.bits == 20 and f.holds(inside).all() and f.holds(others).mean() < 0.01
+    assert all(int(x) in f for x in inside[:500]) and [int(x) in f for x in others[:500]] == f.holds(others[:500]).tolist()
+    assert not pii.field(rows.where("false"), "n").words.any()
+
+
+def test_saturated_fields_change_nothing(make, monkeypatch):
+    """With fields far too small every token is looked at, and the spans stay."""
+    rows = [(i, f"please contact member{i}@mail.org today about row {i % 3}") for i in range(30)] + [(100, "please contact XK-4471-Q today about it"), (101, "order ZZ-9917-P was shipped")]
+    spans = lambda: sorted((r["doc_id"], str(r["spans"])) for r in pii.scan(make(rows)).collect())
+    usual = spans()
+    full = lambda numbers, column: pii.Field(12, np.full(64, 2**64 - 1, "u8"))
+    import numpy as np
+
+    monkeypatch.setattr(pii, "field", full)
+    assert spans() == usual
+
+
 def test_no_documents_and_repeated_rows(make):
     assert pii.scan(make([])).count() == 0
     rows = pii.scan(make([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")])).collect()
