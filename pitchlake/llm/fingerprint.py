@@ -10,9 +10,10 @@ both sets, and twice more; only where even that fails, by chance, the sets
 themselves are compared, so every likeness is exact. Likeness is common over all
 distinct paragraphs (1 for equal sets).
 
-The next document, by descending id, comes from a window over ranges of ids cut
-at quantiles; the first row of each range also goes to the range before it.
-One shuffle moves each text once.
+The next document, by descending id, comes from a window over ranges of ids (and,
+within an id, of its texts' hashes) cut at quantiles of a bounded sample; the
+first row of each range also goes to the range before it. One shuffle moves each
+text once. Rows that share id and text share a range.
 
 Edge cases: null text counts as empty, which is one empty paragraph; a null id
 comes after all others; equal ids follow in the order of their texts' hashes;
@@ -33,6 +34,8 @@ from .common import blocks_for, texts, total_bytes
 RANGE_BYTES = 1 << 20
 #: More input makes larger ranges (their sort spills), never a longer list on the driver.
 MOST_RANGES = 100_000
+#: Places sampled for each bound; the driver gets so many pairs of numbers for each range.
+SAMPLED = 16
 #: A sketch of side s has 3 s^2 cells. The first has 48, each next one twice the side.
 SIDE = 4
 _CHECK = 7919
@@ -143,28 +146,40 @@ def written(cells: Column) -> Column:
     )
 
 
+def bounds_of(source: DataFrame, n: int) -> list[dict[str, int]]:
+    """At most n - 1 bounds that cut ``place`` (two numbers) into ranges, from about SAMPLED different places for each, chosen by hash."""
+    if n < 2:
+        return []
+    rows = source.count()
+    share = int(min(1.0, SAMPLED * n / max(rows, 1)) * (1 << 30))
+    found = source.where(F.pmod(F.xxhash64("place", F.lit(5)), F.lit(1 << 30)) < share).select("place.*").distinct().toPandas()
+    found = found.sort_values(["place", "back"], ignore_index=True)
+    at = sorted({i * len(found) // n for i in range(1, n)} - {0})
+    return [{"place": int(p), "back": int(b)} for p, b in found.iloc[at].itertuples(index=False)]
+
+
 def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``doc_id``, ``text``, ``paragraphs`` and those of the next document (``next_text``, ``next_paragraphs``)."""
     source = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)).alias("place"))
     size = total_bytes(source)
     n = min(MOST_RANGES, blocks_for(size, range_bytes))
-    cuts: list[int] = []
-    if n > 1:
-        cuts = sorted(set(source.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0]))
+    # ascending places are descending ids' order the other way round: the tie counts down
+    source = source.withColumn("tie", F.xxhash64("text")).withColumn("place", F.struct("place", F.bitwise_not("tie").alias("back")))
+    cuts = bounds_of(source, n)
     step = max(1, int(len(cuts) ** 0.5))
     spark = docs.sparkSession
-    listed = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")
+    listed = lambda x: F.from_json(F.lit(json.dumps(x)), "array<struct<place:bigint,back:bigint>>")
     bounds = spark.range(1).select(listed(cuts).alias("fine"), listed(cuts[step - 1 :: step]).alias("coarse"))
     # a place's range: how many bounds are below it, by coarse steps first
     over = F.size(F.filter("coarse", lambda c: c < F.col("place"))) * step
     number = over + F.size(F.filter(F.slice("fine", over + 1, F.lit(step)), lambda c: c < F.col("place")))
-    ranged = source.crossJoin(F.broadcast(bounds)).withColumn("range", number.cast("int")).withColumn("tie", F.xxhash64("text")).drop("fine", "coarse")
-    order = [F.col("place").desc(), F.col("tie"), F.col("text")]
-    # one row for each range reaches the driver: its number and largest id
-    tops = sorted((r["range"], r["place"]) for r in ranged.groupBy("range").agg(F.max("place").alias("place")).collect())
+    ranged = source.crossJoin(F.broadcast(bounds)).withColumn("range", number.cast("int")).drop("fine", "coarse")
+    order = [F.col("place").desc(), F.col("text")]
+    # one row for each range reaches the driver: its number and largest place
+    tops = sorted((r["range"], tuple(r["place"])) for r in ranged.groupBy("range").agg(F.max("place").alias("place")).collect())
     above = {place: tops[(i + 1) % len(tops)][0] for i, (_, place) in enumerate(tops)}
-    target = spark.createDataFrame(list(above.items()), "place bigint, target int")
-    heads = ranged.join(F.broadcast(target), "place").withColumn("first", F.row_number().over(W.partitionBy("place").orderBy("tie", "text"))).where("first = 1")
+    target = spark.createDataFrame(list(above.items()), "place struct<place:bigint,back:bigint>, target int")
+    heads = ranged.join(F.broadcast(target), "place").withColumn("first", F.row_number().over(W.partitionBy("place").orderBy("text"))).where("first = 1")
     both = ranged.withColumn("extra", F.lit(0)).unionByName(heads.select("doc_id", "text", "place", F.col("target").alias("range"), "tie", F.lit(1).alias("extra")))
     window = W.partitionBy("range").orderBy("extra", *order)
     led = both.withColumn("paragraphs", paragraphs("text")).withColumns({"next_text": F.lead("text").over(window), "next_paragraphs": F.lead("paragraphs").over(window)})

@@ -54,6 +54,22 @@ def test_large_differences_are_counted(spark):
     assert small is None
 
 
+def test_one_id_on_a_third_of_the_rows(make, monkeypatch):
+    """Texts of one id spread over ranges, and follow each other by their hashes."""
+    rng = random.Random(5)
+    rows = [(7 if i % 3 == 0 else i, f"text {i}\n{'x' * rng.randrange(90)}") for i in range(240)]
+    df = texts(make(rows))
+    size = sum(len(t) for _, t in rows) // 20
+    ranged = fingerprint.with_next(df, size)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-r[0], hashes[r[1]]))
+    want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    assert {r["text"]: r["next_text"] for r in ranged.collect()} == want
+    source = df.select(F.struct(F.col("doc_id").cast("bigint").alias("place"), F.bitwise_not(F.xxhash64("text")).alias("back")).alias("place"))
+    cuts = fingerprint.bounds_of(source, 20)
+    assert len(cuts) == 19 and 4 <= sum(c["place"] == 7 for c in cuts) <= 9
+
+
 def test_one_document_null_ids_and_none(make):
     r = fingerprint.fingerprints(texts(make([(5, "ab\ncd")]))).first()
     assert r["near_next"] == 1.0
