@@ -272,14 +272,18 @@ def quality(out: Column, aerial_: Column, measured: Column) -> Column:
     return F.when(out, "out").when(aerial_, "aerial").when(~measured, "filled").otherwise("measured")
 
 
-def possession(track: DataFrame, people: DataFrame, reach_m: float = 3.0, tolerance_s: float = 0.2) -> DataFrame:
-    """Who is nearest to the ball at its nearest instant of positions, within reach."""
-    times = people.select("frame", "tiempo_s").distinct()
-    at = islands.nearest_in_time(track.select("frame", "t", "mx", "my"), times, tolerance_s, "t", "tiempo_s", ["frame"])
-    p = people.where(F.col("equipo").isin(0, 1)).select(F.col("frame").alias("p_frame"), "id_jugador", "equipo", F.col("x_m").alias("p_x"), F.col("y_m").alias("p_y"))
+def possession(track: DataFrame, people: DataFrame, reach_m: float = 3.0, tolerance_s: float = 0.2, key: list[str] | None = None) -> DataFrame:
+    """Who is nearest to the ball at its nearest instant of positions, within reach; ``key``: columns of the match."""
+    own = key or []
+    times = people.select(*own, "frame", "tiempo_s").distinct()
+    at = islands.nearest_in_time(track.select(*own, "frame", "t", "mx", "my"), times, tolerance_s, "t", "tiempo_s", ["frame"], key=own)
+    p = people.where(F.col("equipo").isin(0, 1)).select(*(F.col(c).alias(f"p_{c}") for c in own), F.col("frame").alias("p_frame"), "id_jugador", "equipo", F.col("x_m").alias("p_x"), F.col("y_m").alias("p_y"))
     away = F.sqrt((F.col("mx") - F.col("p_x")) ** 2 + (F.col("my") - F.col("p_y")) ** 2)
-    near = at.join(p, (F.col("r_frame") == F.col("p_frame")) & (away <= reach_m))
-    return near.groupBy("frame", "t", "mx", "my").agg(F.min_by(F.struct("id_jugador", "equipo", away.alias("player_m")), F.struct(away, F.col("id_jugador"))).alias("b")).select("frame", "t", "mx", "my", "b.id_jugador", "b.equipo", "b.player_m")
+    on = (F.col("r_frame") == F.col("p_frame")) & (away <= reach_m)
+    for c in own:
+        on = on & (F.col(c) == F.col(f"p_{c}"))
+    near = at.join(p, on)
+    return near.groupBy(*own, "frame", "t", "mx", "my").agg(F.min_by(F.struct("id_jugador", "equipo", away.alias("player_m")), F.struct(away, F.col("id_jugador"))).alias("b")).select(*own, "frame", "t", "mx", "my", "b.id_jugador", "b.equipo", "b.player_m")
 
 
 def possession_share(owned_rows: DataFrame, track: DataFrame, length: float = 100.0, zones: int = 3) -> DataFrame:
@@ -295,14 +299,14 @@ def possession_share(owned_rows: DataFrame, track: DataFrame, length: float = 10
 def possession_changes(owned_rows: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Where the owning team changes."""
     w = W.partitionBy(*(key or [])).orderBy("frame")
-    return owned_rows.withColumn("before", F.lag("equipo").over(w)).where(F.col("before") != F.col("equipo")).select("frame", "t", "before", F.col("equipo").alias("after"))
+    return owned_rows.withColumn("before", F.lag("equipo").over(w)).where(F.col("before") != F.col("equipo")).select(*(key or []), "frame", "t", "before", F.col("equipo").alias("after"))
 
 
 def ball_gaps(track: DataFrame, least_s: float = 1.0, most_s: float = 8.0, least_x: float = 0.0, key: list[str] | None = None) -> DataFrame:
     """Times without a ball that start far enough up the pitch."""
     w = W.partitionBy(*(key or [])).orderBy("frame")
     led = track.withColumn("until", F.lead("t").over(w)).withColumn("gap_s", F.col("until") - F.col("t"))
-    return led.where((F.col("gap_s") > least_s) & (F.col("gap_s") < most_s) & (F.col("mx") >= least_x)).select("frame", "t", "gap_s", "mx")
+    return led.where((F.col("gap_s") > least_s) & (F.col("gap_s") < most_s) & (F.col("mx") >= least_x)).select(*(key or []), "frame", "t", "gap_s", "mx")
 
 
 def combined(people: DataFrame, track: DataFrame) -> DataFrame:
@@ -322,9 +326,12 @@ def anchored(track: DataFrame, radius_m: float = 0.5, key: str | None = None) ->
                 best = max(best, t - start)
             else:
                 n, cx, cy, start = 1, x, y, t
-        return pd.DataFrame({"longest_s": [best]})
+        return pd.DataFrame({"longest_s": [best], **({key: [g[key].iloc[0]]} if key else {})})
 
-    return track.groupBy(*([key] if key else [])).applyInPandas(run, "longest_s double")
+    schema = "longest_s double"
+    if key:
+        schema += f", {key} {track.schema[key].dataType.simpleString()}"
+    return track.groupBy(*([key] if key else [])).applyInPandas(run, schema)
 
 
 def mark_share(track: DataFrame, marks: DataFrame, cell_px: int = 12) -> DataFrame:

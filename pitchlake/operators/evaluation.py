@@ -186,7 +186,7 @@ def hota(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(i
     """Higher-order accuracy and its detection and association parts, on square boxes of ``box_m`` metres, by threshold of overlap."""
     from .matching import assign
 
-    cols = ["frame", "obj_id", "x_m", "y_m"]
+    cols = [*([key] if key else []), "frame", "obj_id", "x_m", "y_m"]
     both = gt.select(*cols, F.lit(0).alias("side")).unionByName(pred.select(*cols, F.lit(1).alias("side")))
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
@@ -222,9 +222,13 @@ def hota(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(i
             det = tp / max(tp + fn_ + fp, 1)
             ass = float((matches * (matches / np.maximum(n_g[:, None] + n_p[None] - matches, 1))).sum() / max(tp, 1))
             rows.append((float(t), math.sqrt(det * ass), det, ass))
-        return pd.DataFrame(rows, columns=["threshold", "hota", "det_a", "ass_a"])
+        got = pd.DataFrame(rows, columns=["threshold", "hota", "det_a", "ass_a"])
+        return got.assign(**{key: d[key].iloc[0]}) if key else got
 
-    return both.groupBy(*([key] if key else [])).applyInPandas(run, "threshold double, hota double, det_a double, ass_a double")
+    schema = "threshold double, hota double, det_a double, ass_a double"
+    if key:
+        schema += f", {key} {both.schema[key].dataType.simpleString()}"
+    return both.groupBy(*([key] if key else [])).applyInPandas(run, schema)
 
 
 def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, box_m: float = 2.0, key: list[str] | None = None) -> DataFrame:

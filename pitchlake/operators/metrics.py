@@ -194,10 +194,14 @@ def showable(errors: DataFrame, value: str, median_most: float = 1.5, p90_most:
     return s.withColumn("show", (F.col("median") <= median_most) & (F.col("p90") <= p90_most) & (F.col("n") >= n_least))
 
 
-def densest_window(rows: DataFrame, frames_in_window: int = 25, least_each: int = 7) -> DataFrame:
-    """The first window of frames with most frames in which both teams can be measured."""
+def densest_window(rows: DataFrame, frames_in_window: int = 25, least_each: int = 7, key: list[str] | None = None) -> DataFrame:
+    """The first window of frames with most frames in which both teams can be measured, of each match (``key``)."""
     n = lambda e: F.count(F.when(F.col("equipo") == e, 1))
-    ok = players(rows).groupBy("frame").agg(((n(0) >= least_each) & (n(1) >= least_each)).cast("int").alias("ok"))
+    ok = players(rows).groupBy(*(key or []), "frame").agg(((n(0) >= least_each) & (n(1) >= least_each)).cast("int").alias("ok"))
+    if key:
+        ahead = F.sum("ok").over(W.partitionBy(*key).orderBy("frame").rowsBetween(0, frames_in_window - 1))
+        counted = ok.select(*key, "frame", ahead.alias("n"))
+        return counted.groupBy(*key).agg(F.min_by("frame", F.struct(-F.col("n"), F.col("frame"))).alias("start_frame"), F.max("n").alias("n"))
     run = saved(scans.running(ok, "frame", {"at": F.lit(1), "up_to": F.col("ok")}))
     # a window of rows is the difference of two sums; the last windows end with the table
     end = run.select((F.col("at") - frames_in_window + 1).alias("at"), F.col("up_to").alias("end"))
@@ -269,8 +273,13 @@ def bin_proxies(rows: DataFrame, seconds: float = 15.0, full: int = 22) -> DataF
     return both.crossJoin(F.broadcast(stats)).select("bin", "frames", "jumps", fn.rounded(F.col("deficit")).alias("deficit"), fn.rounded((F.col("deficit") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
-def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float) -> DataFrame:
-    """The least value whose cumulative weight reaches a share of the total."""
+def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float, key: list[str] | None = None) -> DataFrame:
+    """The least value whose cumulative weight reaches a share of the total, in each match (``key``)."""
+    if key:
+        own = W.partitionBy(*key)
+        each = rows.groupBy(*key, value).agg(F.sum(weight).alias("w"))
+        each = each.withColumns({"below": F.sum("w").over(own.orderBy(value)), "total": F.sum("w").over(own)})
+        return each.where(F.col("below") >= q * F.col("total")).groupBy(*key).agg(F.min(value).alias("value"))
     by = rows.groupBy(value).agg(F.sum(weight).alias("w"))
     run = scans.running(by, value, {"below": F.col("w")})
     total = by.agg(F.sum("w").alias("total"))

@@ -135,15 +135,20 @@ def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2,
             out.append(pd.DataFrame({"tracklet_id": mine, "frame": frame, "t": t, "x_m": pos[:, 0], "y_m": pos[:, 1], "det_idx": rows["det_idx"].to_numpy()}))
         got = pd.concat(out)
         got = got[(got["tracklet_id"] > 0) & (got.groupby("tracklet_id")["frame"].transform("size") >= confirm)]
-        return got.astype({"tracklet_id": "int32", "frame": "int32", "det_idx": "int32"})
+        got = got.astype({"tracklet_id": "int32", "frame": "int32", "det_idx": "int32"})
+        return got.assign(**{key: g[key].iloc[0]}) if key else got
 
-    return dets.groupBy(*([key] if key else [])).applyInPandas(run, "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int")
+    schema = "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int"
+    if key:
+        schema += f", {key} {dets.schema[key].dataType.simpleString()}"
+    return dets.groupBy(*([key] if key else [])).applyInPandas(run, schema)
 
 
-def summaries(obs: DataFrame) -> DataFrame:
-    """Tracklets as rows: first and last time and place, and the smoothed velocity at the end."""
+def summaries(obs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Tracklets as rows: first and last time and place, and the smoothed velocity at the end; ``key``: columns of their match."""
+    own = key or []
     ordered = F.array_sort(F.collect_list(F.struct("t", "x_m", "y_m")))
-    by = obs.groupBy("tracklet_id").agg(ordered.alias("o"))
+    by = obs.groupBy(*own, "tracklet_id").agg(ordered.alias("o"))
 
     def step(acc, p):
         dt = p["t"] - acc["t"]
@@ -153,19 +158,21 @@ def summaries(obs: DataFrame) -> DataFrame:
     first = F.get("o", F.lit(0))
     start = F.struct(first["t"].alias("t"), first["x_m"].alias("x"), first["y_m"].alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
     end = F.aggregate(F.slice("o", F.lit(2), F.greatest(F.size("o") - 1, F.lit(1))), start, step)
-    return by.select("tracklet_id", first["t"].alias("t0"), first["x_m"].alias("x0"), first["y_m"].alias("y0"), end.alias("e"), F.size("o").alias("n")).select("tracklet_id", "t0", F.col("e.t").alias("t1"), "x0", "y0", F.col("e.x").alias("x1"), F.col("e.y").alias("y1"), F.col("e.vx").alias("vx"), F.col("e.vy").alias("vy"), "n")
+    return by.select(*own, "tracklet_id", first["t"].alias("t0"), first["x_m"].alias("x0"), first["y_m"].alias("y0"), end.alias("e"), F.size("o").alias("n")).select(*own, "tracklet_id", "t0", F.col("e.t").alias("t1"), "x0", "y0", F.col("e.x").alias("x1"), F.col("e.y").alias("y1"), F.col("e.vx").alias("vx"), F.col("e.vy").alias("vy"), "n")
 
 
-def stitch_candidates(tracklets: DataFrame, max_gap: float = 6.0, tol: float = 1.2, tol_per_s: float = 3.0, gap_weight: float = 0.3, v_max: float | None = None, colour: str | None = None, label: str | None = None, most_colour: float = 1.2, colour_weight: float = 0.15, speed_weight: float = 0.0, v_ref: float = 7.0) -> DataFrame:
+def stitch_candidates(tracklets: DataFrame, max_gap: float = 6.0, tol: float = 1.2, tol_per_s: float = 3.0, gap_weight: float = 0.3, v_max: float | None = None, colour: str | None = None, label: str | None = None, most_colour: float = 1.2, colour_weight: float = 0.15, speed_weight: float = 0.0, v_ref: float = 7.0, key: list[str] | None = None) -> DataFrame:
     """Links (a, b) that motion allows, with a cost of distance over tolerance and of the gap.
 
     ``colour`` names a column of mean colour vectors: links further apart than
     ``most_colour`` are out, the others pay for their distance. ``label`` names a
     column of team labels: two different ones are out. A null on either side
     abstains. ``speed_weight`` prices the change from the velocity before the gap
-    to that of the jump, in units of ``v_ref``.
+    to that of the jump, in units of ``v_ref``. ``key``: columns of the match, which
+    both ends share and links keep; tracklets are unique over matches.
     """
-    pairs = islands.range_candidates(tracklets, max_gap)
+    own = key or []
+    pairs = islands.range_candidates(tracklets, max_gap, own)
     gap = F.col("gap")
     # the optimizer may test speeds before the gap: no division by a gap of 0
     some = F.nullif(gap, F.lit(0.0))
@@ -184,7 +191,7 @@ def stitch_candidates(tracklets: DataFrame, max_gap: float = 6.0, tol: float = 1
     if speed_weight > 0:
         turn = F.sqrt(((F.col("b_x0") - F.col("a_x1")) / some - F.col("a_vx")) ** 2 + ((F.col("b_y0") - F.col("a_y1")) / some - F.col("a_vy")) ** 2)
         cost = cost + speed_weight * turn / v_ref
-    return pairs.where(ok).select(F.col("a_tracklet_id").alias("a"), F.col("b_tracklet_id").alias("b"), "gap", jump.alias("speed"), cost.alias("cost"))
+    return pairs.where(ok).select(*(F.col(f"a_{c}").alias(c) for c in own), F.col("a_tracklet_id").alias("a"), F.col("b_tracklet_id").alias("b"), "gap", jump.alias("speed"), cost.alias("cost"))
 
 
 def choose_links(candidates: DataFrame, how: str = "greedy", dummy: float = 2.0, key: str | None = None) -> DataFrame:
@@ -224,7 +231,8 @@ def choose_links(candidates: DataFrame, how: str = "greedy", dummy: float = 2.0,
                     out.append((left[r], right[c], cost[r, c]))
         return pd.DataFrame(out, columns=["a", "b", "cost"])
 
-    return candidates.groupBy(*([key] if key else [])).applyInPandas(run, "a int, b int, cost double")
+    kind = candidates.schema["a"].dataType.simpleString()
+    return candidates.groupBy(*([key] if key else [])).applyInPandas(run, f"a {kind}, b {kind}, cost double")
 
 
 def mutual_best(candidates: DataFrame, ambiguity: float = 0.15) -> DataFrame:
@@ -251,18 +259,19 @@ def purity_stitch(obs: DataFrame, passes: int = 3, ambiguity: float = 0.15, max_
             if a not in used and b not in used:
                 used.add(b)
                 keep.append((a, b))
-        return pd.DataFrame(keep, columns=["a", "b"]).astype("int32")
+        return pd.DataFrame(keep, columns=["a", "b"])
 
+    kind, match = obs.schema["tracklet_id"].dataType.simpleString(), [key] if key else None
     names = saved(obs.select("tracklet_id", F.col("tracklet_id").alias("identity_id")).distinct())
     for _ in range(passes):
         named = obs.join(names, "tracklet_id").drop("tracklet_id").withColumnRenamed("identity_id", "tracklet_id")
-        tracklets = summaries(named)
+        tracklets = summaries(named, match)
         if colour is not None:
             tracklets = tracklets.join(vector_means(named.where(F.col(colour).isNotNull()), ["tracklet_id"], colour), "tracklet_id", "left")
-        best = mutual_best(stitch_candidates(tracklets, max_gap=max_gap, v_max=v_max, colour=colour), ambiguity)
+        best = mutual_best(stitch_candidates(tracklets, max_gap=max_gap, v_max=v_max, colour=colour, key=match), ambiguity)
         if key is not None:
             best = best.join(named.select(F.col("tracklet_id").alias("a"), key).distinct(), "a")
-        links = saved(best.groupBy(*([key] if key else [])).applyInPandas(accepted, "a int, b int"))
+        links = saved(best.groupBy(*([key] if key else [])).applyInPandas(accepted, f"a {kind}, b {kind}"))
         if links.isEmpty():
             break
         joined = components(names.select(F.col("identity_id").alias("tracklet_id")).distinct(), links).withColumnRenamed("tracklet_id", "through").withColumnRenamed("identity_id", "joined")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, smoothing, tracking
 from ..operators.lineage import saved
+from . import matches
+
+#: A cut trajectory's pieces are numbered below this.
+PIECES = 1000
 
 #: Fixed names of the three profiles and what they differ in.
 PROFILES = {
@@ -32,15 +36,16 @@ class Profile:
     conservative: tracking.Conservative = field(default_factory=tracking.Conservative)
 
 
-def identities(dets: DataFrame, p: Profile) -> DataFrame:
-    """Observations under identities: tracker, stitching and merging as the profile says."""
+def identities(dets: DataFrame, p: Profile, key: str | None = None) -> DataFrame:
+    """Observations under identities: tracker, stitching and merging as the profile says; with ``key``, frames and identities unique over matches."""
     how = PROFILES[p.name]
     kept = filters.by_confidence(dets, p.least_conf)
-    obs = tracking.conservative_tracker(kept, p.dt, p.conservative) if how["tracker"] == "conservative" else tracking.box_tracker(kept)
-    obs = saved(obs)
+    obs = tracking.conservative_tracker(kept, p.dt, p.conservative, key) if how["tracker"] == "conservative" else tracking.box_tracker(kept, key=key)
+    obs = saved(obs if key is None else matches.lifted(obs, key, ids=("tracklet_id",)))
+    match = [key] if key else None
     rows = obs
     if how["choice"] != "none":
-        links = tracking.choose_links(tracking.stitch_candidates(tracking.summaries(obs)), how["choice"])
+        links = tracking.choose_links(tracking.stitch_candidates(tracking.summaries(obs, match), key=match), how["choice"], key=key)
         named = tracking.components(obs.select("tracklet_id").distinct(), links)
         rows = obs.join(named, "tracklet_id")
     else:
@@ -60,7 +65,7 @@ def finished(rows: DataFrame, frames: DataFrame, p: Profile) -> DataFrame:
         rows = saved(rows)
         rows = tracking.merge_identities(rows, tracking.duplicates(rows, 3, p.most_duplicate_m))
         cut = smoothing.cut_by_speed(rows)
-        rows = cut.withColumn("id_jugador", (F.col("id_jugador") * 1000 + F.col("piece")).cast("int")).drop("piece")
+        rows = cut.withColumn("id_jugador", (F.col("id_jugador") * PIECES + F.col("piece")).cast(rows.schema["id_jugador"].dataType)).drop("piece")
     return smoothing.fill_gaps(rows, frames, p.fill_s, step=p.step)
 
 
@@ -69,3 +74,17 @@ def run(dets: DataFrame, p: Profile | None = None) -> DataFrame:
     p = p or Profile()
     frames = dets.select("frame", F.col("t").alias("tiempo_s")).distinct()
     return finished(identities(dets, p), frames, p)
+
+
+def run_matches(dets: DataFrame, p: Profile | None = None, key: str = "match_no") -> DataFrame:
+    """Positions of every match of a table in one job: what each match alone would give, with its ``key``.
+
+    Frames and identities are lifted, so that no step can mix two matches; only
+    trackers and choices of links take a match as a group.
+    """
+    p = p or Profile()
+    frames = matches.lifted(dets.select(key, "frame", F.col("t").alias("tiempo_s")).distinct(), key).select("frame", "tiempo_s")
+    out = finished(identities(dets, p, key), frames, p)
+    room = matches.ROOM * (PIECES if PROFILES[p.name]["repair"] else 1)
+    number = F.floor(F.col("frame") / matches.ROOM).cast(dets.schema[key].dataType)
+    return out.withColumns({key: number, "frame": F.pmod("frame", F.lit(matches.ROOM)).cast("int"), "id_jugador": F.pmod("id_jugador", F.lit(room)).cast("int")})

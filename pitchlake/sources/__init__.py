@@ -155,10 +155,14 @@ def feet(boxes: DataFrame, h, offset: int = 0, step: int = 1) -> DataFrame:
     return boxes.select((F.col("frame") * step + offset).alias("frame"), "obj_id", x.alias("x_m"), y.alias("y_m"), "team", "label")
 
 
-def mot_rows(obs: DataFrame, box_m: float = 2.0) -> DataFrame:
-    """Observations as lines of the MOT challenge format: frames 1 to N, square boxes in metres."""
-    b = obs.join(scans.numbered(obs.select("frame").distinct(), "frame"), "frame")
-    return b.select(F.col("n").cast("int").alias("frame"), F.col("obj_id").alias("id"), (F.col("x_m") - box_m / 2).alias("left"), (F.col("y_m") - box_m / 2).alias("top"), F.lit(box_m).alias("width"), F.lit(box_m).alias("height"), F.lit(1).alias("conf"))
+def mot_rows(obs: DataFrame, box_m: float = 2.0, key: list[str] | None = None) -> DataFrame:
+    """Observations as lines of the MOT challenge format: frames 1 to N (of each match, ``key``), square boxes in metres."""
+    own = key or []
+    if own:
+        b = obs.withColumn("n", F.dense_rank().over(W.partitionBy(*own).orderBy("frame")))
+    else:
+        b = obs.join(scans.numbered(obs.select("frame").distinct(), "frame"), "frame")
+    return b.select(*own, F.col("n").cast("int").alias("frame"), F.col("obj_id").alias("id"), (F.col("x_m") - box_m / 2).alias("left"), (F.col("y_m") - box_m / 2).alias("top"), F.lit(box_m).alias("width"), F.lit(box_m).alias("height"), F.lit(1).alias("conf"))
 
 
 def write_mot(obs: DataFrame, path: str, box_m: float = 2.0) -> None:
