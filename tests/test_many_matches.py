@@ -64,7 +64,7 @@ def test_each_match_alone(spark, name):
     cols = sorted(c for c in both.columns if c not in KEY)
     found = {r["match_no"] for r in both.select(*KEY).distinct().collect()}
     assert len(found) > 1
-    for m in (0, 1):
+    for m in (1,) if name.startswith("profile") else (0, 1):
         alone = ALONE[name](lambda n, m=m: fixtures.table(spark, DATA, n).where(F.floor(F.col("frame") / LENGTH) == m))
         want = rows(alone, cols)
         assert want and rows(both.where(F.col("match_no") == m), cols) == want
