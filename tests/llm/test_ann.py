@@ -77,3 +77,61 @@ def test_one_id_with_two_vectors(spark):
     rows = [(20, unit(1, 0)), (20, unit(0, 1)), (1, unit(5, 7)), (2, unit(1, 1))]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()]
     assert sorted(got) == sorted([(20, 1, 1, 5.0), (20, 2, 2, 1.0), (20, 3, 20, 0.0), (20, 1, 1, 7.0), (20, 2, 2, 1.0), (20, 3, 20, 0.0)])
+
+
+def clustered(rng, n, centres, width=16, spread=0.35):
+    c = rng.standard_normal((centres, width)) * 2
+    v = c[rng.integers(0, centres, n)] + spread * rng.standard_normal((n, width))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("f4")
+
+
+def written(spark, v, folder):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    flat = pa.array(v.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], "i4"), flat)}), f"{folder}/v.parquet")
+    return spark.read.parquet(f"{folder}/v.parquet")
+
+
+def recall(got, v, k=20, every=20):
+    q = np.arange(0, len(v), every)
+    x = v.astype(float)
+    hits = 0
+    for a in range(0, len(q), 500):
+        s = x[q[a : a + 500]] @ x.T
+        s[np.arange(len(s)), q[a : a + 500]] = -np.inf
+        true = np.argpartition(-s, k, axis=1)[:, :k]
+        hits += sum(len(got[int(i)] & set(t.tolist())) for i, t in zip(q[a : a + 500], true, strict=True))
+    return hits / (len(q) * k)
+
+
+def searched(spark, rows, monkeypatch):
+    """Neighbours by query, and the mean share of all leaves that a query is sent to."""
+    seen = []
+    plain = ann.leaves
+    monkeypatch.setattr(ann, "leaves", lambda routed, models, every: seen.append(plain(routed, models, every)) or seen[-1])
+    got = {}
+    for r in ann.search(rows, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    sent, all_ = seen[1].agg(F.avg(F.size("leaves"))).first()[0], seen[0].select(F.explode("leaves")).distinct().count()
+    return got, sent / all_, all_
+
+
+def test_two_levels_of_parts(spark, monkeypatch, tmp_path):
+    for name, value in (("PART_ROWS", 150), ("SAMPLE_ROWS", 1000)):
+        monkeypatch.setattr(ann, name, value)
+    v = clustered(np.random.default_rng(5), 20000, 200)
+    got, share, all_ = searched(spark, written(spark, v, tmp_path), monkeypatch)
+    # 1,000 sampled vectors make at most 31 parts; the second level makes more of them
+    print(f"{all_} leaves, {share:.3f} of them searched")
+    assert all_ > 31 and share <= 0.25
+    assert recall(got, v) >= 0.9
+
+
+def test_recall_on_a_hundred_thousand(spark, monkeypatch, tmp_path):
+    v = clustered(np.random.default_rng(6), 100_000, 500)
+    got, share, all_ = searched(spark, written(spark, v, tmp_path), monkeypatch)
+    found = recall(got, v)
+    print(f"{all_} leaves, {share:.3f} of them searched, recall {found:.3f}")
+    assert share <= 0.25 and found >= 0.9
