@@ -352,12 +352,11 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     near = left.groupBy("part", "i", "q").cogroup(right.groupBy("q_part", "q_i", "q_q")).applyInArrow(compare, "rep bigint, best array<struct<away:double,vec_id:bigint,own:boolean>>")
     # a short list from each group of each part that the query was sent to; the query's own row goes, k others stay
-    lists = near.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    lists = near.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
     own = F.array_position(F.transform("best", lambda b: b["own"] & (b["vec_id"] == F.col("query_id"))), True)
-    pairs = asking.join(lists, "rep").withColumn("own", own).select("query_id", F.filter("best", lambda b, i: i + 1 != F.col("own")).alias("best"))
-    return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "b")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score")
-    )
+    pairs = asking.join(lists, "rep").select("query_id", own.alias("own"), F.posexplode("best").alias("pos", "b")).where(F.col("pos") + 1 != F.col("own"))
+    rank = F.col("pos") + F.when((F.col("own") > 0) & (F.col("pos") + 1 > F.col("own")), 0).otherwise(1)
+    return pairs.select("query_id", rank.cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score")).where(F.col("rank") <= k)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
