@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands, paths
+from . import islands, paths, tracking
+from .lineage import saved
 
 
 def plausible(cands: DataFrame, length: float, width: float, margin: float = 3.0) -> DataFrame:
@@ -20,25 +21,25 @@ def plausible(cands: DataFrame, length: float, width: float, margin: float = 3.0
 def mark_cells(cands: DataFrame, cell_px: int = 12, least: int = 100, least_span_s: float = 120.0, most_spread_px: float = 4.0) -> DataFrame:
     """Cells of the image where something stays put: many hits, over a long time, close together."""
     cell = lambda c: F.floor(F.col(c) / cell_px).cast("int")
-    by = cands.groupBy(cell("px").alias("cx"), cell("py").alias("cy")).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_s"), F.greatest(F.stddev_pop("px"), F.stddev_pop("py")).alias("spread_px"), F.countDistinct(F.floor(F.col("t") / 60)).alias("minutes"))
+    by = cands.groupBy(cell("px").alias("cx"), cell("py").alias("cy")).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_s"), fn.rounded(F.greatest(F.stddev_pop("px"), F.stddev_pop("py"))).alias("spread_px"), F.countDistinct(F.floor(F.col("t") / 60)).alias("minutes"))
     return by.where((F.col("n") >= least) & (F.col("span_s") >= least_span_s) & (F.col("spread_px") <= most_spread_px))
 
 
 def static_marks(cands: DataFrame, share: float = 0.5, **kw) -> DataFrame:
     """Groups of neighbouring mark cells seen in enough of the minutes: ``cx, cy, mark``.
 
-    Cells are few (an image has some thousands), so neighbours are an equi-join
-    on nine shifted keys and labels spread in a bounded number of rounds.
+    Cells are few (an image has some thousands). Neighbours are an equi-join on the
+    shifted keys of half of a cell's surroundings, and groups are the components of these links.
     """
     minutes = cands.select(F.floor(F.col("t") / 60).alias("m")).distinct().count()
-    cells = mark_cells(cands, **kw).withColumn("label", F.col("cx") * 100_000 + F.col("cy")).cache()
-    labels = cells.select("cx", "cy", "label")
-    for _ in range(max(1, int(np.ceil(np.sqrt(cells.count()))))):
-        shift = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-        near = labels.withColumn("s", shift).select((F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"), "label").groupBy("cx", "cy").agg(F.min("label").alias("near"))
-        labels = labels.join(near, ["cx", "cy"]).select("cx", "cy", F.least("label", "near").alias("label"))
-    seen = cells.drop("label").join(labels, ["cx", "cy"]).groupBy("label").agg(F.max("minutes").alias("minutes"))
-    return labels.join(seen.where(F.col("minutes") >= share * max(minutes, 1)), "label").select("cx", "cy", F.col("label").alias("mark"))
+    cells = saved(mark_cells(cands, **kw).withColumn("label", F.col("cx") * 100_000 + F.col("cy")))
+    shift = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    near = cells.withColumn("s", shift).select((F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"), F.col("label").alias("a"))
+    links = cells.join(near, ["cx", "cy"]).select("a", F.col("label").alias("b"))
+    named = tracking.components(cells.select(F.col("label").alias("tracklet_id")), links)
+    marked = cells.join(named, F.col("label") == F.col("tracklet_id"))
+    seen = marked.groupBy("identity_id").agg(F.max("minutes").alias("_most")).where(F.col("_most") >= share * max(minutes, 1))
+    return marked.join(seen, "identity_id").select("cx", "cy", F.col("identity_id").alias("mark"))
 
 
 def without_marks(cands: DataFrame, marks: DataFrame, cell_px: int = 12) -> DataFrame:

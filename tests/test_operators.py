@@ -22,6 +22,14 @@ def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 
 
+def test_a_long_chain_of_mark_cells_is_one_mark(spark):
+    rows = [(f, f * 1.0, 12.0 * f2 + 6, 12.0 * (f2 % 2) + 6) for f2 in range(60) for f in range(4)]
+    cands = spark.createDataFrame(rows, "frame int, t double, px double, py double")
+    got = ball.static_marks(cands, least=4, least_span_s=3.0).collect()
+    assert len(got) == 60
+    assert {r["mark"] for r in got} == {0}
+
+
 # assignment
 
 
