@@ -241,12 +241,13 @@ def merge_contacts(a: DataFrame, b: DataFrame, apart_s: float = 0.2, key: list[s
 
 def flight_lines(track: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Aerial rows on the line, by time, between the ground rows before and after them; measured no more."""
-    w = W.partitionBy(*(key or [])).orderBy("frame")
+    # what follows is what comes before in the reverse order: a window up to the end reads it anew for each row
+    w, back = (W.partitionBy(*(key or [])).orderBy(o) for o in (F.asc("frame"), F.desc("frame")))
     ground = lambda c: F.when(~F.col("aerial"), F.col(c))
     ends = {}
     for c in ("t", "mx", "my"):
-        ends[f"_a_{c}"] = F.last(ground(c), True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        ends[f"_b_{c}"] = F.first(ground(c), True).over(w.rowsBetween(0, W.unboundedFollowing))
+        ends[f"_a_{c}"] = F.last(ground(c), True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
+        ends[f"_b_{c}"] = F.last(ground(c), True).over(back.rangeBetween(W.unboundedPreceding, W.currentRow))
     s = track.withColumns(ends)
     share = (F.col("t") - F.col("_a_t")) / (F.col("_b_t") - F.col("_a_t"))
     both = F.col("aerial") & F.col("_a_t").isNotNull() & F.col("_b_t").isNotNull() & (F.col("_b_t") > F.col("_a_t"))

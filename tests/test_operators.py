@@ -30,6 +30,26 @@ def test_a_long_chain_of_mark_cells_is_one_mark(spark):
     assert {r["mark"] for r in got} == {0}
 
 
+@pytest.mark.parametrize("gap", [1, 5])
+def test_no_window_up_to_the_end_of_an_identity(spark, gap):
+    """Such a window reads the rest of the identity for each row: time grows with the square of its rows."""
+    n = 1000
+    rows = spark.range(n).select(F.col("id").cast("int").alias("frame"), (F.col("id") / 25).alias("tiempo_s"), F.lit(1).alias("id_jugador"), F.lit("A").alias("etiqueta"), F.when(F.col("id").isin(0, n - gap), 1).otherwise(0).alias("es_real"))
+    track = rows.select("frame", F.col("tiempo_s").alias("t"), F.col("frame").cast("double").alias("mx"), F.lit(0.0).alias("my"), (F.col("es_real") == 0).alias("aerial"))
+    labels, shown, lines = smoothing.spread_labels(rows), filters.credible(rows, 0.13, 2.0), ball.flight_lines(track.withColumn("mx", F.when(F.col("aerial"), 7.0).otherwise(F.col("mx"))))
+    for got in (labels, shown, lines):
+        assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    assert labels.where("label = 'A'").count() == n
+    assert shown.count() == 8 + min(gap - 1, 3)
+    assert lines.where((F.abs(F.col("fx") - F.col("frame")) < 1e-6) | (F.col("frame") > n - gap)).count() == n
+
+
+def test_equal_deficits_have_no_z_score(spark):
+    rows = [(f, i, 0, "A", 10.0 + (5 if f == 3 + 375 * k else 0), 1.0, 1) for k in range(2) for f in range(375 * k, 375 * k + 9, 3) for i in (1, 2)]
+    got = metrics.bin_proxies(positions(spark, rows)).collect()
+    assert [(r["bin"], r["deficit"], r["z"]) for r in sorted(got, key=lambda r: r["bin"])] == [(0, 20.0, None), (1, 20.0, None)]
+
+
 # assignment
 
 
