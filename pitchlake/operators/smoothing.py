@@ -98,12 +98,12 @@ def jitter(rows: DataFrame, band_m: float = 16.0, key: str = "id_jugador", step:
 
 def spread_labels(rows: DataFrame, label: str = "etiqueta", key: str = "id_jugador") -> DataFrame:
     """Rows that were not measured take the label of the nearest measured row of their identity by frame; of two as near, the earlier."""
-    w = W.partitionBy(key).orderBy("frame")
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # what follows is what comes before in the reverse order: a window up to the end reads it anew for each row
+    before, after = (W.partitionBy(key).orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.asc("frame"), F.desc("frame")))
     real = lambda c: F.when(F.col("es_real") == 1, F.col(c))
     near = rows.withColumns({
         "_pf": F.last(real("frame"), True).over(before), "_pl": F.last(real(label), True).over(before),
-        "_nf": F.first(real("frame"), True).over(after), "_nl": F.first(real(label), True).over(after),
+        "_nf": F.last(real("frame"), True).over(after), "_nl": F.last(real(label), True).over(after),
     })
     earlier = F.col("_nf").isNull() | (F.col("frame") - F.col("_pf") <= F.col("_nf") - F.col("frame"))
     spread = F.when(F.col("es_real") == 1, F.col(label)).when(F.col("_pf").isNotNull() & earlier, F.col("_pl")).otherwise(F.col("_nl"))
