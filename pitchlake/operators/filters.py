@@ -50,11 +50,11 @@ def credible(rows: DataFrame, most_age_s: float = 0.6, least_life_s: float = 2.0
     ball = F.col("etiqueta").startswith("balon")
     real_t = F.when(F.col("es_real") == 1, F.col("tiempo_s"))
     whole = W.partitionBy("id_jugador")
-    before = whole.orderBy("tiempo_s").rowsBetween(W.unboundedPreceding, 0)
-    after = whole.orderBy("tiempo_s").rowsBetween(0, W.unboundedFollowing)
+    # what follows is what comes before in the reverse order: a window up to the end reads it anew for each row
+    before, after = (whole.orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.asc("tiempo_s"), F.desc("tiempo_s")))
     aged = rows.withColumns({
         "_life": F.max(F.when(~ball, real_t)).over(whole) - F.min(F.when(~ball, real_t)).over(whole),
-        "_age": F.least(F.col("tiempo_s") - F.last(real_t, ignorenulls=True).over(before), F.first(real_t, ignorenulls=True).over(after) - F.col("tiempo_s")),
+        "_age": F.least(F.col("tiempo_s") - F.last(real_t, ignorenulls=True).over(before), F.last(real_t, ignorenulls=True).over(after) - F.col("tiempo_s")),
     })
     keep = ball | ((F.col("_life") >= least_life_s) & ((F.col("es_real") == 1) | (F.col("_age") <= most_age_s)))
     return aged.where(keep).drop("_life", "_age")
