@@ -264,13 +264,13 @@ def occupancy_error(truth: DataFrame, rows: DataFrame, length: float = LENGTH, w
 
 
 def bin_proxies(rows: DataFrame, seconds: float = 15.0, full: int = 22) -> DataFrame:
-    """Deficit of players and rate of jumps by bin of time, with z-scores by the sample deviation."""
+    """Deficit of players and rate of jumps by bin of time, with z-scores by the sample deviation (null if all deficits are equal)."""
     counts = of_teams(rows).groupBy("frame", "tiempo_s").agg(F.count("*").alias("n"))
     deficit = counts.groupBy(F.floor(F.col("tiempo_s") / seconds).cast("int").alias("bin")).agg(F.avg(F.greatest(F.lit(full) - F.col("n"), F.lit(0))).alias("deficit"), F.count("*").alias("frames"))
     jump = islands.speeds(rows).where("step_m > 3").groupBy(F.floor(F.col("tiempo_s") / seconds).cast("int").alias("bin")).agg(F.count("*").alias("jumps"))
     both = deficit.join(jump, "bin")
     stats = both.agg(F.avg("deficit").alias("m"), F.stddev_samp("deficit").alias("s"))
-    return both.crossJoin(F.broadcast(stats)).select("bin", "frames", "jumps", fn.rounded(F.col("deficit")).alias("deficit"), fn.rounded((F.col("deficit") - F.col("m")) / F.col("s"), 5).alias("z"))
+    return both.crossJoin(F.broadcast(stats)).select("bin", "frames", "jumps", fn.rounded(F.col("deficit")).alias("deficit"), fn.rounded((F.col("deficit") - F.col("m")) / F.when(F.col("s") > 1e-9, F.col("s")), 5).alias("z"))
 
 
 def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float, key: list[str] | None = None) -> DataFrame:
