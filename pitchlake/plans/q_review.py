@@ -89,7 +89,7 @@ ORACLES: dict[str, str] = {
     "hue_saturation": sql("features", "select frame, det_idx, ((list_position(feat, list_max(feat)) - 1) // 8 + 0.5e0) * 22.5e0 as hue, ((list_position(feat, list_max(feat)) - 1) % 8 + 0.5e0) * 32e0 as saturation from features"),
     "brightness": sql("features", f", b as (select frame, det_idx, list_transform(feat[17:32], lambda x: abs(cast(x as double))) as v from features) select frame, det_idx, {R('list_sum(list_transform(v, lambda x, i: x * (i - 0.5e0) * 16e0)) / list_sum(v)', 4)} as value from b"),
     "pixels_per_metre": sql("ball_cand", f"select frame, cand_idx, {R('h_px / (0.22e0 * (1 / 0.05e0))')} as size from ball_cand"),
-    "clock": sql("positions", "select distinct frame, lpad(cast(cast(floor(tiempo_s * 10 / 60) as int) as varchar), 2, '0') || ':' || lpad(cast(cast(floor(tiempo_s * 10) as int) % 60 as varchar), 2, '0') as clock from positions"),
+    "clock": sql("positions", "select distinct frame, printf('%02d:%02d', cast(floor(tiempo_s * 10 / 60) as int), cast(floor(tiempo_s * 10) as int) % 60) as clock from positions"),
     "oracle_position": sql("gt_obs positions", PAIRS + f", t as (select p.frame, p.pred_id, arg_min(g.x_m, p.distance) as gx, arg_min(g.y_m, p.distance) as gy, count(*) as n from pairs p join gt_obs g on g.frame = p.frame and g.obj_id = p.gt_id group by 1, 2) select q.frame, q.obj_id, {R('coalesce(g.x_m, q.x_m)')} as x_m, {R('coalesce(g.y_m, q.y_m)')} as y_m from pred q left join pairs p on q.frame = p.frame and q.obj_id = p.pred_id left join gt_obs g on g.frame = p.frame and g.obj_id = p.gt_id"),
     "oracle_identity": sql("gt_obs positions", PAIRS + " select q.frame, coalesce(p.gt_id, q.obj_id) as obj_id from pred q left join pairs p on q.frame = p.frame and q.obj_id = p.pred_id"),
     "prototype_drift": sql("features", f", d as (select frame, det_idx, feat, {_DIST(0)} as a, {_DIST(1)} as b from features), n as (select cast(floor(frame / 30) as int) as segment, case when a <= b then 'A' else 'B' end as team, feat from d), e as (select segment, team, unnest(feat) as v, unnest(range(len(feat))) as k from n), m as (select segment, team, k, avg(cast(v as double)) as m from e group by 1, 2, 3) select segment, team, {R('sqrt(sum((m - case when (team = ' + chr(39) + 'A' + chr(39) + ' and k = 0) or (team = ' + chr(39) + 'B' + chr(39) + ' and k = 1) then 1e0 else 0e0 end) * (m - case when (team = ' + chr(39) + 'A' + chr(39) + ' and k = 0) or (team = ' + chr(39) + 'B' + chr(39) + ' and k = 1) then 1e0 else 0e0 end)))', 5)} as away from m group by 1, 2"),
