@@ -40,13 +40,15 @@ def _over(*names: str):
 
 
 def each_match(one: str) -> str:
-    """The SQL of a query over one match, for every match by itself."""
+    """The SQL of a query over one match, for every match that its tables have, by itself."""
+    numbers = []
     for name, text in fixtures.VIEWS.items():
         body = text.format(events="events", embeddings="embeddings")
+        if f"{name} as ({body})" not in one:
+            continue
+        numbers.append(f"select distinct cast(floor(frame / {LENGTH}e0) as int) as match_no from ({body})")
         one = one.replace(f"{name} as ({body})", f"{name} as (select * from ({body}) where floor(frame / {LENGTH}e0) = m.match_no)")
-    # both the people's and the ball's frames count three or two to 24 or 12 events
-    numbers = f"select distinct cast(floor(3 * floor(event_id / 24e0) / {LENGTH}e0) as int) as match_no from events union select distinct cast(floor(2 * floor(event_id / 12e0) / {LENGTH}e0) as int) from events"
-    return f"select m.match_no, x.* from ({numbers}) m, lateral ({one}) x"
+    return f"select m.match_no, x.* from ({' union '.join(numbers)}) m, lateral ({one}) x"
 
 
 def _named(obs: DataFrame) -> DataFrame:
