@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from pitchlake.operators.lineage import saved
 from pitchlake.plans import catalog
 
 
@@ -21,3 +23,10 @@ def test_late_minutes_and_matches_without_people(spark, tmp_path, name, first, n
     duckdb.sql(f"copy (select {first} + range as event_id, (range % 97)::double as value from range({n})) to '{tmp_path}/events.parquet'")
     ours, theirs = _same(spark, tmp_path, name)
     assert ours and ours == theirs
+
+
+def test_what_is_saved_takes_no_conditions_along(spark):
+    """Conditions that the optimizer keeps from round to round double in a loop, all on the driver."""
+    df = saved(spark.range(10).withColumn("b", F.col("id") + 1).where("b = id + 1 and b > 2"))
+    assert df._jdf.queryExecution().analyzed().constraints().size() == 0
+    assert sorted(df.collect()) == [(i, i + 1) for i in range(2, 10)]
