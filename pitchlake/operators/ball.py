@@ -65,16 +65,18 @@ def group_objects(cands: DataFrame, reach_m: float = 8.0, reach_frames: int = 30
     """Candidates with the number of their object: the first one still open that is near enough. Order matters, so a match is one group."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["frame", "cand_idx"])
-        open_: list[list[float]] = []
-        out = []
+        # by number, so in the order in which they began; those out of reach in time never come back
+        open_: dict[int, tuple[float, float, float]] = {}
+        out, n, at = [], 0, None
         for f, x, y in g[["frame", "mx", "my"]].itertuples(index=False):
-            for i, (lf, lx, ly) in enumerate(open_):
-                if f - lf <= reach_frames and np.hypot(x - lx, y - ly) <= reach_m:
+            if f != at:
+                at, open_ = f, {i: o for i, o in open_.items() if f - o[0] <= reach_frames}
+            for i, (_, lx, ly) in open_.items():
+                if np.hypot(x - lx, y - ly) <= reach_m:
                     break
             else:
-                i = len(open_)
-                open_.append([f, x, y])
-            open_[i] = [f, x, y]
+                i, n = n, n + 1
+            open_[i] = (f, x, y)
             out.append(i)
         return g.assign(object=np.array(out, "int32"))
 

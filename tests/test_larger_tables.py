@@ -1,9 +1,12 @@
 """Queries against their SQL where the smallest tables don't reach."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pitchlake.operators import ball
 from pitchlake.operators.lineage import saved
 from pitchlake.plans import catalog
 
@@ -30,3 +33,13 @@ def test_what_is_saved_takes_no_conditions_along(spark):
     df = saved(spark.range(10).withColumn("b", F.col("id") + 1).where("b = id + 1 and b > 2"))
     assert df._jdf.queryExecution().analyzed().constraints().size() == 0
     assert sorted(df.collect()) == [(i, i + 1) for i in range(2, 10)]
+
+
+def test_objects_out_of_reach_are_not_looked_at_again(spark):
+    """40,000 objects one after another: looking at all earlier ones would take 800 million comparisons."""
+    n = 40_000
+    cands = spark.range(n).select((F.col("id") * 40).cast("int").alias("frame"), F.lit(0).alias("cand_idx"), F.lit(5.0).alias("mx"), F.lit(5.0).alias("my"))
+    began = time.monotonic()
+    got = ball.group_objects(cands).agg(F.countDistinct("object"), F.max("object")).first()
+    assert tuple(got) == (n, n - 1)
+    assert time.monotonic() - began < 30
