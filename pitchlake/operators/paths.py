@@ -1,14 +1,14 @@
 """Cheapest paths through candidates along time, a match in many tasks.
 
-A path takes at most one candidate of a frame and may be out of sight. What a
-segment of time makes of the path depends on the states before it only: out of
-sight, or at one of the last candidates. So a segment's table of costs from each
-state before to each state after is computed by itself; tables multiply (least
-sum) in a tree with ``fan`` members a node, which gives the costs at the start of
-each segment; then each segment knows for each state after which state before the
-path came from, and a second tree follows these maps from the end.
-
-A task holds a segment or ``fan`` tables, never a match.
+A path takes at most one candidate of a frame and may be out of sight. What the
+past means for the rest of a path is the cost of being out of sight and of each
+candidate within the window, relative to the first: that is the state which
+``handover`` hands from segment to segment. Then each segment knows for each state
+after it which state before it the path came from; a tree with ``fan`` members a
+node follows these maps from the end, and each segment picks its rows.
+
+Costs are rounded to multiples of 2**-30, so that sums do not depend on where they
+begin. A task holds a segment or ``fan`` maps, never a match.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import handover
 from .lineage import saved
 
-_EPS = 1e-6
+#: Parts of a unit of cost.
+_UNIT = 2.0**30
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Chain:
     """The costs of a path. Least cost wins, then least ``tie``, then the first.
 
     window_s: how long a path may be out of sight and still go on from a candidate.
-    move: cost from candidates to one of a later frame by seconds, offsets and frames between; infinite where not allowed.
+    move: cost from candidates to one of a later frame by seconds, offsets and frames between; never negative, infinite where not allowed.
     enter: cost of a candidate after being out of sight; stay: cost of a frame out of sight.
     own: what a candidate itself costs, by its row number; tie: what it adds to the tie, by its place in the frame.
     folded: a path may be out of sight in the same frame in which it took a candidate.
@@ -48,78 +50,101 @@ class Chain:
     folded: bool = False
 
 
-def _first_least(v: np.ndarray) -> np.ndarray:
-    """For each column of ``v`` (options x states x 2, or x 1 without ties) the first option of least cost, then least tie."""
-    cost = v[:, :, 0]
-    if v.shape[2] == 1:
-        return cost.argmin(0)
-    return np.where(cost == cost.min(0), v[:, :, 1], np.inf).argmin(0)
+def _whole(cost: np.ndarray | float) -> np.ndarray:
+    return np.round(np.asarray(cost, float) * _UNIT) / _UNIT
+
+
+def _first_least(cost: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """For each column the first option of least cost, then least tie."""
+    return np.where(cost == cost.min(0), tie, np.inf).argmin(0)
 
 
 @dataclass
 class _Run:
-    """A reading of a segment: values (rows x starts x 2, or x 1 without ties) and where each came from (-1: out of sight)."""
+    """A reading of a segment. Candidates are numbered: first those of the state it starts from, then its rows; -1 is out of sight.
+
+    back: where each candidate came from; none_back: where being out of sight after each frame came from;
+    left: the candidates of the state after it; state: out of sight costs nothing there.
+    """
 
-    value: np.ndarray
     back: np.ndarray
-    none: list[np.ndarray]
-    none_back: list[np.ndarray]
+    none_back: np.ndarray
     frame_of: np.ndarray
-    first: int
-    frames: list[np.ndarray]
-
-
-def _read(chain: Chain, g: pd.DataFrame, halo: int, none: np.ndarray, entry: np.ndarray) -> _Run:
-    """``g``: rows in order, the first ``halo`` of the segment before. none (starts x 2) and entry (halo x starts x 2): their values."""
-    xy, t, n = g[list(chain.place)].to_numpy(float), g["t"].to_numpy(float), len(g)
-    own = g[chain.own].to_numpy(float) if chain.own else np.zeros(n)
-    cuts = np.flatnonzero(np.diff(g["frame"].to_numpy())) + 1
-    frames = np.split(np.arange(n), cuts)
-    frame_of = np.repeat(np.arange(len(frames)), [len(f) for f in frames])
-    first = next((k for k, rows in enumerate(frames) if rows[0] >= halo), len(frames))
-    starts, width = none.shape[0], 1 if chain.tie is None else 2
-    value, back = np.full((n, starts, width), np.inf), np.full((n, starts), -1)
-    value[:halo] = entry[:, :, :width]
-    nones, none_back = [none[:, :width]], []
-    stay, each = np.array(chain.stay)[:width], np.arange(starts)
-    for k in range(first, len(frames)):
-        rows, before = frames[k], nones[-1]
-        low = k
-        while low > 0 and t[rows[0]] - t[frames[low - 1][0]] <= chain.window_s:
-            low -= 1
-        prev = np.concatenate([frames[b] for b in range(k - 1, low - 1, -1)]) if low < k else np.zeros(0, int)
-        for rank, r in enumerate(rows):
-            options = np.concatenate([before[None], value[prev]])
-            options[0, :, 0] += chain.enter
-            if len(prev):
-                options[1:, :, 0] += chain.move(t[r] - t[prev], xy[prev] - xy[r], k - frame_of[prev] - 1)[:, None]
-            at = _first_least(options)
-            value[r] = options[at, each] + (np.array([own[r], chain.tie(rank)]) if chain.tie else own[r])
-            back[r] = np.where(at > 0, np.r_[-1, prev][at], -1)
-        seen = rows if chain.folded else (frames[k - 1] if k else np.zeros(0, int))
-        options = np.concatenate([before[None], value[seen]])
-        at = _first_least(options)
-        nones.append(options[at, each] + stay)
-        none_back.append(np.r_[-1, seen][at])
-    return _Run(value, back, nones, none_back, frame_of, first, frames)
-
-
-def _walk(run: _Run, halo: int, at: int, folded: bool) -> tuple[int, list[int]]:
-    """The state before the segment (0: out of sight, else a row of the halo and 1), and the rows taken, from a last state (-1 or a row)."""
-    taken: list[int] = []
-    k = len(run.frames) - 1
-    while True:
-        if at >= 0:
-            if at < halo:
-                return at + 1, taken
-            taken.append(at)
-            k = int(run.frame_of[at]) - 1
-            at = int(run.back[at, 0])
-        elif k < run.first:
-            return 0, taken
-        else:
-            at = int(run.none_back[k - run.first][0])
-            k -= 1
+    given: int
+    left: np.ndarray
+    state: np.ndarray
+    best: int
+
+    def came_from(self, ends: np.ndarray) -> np.ndarray:
+        """The states before (0: out of sight, else a candidate's place and 1) from which paths came to these ends."""
+        out, at, none = np.zeros(len(self.back) + 1, int), self.given, 0
+        out[: self.given] = np.arange(self.given) + 1
+        nones = np.zeros(len(self.none_back) + 1, int)
+        for k, count in enumerate(np.bincount(self.frame_of[self.given :], minlength=len(self.none_back)).tolist()):
+            back = self.back[at : at + count]
+            out[at : at + count] = np.where(back < 0, nones[k], out[back])
+            at += count
+            none = self.none_back[k]
+            nones[k + 1] = nones[k] if none < 0 else out[none]
+        return np.where(ends < 0, nones[-1], out[ends])
+
+    def taken(self, at: int) -> list[int]:
+        """The rows on the path to an end, last first."""
+        rows: list[int] = []
+        k = len(self.none_back) - 1
+        while True:
+            if at >= self.given:
+                rows.append(at - self.given)
+                k, at = int(self.frame_of[at]) - 1, int(self.back[at])
+            elif at >= 0 or k < 0:
+                return rows
+            else:
+                at = int(self.none_back[k])
+                k -= 1
+
+
+def _read(chain: Chain, state: np.ndarray | None, g: pd.DataFrame) -> _Run:
+    """``g``: rows in order. A state has for each candidate: time, place, frames ago, cost and tie."""
+    given = np.zeros((0, 6)) if state is None else np.asarray(state, float).reshape(-1, 6)
+    m, n = len(given), len(g)
+    xy, t = np.r_[given[:, 1:3], g[list(chain.place)].to_numpy(float)], np.r_[given[:, 0], g["t"].to_numpy(float)]
+    own = _whole(g[chain.own].to_numpy(float)) if chain.own else np.zeros(n)
+    starts = np.flatnonzero(np.diff(g["frame"].to_numpy(), prepend=np.nan) != 0) if n else np.zeros(0, int)
+    edges = [*(starts + m).tolist(), n + m]
+    frame_of = np.r_[-given[:, 3], np.repeat(np.arange(len(starts)), np.diff(edges))].astype(int)
+    cost, tie = np.r_[given[:, 4], np.zeros(n)], np.r_[given[:, 5], np.zeros(n)]
+    back, none_back = np.full(m + n, -1), np.full(len(starts), -1)
+    none, none_tie = 0.0, 0.0
+    enter, (stay, stay_tie) = float(_whole(chain.enter)), (float(_whole(chain.stay[0])), chain.stay[1] if chain.tie else 0.0)
+    # latest frames first, candidates of a frame in their order
+    near = [np.flatnonzero(frame_of[:m] == f) for f in np.unique(frame_of[:m])[::-1]]
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        now = t[a]
+        while near and now - t[near[-1][0]] > chain.window_s:
+            near.pop()
+        prev = np.concatenate(near) if near else np.zeros(0, int)
+        prev = prev[cost[prev] <= none + enter]  # others lose to a new start
+        rows = np.arange(a, b)
+        off = (xy[prev][:, None] - xy[None, a:b]).reshape(-1, 2)
+        dt, between = np.repeat(now - t[prev], b - a), np.repeat(k - frame_of[prev] - 1, b - a)
+        moved = cost[prev][:, None] + (_whole(chain.move(dt, off, between)).reshape(len(prev), b - a) if len(prev) else np.zeros((0, b - a)))
+        options = np.concatenate([np.full((1, b - a), none + enter), moved])
+        ties = np.r_[none_tie, tie[prev]]
+        at = _first_least(options, ties[:, None])
+        cost[a:b] = options[at, np.arange(b - a)] + own[a - m : b - m]
+        tie[a:b] = ties[at] + (np.array([chain.tie(i) for i in range(b - a)]) if chain.tie else 0.0)
+        back[a:b] = np.r_[-1, prev][at]
+        seen = rows if chain.folded else np.flatnonzero(frame_of == k - 1) if k == 0 else np.arange(edges[k - 1], a)
+        at = int(_first_least(np.r_[none, cost[seen]], np.r_[none_tie, tie[seen]]))
+        none_back[k] = np.r_[-1, seen][at]
+        none, none_tie = np.r_[none, cost[seen]][at] + stay, np.r_[none_tie, tie[seen]][at] + stay_tie
+        near.insert(0, rows)
+    # what the frames to come can see
+    left = np.sort(np.concatenate([f for f in near if t[near[0][0]] - t[f[0]] <= chain.window_s])) if near else np.zeros(0, int)
+    after = np.column_stack([t[left], xy[left], len(starts) - frame_of[left], cost[left] - none, np.where(np.isfinite(cost[left]), tie[left] - none_tie, 0.0)])
+    last = np.zeros(0, int) if chain.folded or not near else near[0]
+    best = int(np.r_[-1, last][int(_first_least(np.r_[none, cost[last]], np.r_[none_tie, tie[last]]))])
+    return _Run(back, none_back, frame_of, m, left, after.ravel(), best)
 
 
 def _tree(tables: DataFrame, key: list[str], fan: int, count: int, product: Callable, walk: Callable, start: list[float]) -> DataFrame:
@@ -151,30 +176,6 @@ def _tree(tables: DataFrame, key: list[str], fan: int, count: int, product: Call
     return handed
 
 
-def _multiplied(tables: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
-    out = None
-    for ins, v in tables:
-        m = v.reshape(ins, -1, 2)
-        if out is not None:
-            m = np.stack([_applied(row, m) for row in out])
-        out = m
-    return len(out), out
-
-
-def _applied(vector: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Least sums of a vector (states x 2) and a table (states x states after x 2)."""
-    options = vector[:, None, :] + table
-    return options[_first_least(options), np.arange(table.shape[1])]
-
-
-def _vectors(tables: list[tuple[int, np.ndarray]], start: np.ndarray) -> list[np.ndarray]:
-    out, v = [], start.reshape(-1, 2)
-    for ins, m in tables:
-        out.append(v)
-        v = _applied(v, m.reshape(ins, -1, 2))
-    return out
-
-
 def _composed(maps: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
     out = None
     for _, m in reversed(maps):
@@ -190,68 +191,48 @@ def _ends(maps: list[tuple[int, np.ndarray]], end: np.ndarray) -> list[np.ndarra
     return out[::-1]
 
 
-def cheapest(cands: DataFrame, chain: Chain, order: str, seconds: float = 60.0, fan: int = 16, key: list[str] | None = None) -> DataFrame:
+def cheapest(cands: DataFrame, chain: Chain, order: str, seconds: float | None = 60.0, fan: int = 16, key: list[str] | None = None) -> DataFrame:
     """The rows of ``cands`` (``frame, t`` and what ``chain`` needs) on the cheapest path of each ``key``.
 
-    order: orders the candidates of a frame, which it tells apart. Equal to one
-    reading of the whole match; sums are added in another order, so where costs
-    are not whole numbers two paths within rounding of each other may change places.
-    ``seconds`` are at least twice the window.
+    order: orders the candidates of a frame, which it tells apart. Equal to one reading
+    of the whole match, which is what no ``seconds`` give. ``seconds`` are at least twice
+    the window.
     """
+    key = key or []
+    by, columns = ["frame", order], cands.columns
+    if seconds is None:
+        def whole(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(by).reset_index(drop=True)
+            run = _read(chain, None, g)
+            return g.loc[run.taken(run.best)[::-1]]
+
+        return cands.groupBy(*key).applyInPandas(whole, cands.schema)
     if seconds < 2 * chain.window_s:
         raise ValueError("a segment must last at least twice the window")
-    key = key or []
-    rows = saved(cands.withColumn("_s", F.floor(F.col("t") / seconds).cast("bigint")))
-    # a row for each segment that has candidates
-    order_of = W.partitionBy(*key).orderBy("_s")
-    pieces = rows.groupBy(*key, "_s").agg(F.max("frame").alias("_last")).withColumns({"n": (F.row_number().over(order_of) - 1).cast("int"), "_end": F.lead("_s").over(order_of).isNull()})
-    pieces = saved(pieces)
-    count = (pieces.agg(F.max("n")).first()[0] or 0) + 1
-    own = rows.join(pieces.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(key)} | {"_s": "_ks"}), [rows["_s"] == F.col("_ks"), *(rows[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key))])
-    exits = (F.col("t") >= (F.col("_s") + 1) * seconds - chain.window_s - _EPS) | (F.col("frame") == F.col("_last"))
-    need = ["frame", "t", order, *chain.place, *([chain.own] if chain.own else [])]
-    own = own.select(*key, "n", "_end", exits.alias("_exit"), *dict.fromkeys(need))
-    handed_on = own.where("_exit and not _end").withColumn("n", F.col("n") + 1)
-    both = saved(own.withColumn("_halo", F.lit(False)).unionByName(handed_on.withColumn("_halo", F.lit(True))))
-    kinds = both.select(*key, "n").schema
-    table_type = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "ins int, v array<double>"])
-
-    def table(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", order]).reset_index(drop=True)
-        halo = int(g["_halo"].sum())
-        none, entry = np.full((halo + 1, 2), np.inf), np.full((halo, halo + 1, 2), np.inf)
-        none[0] = 0.0
-        entry[np.arange(halo), np.arange(halo) + 1] = 0.0
-        run = _read(chain, g, halo, none, entry)
-        out = np.flatnonzero((g["_exit"] & ~g["_halo"]).to_numpy())
-        v = np.concatenate([run.none[-1][None], run.value[out]]).transpose(1, 0, 2)
-        v = np.pad(v, ((0, 0), (0, 0), (0, 2 - v.shape[2])))
-        return pd.DataFrame([(*k, halo + 1, v.ravel().tolist())], columns=[*kinds.names, "ins", "v"])
-
-    tables = saved(both.groupBy(*key, "n").applyInPandas(table, table_type))
-    vectors = _tree(tables, key, fan, count, _multiplied, _vectors, [0.0, 0.0])
-    taken_type = table_type + f", taken array<array<struct<frame:{both.schema['frame'].dataType.simpleString()},place:{both.schema[order].dataType.simpleString()}>>>"
-
-    def ways(k: tuple, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", order]).reset_index(drop=True)
-        halo = int(g["_halo"].sum())
-        v = np.asarray(h["v"].iloc[0], float).reshape(-1, 1, 2)
-        run = _read(chain, g, halo, v[0], v[1:])
-        if g.loc[~g["_halo"], "_end"].iloc[0]:
-            rows_ = np.zeros(0, int) if chain.folded else run.frames[-1]
-            best = _first_least(np.concatenate([run.none[-1][None], run.value[rows_]]))[0]
-            last = [int(np.r_[-1, rows_][best])]
-        else:
-            last = [-1, *np.flatnonzero((g["_exit"] & ~g["_halo"]).to_numpy()).tolist()]
-        walked = [_walk(run, halo, at, chain.folded) for at in last]
-        frame, place = g["frame"].tolist(), g[order].tolist()
-        taken = [[{"frame": frame[i], "place": place[i]} for i in reversed(rows_)] for _, rows_ in walked]
-        return pd.DataFrame([(*k, 0, [float(s) for s, _ in walked], taken)], columns=[*kinds.names, "ins", "v", "taken"])
-
-    maps = saved(both.groupBy(*key, "n").cogroup(vectors.groupBy(*key, "n")).applyInPandas(ways, taken_type))
-    ends = _tree(maps, key, fan, count, _composed, _ends, [0.0])
-    end = ends.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), F.col("n").alias("_n"), F.get("v", F.lit(0)).cast("int").alias("_at"))
-    chosen = maps.join(end, [maps["n"] == end["_n"], *(maps[c].eqNullSafe(end[f"_k{i}"]) for i, c in enumerate(key))])
-    chosen = chosen.select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(key)), F.explode(F.get("taken", F.col("_at"))).alias("_r")).select(*(f"_p{i}" for i in range(len(key))), F.col("_r.frame").alias("_frame"), F.col("_r.place").alias("_place"))
-    on = [rows["frame"] == chosen["_frame"], rows[order] == chosen["_place"], *(rows[c].eqNullSafe(chosen[f"_p{i}"]) for i, c in enumerate(key))]
-    return rows.join(chosen, on, "left_semi").drop("_s")
+    parts = handover.pieces(cands, seconds, seconds / 2, key)
+    states = settled(parts, chain, by, key)
+    count = (states.agg(F.max("_n")).first()[0] or 0) + 1
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*key).schema)
+    kinds = f"{kinds}, " if kinds else ""
+
+    def ways(k: tuple, g: pd.DataFrame, s: pd.Series) -> pd.DataFrame:
+        run = _read(chain, s["start"], g)
+        ends = np.array([run.best]) if g["_last"].iloc[0] else np.r_[-1, run.left]
+        return pd.DataFrame([(*k, 0, run.came_from(ends).astype(float).tolist())], columns=[*key, "n", "ins", "v"])
+
+    maps = saved(handover.from_start(parts, states, ways, f"{kinds}n int, ins int, v array<double>", by, key))
+    ends = _tree(maps, key, fan, count, _composed, _ends, [0.0]).select(*key, F.col("n").alias("_n"), F.get("v", F.lit(0)).cast("int").alias("_end"))
+    known = states.join(ends.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(key)} | {"_n": "_m"}), [F.col("_n") == F.col("_m"), *(states[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key))])
+    known = saved(known.select(*key, "_n", "start", "_end"))
+
+    def pick(k: tuple, g: pd.DataFrame, s: pd.Series) -> pd.DataFrame:
+        run = _read(chain, s["start"], g)
+        at = run.best if g["_last"].iloc[0] else int(np.r_[-1, run.left][s["_end"]])
+        return g[columns].iloc[run.taken(at)[::-1]]
+
+    return handover.from_start(parts, known, pick, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cands.schema), by, key)
+
+
+def settled(parts: DataFrame, chain: Chain, order: list[str], key: list[str]) -> DataFrame:
+    """The state in which each segment starts."""
+    return handover.settled(parts, lambda s, g: _read(chain, s, g).state, order, key)

@@ -11,6 +11,8 @@ from ..operators.lineage import folder
 from .base import PAIRS, SPEEDS, ZONE, H, Query, R, over, sql
 
 _P = pitch.Pitch()
+#: Seconds of a match in one task.
+_PIECE = 120.0
 (_H0, _H1, _H2) = H
 
 
@@ -260,7 +262,7 @@ QUERIES: dict[str, Query] = {
     "capped_chunks": over("positions")(lambda p: capacity.label_rows(_by_place(p), _PLACE_PROTO, 9, 2, 0.3, 1.5).select("id_jugador", "unit", "label").distinct()),
     "emission_model": over("positions")(lambda p: teams.fit_emissions(p.withColumn("ref", F.col("etiqueta") == "otro"), "y_m", "ref", [-10.0, 10.0, 20.0, 30.0, 40.0, 64.0])),
     "referee_path_segments": over("detections")(lambda d: teams.referee_path(d.select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")), seconds=30.0)),
-    "referee_path": over("detections")(lambda d: teams.referee_path(d.select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")))),
+    "referee_path": over("detections")(lambda d: teams.referee_path(d.select("frame", "t", "det_idx", "mx", "my", F.when(F.col("det_idx") == 11, 1.0).otherwise(-1.0).alias("log_lr")), seconds=_PIECE)),
     # ball
     "ball_plausible": over("ball_cand")(lambda b: ball.plausible(b.withColumn("mx", F.col("mx") * 1.5), 100.0, 64.0).select("frame", "cand_idx")),
     "static_marks": over("ball_cand")(lambda b: ball.static_marks(b, least=50, least_span_s=10.0).select("cx", "cy")),
@@ -269,7 +271,7 @@ QUERIES: dict[str, Query] = {
     "ball_objects": over("ball_cand")(lambda b: ball.group_objects(b).groupBy("object").agg(F.count("*").alias("n"))),
     "parked_balls": over("ball_cand", "positions")(lambda b, p: ball.without_parked(ball.group_objects(b), p).select("frame", "cand_idx")),
     "ball_viterbi_segments": over("ball_cand")(lambda b: ball.best_path(b, seconds=20.0).select("frame", "cand_idx")),
-    "ball_viterbi": over("ball_cand")(lambda b: ball.best_path(b).select("frame", "cand_idx")),
+    "ball_viterbi": over("ball_cand")(lambda b: ball.best_path(b, seconds=_PIECE).select("frame", "cand_idx")),
     "ball_segments": over("ball_cand", "positions")(lambda b, p: ball.continuity_segments(_track(b, p)).select("frame", "segment")),
     "aerial_phases": over("ball_cand")(lambda b: ball.aerial(b.where("cand_idx = 0"), 20.0, 1.6, 0.0, 40.0).select("frame", "aerial")),
     "contacts_angle": over("ball_cand", "positions")(lambda b, p: ball.contacts_by_angle(b.where("cand_idx = 0"), p, 70.0, 1.0, 6.0, 0).select("frame", "id_jugador", fn.rounded(F.col("angle"), 5).alias("angle"))),
