@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .matching import assign
 
@@ -173,12 +174,37 @@ def _met(tracks: _Tracks, seen: _Seen, most: float, weigh: bool, p: Boxes, look:
 
 def follow(frame: np.ndarray, t: np.ndarray, boxes: np.ndarray, conf: np.ndarray, p: Boxes, looks: np.ndarray | None = None, look: Look | None = None) -> np.ndarray:
     """The number of each row's track (0: none); rows come ordered by frame. looks: a vector for each row, NaN where there is none."""
+    return _followed(_restored(None, looks.shape[1] if look is not None else 0), frame, t, boxes, conf, p, looks, look)[0]
+
+
+def _restored(state: np.ndarray | None, width: int) -> tuple[_Tracks, float | None]:
+    """Open tracks, numbered from 1, and the time of the last frame."""
+    known = state is not None and len(state) > 0
+    r = state[1:].reshape(-1, 25 + width) if known else np.zeros((0, 25 + width))
+    motion = Motion(*(r[:, 4 + 4 * i : 8 + 4 * i].copy() for i in range(5)))
+    tracks = _Tracks(np.arange(1, len(r) + 1), r[:, 0].copy(), r[:, 1].copy(), r[:, 2].astype("i8"), r[:, 3] > 0, motion, r[:, 25:].copy(), r[:, 24] > 0)
+    return tracks, float(state[0]) if known else None
+
+
+def _kept(tracks: _Tracks, before: float | None, p: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """The state after some frames and the numbers of its tracks, ordered by content."""
+    if before is None:
+        return np.zeros(0), np.zeros(0, "i8")
+    tracks = tracks.taken(np.flatnonzero(before - tracks.seen <= p.buffer_s + 1e-9))
+    m = tracks.motion
+    # a streak counts up to what confirms a track
+    r = np.column_stack([tracks.since, tracks.seen, np.minimum(tracks.streak, p.confirm), tracks.lost, m.mean, m.velocity, m.pp, m.pv, m.vv, tracks.known, tracks.look])
+    order = np.lexsort(r.T[::-1])
+    return np.r_[before, r[order].ravel()], tracks.number[order]
+
+
+def _followed(start: tuple[_Tracks, float | None], frame: np.ndarray, t: np.ndarray, boxes: np.ndarray, conf: np.ndarray, p: Boxes, looks: np.ndarray | None, look: Look | None) -> tuple[np.ndarray, _Tracks, int, float | None]:
+    """The numbers of the rows' tracks, the tracks left, the next number and the time of the last frame."""
     out = np.zeros(len(frame), "i8")
-    width = looks.shape[1] if look is not None else 0
-    tracks = _Tracks(*(np.zeros(0, k) for k in ("i8", "f8", "f8", "i8", bool)), Motion(*(np.zeros((0, 4)) for _ in range(5))), np.zeros((0, width)), np.zeros(0, bool))
-    next_, before = 1, None
+    tracks, before = start
+    next_ = len(tracks.number) + 1
     edges = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1)) if len(frame) else np.zeros(0, int)
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(frame)], strict=True):
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(frame)], strict=False):
         now, z, sure = t[a], measured(boxes[a:b]), conf[a:b]
         if before is not None and len(tracks.number):
             tracks.motion.predict((now - before) / p.step_s, tracks.lost)
@@ -229,31 +255,32 @@ def follow(frame: np.ndarray, t: np.ndarray, boxes: np.ndarray, conf: np.ndarray
             older = (tracks.seen - tracks.since)[open_[i]] > (tracks.seen - tracks.since)[gone[j]]
             drop = np.unique(np.where(older, gone[j], open_[i]))
             tracks = tracks.taken(np.setdiff1d(np.arange(len(tracks.number)), drop))
-    return out
+    return out, tracks, next_, before
 
 
-def box_tracker(dets: DataFrame, p: Boxes | None = None, vector: str | None = None, look: Look | None = None, key: str | None = None) -> DataFrame:
+def box_tracker(dets: DataFrame, p: Boxes | None = None, vector: str | None = None, look: Look | None = None, key: str | None = None, seconds: float | None = None) -> DataFrame:
     """``tracklet_id, frame, t, x_m, y_m, det_idx`` (and ``key``): sure detections first, unsure ones for tracks that are left.
 
     ``vector`` names a column of looks (array or null), which counts only with ``look``.
-    Rows without a track are left out.
+    Rows without a track are left out. With ``seconds`` a group is a piece of a match,
+    and the tracks are the same (``handover``).
     """
+    from .tracking import _told, run_tracker
+
     p = p or Boxes()
     if look is not None and vector is None:
         raise ValueError("the look needs a column of vectors")
+    width = (dets.agg(F.max(F.size(vector))).first()[0] or 1) if look is not None else 0
+    width = max(width, 1) if look is not None else 0
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", "det_idx"])
+    def read(state: np.ndarray | None, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
         looks = None
         if look is not None:
-            width = next((len(v) for v in g[vector] if v is not None), 1)
             looks = np.array([np.full(width, np.nan) if v is None else np.asarray(v, float) for v in g[vector]]).reshape(len(g), width)
-        number = follow(*(g[c].to_numpy() for c in ("frame", "t")), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), p, looks, look)
-        got = pd.DataFrame({"tracklet_id": number, "frame": g["frame"], "t": g["t"], "x_m": g["mx"], "y_m": g["my"], "det_idx": g["det_idx"]})[number > 0]
-        got = got.astype({"tracklet_id": "int32", "frame": "int32", "det_idx": "int32"})
-        return got.assign(**{key: g[key].iloc[0]}) if key else got
-
-    schema = "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int"
-    if key:
-        schema += f", {key} {dets.schema[key].dataType.simpleString()}"
-    return dets.groupBy(*([key] if key else [])).applyInPandas(run, schema)
+        start = _restored(state, width)
+        given = len(start[0].number)
+        mine, tracks, next_, before = _followed(start, *(g[c].to_numpy() for c in ("frame", "t")), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), p, looks, look)
+        after, left = _kept(tracks, before, p)
+        return _told(mine, given), _told(left, given), next_ - 1 - given, after
+
+    return run_tracker(dets, read, 1, key, seconds)

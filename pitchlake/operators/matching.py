@@ -25,6 +25,10 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flipped = cost.shape[0] > cost.shape[1]
     c = cost.T if flipped else cost
     n, m = c.shape
+    least = c.argmin(1)
+    if len(set(least.tolist())) == n and ((c <= c[np.arange(n), least][:, None]).sum(1) == 1).all():
+        # everyone has a first choice of their own: nothing else costs as little
+        return (least, np.arange(n)) if flipped else (np.arange(n), least)
     row_price, col_price = np.zeros(n + 1), np.zeros(m + 1)
     taker, came = np.zeros(m + 1, int), np.zeros(m + 1, int)  # row of a column (0: none), column before it on the path
     for row in range(1, n + 1):

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands
+from . import handover, islands
 from .boxes import Boxes, Look, box_tracker  # noqa: F401
 from .lineage import saved
 from .matching import assign
@@ -72,40 +72,94 @@ def advance(tracks: list[Track], next_number: int, t: float, pos: np.ndarray, p:
     return tracks, next_number, mine
 
 
-def conservative_tracker(dets: DataFrame, dt: float, p: Conservative | None = None, key: str | None = None) -> DataFrame:
-    """``tracklet_id, frame, t, x_m, y_m, det_idx``: pure but short tracklets. Frames without detections end none by themselves."""
-    p = p or Conservative()
+def _frames(g: pd.DataFrame) -> list[np.ndarray]:
+    """Places of each frame's rows in rows that come in order."""
+    return np.split(np.arange(len(g)), np.flatnonzero(np.diff(g["frame"].to_numpy())) + 1) if len(g) else []
+
+
+def _told(numbers: list[int], given: int) -> np.ndarray:
+    """Numbers of tracks as ``handover.tracked`` has them: those given at the start negative, new ones from 1."""
+    n = np.asarray(numbers, "i8")
+    return np.where(n > given, n - given, -n)
+
+
+def run_tracker(dets: DataFrame, read: handover.Reader, least: int, key: str | None, seconds: float | None) -> DataFrame:
+    """``tracklet_id, frame, t, x_m, y_m, det_idx`` (and ``key``) of tracks with ``least`` rows. A group is a match, or a piece of ``seconds`` of one."""
+    order = ["frame", "det_idx"]
+    kind = dets.schema[key].dataType.simpleString() if key else None
+    cols = [F.col("tracklet_id"), F.col("frame").cast("int").alias("frame"), F.col("t").cast("double").alias("t"), F.col("mx").cast("double").alias("x_m"), F.col("my").cast("double").alias("y_m"), F.col("det_idx").cast("int").alias("det_idx"), *([F.col(key)] if key else [])]
+    if seconds is not None:
+        rows = handover.tracked(dets, read, seconds, seconds / 2, order, ["frame", "t", "mx", "my", "det_idx"], key).select(*cols)
+        if least <= 1:
+            return rows
+        rows = saved(rows)
+        by = ["tracklet_id", *([key] if key else [])]
+        enough = rows.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") >= least).drop("_c").withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+        return rows.join(enough, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], "left_semi")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", "det_idx"])
-        tracks: list[Track] = []
-        number, out = 1, []
-        for (frame, t), rows in g.groupby(["frame", "t"], sort=True):
-            tracks, number, mine = advance(tracks, number, t, rows[["mx", "my"]].to_numpy(), p, dt)
-            out.append(pd.DataFrame({"tracklet_id": mine, "frame": frame, "t": t, "x_m": rows["mx"].to_numpy(), "y_m": rows["my"].to_numpy(), "det_idx": rows["det_idx"].to_numpy()}))
-        got = pd.concat(out) if out else pd.DataFrame(columns=["tracklet_id", "frame", "t", "x_m", "y_m", "det_idx"])
-        got = got[got.groupby("tracklet_id")["frame"].transform("size") >= p.least_rows]
+        g = g[g["t"].notna()].sort_values(order)
+        mine = read(None, g)[0]
+        got = pd.DataFrame({"tracklet_id": mine, "frame": g["frame"].to_numpy(), "t": g["t"].to_numpy(), "x_m": g["mx"].to_numpy(), "y_m": g["my"].to_numpy(), "det_idx": g["det_idx"].to_numpy()})
+        got = got[(got["tracklet_id"] > 0) & (got.groupby("tracklet_id")["frame"].transform("size") >= least)]
         got = got.astype({"tracklet_id": "int32", "frame": "int32", "det_idx": "int32"})
-        return got.assign(**{key: g[key].iloc[0]}) if key else got
+        return got.assign(**{key: g[key].iloc[0] if len(g) else None}) if key else got
 
-    schema = "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int"
-    if key:
-        schema += f", {key} {dets.schema[key].dataType.simpleString()}"
+    schema = "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int" + (f", {key} {kind}" if key else "")
     return dets.groupBy(*([key] if key else [])).applyInPandas(run, schema)
 
 
-def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2, open_conf: float = 0.1, signatures: int = 8, key: str | None = None) -> DataFrame:
-    """A tracker by the mixed cost of place and appearance (``emb``: array or null); a track's look is the mean of its last vectors."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", "det_idx"])
-        tracks: list[dict] = []
-        number, out = 1, []
-        for (frame, t), rows in g.groupby(["frame", "t"], sort=True):
+def conservative_tracker(dets: DataFrame, dt: float, p: Conservative | None = None, key: str | None = None, seconds: float | None = None) -> DataFrame:
+    """``tracklet_id, frame, t, x_m, y_m, det_idx``: pure but short tracklets. Frames without detections end none by themselves.
+
+    With ``seconds`` a group is a piece of a match, and the tracks are the same (``handover``).
+    """
+    p = p or Conservative()
+
+    def read(state: np.ndarray | None, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        given = np.zeros((0, 5)) if state is None else state.reshape(-1, 5)
+        tracks = [Track(i + 1, r[0], r[1:3]) for i, r in enumerate(given)]
+        for k, r in zip(tracks, given, strict=True):
+            k.vel = r[3:5]
+        number, mine = len(given) + 1, []
+        t, pos = g["t"].to_numpy(float), g[["mx", "my"]].to_numpy(float)
+        for rows in _frames(g):
+            tracks, number, found = advance(tracks, number, t[rows[0]], pos[rows], p, dt)
+            mine += found
+        if len(g):
+            tracks = [k for k in tracks if t[-1] - k.t <= p.most_gap_steps * dt]
+        left = np.array([(k.t, *k.pos, *k.vel) for k in tracks]).reshape(-1, 5)
+        order = np.lexsort(left.T[::-1])
+        return _told(mine, len(given)), _told([tracks[i].number for i in order], len(given)), number - 1 - len(given), left[order].ravel()
+
+    return run_tracker(dets, read, p.least_rows, key, seconds)
+
+
+def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2, open_conf: float = 0.1, signatures: int = 8, key: str | None = None, seconds: float | None = None) -> DataFrame:
+    """A tracker by the mixed cost of place and appearance (``emb``: array or null); a track's look is the mean of its last vectors.
+
+    With ``seconds`` a group is a piece of a match, and the tracks are the same (``handover``).
+    """
+    def opened(state: np.ndarray | None) -> list[dict]:
+        tracks, at, values = [], 0, [] if state is None else list(state)
+        while at < len(values):
+            count, width = int(values[at + 3]), int(values[at + 4])
+            looks = np.array(values[at + 5 : at + 5 + count * width]).reshape(count, width)
+            tracks.append({"number": len(tracks) + 1, "t": values[at], "pos": np.array(values[at + 1 : at + 3]), "looks": list(looks)})
+            at += 5 + count * width
+        return tracks
+
+    def read(state: np.ndarray | None, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        tracks = opened(state)
+        given = len(tracks)
+        number, out = given + 1, []
+        times, places, confs, embs = g["t"].to_numpy(float), g[["mx", "my"]].to_numpy(float), g["conf"].to_numpy(float), g["emb"].tolist()
+        for rows in _frames(g):
+            t, pos = times[rows[0]], places[rows]
             tracks = [k for k in tracks if t - k["t"] <= buffer_s]
-            pos = rows[["mx", "my"]].to_numpy()
-            looks = [None if e is None else np.asarray(e, float) for e in rows["emb"]]
-            mine = [-1] * len(pos)
-            if tracks and len(pos):
+            looks = [None if embs[i] is None else np.asarray(embs[i], float) for i in rows]
+            mine = [0] * len(pos)
+            if tracks:
                 gap = np.array([t - k["t"] for k in tracks])[:, None]
                 sigma = np.clip(0.11 + 0.026 * pos[:, 1], 0.11, 1.85)
                 radius = 7.0 * gap + 2.0 * sigma
@@ -127,21 +181,18 @@ def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2,
                         tracks[r].update(t=t, pos=pos[c])
                         if looks[c] is not None:
                             tracks[r]["looks"] = [*tracks[r]["looks"], looks[c]][-signatures:]
-            for c, conf in enumerate(rows["conf"]):
-                if mine[c] < 0 and conf >= open_conf:
+            for c, conf in enumerate(confs[rows]):
+                if not mine[c] and conf >= open_conf:
                     tracks.append({"number": number, "t": t, "pos": pos[c], "looks": [] if looks[c] is None else [looks[c]]})
                     mine[c] = number
                     number += 1
-            out.append(pd.DataFrame({"tracklet_id": mine, "frame": frame, "t": t, "x_m": pos[:, 0], "y_m": pos[:, 1], "det_idx": rows["det_idx"].to_numpy()}))
-        got = pd.concat(out)
-        got = got[(got["tracklet_id"] > 0) & (got.groupby("tracklet_id")["frame"].transform("size") >= confirm)]
-        got = got.astype({"tracklet_id": "int32", "frame": "int32", "det_idx": "int32"})
-        return got.assign(**{key: g[key].iloc[0]}) if key else got
+            out += mine
+        if len(g):
+            tracks = [k for k in tracks if times[-1] - k["t"] <= buffer_s]
+        told = sorted(((k["t"], *k["pos"], len(k["looks"]), len(k["looks"][0]) if k["looks"] else 0, *(x for v in k["looks"] for x in v)), k["number"]) for k in tracks)
+        return _told(out, given), _told([n for _, n in told], given), number - 1 - given, np.array([x for row, _ in told for x in row], float)
 
-    schema = "tracklet_id int, frame int, t double, x_m double, y_m double, det_idx int"
-    if key:
-        schema += f", {key} {dets.schema[key].dataType.simpleString()}"
-    return dets.groupBy(*([key] if key else [])).applyInPandas(run, schema)
+    return run_tracker(dets, read, confirm, key, seconds)
 
 
 def summaries(obs: DataFrame, key: list[str] | None = None) -> DataFrame:

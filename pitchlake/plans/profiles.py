@@ -34,13 +34,16 @@ class Profile:
     smooth: int = 5
     most_duplicate_m: float = 1.5
     conservative: tracking.Conservative = field(default_factory=tracking.Conservative)
+    #: A task's piece of a single match; matches of a season are a group each.
+    piece_s: float = 120.0
 
 
 def identities(dets: DataFrame, p: Profile, key: str | None = None) -> DataFrame:
     """Observations under identities: tracker, stitching and merging as the profile says; with ``key``, frames and identities unique over matches."""
     how = PROFILES[p.name]
     kept = filters.by_confidence(dets, p.least_conf)
-    obs = tracking.conservative_tracker(kept, p.dt, p.conservative, key) if how["tracker"] == "conservative" else tracking.box_tracker(kept, key=key)
+    seconds = p.piece_s if key is None else None
+    obs = tracking.conservative_tracker(kept, p.dt, p.conservative, key, seconds) if how["tracker"] == "conservative" else tracking.box_tracker(kept, key=key, seconds=seconds)
     obs = saved(obs if key is None else matches.lifted(obs, key, ids=("tracklet_id",)))
     match = [key] if key else None
     rows = obs

@@ -224,11 +224,11 @@ QUERIES: dict[str, Query] = {
     "clear_mot": over("gt_obs", "positions")(lambda g, p: evaluation.clear_mot(g, _pred(p).join(g.select("frame").distinct(), "frame", "left_semi"))),
     # tracking
     "conservative_tracker_stretches": over("detections")(lambda d: stretches.tracked_in_stretches(d, lambda rows, by: tracking.conservative_tracker(rows, 0.12, key=by), 40.0, 10.0)[0].select("identity_id", "frame", "det_idx")),
-    "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12)),
-    "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"))),
-    "box_tracker": over("detections")(lambda d: tracking.box_tracker(d)),
+    "conservative_tracker": over("detections")(lambda d: tracking.conservative_tracker(d, 0.12, seconds=_PIECE)),
+    "appearance_tracker": over("detections", "features")(lambda d, f: tracking.appearance_tracker(d.join(f.select("frame", "det_idx", F.col("feat").alias("emb")), ["frame", "det_idx"], "left"), seconds=_PIECE)),
+    "box_tracker": over("detections")(lambda d: tracking.box_tracker(d, seconds=_PIECE)),
     "box_tracker_matches": over("detections")(lambda d: tracking.box_tracker(_halves(d), key="match_no")),
-    "box_tracker_look": over("detections", "features")(lambda d, f: tracking.box_tracker(d.join(f.select("frame", "det_idx", "feat"), ["frame", "det_idx"], "left"), vector="feat", look=boxes.Look(1.4))),
+    "box_tracker_look": over("detections", "features")(lambda d, f: tracking.box_tracker(d.join(f.select("frame", "det_idx", "feat"), ["frame", "det_idx"], "left"), vector="feat", look=boxes.Look(1.4), seconds=_PIECE)),
     "stitch_greedy": over("positions")(lambda p: _q(tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p)))), "cost", keep=("a", "b"))),
     "stitch_global": over("positions")(lambda p: tracking.choose_links(tracking.stitch_candidates(tracking.summaries(_tracklets(p))), "global")),
     "purity_stitch_pass": over("positions")(lambda p: _q(tracking.mutual_best(tracking.stitch_candidates(tracking.summaries(_tracklets(p)), v_max=8.0)), "cost", keep=("a", "b"))),

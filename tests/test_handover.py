@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.operators import handover, teams
+from pitchlake.operators import handover, teams, tracking
+from pitchlake.plans import fixtures
 
 
 @pytest.mark.parametrize("forgets", [True, False])
@@ -32,3 +33,12 @@ def test_referee_among_many(spark):
     got = teams.referee_path(cands, seconds=60.0).collect()
     assert time.monotonic() - began < 25
     assert sorted((r["frame"], r["det_idx"]) for r in got) == [(f, 11) for f in range(4000)]
+
+
+@pytest.mark.parametrize("name", ["conservative", "box"])
+def test_tracks_in_pieces_are_those_of_one_reading(spark, name):
+    """Tracks that go on over the ends of pieces keep their numbers."""
+    dets = fixtures.table(spark, "/root/testdata/sf0.01", "detections").where("frame < 600").cache()
+    run = lambda s: tracking.conservative_tracker(dets, 0.12, seconds=s) if name == "conservative" else tracking.box_tracker(dets, seconds=s)
+    rows = lambda df: sorted((r["tracklet_id"], r["frame"], r["det_idx"]) for r in df.collect())
+    assert rows(run(6.0)) == rows(run(None)) != []
