@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from . import islands, paths, tracking
 from .lineage import saved
+from .matching import FRAMES
 
 
 def plausible(cands: DataFrame, length: float, width: float, margin: float = 3.0) -> DataFrame:
@@ -311,10 +312,13 @@ def merge_boxes(full: DataFrame, tiles: DataFrame, most_iou: float = 0.3) -> Dat
     both = full.select(*cols).withColumn("tile", F.lit(0)).unionByName(tiles.select(*cols).withColumn("tile", F.lit(1)))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tile", "box_idx"])
+        g = g.sort_values(["frame", "tile", "box_idx"])
         kept: list[tuple] = []
         mask = []
-        for tile, x1, y1, x2, y2 in g[["tile", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+        now = None
+        for frame, tile, x1, y1, x2, y2 in g[["frame", "tile", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+            if frame != now:
+                now, kept = frame, []
             ok = True
             for a1, b1, a2, b2 in kept if tile else ():
                 inter = max(0.0, min(x2, a2) - max(x1, a1)) * max(0.0, min(y2, b2) - max(y1, b1))
@@ -325,6 +329,8 @@ def merge_boxes(full: DataFrame, tiles: DataFrame, most_iou: float = 0.3) -> Dat
             mask.append(ok)
             if ok:
                 kept.append((x1, y1, x2, y2))
-        return g[np.array(mask, bool)]
+        return g[cols + ["tile"]][np.array(mask, bool)]
 
-    return both.groupBy("frame").applyInPandas(run, both.schema)
+    # a group is a range of frames: one for each frame costs more than its work
+    dealt = both.withColumn("_range", F.floor(F.col("frame") / FRAMES))
+    return dealt.groupBy("_range").applyInPandas(run, both.schema)

@@ -43,3 +43,12 @@ def test_objects_out_of_reach_are_not_looked_at_again(spark):
     got = ball.group_objects(cands).agg(F.countDistinct("object"), F.max("object")).first()
     assert tuple(got) == (n, n - 1)
     assert time.monotonic() - began < 30
+
+
+def test_boxes_of_many_frames_are_merged_in_ranges(spark):
+    """8,000 frames with a box of the image and two of tiles, the first of which lies on it; a group for each frame took most of a minute."""
+    box = lambda i, x: spark.range(8_000).select(F.col("id").cast("int").alias("frame"), F.lit(i).alias("box_idx"), F.lit(x).alias("x1"), F.lit(0.0).alias("y1"), F.lit(x + 10).alias("x2"), F.lit(20.0).alias("y2"))
+    began = time.monotonic()
+    got = ball.merge_boxes(box(0, 0.0), box(1, 1.0).unionByName(box(2, 50.0))).groupBy("tile", "box_idx").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 8_000), (1, 2, 8_000)]
+    assert time.monotonic() - began < 20
