@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands, metrics
+from . import handover, islands, metrics
 
 
 def worst_windows(rows: DataFrame, n: int = 3, size_s: int = 30, step_s: int = 5, key: list[str] | None = None) -> DataFrame:
@@ -88,22 +88,38 @@ def readmitted_flights(track: DataFrame, most_s: float = 2.5, key: list[str] | N
     return one.join(ok.select(*k, "run", F.lit(True).alias("back")), [*k, "run"], "left").withColumn("readmitted", F.coalesce("back", F.lit(False))).select(*track.columns, "readmitted")
 
 
-def field_prior(cands: DataFrame, length: float, width: float, margin: float = 3.0, v_max: float = 35.0, key: str | None = None) -> DataFrame:
-    """Candidates on the pitch and within reach of the last frame's; a frame where none is keeps all it has."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        last: tuple[float, np.ndarray] | None = None
-        out = []
-        for t, rows in g.sort_values(["frame", "cand_idx"]).groupby("t", sort=True):
-            xy = rows[["mx", "my"]].to_numpy()
+def field_prior(cands: DataFrame, length: float, width: float, margin: float = 3.0, v_max: float = 35.0, key: str | None = None, seconds: float | None = None) -> DataFrame:
+    """Candidates on the pitch and within reach of the last frame's; a frame where none is keeps all it has.
+
+    With ``seconds`` a group is a piece of a match, and the candidates are the same (``handover``).
+    """
+    order, columns = ["frame", "cand_idx"], cands.columns
+
+    def read(state: np.ndarray | None, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The rows kept, and the time and places of the last frame that had any within reach."""
+        last = None if state is None or not len(state) else (float(state[0]), np.asarray(state[1:], float).reshape(-1, 2))
+        times, places, keep = g["t"].to_numpy(float), g[["mx", "my"]].to_numpy(float), np.ones(len(g), bool)
+        for rows in np.split(np.arange(len(g)), np.flatnonzero(np.diff(times)) + 1) if len(g) else []:
+            t, xy = times[rows[0]], places[rows]
             ok = (xy[:, 0] >= -margin) & (xy[:, 0] <= length + margin) & (xy[:, 1] >= -margin) & (xy[:, 1] <= width + margin)
             if last is not None:
                 ok &= np.linalg.norm(xy[:, None] - last[1][None], axis=2).min(1) <= v_max * (t - last[0]) + margin
             if ok.any():
-                rows, last = rows[ok], (t, xy[ok])
-            out.append(rows)
-        return pd.concat(out) if out else g
+                keep[rows], last = ok, (t, xy[ok])
+        return keep, np.zeros(0) if last is None else np.r_[last[0], last[1].ravel()]
+
+    own = [key] if key else []
+    if seconds is not None:
+        parts = handover.pieces(cands, seconds, seconds / 2, own)
+        states = handover.settled(parts, lambda s, g: read(s, g)[1], order, own)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cands.schema)
+        return handover.from_start(parts, states, lambda k, g, s: g[columns][read(s["start"], g)[0]], schema, order, own)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["t"].notna()].sort_values(order)
+        return g[read(None, g)[0]]
 
-    return cands.groupBy(*([key] if key else [])).applyInPandas(run, cands.schema)
+    return cands.groupBy(*own).applyInPandas(run, cands.schema)
 
 
 def scaled_windows(rows: DataFrame, base: int = 5, gain: float = 1.0, most: int = 61, key: str = "id_jugador") -> DataFrame:

@@ -46,7 +46,7 @@ QUERIES: dict[str, Query] = {
     "reappearance": over("gt_obs", "positions")(lambda g, p: review.reappearance(g, matching.nearest(g, _pred(p), 0.45))),
     "score_inversions": over("ball_cand")(lambda b: review.score_inversions(b.where("cand_idx = 1"), b.where("cand_idx = 0"))),
     "readmitted_flights": over("ball_cand")(lambda b: review.readmitted_flights(_aerial(b)).select("frame", "readmitted")),
-    "field_prior": over("ball_cand")(lambda b: review.field_prior(b.withColumn("mx", F.when(F.col("frame") % 30 == 0, 150.0).otherwise(F.col("mx"))), 100.0, 64.0).select("frame", "cand_idx")),
+    "field_prior": over("ball_cand")(lambda b: review.field_prior(b.withColumn("mx", F.when(F.col("frame") % 30 == 0, 150.0).otherwise(F.col("mx"))), 100.0, 64.0, seconds=120.0).select("frame", "cand_idx")),
     "relink_at_crossings": over("positions", "detections")(lambda p, d: crossings.relink(_crossed(p, d)).groupBy("piece_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("kept"))),
     "relink_by_look": over("positions", "detections", "features")(lambda p, d, f: crossings.relink(_crossed(p, d).join(f.select("frame", "det_idx", "feat"), ["frame", "det_idx"], "left"), vector="feat", separation=1.4).groupBy("piece_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("kept"))),
     "crossing_pieces": over("positions", "detections")(lambda p, d: crossings.pieces(_crossed(p, d)).groupBy("id_jugador", "piece").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"))),

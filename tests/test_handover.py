@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.operators import handover, teams, tracking
+from pitchlake.operators import handover, review, teams, tracking
 from pitchlake.plans import fixtures
 
 
@@ -42,3 +42,11 @@ def test_tracks_in_pieces_are_those_of_one_reading(spark, name):
     run = lambda s: tracking.conservative_tracker(dets, 0.12, seconds=s) if name == "conservative" else tracking.box_tracker(dets, seconds=s)
     rows = lambda df: sorted((r["tracklet_id"], r["frame"], r["det_idx"]) for r in df.collect())
     assert rows(run(6.0)) == rows(run(None)) != []
+
+
+def test_field_prior_in_pieces(spark):
+    """What is in reach depends on the last frame, also over the ends of pieces."""
+    cands = spark.range(900).select((F.col("id") / 3).cast("int").alias("frame"), (F.col("id") % 3).cast("int").alias("cand_idx"), (F.floor(F.col("id") / 3) * 0.1).alias("t"), ((F.col("id") * 37) % 101).cast("double").alias("mx"), ((F.col("id") * 17) % 61).cast("double").alias("my"))
+    rows = lambda s: sorted((r["frame"], r["cand_idx"]) for r in review.field_prior(cands, 100.0, 64.0, seconds=s).collect())
+    assert 0 < len(rows(None)) < 900
+    assert rows(5.0) == rows(None)
