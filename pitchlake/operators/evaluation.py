@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from . import islands
-from .matching import identity_map
+from .lineage import saved
+from .matching import FRAMES, identity_map, most_gain
 
 
 def shared_frames(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -182,53 +183,80 @@ def proximity(gt: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.join(pairs.select("frame", F.col("gt_id").alias("obj_id"), F.lit(1).alias("f")), ["frame", "obj_id"], "left").select("frame", "obj_id", fn.rounded(F.col("neighbour_m")).alias("neighbour_m"), F.coalesce("f", F.lit(0)).alias("found"))
 
 
-def hota(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(i / 20 for i in range(1, 20)), box_m: float = 2.0, key: str | None = None) -> DataFrame:
-    """Higher-order accuracy and its detection and association parts, on square boxes of ``box_m`` metres, by threshold of overlap."""
-    from .matching import assign
+#: Sums of overlaps are counted in this many parts of one, so they do not depend on the order of their parts.
+_PARTS = 1 << 36
 
-    cols = [*([key] if key else []), "frame", "obj_id", "x_m", "y_m"]
-    both = gt.select(*cols, F.lit(0).alias("side")).unionByName(pred.select(*cols, F.lit(1).alias("side")))
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        g, p = d[d["side"] == 0], d[d["side"] == 1]
-        g_ids, p_ids = {x: i for i, x in enumerate(sorted(set(g["obj_id"])))}, {x: i for i, x in enumerate(sorted(set(p["obj_id"])))}
-        frames, potential = [], np.zeros((len(g_ids), len(p_ids)))
-        n_g, n_p = np.zeros(len(g_ids)), np.zeros(len(p_ids))
-        p_by = dict(list(p.groupby("frame")))
-        g_by = dict(list(g.groupby("frame")))
-        for f in sorted(set(g_by) | set(p_by)):
-            a, b = g_by.get(f, g[:0]), p_by.get(f, p[:0])
-            gi, pi = np.array([g_ids[x] for x in a["obj_id"]], int), np.array([p_ids[x] for x in b["obj_id"]], int)
-            w = np.clip(box_m - np.abs(a["x_m"].to_numpy()[:, None] - b["x_m"].to_numpy()[None]), 0, None)
-            h = np.clip(box_m - np.abs(a["y_m"].to_numpy()[:, None] - b["y_m"].to_numpy()[None]), 0, None)
-            s = w * h / (2 * box_m**2 - w * h)
-            frames.append((gi, pi, s))
-            n_g[gi] += 1
-            n_p[pi] += 1
+def _frames(rows: pd.DataFrame, box_m: float):
+    """Of rows by ``frame, obj_id`` with their ``side``: the truths' and the predictions' ids of each frame, and how square boxes of ``box_m`` metres overlap."""
+    rows = rows.sort_values(["frame", "obj_id"], kind="stable")
+    side, frame, obj, x, y = (rows[c].to_numpy() for c in ("side", "frame", "obj_id", "x_m", "y_m"))
+    g, p = side == 0, side == 1
+    gf, gi, gx, gy, pf, pi, px, py = (c[k] for k in (g, p) for c in (frame, obj, x, y))
+    for f in np.unique(frame):
+        a, b = (slice(np.searchsorted(c, f), np.searchsorted(c, f, "right")) for c in (gf, pf))
+        w = np.clip(box_m - np.abs(gx[a, None] - px[None, b]), 0, None)
+        h = np.clip(box_m - np.abs(gy[a, None] - py[None, b]), 0, None)
+        yield gi[a], pi[b], w * h / (2 * box_m**2 - w * h)
+
+
+def _sides(gt: DataFrame, pred: DataFrame, own: list[str]) -> DataFrame:
+    cols = [*own, "frame", "obj_id", "x_m", "y_m"]
+    return gt.select(*cols, F.lit(0).alias("side")).unionByName(pred.select(*cols, F.lit(1).alias("side")))
+
+
+def hota(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(i / 20 for i in range(1, 20)), box_m: float = 2.0, key: str | None = None) -> DataFrame:
+    """Higher-order accuracy and its detection and association parts, on square boxes of ``box_m`` metres, by threshold of overlap.
+
+    Ranges of ``matching.FRAMES`` frame numbers are read twice: what they say on how
+    well two identities agree is summed over the match, and with these sums each
+    frame is matched once, whatever the threshold.
+    """
+    own = [key] if key else []
+    # joins take the match by a text, which a null has too
+    match = F.to_json(F.struct(*own)) if own else F.lit("")
+    both = _sides(gt, pred, own).where("frame is not null").withColumns({"_m": match, "_range": F.floor(F.col("frame") / FRAMES)})
+    g_kind, p_kind = (df.schema["obj_id"].dataType.simpleString() for df in (gt, pred))
+
+    def agreements(k: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        g_ids, p_ids = (np.unique(d.loc[d["side"] == i, "obj_id"]) for i in (0, 1))
+        sums = np.zeros((len(g_ids), len(p_ids)))
+        for a, b, s in _frames(d, box_m):
             norm = s.sum(0)[None] + s.sum(1)[:, None] - s
-            potential[np.ix_(gi, pi)] += np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
-        alignment = potential / np.maximum(n_g[:, None] + n_p[None] - potential, 1e-9)
-        rows = []
-        for t in thresholds:
-            matches, tp = np.zeros_like(potential), 0
-            for gi, pi, s in frames:
-                if not s.size:
-                    continue
-                r, c = assign(-(alignment[np.ix_(gi, pi)] * s))
+            sums[np.ix_(np.searchsorted(g_ids, a), np.searchsorted(p_ids, b))] += np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
+        r, c = np.nonzero(sums)
+        return pd.DataFrame({"_m": k[0], "_range": k[1], "gt_id": g_ids[r], "pred_id": p_ids[c], "sum": np.round(sums[r, c] * _PARTS).astype("i8")})
+
+    def matched(k: tuple, d: pd.DataFrame, agreed: pd.DataFrame) -> pd.DataFrame:
+        g_ids, p_ids = (np.unique(d.loc[d["side"] == i, "obj_id"]) for i in (0, 1))
+        alignment, n = np.zeros((len(g_ids), len(p_ids))), np.zeros((len(thresholds), len(g_ids), len(p_ids)), "i8")
+        alignment[np.searchsorted(g_ids, agreed["gt_id"]), np.searchsorted(p_ids, agreed["pred_id"])] = agreed["alignment"]
+        for a, b, s in _frames(d, box_m):
+            a, b = np.searchsorted(g_ids, a), np.searchsorted(p_ids, b)
+            r, c = most_gain(alignment[np.ix_(a, b)] * s)
+            for i, t in enumerate(thresholds):
                 ok = s[r, c] >= t - 1e-12
-                tp += int(ok.sum())
-                matches[gi[r[ok]], pi[c[ok]]] += 1
-            fn_, fp = n_g.sum() - tp, n_p.sum() - tp
-            det = tp / max(tp + fn_ + fp, 1)
-            ass = float((matches * (matches / np.maximum(n_g[:, None] + n_p[None] - matches, 1))).sum() / max(tp, 1))
-            rows.append((float(t), math.sqrt(det * ass), det, ass))
-        got = pd.DataFrame(rows, columns=["threshold", "hota", "det_a", "ass_a"])
-        return got.assign(**{key: d[key].iloc[0]}) if key else got
-
-    schema = "threshold double, hota double, det_a double, ass_a double"
-    if key:
-        schema += f", {key} {both.schema[key].dataType.simpleString()}"
-    return both.groupBy(*([key] if key else [])).applyInPandas(run, schema)
+                n[i, a[r[ok]], b[c[ok]]] += 1
+        i, r, c = np.nonzero(n)
+        return pd.DataFrame({"_m": k[0], "i": i.astype("i4"), "gt_id": g_ids[r], "pred_id": p_ids[c], "n": n[i, r, c]})
+
+    ids = f"gt_id {g_kind}, pred_id {p_kind}"
+    parts = saved(both.groupBy("_m", "_range").applyInPandas(agreements, f"_m string, _range long, {ids}, sum long"))
+    n = both.groupBy("_m", "side", "obj_id").agg(F.countDistinct("frame").alias("n"))
+    n_g = n.where("side = 0").select("_m", F.col("obj_id").cast(g_kind).alias("gt_id"), F.col("n").alias("n_g"))
+    n_p = n.where("side = 1").select("_m", F.col("obj_id").cast(p_kind).alias("pred_id"), F.col("n").alias("n_p"))
+    sums = parts.groupBy("_m", "gt_id", "pred_id").agg((F.sum("sum") / _PARTS).alias("sum")).join(n_g, ["_m", "gt_id"]).join(n_p, ["_m", "pred_id"])
+    aligned = sums.select("_m", "gt_id", "pred_id", (F.col("sum") / F.greatest(F.col("n_g") + F.col("n_p") - F.col("sum"), F.lit(1e-9))).alias("alignment"))
+    near = parts.select("_m", "_range", "gt_id", "pred_id").join(aligned, ["_m", "gt_id", "pred_id"])
+    found = both.groupBy("_m", "_range").cogroup(near.groupBy("_m", "_range")).applyInPandas(matched, f"_m string, i int, {ids}, n long")
+    pairs = found.groupBy("_m", "i", "gt_id", "pred_id").agg(F.sum("n").alias("n")).join(n_g, ["_m", "gt_id"]).join(n_p, ["_m", "pred_id"])
+    by = pairs.groupBy("_m", "i").agg(F.sum("n").alias("tp"), F.sum(F.round(F.col("n") * F.col("n") / F.greatest(F.col("n_g") + F.col("n_p") - F.col("n"), F.lit(1)) * _PARTS).cast("long")).alias("ass"))
+    every = both.groupBy("_m", *own).agg(F.countDistinct(F.when(F.col("side") == 0, F.struct("frame", "obj_id"))).alias("n_g"), F.countDistinct(F.when(F.col("side") == 1, F.struct("frame", "obj_id"))).alias("n_p"))
+    every = every.select("*", F.posexplode(F.array(*map(F.lit, map(float, thresholds)))).alias("i", "threshold"))
+    tp = F.coalesce("tp", F.lit(0))
+    det = tp / F.greatest(F.col("n_g") + F.col("n_p") - tp, F.lit(1))
+    ass = F.coalesce(F.col("ass") / _PARTS, F.lit(0.0)) / F.greatest(tp, F.lit(1))
+    return every.join(by, ["_m", "i"], "left").select("threshold", F.sqrt(det * ass).alias("hota"), det.alias("det_a"), ass.alias("ass_a"), *own)
 
 
 def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, box_m: float = 2.0, key: list[str] | None = None) -> DataFrame:

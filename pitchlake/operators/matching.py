@@ -54,6 +54,15 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cols, rows) if flipped else (rows, cols)
 
 
+def most_gain(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs that gain most together; rows, columns and pairs that gain nothing are left out."""
+    some = gain > 0
+    rows, cols = np.flatnonzero(some.any(1)), np.flatnonzero(some.any(0))
+    r, c = assign(-gain[np.ix_(rows, cols)])
+    r, c = rows[r], cols[c]
+    return r[some[r, c]], c[some[r, c]]
+
+
 #: Frame numbers that one task's group spans.
 FRAMES = 1500
 
