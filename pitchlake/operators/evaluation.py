@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from . import islands
+from . import handover, islands
 from .lineage import saved
 from .matching import FRAMES, identity_map, most_gain
 
@@ -259,45 +259,44 @@ def hota(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(i
     return every.join(by, ["_m", "i"], "left").select("threshold", F.sqrt(det * ass).alias("hota"), det.alias("det_a"), ass.alias("ass_a"), *own)
 
 
-def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, box_m: float = 2.0, key: list[str] | None = None) -> DataFrame:
+def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, box_m: float = 2.0, key: list[str] | None = None, piece: int = 5 * FRAMES, warm: int = FRAMES) -> DataFrame:
     """MOTA and its parts on square boxes of ``box_m`` metres, for each match of ``key``.
 
     A frame's pairs overlap by ``threshold`` at least; pairs of the frame before come
     first, then most overlap. A switch is a truth matched to another id than the last one.
+    A match is read in pieces of ``piece`` frame numbers that hand the last frame's
+    pairs on (see ``handover``); ids are numbers.
     """
-    from .matching import assign
-
     own = key or []
-    cols = [*own, "frame", "obj_id", "x_m", "y_m"]
-    both = gt.select(*cols, F.lit(0).alias("side")).unionByName(pred.select(*cols, F.lit(1).alias("side")))
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        before: dict[int, int] = {}
-        last: dict[int, int] = {}
-        tp = switches = 0
-        overlap = 0.0
-        for _, rows in d.groupby("frame", sort=True):
-            g, p = (rows[rows["side"] == k].sort_values("obj_id") for k in (0, 1))
-            now: dict[int, int] = {}
-            if len(g) and len(p):
-                w = np.clip(box_m - np.abs(g["x_m"].to_numpy()[:, None] - p["x_m"].to_numpy()[None]), 0, None)
-                h = np.clip(box_m - np.abs(g["y_m"].to_numpy()[:, None] - p["y_m"].to_numpy()[None]), 0, None)
-                iou = w * h / (2 * box_m**2 - w * h)
-                g_ids, p_ids = g["obj_id"].tolist(), p["obj_id"].tolist()
-                kept = np.array([[before.get(a) == b for b in p_ids] for a in g_ids])
-                gain = np.where(iou >= threshold - 1e-12, iou + 1000.0 * kept, 0.0)
-                for r, c in zip(*assign(-gain), strict=True):
-                    if gain[r, c] > 0:
-                        now[g_ids[r]] = p_ids[c]
-                        overlap += float(iou[r, c])
-                switches += sum(a in last and last[a] != b for a, b in now.items())
-                tp += len(now)
-            last |= now
-            before = now
-        n_gt, n_pred = int((d["side"] == 0).sum()), int((d["side"] == 1).sum())
-        return pd.DataFrame([(*(d[c].iloc[0] for c in own), tp, n_gt - tp, n_pred - tp, switches, (tp - (n_pred - tp) - switches) / max(n_gt, 1), overlap / max(tp, 1))], columns=[*own, "tp", "fn", "fp", "switches", "mota", "motp"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*(gt.schema[c] for c in own), *(T.StructField(c, T.LongType()) for c in ("tp", "fn", "fp", "switches")), *(T.StructField(c, T.DoubleType()) for c in ("mota", "motp"))])
-    return both.groupBy(*own).applyInPandas(run, schema)
+    both = _sides(gt, pred, own)
+    order = ["frame", "side", "obj_id"]
+
+    def read(state: np.ndarray | None, d: pd.DataFrame) -> tuple[dict, np.ndarray]:
+        """For each truth its pairs, switches, overlap, first and last match; and the last frame's pairs."""
+        before = {} if state is None else dict(np.reshape(state, (-1, 2)).tolist())
+        each: dict[float, list] = {}
+        for g_ids, p_ids, iou in _frames(d, box_m):
+            kept = np.array([before.get(a) for a in g_ids.tolist()], float)[:, None] == p_ids[None]
+            r, c = most_gain(np.where(iou >= threshold - 1e-12, iou + 1000.0 * kept, 0.0))
+            before = dict(zip(g_ids[r].tolist(), p_ids[c].tolist(), strict=True))
+            for (a, b), o in zip(before.items(), iou[r, c].tolist(), strict=True):
+                tp, switches, overlap, first, last = each.get(a, (0, 0, 0, b, b))
+                each[a] = (tp + 1, switches + (last != b), overlap + round(o * _PARTS), first, b)
+        return each, np.array(sorted(before.items()), float).ravel()
+
+    def told(k: tuple, d: pd.DataFrame, s: pd.Series) -> pd.DataFrame:
+        each, _ = read(np.asarray(s["start"], float), d)
+        return pd.DataFrame([(*k, a, *found) for a, found in each.items()], columns=[*own, "_n", "gt_id", *counts, "first", "last"])
+
+    counts = ("tp", "switches", "overlap")
+    parts = handover.pieces(both, piece, warm, own, "frame")
+    states = handover.settled(parts, lambda s, d: read(s, d)[1], order, own)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in parts.select(*own, "_n").schema) + "gt_id double, tp long, switches long, overlap long, first double, last double"
+    earlier = F.lag("last").over(W.partitionBy(*own, "gt_id").orderBy("_n"))
+    found = handover.from_start(parts, states, told, schema, order, own).withColumn("switches", F.col("switches") + F.coalesce(earlier != F.col("first"), F.lit(False)).cast("long"))
+    zero = F.lit(0).cast("long")
+    rows = both.select(*own, *(zero.alias(c) for c in counts), *((F.col("side") == i).cast("long").alias(n) for i, n in enumerate(("n_gt", "n_pred"))))
+    every = found.select(*own, *counts, zero.alias("n_gt"), zero.alias("n_pred")).unionByName(rows)
+    total = every.groupBy(*own).agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in (*counts, "n_gt", "n_pred"))).where("n_gt + n_pred > 0")
+    tp, fp = F.col("tp"), F.col("n_pred") - F.col("tp")
+    return total.select(*own, "tp", (F.col("n_gt") - tp).alias("fn"), fp.alias("fp"), "switches", ((tp - fp - F.col("switches")) / F.greatest("n_gt", F.lit(1))).alias("mota"), (F.col("overlap") / _PARTS / F.greatest(tp, F.lit(1))).alias("motp"))

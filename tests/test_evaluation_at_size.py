@@ -3,6 +3,7 @@
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,15 @@ def test_hota_without_pairs_or_rows(spark):
     assert evaluation.hota(one.where("false"), one.where("false")).collect() == []
     keyed = lambda df: df.withColumn("m", F.lit(1)).unionByName(df.withColumn("m", F.lit(None).cast("int")))
     assert {(r["m"], r["hota"]) for r in evaluation.hota(keyed(one), keyed(one), (0.5,), key="m").collect()} == {(1, 1.0), (None, 1.0)}
+
+
+@pytest.mark.parametrize("warm", [0, 20])
+def test_clear_mot_in_pieces_is_that_of_one_reading(spark, warm):
+    """Pairs that go on, and names that change, over the ends of pieces."""
+    g, p = _walks(spark, 600, 5, 100, 0.0), _walks(spark, 600, 5, 1, 0.3, 50)
+    whole = evaluation.clear_mot(g, p).first()
+    assert whole["switches"] > 10
+    for piece in (25, 40):
+        part = evaluation.clear_mot(g, p, piece=piece, warm=warm).first()
+        assert [part[c] for c in ("tp", "fn", "fp", "switches")] == [whole[c] for c in ("tp", "fn", "fp", "switches")]
+        assert np.allclose([part["mota"], part["motp"]], [whole["mota"], whole["motp"]], atol=1e-12)
