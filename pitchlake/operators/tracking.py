@@ -501,7 +501,7 @@ def fused_boxes(obs: DataFrame, least_jump_m: float = 3.0, growth: float = 1.25)
     return s.where((F.col("jump") > least_jump_m) & (F.col("h") >= growth * F.col("usual"))).select("tracklet_id", "frame", "jump", "h", "usual")
 
 
-def fused_cuts(obs: DataFrame, least_jump_m: float = 3.0, most_step_s: float = 0.35, side_s: float = 1.0, least_side: int = 3, usual_s: float = 2.0, taller: float = 1.25, wider: float = 1.5, head_share: float = 0.5, length: float = 100.0, width: float = 64.0, margin_y: float = 1.0) -> DataFrame:
+def fused_cuts(obs: DataFrame, least_jump_m: float = 3.0, most_step_s: float = 0.35, side_s: float = 1.0, least_side: int = 3, usual_s: float = 2.0, taller: float = 1.25, wider: float = 1.5, head_share: float = 0.5, length: float = 100.0, width: float = 64.0, margin_y: float = 1.0, piece_s: float = 60.0) -> DataFrame:
     """Where two people in one box part: rows of ``tracklet_id, frame, t, x_m, y_m, x1, y1, x2, y2`` that begin a new person.
 
     The step into the row is short in time and jumps; so do the medians of the
@@ -509,34 +509,55 @@ def fused_cuts(obs: DataFrame, least_jump_m: float = 3.0, most_step_s: float = 0
     moves with its bottom edge (the whole box, not a foot that came into sight); the
     box of the row or of the one before is taller or wider than the median of the
     rows within ``usual_s`` of it, itself left out.
+
+    A group is ``piece_s`` seconds of a tracklet with the rows around that they need;
+    medians are taken where a step jumps only. Missing values are in no median.
     """
-    # windows take whole numbers: microseconds
-    by = W.partitionBy("tracklet_id").orderBy(F.round(F.col("t") * 1e6).cast("long"))
     us = lambda s: round(s * 1e6)
-    around = by.rangeBetween(-us(usual_s), us(usual_s))
-    before, after = by.rangeBetween(-us(side_s), 0), by.rangeBetween(0, us(side_s))
-    s = obs.withColumns({"_cx": (F.col("x1") + F.col("x2")) / 2, "_h": F.col("y2") - F.col("y1"), "_w": F.col("x2") - F.col("x1")})
-
-    def usual(c: str) -> Column:
-        """Median of the rows around without the row itself: one of its values is taken out of the sorted list."""
-        all_ = F.array_sort(F.collect_list(c).over(around))
-        place = F.array_position(all_, F.col(c)).cast("int")
-        rest = F.filter(all_, lambda x, i: i + 1 != place)
-        n = F.size(rest)
-        return F.when(n > 0, (F.get(rest, F.floor((n - 1) / 2).cast("int")) + F.get(rest, F.floor(n / 2).cast("int"))) / 2)
-
-    fused = (F.col("_h") >= taller * usual("_h")) | (F.col("_w") >= wider * usual("_w"))
-    median = lambda c, w: F.percentile(c, 0.5).over(w)
-    columns = ("x_m", "y_m", "_cx", "y1", "y2")
-    s = s.withColumns({"_f": F.coalesce(fused, F.lit(False)), "_na": F.count("*").over(before), "_nb": F.count("*").over(after), **{f"_a{c}": median(c, before) for c in columns}, **{f"_b{c}": median(c, after) for c in columns}})
-    # the side before ends with the row before
-    s = s.withColumns({f"_p{c}": F.lag(c).over(by) for c in ("t", "x_m", "y_m", "_f", "_na", *(f"_a{c}" for c in columns))})
-    away = lambda *pairs: F.sqrt(sum(((F.col(a) - F.col(b)) ** 2 for a, b in pairs), F.lit(0.0)))
-    top, bottom = away(("_b_cx", "_p_a_cx"), ("_by1", "_p_ay1")), away(("_b_cx", "_p_a_cx"), ("_by2", "_p_ay2"))
-    ok = (F.col("t") - F.col("_pt") <= most_step_s) & (F.col("_p_na") >= least_side) & (F.col("_nb") >= least_side)
-    ok = ok & F.col("_p_ax_m").between(0, length) & F.col("_p_ay_m").between(-margin_y, width + margin_y)
-    ok = ok & (away(("x_m", "_px_m"), ("y_m", "_py_m")) > least_jump_m) & (away(("_bx_m", "_p_ax_m"), ("_by_m", "_p_ay_m")) > least_jump_m)
-    return s.where(ok & (F.col("_f") | F.col("_p_f")) & (top >= head_share * bottom)).select("tracklet_id", "frame")
+    piece, side, usual = us(piece_s), us(side_s), us(usual_s)
+    # a millisecond more, for times whose difference is rounded
+    ahead = max(side, usual) + 1000
+    back = ahead + us(most_step_s)
+    at = F.round(F.col("t") * 1e6).cast("long")
+    numbers = F.sequence(F.floor((at - ahead) / piece), F.floor((at + back) / piece))
+    columns = ("t", "x_m", "y_m", "x1", "y1", "x2", "y2")
+    parts = obs.where("t is not null").select("tracklet_id", "frame", *(F.col(c).cast("double").alias(c) for c in columns), at.alias("_us"), F.explode(numbers).alias("_n"))
+
+    def middle(rows: np.ndarray) -> np.ndarray:
+        """Median of each column."""
+        if np.isnan(rows).any():
+            return np.array([middle(c[:, None])[0] if len(c := x[~np.isnan(x)]) else np.nan for x in rows.T])
+        rows, n = np.sort(rows, axis=0), len(rows)
+        return (rows[(n - 1) // 2] + rows[n // 2]) / 2
+
+    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["_us", "frame"])
+        at, t, x, y, x1, y1, x2, y2 = (g[c].to_numpy() for c in ("_us", *columns))
+        size = np.c_[y2 - y1, x2 - x1]
+        where = np.c_[x, y, (x1 + x2) / 2, y1, y2]
+        away = lambda a, b: np.sqrt(((a - b) ** 2).sum(-1))
+        own = at[1:] // piece == k[1]
+        steps = np.flatnonzero(own & (t[1:] - t[:-1] <= most_step_s) & (away(where[1:, :2], where[:-1, :2]) > least_jump_m)) + 1
+
+        def fused(j: int) -> bool:
+            lo, hi = np.searchsorted(at, at[j] - usual), np.searchsorted(at, at[j] + usual, "right")
+            rest = np.r_[size[lo:j], size[j + 1 : hi]]
+            return len(rest) > 0 and bool((size[j] >= middle(rest) * (taller, wider)).any())
+
+        def parted(i: int) -> bool:
+            a = slice(np.searchsorted(at, at[i - 1] - side), np.searchsorted(at, at[i - 1], "right"))
+            b = slice(np.searchsorted(at, at[i]), np.searchsorted(at, at[i] + side, "right"))
+            if a.stop - a.start < least_side or b.stop - b.start < least_side:
+                return False
+            a, b = middle(where[a]), middle(where[b])
+            if not (0 <= a[0] <= length and -margin_y <= a[1] <= width + margin_y and away(a[:2], b[:2]) > least_jump_m):
+                return False
+            return bool(away(a[[2, 3]], b[[2, 3]]) >= head_share * away(a[[2, 4]], b[[2, 4]])) and (fused(i) or fused(i - 1))
+
+        return pd.DataFrame({"tracklet_id": k[0], "frame": g["frame"].to_numpy()[[i for i in steps.tolist() if parted(i)]]})
+
+    schema = ", ".join(f"{c} {obs.schema[c].dataType.simpleString()}" for c in ("tracklet_id", "frame"))
+    return parts.groupBy("tracklet_id", "_n").applyInPandas(run, schema)
 
 
 def pruned_embeddings(rows: DataFrame, keys: DataFrame, window: int, least_gap: int) -> DataFrame:
