@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from dataclasses import dataclass
@@ -112,57 +113,89 @@ def reprojection_error(points: DataFrame, h: fn.Homography) -> DataFrame:
     return points.select("name", fn.rounded(F.sqrt((x - F.col("x_m")) ** 2 + (y - F.col("y_m")) ** 2)).alias("error_m"))
 
 
-def least_squares_homography(px: np.ndarray, m: np.ndarray) -> np.ndarray | None:
-    """The homography that takes pixels (n x 2) to metres at the least algebraic error, both scaled to unit spread first; none if the points are on a line."""
+def least_squares_homographies(px: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each set of pixels (sets x n x 2) the homography that takes them to metres at the least algebraic error, both scaled to unit spread first; not a number if the points are on a line."""
 
     def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        centre, spread = x.mean(0), max(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).mean(), 1e-12)
-        t = np.array([[2**0.5 / spread, 0, -(2**0.5) * centre[0] / spread], [0, 2**0.5 / spread, -(2**0.5) * centre[1] / spread], [0, 0, 1]])
-        return np.c_[x, np.ones(len(x))] @ t.T, t
+        centre = x.mean(1)
+        scale = 2**0.5 / np.maximum(np.sqrt(((x - centre[:, None]) ** 2).sum(2)).mean(1), 1e-12)
+        t = np.zeros((len(x), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = scale
+        t[:, :2, 2], t[:, 2, 2] = -scale[:, None] * centre, 1
+        return np.concatenate([x, np.ones_like(x[:, :, :1])], 2) @ t.transpose(0, 2, 1), t
 
     (a, ta), (b, tb) = unit(px), unit(m)
     zero = np.zeros_like(a)
-    rows = np.vstack([np.hstack([a, zero, -b[:, :1] * a]), np.hstack([zero, a, -b[:, 1:2] * a])])
+    rows = np.concatenate([np.concatenate([a, zero, -b[:, :, :1] * a], 2), np.concatenate([zero, a, -b[:, :, 1:2] * a], 2)], 1)
     _, sizes, v = np.linalg.svd(rows)
-    if len(sizes) >= 8 and sizes[7] < 1e-9 * sizes[0]:
+    h = np.linalg.inv(tb) @ v[:, -1].reshape(-1, 3, 3) @ ta
+    none = np.abs(h[:, 2, 2]) <= 1e-12
+    if sizes.shape[1] >= 8:
+        none |= sizes[:, 7] < 1e-9 * sizes[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(none[:, None, None], np.nan, h / h[:, 2:, 2:])
+
+
+def least_squares_homography(px: np.ndarray, m: np.ndarray) -> np.ndarray | None:
+    """The same for one set (n x 2); none if the points are on a line."""
+    h = least_squares_homographies(px[None], m[None])[0]
+    return None if np.isnan(h).any() else h
+
+
+@functools.lru_cache
+def _fours(n: int, trials: int) -> np.ndarray:
+    """All fours of ``n`` clicks, or ``trials`` of them by a fixed seed."""
+    if math.comb(n, 4) <= trials:
+        return np.array(list(itertools.combinations(range(n), 4)), int).reshape(-1, 4)
+    return np.array([np.random.default_rng(7 + i).choice(n, 4, replace=False) for i in range(trials)])
+
+
+def _consensus(px: np.ndarray, m: np.ndarray, most_m: float, trials: int) -> tuple[list[float], int, int, float] | None:
+    """``h``, ``inliers``, ``clicks`` and ``error_m`` of a camera's clicks (n x 2)."""
+
+    def errors(h: np.ndarray) -> np.ndarray:
+        at = np.c_[px, np.ones(len(px))] @ h.swapaxes(-1, -2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = at[..., :2] / at[..., 2:] - m
+            return np.nan_to_num(np.hypot(d[..., 0], d[..., 1]), nan=np.inf)
+
+    fours = _fours(len(px), trials)
+    if not len(fours):
+        return None
+    e = errors(least_squares_homographies(px[fours], m[fours]))
+    near = e <= most_m
+    agree = near.sum(1)
+    if agree.max() < 4:
         return None
-    h = np.linalg.inv(tb) @ v[-1].reshape(3, 3) @ ta
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    near = near[min(np.flatnonzero(agree == agree.max()), key=lambda i: e[i, near[i]].sum())]
+    h = least_squares_homography(px[near], m[near])
+    return None if h is None else (h.ravel().tolist(), int((errors(h) <= most_m).sum()), len(px), float(errors(h)[near].mean()))
 
 
-def fit_homography(clicks: DataFrame, most_m: float = 1.0, key: list[str] | None = None, trials: int = 500) -> DataFrame:
+def fit_homography(clicks: DataFrame, most_m: float = 1.0, key: list[str] | None = None, trials: int = 500, each: str | None = None) -> DataFrame:
     """A homography for each camera of ``key`` from clicks (``name, px, py, x_m, y_m``): ``h`` (nine numbers by rows), ``inliers``, ``clicks``, ``error_m``.
 
     Consensus: of the fits to four clicks the one that most clicks agree with to
     ``most_m`` metres (of equals the least error), fitted again to all of these. Clicks
     of a camera are a few dozen; all fours are tried, or ``trials`` of them by a
-    fixed seed. Fewer than four clicks, or none that fit, give no row.
+    fixed seed, in one array operation. Fewer than four clicks, or none that fit, give
+    no row. ``each``: a camera's clicks are there several times, and each value of this
+    column gets a fit of its own.
     """
     own = key or []
+    by = [*own, each] if each else own
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("name")
-        px, m = g[["px", "py"]].to_numpy(float), g[["x_m", "y_m"]].to_numpy(float)
-
-        def errors(h: np.ndarray) -> np.ndarray:
-            at = np.c_[px, np.ones(len(px))] @ h.T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.nan_to_num(np.hypot(*(at[:, :2] / at[:, 2:] - m).T), nan=np.inf)
-
-        fours = list(itertools.combinations(range(len(g)), 4)) if math.comb(len(g), 4) <= trials else [np.random.default_rng(7 + i).choice(len(g), 4, replace=False) for i in range(trials)]
-        best: tuple[int, float, np.ndarray] | None = None
-        for four in fours:
-            h = least_squares_homography(px[list(four)], m[list(four)])
-            if h is not None:
-                e = errors(h)
-                near = e <= most_m
-                if near.sum() >= 4 and (best is None or (near.sum(), -e[near].sum()) > (best[0], -best[1])):
-                    best = (int(near.sum()), float(e[near].sum()), near)
-        h = least_squares_homography(px[best[2]], m[best[2]]) if best else None
-        rows = [] if h is None else [(*(g[c].iloc[0] for c in own), h.ravel().tolist(), int((errors(h) <= most_m).sum()), len(g), float(errors(h)[best[2]].mean()))]
-        return pd.DataFrame(rows, columns=[*own, "h", "inliers", "clicks", "error_m"])
-
-    schema = T.StructType([*(clicks.schema[c] for c in own), T.StructField("h", T.ArrayType(T.DoubleType())), T.StructField("inliers", T.IntegerType()), T.StructField("clicks", T.IntegerType()), T.StructField("error_m", T.DoubleType())])
+        g = g.sort_values([each, "name"] if each else "name")
+        px, m, names = g[["px", "py"]].to_numpy(float), g[["x_m", "y_m"]].to_numpy(float), g[by].to_numpy(object)
+        ends = np.cumsum(g.groupby(each, dropna=False).size()).tolist() if each else [len(g)]
+        rows = []
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            if (found := _consensus(px[a:b], m[a:b], most_m, trials)) is not None:
+                rows.append((*names[a], *found))
+        return pd.DataFrame(rows, columns=[*by, "h", "inliers", "clicks", "error_m"])
+
+    schema = T.StructType([*(clicks.schema[c] for c in by), T.StructField("h", T.ArrayType(T.DoubleType())), T.StructField("inliers", T.IntegerType()), T.StructField("clicks", T.IntegerType()), T.StructField("error_m", T.DoubleType())])
     return clicks.groupBy(*own).applyInPandas(run, schema)
 
 
@@ -193,7 +226,7 @@ def _back(h: Column) -> Column:
 def click_stability(clicks: DataFrame, places: list[tuple[float, float]], noise_px: float = 2.0, trials: int = 300, most_m: float = 5.0, fours: int = 60, seed: int = 0, key: list[str] | None = None) -> DataFrame:
     """How far each of ``places`` (metres) moves when the clicks of a camera shake: ``x_m, y_m, moved_m`` and the number of ``fits``.
 
-    A row is a click in a trial. Each trial has a fit of its own by consensus; a place
+    A row is a click in a trial. Each trial has a fit of its own by consensus, all of a camera in one group; a place
     goes to its pixel by the fit of the clicks as they are, and back by the trial's.
     moved_m: median distance from the mean of the trials, so it tells spread, not bias.
     Trials and cameras without a fit give no row.
@@ -206,7 +239,7 @@ def click_stability(clicks: DataFrame, places: list[tuple[float, float]], noise_
     pixel = _through(_back(F.col("h")), F.col("_p.x"), F.col("_p.y"))
     listed = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(i).alias("i")) for i, (x, y) in enumerate(places)))
     targets = fit_homography(clicks, most_m, on, fours).select(*on, "h", F.explode(listed).alias("_p")).select(*on, "_p", pixel[0].alias("_u"), pixel[1].alias("_v"))
-    fits = fit_homography(shaken, most_m, [*on, "_trial"], fours).select(*(F.col(c).alias(f"_f_{c}") for c in on), "_trial", "h")
+    fits = fit_homography(shaken, most_m, on, fours, "_trial").select(*(F.col(c).alias(f"_f_{c}") for c in on), "_trial", "h")
     at = _through(F.col("h"), F.col("_u"), F.col("_v"))
     moved = targets.join(fits, [targets[c].eqNullSafe(fits[f"_f_{c}"]) for c in on]).select(*on, "_trial", "_p", at[0].alias("_x"), at[1].alias("_y"))
     w = W.partitionBy(*on, "_p")

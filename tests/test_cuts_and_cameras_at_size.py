@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.operators import tracking
+from pitchlake.operators import pitch, tracking
 
+from .test_calibration import clicks
 from .test_keys_and_parts import brute_cuts
 
 ROWS = "tracklet_id int, frame int, t double, x_m double, y_m double, x1 double, y1 double, x2 double, y2 double"
@@ -38,3 +39,20 @@ def test_cuts_of_long_tracklets(spark):
     got = tracking.fused_cuts(df).groupBy("tracklet_id").agg(F.count("*").alias("n"), F.sum(F.col("frame") % 60).alias("off")).collect()
     assert [(r["n"], r["off"]) for r in got] == [(599, 0)] * 8
     assert time.monotonic() - began < 30
+
+
+def test_fits_of_one_group_are_those_of_their_own_groups(spark):
+    rows = clicks(spark).withColumn("trial", F.explode(F.array(*map(F.lit, range(4))))).withColumn("px", F.col("px") + F.col("trial") * (F.xxhash64("name") % 5))
+    rows = rows.where("trial < 3 or name < 'p3'")
+    of = lambda df: sorted((r["camera"], r["trial"], r["h"], r["inliers"], r["clicks"], r["error_m"]) for r in df.collect())
+    got = of(pitch.fit_homography(rows, 5.0, ["camera"], 20, "trial"))
+    # the trial of three clicks has no fit
+    assert len(got) == 6 and got == of(pitch.fit_homography(rows, 5.0, ["camera", "trial"], 20))
+
+
+def test_stability_of_many_cameras(spark):
+    """Six cameras of 300 trials were 1,800 groups of 60 fits one by one, which took more than a minute."""
+    began = time.monotonic()
+    got = pitch.click_stability(clicks(spark, "abcdef"), [(50.0, 30.0)], 1.0, key=["camera"]).collect()
+    assert len(got) == 6 and all(r["fits"] == 300 for r in got)
+    assert time.monotonic() - began < 30
