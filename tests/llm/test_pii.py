@@ -126,3 +126,46 @@ def test_no_documents_and_repeated_rows(make):
     assert pii.scan(make([])).count() == 0
     rows = pii.scan(make([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")])).collect()
     assert [len(r["base"]) for r in rows] == [1, 1, 1]
+
+
+def frequent_contexts(n):
+    """Texts of few words, so that most pairs of words are open patterns that hold many tokens."""
+    import random
+
+    rng = random.Random(11)
+    words = ["of", "the", "Straße", "naïve", "x1", "😀", "(see", "it's", "a.b-c.", "Σας", "end\n", '"q"'] + [f"w{i}" for i in range(9)]
+    word = lambda: rng.choice(words[: 1 + rng.randrange(len(words))])
+    seed = lambda: rng.choice(["u{}@x.org", "10.0.0.{}", "<m{}@y.de>,", "+49 30 12345{}"]).format(rng.randrange(9))
+    return [(i, " ".join(seed() if rng.random() < 0.1 else word() for _ in range(rng.randrange(60)))) for i in range(n)] + [(n, None), (n, ""), (None, " \n"), (n, "of the u1@x.org")]
+
+
+def test_frequent_contexts_send_no_token_as_a_row(make, monkeypatch):
+    """Whether edges go in one piece or in many, the spans are those of a row for each mention; no plan explodes mentions or joins them."""
+    rows = frequent_contexts(300)
+    spans = lambda: sorted((str(r["doc_id"]), [tuple(s) for s in r["base"]], [tuple(s) for s in r["spans"]]) for r in pii.scan(make(rows)).collect())
+    found = pii.scan(make(rows))
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    usual = spans()
+    more = [s for _, _, all_ in usual for s in all_ if s[0] == 4]
+    assert len(more) > 1000
+    for _, base, all_ in usual:
+        assert all_[: len(base)] == base and all_[len(base) :] == sorted(set(all_[len(base) :]))
+    for name, value in (("MOST_EDGES", 20), ("GATHERED_BYTES", 300), ("RANGE_BYTES", 500)):
+        monkeypatch.setattr(pii, name, value)
+    assert spans() == usual
+    monkeypatch.setattr(pii, "MOST_OPEN", 1)
+    assert spans() == usual
+
+
+def test_few_open_patterns_many_tokens_few_rows(make):
+    """Ten times the tokens of the same patterns are not more rows between tasks."""
+    import numpy as np
+
+    n = lambda k: [(i, " ".join(f"of the v{i}-{j}" for j in range(k))) for i in range(20)]
+    context = pii.Context("of the x now")
+    one, *both = context.patterns(7, 8)
+    slots = pii.Slots(np.array(both, "u8"), np.array([one] * 2, "u8"))
+    few, many = (pii.edges(make(n(k)), slots, 4).collect() for k in (5, 50))
+    assert len(few) == len(many) == 4
+    assert sum(r["n"] for r in many) == 20 * 50
