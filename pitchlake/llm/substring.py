@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Plan, U, Words, counted, in_blocks, sorted_block
+from .blocks import Plan, U, Words, counted, in_blocks, ranks, sorted_block
 from .common import prepare, texts, tidied_pair, total_bytes
 
 WINDOW = 35
@@ -41,6 +41,10 @@ BUCKET_BYTES = 16 << 20
 MOST, SAMPLED = 128, 16
 
 
+#: The bits below each place of a word.
+_BELOW = (U(1) << np.arange(64, dtype="u8")) - U(1)
+
+
 class Bits:
     """Packed bits with counts every 64."""
 
@@ -53,7 +57,7 @@ class Bits:
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         block = at >> 6
-        return self.counts[block] + np.bitwise_count(self.words[block] & ((U(1) << (at & 63).astype("u8")) - U(1)))
+        return self.counts[block] + np.bitwise_count(self.words[block] & _BELOW[at & 63])
 
     def at(self, at: np.ndarray) -> np.ndarray:
         return ((self.words[at >> 6] >> (at & 63).astype("u8")) & U(1)).astype(bool)
@@ -206,7 +210,7 @@ def _asked(window: int):
         """A row for each shard that this one asks: its distinct pieces as numbered words, and their places."""
         words = _words(table)
         hashes = words.windows(window)
-        homes = parents[np.searchsorted(np.unique(hashes), hashes)] if len(hashes) else np.zeros(0, "i8")
+        homes = parents[ranks(hashes)]
         places = words.gram_places(window)
         firsts, ends = _runs(places[homes >= 0], homes[homes >= 0], window)
         docs = _document(words, firsts)

@@ -37,3 +37,16 @@ def test_equal_rows_spread(spark, make):
 
     packed = blocks.in_blocks(docs.select("doc_id", "text"), plan).groupBy("block").applyInArrow(opened, "doc_id long, text string, block long")
     assert packed.select("doc_id", "text", "block").exceptAll(deal).count() == 0 and packed.count() == 3000
+
+
+def test_words_are_those_of_a_split_and_ranks_those_of_unique():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r\x1c\x00\x85é 😀") for _ in range(rng.randrange(12))).encode() for _ in range(rng.randrange(5))] + [b"\xed\xa0\x80 \xff x"] * rng.randrange(2)
+        words = blocks.Words.of(texts)
+        each = iter([words.vocabulary[i] for i in words.ids])
+        assert [[next(each) for _ in range(n)] for n in words.lengths] == [t.split() for t in texts]
+        keys = np.array([rng.choice([0, 5, 2**64 - 1, rng.getrandbits(64)]) for _ in range(rng.randrange(20))], "u8")
+        assert (blocks.ranks(keys) == np.unique(keys, return_inverse=True)[1]).all()
