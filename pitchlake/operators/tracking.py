@@ -56,12 +56,15 @@ def advance(tracks: list[Track], next_number: int, t: float, pos: np.ndarray, p:
     mine = [-1] * len(pos)
     if tracks and len(pos):
         d = np.linalg.norm(np.array([k.ahead(t) for k in tracks])[:, None] - pos[None], axis=2)
-        for r, c in zip(*assign(d), strict=True):
-            if d[r, c] > radius:
-                continue
-            rivals = [np.partition(line, 1)[1] for line in (d[r], d[:, c]) if len(line) > 1]
-            if any(x < d[r, c] + p.ambiguity * radius for x in rivals):
-                continue  # a second choice is about as good: rather end a tracklet than steal
+        rows, cols = assign(d)
+        cost = d[rows, cols]
+        taken = ~(cost > radius)
+        # where a second choice is about as good: rather end a tracklet than steal
+        if d.shape[1] > 1:
+            taken &= ~(np.partition(d, 1, axis=1)[rows, 1] < cost + p.ambiguity * radius)
+        if d.shape[0] > 1:
+            taken &= ~(np.partition(d, 1, axis=0)[1, cols] < cost + p.ambiguity * radius)
+        for r, c in zip(rows[taken].tolist(), cols[taken].tolist(), strict=True):
             tracks[r].add(t, pos[c])
             mine[c] = tracks[r].number
     for c in range(len(pos)):

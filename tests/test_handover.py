@@ -50,3 +50,25 @@ def test_field_prior_in_pieces(spark):
     rows = lambda s: sorted((r["frame"], r["cand_idx"]) for r in review.field_prior(cands, 100.0, 64.0, seconds=s).collect())
     assert 0 < len(rows(None)) < 900
     assert rows(5.0) == rows(None)
+
+
+def test_a_second_choice_about_as_good_ends_a_tracklet():
+    """One frame of the conservative tracker against the rule, pair by pair."""
+    from pitchlake.operators import matching
+
+    rng, p, dt = np.random.default_rng(5), tracking.Conservative(), 0.12
+    radius = p.v_max * dt + p.margin
+    for n, m in ((0, 3), (1, 1), (1, 4), (4, 1), (6, 5), (5, 6), (9, 9)) * 20:
+        places, pos = rng.random((n, 2)) * 4, rng.random((m, 2)) * 4
+        tracks = [tracking.Track(i + 1, 0.0, x) for i, x in enumerate(places)]
+        d = np.linalg.norm(places[:, None] - pos[None], axis=2)
+        want = [-1] * m
+        for r, c in zip(*matching.assign(d), strict=True):
+            rivals = [sorted(line)[1] for line in (d[r], d[:, c]) if len(line) > 1]
+            if d[r, c] <= radius and all(x >= d[r, c] + p.ambiguity * radius for x in rivals):
+                want[c] = int(r) + 1
+        for c in range(m):
+            if want[c] < 0:
+                n += 1
+                want[c] = n
+        assert tracking.advance(tracks, len(places) + 1, dt, pos, p, dt)[2] == want
