@@ -29,17 +29,22 @@ def mark_cells(cands: DataFrame, cell_px: int = 12, least: int = 100, least_span
 def static_marks(cands: DataFrame, share: float = 0.5, **kw) -> DataFrame:
     """Groups of neighbouring mark cells seen in enough of the minutes: ``cx, cy, mark``.
 
-    Cells are few (an image has some thousands). Neighbours are an equi-join on the
-    shifted keys of half of a cell's surroundings, and groups are the components of these links.
+    A mark on the edge of two cells is seen now in one, now in the other: a group's
+    minutes are those of all its cells together. Cells are few (an image has some
+    thousands). Neighbours are an equi-join on the shifted keys of half of a cell's
+    surroundings, and groups are the components of these links.
     """
-    minutes = cands.select(F.floor(F.col("t") / 60).alias("m")).distinct().count()
+    cell_px, minute = kw.get("cell_px", 12), F.floor(F.col("t") / 60)
+    minutes = cands.agg(F.countDistinct(minute)).first()[0]
     cells = saved(mark_cells(cands, **kw).withColumn("label", F.col("cx") * 100_000 + F.col("cy")))
     shift = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))))
     near = cells.withColumn("s", shift).select((F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"), F.col("label").alias("a"))
     links = cells.join(near, ["cx", "cy"]).select("a", F.col("label").alias("b"))
     named = tracking.components(cells.select(F.col("label").alias("tracklet_id")), links)
     marked = cells.join(named, F.col("label") == F.col("tracklet_id"))
-    seen = marked.groupBy("identity_id").agg(F.max("minutes").alias("_most")).where(F.col("_most") >= share * max(minutes, 1))
+    cell = lambda c: F.floor(F.col(c) / cell_px).cast("int")
+    at = cands.select(cell("px").alias("cx"), cell("py").alias("cy"), minute.alias("minute")).distinct().join(marked.select("cx", "cy", "identity_id"), ["cx", "cy"])
+    seen = at.groupBy("identity_id").agg(F.countDistinct("minute").alias("_seen")).where(F.col("_seen") >= share * max(minutes, 1)).select("identity_id")
     return marked.join(seen, "identity_id").select("cx", "cy", F.col("identity_id").alias("mark"))
 
 

@@ -30,6 +30,16 @@ def test_a_long_chain_of_mark_cells_is_one_mark(spark):
     assert {r["mark"] for r in got} == {0}
 
 
+@pytest.mark.parametrize(("seen", "cells"), [((4, 8), {(0, 0), (1, 1)}), ((3, 4), set())])
+def test_minutes_of_a_mark_are_those_of_all_its_cells(spark, seen, cells):
+    """A mark on the edge of two cells, in the one up to a minute, then in the other; ten minutes in all."""
+    rows = [(f, 60.0 * m + f, 11.0 + 2 * (m >= seen[0]), 11.0 + 2 * (m >= seen[0])) for m in range(seen[1]) for f in range(4)] + [(0, 60.0 * m, 200.0 + 40 * m, 6.0) for m in range(10)]
+    cands = spark.createDataFrame(rows, "frame int, t double, px double, py double")
+    got = ball.static_marks(cands, least=4, least_span_s=3.0)
+    assert {(r["cx"], r["cy"]) for r in got.collect()} == cells
+    assert ball.without_marks(cands, got).count() == len(rows) - (32 if cells else 0)
+
+
 @pytest.mark.parametrize("gap", [1, 5])
 def test_no_window_up_to_the_end_of_an_identity(spark, gap):
     """Such a window reads the rest of the identity for each row: time grows with the square of its rows."""
