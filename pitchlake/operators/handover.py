@@ -13,6 +13,7 @@ A state is a list of numbers, ordered by content; equal states have equal lists.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lineage import saved
+from .lineage import folder, saved
 
 #: ``state, rows`` to a number for each row, the numbers of the tracks left open in the order of the state, how many are new, and the state.
 Reader = Callable[[np.ndarray | None, pd.DataFrame], tuple[np.ndarray, np.ndarray, int, np.ndarray]]
+#: ``state, rows, loads`` to the same, and for each track left the places of the rows it took values from here, and which tracks of the state were asked for theirs (by place in it).
+Carrier = Callable[[np.ndarray | None, pd.DataFrame, list], tuple[np.ndarray, np.ndarray, int, np.ndarray, list[list[int]], list[int]]]
 
 
 def pieces(rows: DataFrame, seconds: float, warm: float, key: list[str] | None = None, t: str = "t") -> DataFrame:
@@ -86,37 +89,85 @@ def from_start(parts: DataFrame, states: DataFrame, run: Callable, schema: str,
     return parts.where("not _warm").groupBy(*own, "_n").cogroup(states.groupBy(*own, "_n")).applyInPandas(each, schema)
 
 
-def tracked(rows: DataFrame, read: Reader, seconds: float, warm: float, order: list[str], keep: list[str], key: str | None = None) -> DataFrame:
+def tracked(rows: DataFrame, read: Reader | Carrier, seconds: float, warm: float, order: list[str], keep: list[str], key: str | None = None, load: str | None = None, most: int = 0) -> DataFrame:
     """``keep`` of each row and ``tracklet_id``, the number of its track in its match by order of beginning; rows without a track are left out.
 
     In a piece the tracks that were open at its start have negative numbers, by their
-    place in the state, new ones positive numbers from 1.
-    """
-    from .tracking import components
+    place in the state, new ones positive numbers from 1. A piece is read once, from
+    its guess, and again only where that was wrong. One task for each match goes
+    through its pieces in order, without their rows: a few numbers for each open track.
 
+    ``load`` names a column of arrays (empty: nothing) of which a track carries the last
+    ``most`` along. It may carry them for hours, so no piece can guess them; but only pieces
+    that ask for them depend on them. The others hand them on unread, as numbers of rows.
+    """
     own = [key] if key else []
-    parts = pieces(rows, seconds, warm, own)
-    states = settled(parts, lambda s, g: read(s, g)[3], order, own)
-    kinds = parts.select(*own, "_n", *keep).schema
-    # rows of a piece, and rows that tell its new tracks (_at 0) and the tracks left open (_at from 1)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", _at int, _local long"
-
-    def run(k: tuple, g: pd.DataFrame, s: pd.Series) -> pd.DataFrame:
-        mine, left, new, _ = read(np.asarray(s["start"], float), g)
-        out = g[[*own, "_n", *keep]].assign(_at=-1, _local=mine)[mine != 0]
-        told = pd.DataFrame({"_at": np.arange(len(left) + 1), "_local": np.r_[new, left].astype("i8")}).assign(**dict(zip([*own, "_n"], k, strict=True)))
-        return pd.concat([out, told.reindex(columns=out.columns)]) if len(out) else told.reindex(columns=out.columns)
-
-    told_of = saved(from_start(parts, states, run, schema, order, own))
-    match = F.col(key) if key else F.lit(None).cast("int")
-    node = lambda n, local: F.struct(match.alias("match"), n.alias("n"), local.alias("local"))
-    left = saved(told_of.where("_at > 0").select(node(F.col("_n"), F.col("_local")).alias("a"), node(F.col("_n") + 1, (-F.col("_at")).cast("long")).alias("b")))
-    names = components(left.select(F.col("a").alias("tracklet_id")).unionAll(left.select(F.col("b").alias("tracklet_id"))).distinct(), left)
-    first = W.partitionBy(*own).orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
-    offsets = told_of.where("_at = 0").select(match.alias("_m"), F.col("_n").alias("_of"), F.coalesce(F.sum("_local").over(first), F.lit(0)).alias("_before"))
-    found = told_of.where("_at < 0").withColumn("_node", node(F.col("_n"), F.col("_local")))
-    # only tracks that were open at the start of a piece have another name
-    old = found.where("_local < 0").join(names, F.col("_node") == F.col("tracklet_id")).select(*own, *keep, F.col("identity_id").alias("_node"))
-    every = found.where("_local > 0").select(*own, *keep, "_node").unionByName(old)
-    numbered = every.join(offsets, (F.col("_node.n") == F.col("_of")) & F.col("_node.match").eqNullSafe(F.col("_m")))
-    return numbered.select(*own, *keep, (F.col("_before") + F.col("_node.local")).cast("int").alias("tracklet_id"))
+    parts = pieces(rows.withColumn("_id", F.monotonically_increasing_id()), seconds, warm, own)
+    fields = lambda *c: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*own, "_n", *c).schema)
+    # rows of a piece, and one row that tells how it was read
+    schema = fields(*keep) + ", _local long, _told string"
+
+    def numbers(g: pd.DataFrame, taken: list[list[int]]) -> list[list[int]]:
+        return [g["_id"].iloc[one].tolist() for one in taken]
+
+    def piece(k: tuple, g: pd.DataFrame, start: np.ndarray, held: list, loads: list) -> pd.DataFrame:
+        mine, left, new, end, *more = read(start, g, loads) if load else read(start, g)
+        fresh, asked = more or ([], [])
+        out = g[[*own, "_n", *keep]].assign(_local=mine, _told=None)[mine != 0]
+        how = {"start": start.tolist(), "end": end.tolist(), "left": left.tolist(), "new": new, "held": held, "fresh": numbers(g, fresh), "asked": asked}
+        told = pd.DataFrame([(*k, json.dumps(how))], columns=[*own, "_n", "_told"]).reindex(columns=out.columns)
+        return pd.concat([out, told]) if len(out) else told
+
+    def guess(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order)
+        before = g[g["_warm"]]
+        _, _, _, start, *more = read(None, before)
+        taken = more[0] if more else []
+        loads = [before[load].iloc[one].tolist() for one in taken]
+        return piece(k, g[~g["_warm"]], start, numbers(before, taken), loads)
+
+    def again(k: tuple, g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        state = s[s["_of"] < 0].iloc[0]
+        held = [list(map(int, one)) for one in state["_held"]]
+        what = dict(zip(s["_of"].tolist(), s[load].tolist(), strict=True)) if load else {}
+        return piece(k, g.sort_values(order), np.asarray(state["_start"], float), held, [[what[i] for i in one] for one in held])
+
+    def known(i: int, some: list, other):
+        return some[i] if i < len(some) else other
+
+    def linked(k: tuple, s: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        names, loads, end, count = [], [], [], 0
+        s = s.sort_values(["_n", "_v"]).drop_duplicates("_n", keep="last")
+        for n, v, how in zip(s["_n"].tolist(), s["_v"].tolist(), s["_told"].map(json.loads), strict=True):
+            wrong = not np.array_equal(how["start"], end, equal_nan=True) or any(how["held"][i] != loads[i] for i in how["asked"])
+            out.append((*k, n, v, wrong, count, names, end if wrong else None, loads if wrong else None))
+            # a piece that was read from another number of tracks is read again; what follows is a guess till then
+            fresh = how["fresh"] or [[]] * len(how["left"])
+            loads = [(f if x > 0 else [*known(-x - 1, loads, []), *f])[-most:] if most else [] for x, f in zip(how["left"], fresh, strict=True)]
+            names = [count + x if x > 0 else known(-x - 1, names, 0) for x in how["left"]]
+            end, count = how["end"], count + how["new"]
+        return pd.DataFrame(out, columns=[*own, "_n", "_v", "_wrong", "_before", "_names", "_start", "_held"])
+
+    base, v = folder(rows.sparkSession, "tracked"), 0
+    mine = parts.where("not _warm")
+    found = parts.groupBy(*own, "_n").applyInPandas(guess, schema)
+    while True:
+        found.write.parquet(f"{base}/_v={v}")
+        every = rows.sparkSession.read.schema(f"{schema}, _v int").parquet(base)
+        states = every.where("_told is not null").select(*own, "_n", "_v", "_told")
+        links = saved(states.groupBy(*own).applyInPandas(linked, fields() + ", _v int, _wrong boolean, _before long, _names array<long>, _start array<double>, _held array<array<long>>"))
+        wrong = links.where("_wrong").select(*own, "_n", "_start", "_held")
+        if wrong.isEmpty():
+            break
+        named, same = _named(wrong.select(*own, "_n"), own)
+        given = wrong.withColumn("_of", F.lit(-1).cast("long"))
+        if load:
+            values = mine.where(F.size(load) > 0).select("_id", load)
+            held = wrong.select(*own, "_n", F.explode(F.array_distinct(F.flatten("_held"))).alias("_of"))
+            given = given.unionByName(held.join(values, F.col("_of") == F.col("_id")).drop("_id"), allowMissingColumns=True)
+        found, v = mine.join(named, same, "left_semi").groupBy(*own, "_n").cogroup(given.groupBy(*own, "_n")).applyInPandas(again, schema), v + 1
+    last = links.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(own)), F.col("_n").alias("_m"), F.col("_v").alias("_w"), "_before", "_names")
+    numbered = every.where("_local is not null").join(last, [F.col("_n") == F.col("_m"), F.col("_v") == F.col("_w"), *(F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(own))])
+    number = F.when(F.col("_local") > 0, F.col("_before") + F.col("_local")).otherwise(F.get("_names", (-F.col("_local") - 1).cast("int")))
+    return numbered.select(*own, *keep, number.cast("int").alias("tracklet_id"))

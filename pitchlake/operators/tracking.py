@@ -49,6 +49,26 @@ class Track:
         self.t, self.pos = t, pos
 
 
+@dataclass
+class _Seen:
+    """An open track of the appearance tracker: its last place and time, its last looks, and the rows that they came from in these rows."""
+
+    number: int
+    t: float
+    pos: np.ndarray
+    looks: list[np.ndarray]
+    fresh: list[int]
+    _mean: np.ndarray | None = None
+
+    def mean(self) -> np.ndarray:
+        if self._mean is None:
+            self._mean = np.mean(self.looks, axis=0)
+        return self._mean
+
+    def take(self, look: np.ndarray, row: int, most: int) -> None:
+        self.looks, self.fresh, self._mean = [*self.looks, look][-most:], [*self.fresh, int(row)][-most:], None
+
+
 def advance(tracks: list[Track], next_number: int, t: float, pos: np.ndarray, p: Conservative, dt: float) -> tuple[list[Track], int, list[int]]:
     """One frame of the conservative tracker: the tracks left open, the next number, and each detection's tracklet."""
     radius = p.v_max * dt + p.margin
@@ -86,13 +106,13 @@ def _told(numbers: list[int], given: int) -> np.ndarray:
     return np.where(n > given, n - given, -n)
 
 
-def run_tracker(dets: DataFrame, read: handover.Reader, least: int, key: str | None, seconds: float | None) -> DataFrame:
+def run_tracker(dets: DataFrame, read: handover.Reader | handover.Carrier, least: int, key: str | None, seconds: float | None, load: str | None = None, most: int = 0) -> DataFrame:
     """``tracklet_id, frame, t, x_m, y_m, det_idx`` (and ``key``) of tracks with ``least`` rows. A group is a match, or a piece of ``seconds`` of one."""
     order = ["frame", "det_idx"]
     kind = dets.schema[key].dataType.simpleString() if key else None
     cols = [F.col("tracklet_id"), F.col("frame").cast("int").alias("frame"), F.col("t").cast("double").alias("t"), F.col("mx").cast("double").alias("x_m"), F.col("my").cast("double").alias("y_m"), F.col("det_idx").cast("int").alias("det_idx"), *([F.col(key)] if key else [])]
     if seconds is not None:
-        rows = handover.tracked(dets, read, seconds, seconds / 2, order, ["frame", "t", "mx", "my", "det_idx"], key).select(*cols)
+        rows = handover.tracked(dets, read, seconds, seconds / 2, order, ["frame", "t", "mx", "my", "det_idx"], key, load, most).select(*cols)
         if least <= 1:
             return rows
         rows = saved(rows)
@@ -143,59 +163,60 @@ def appearance_tracker(dets: DataFrame, buffer_s: float = 1.5, confirm: int = 2,
 
     With ``seconds`` a group is a piece of a match, and the tracks are the same (``handover``).
     """
-    def opened(state: np.ndarray | None) -> list[dict]:
-        tracks, at, values = [], 0, [] if state is None else list(state)
-        while at < len(values):
-            count, width = int(values[at + 3]), int(values[at + 4])
-            looks = np.array(values[at + 5 : at + 5 + count * width]).reshape(count, width)
-            tracks.append({"number": len(tracks) + 1, "t": values[at], "pos": np.array(values[at + 1 : at + 3]), "looks": list(looks)})
-            at += 5 + count * width
-        return tracks
-
-    def read(state: np.ndarray | None, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-        tracks = opened(state)
-        given = len(tracks)
-        number, out = given + 1, []
+    def read(state: np.ndarray | None, g: pd.DataFrame, loads: list | None = None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, list[list[int]], list[int]]:
+        state = np.zeros((0, 3)) if state is None else state.reshape(-1, 3)
+        given = len(state)
+        tracks = [_Seen(i + 1, r[0], r[1:], [np.asarray(v[0], float) for v in (loads[i] if loads else ())], []) for i, r in enumerate(state)]
+        number, out, asked = given + 1, [], set()
         times, places, confs, embs = g["t"].to_numpy(float), g[["mx", "my"]].to_numpy(float), g["conf"].to_numpy(float), g["emb"].tolist()
+        seen, sigmas = np.array([len(v) > 0 for v in embs], bool), np.clip(0.11 + 0.026 * places[:, 1], 0.11, 1.85)
         for rows in _frames(g):
             t, pos = times[rows[0]], places[rows]
-            tracks = [k for k in tracks if t - k["t"] <= buffer_s]
-            looks = [None if embs[i] is None else np.asarray(embs[i], float) for i in rows]
+            tracks = [k for k in tracks if t - k.t <= buffer_s]
+            known = np.flatnonzero(seen[rows])
+            looks = {int(j): np.asarray(embs[rows[j]][0], float) for j in known}
             mine = [0] * len(pos)
             if tracks:
-                gap = np.array([t - k["t"] for k in tracks])[:, None]
-                sigma = np.clip(0.11 + 0.026 * pos[:, 1], 0.11, 1.85)
+                gap = np.array([t - k.t for k in tracks])[:, None]
+                sigma = sigmas[rows]
                 radius = 7.0 * gap + 2.0 * sigma
-                apart = np.array([k["pos"] for k in tracks])[:, None] - pos[None]
+                apart = np.array([k.pos for k in tracks])[:, None] - pos[None]
                 away = np.hypot(apart[..., 0], apart[..., 1])
-                cost = np.where(away <= radius, away / np.maximum(radius, 1e-9), 1e6)
-                geometry = 1 / np.maximum(sigma**2 + (1.5 * gap) ** 2, 1e-9)
-                for i, k in enumerate(tracks):
-                    if not k["looks"]:
-                        continue
-                    m = np.mean(k["looks"], axis=0)
-                    for j in np.flatnonzero(away[i] <= radius[i]):
-                        if looks[j] is not None:
-                            unlike = 1 - m @ looks[j] / ((np.linalg.norm(m) + 1e-9) * (np.linalg.norm(looks[j]) + 1e-9))
-                            cost[i, j] = (geometry[i, j] * cost[i, j] + min(1.0, unlike)) / (geometry[i, j] + 1)
+                near = away <= radius
+                cost = np.where(near, away / np.maximum(radius, 1e-9), 1e6)
+                met = np.flatnonzero(near[:, known].any(axis=1)) if len(known) else ()
+                asked |= {tracks[i].number for i in met if tracks[i].number <= given and len(tracks[i].fresh) < signatures}
+                met = [i for i in met if tracks[i].looks]
+                if met:
+                    at = np.ix_(met, known)
+                    geometry = 1 / np.maximum(sigma[known] ** 2 + (1.5 * gap[met]) ** 2, 1e-9)
+                    m, v = np.array([tracks[i].mean() for i in met]), np.array(list(looks.values()))
+                    unlike = 1 - m @ v.T / ((np.linalg.norm(m, axis=1) + 1e-9)[:, None] * (np.linalg.norm(v, axis=1) + 1e-9))
+                    cost[at] = np.where(near[at], (geometry * cost[at] + np.fmin(1.0, unlike)) / (geometry + 1), cost[at])
                 for r, c in zip(*assign(cost), strict=True):
                     if cost[r, c] < 1e6:
-                        mine[c] = tracks[r]["number"]
-                        tracks[r].update(t=t, pos=pos[c])
-                        if looks[c] is not None:
-                            tracks[r]["looks"] = [*tracks[r]["looks"], looks[c]][-signatures:]
+                        mine[c] = tracks[r].number
+                        tracks[r].t, tracks[r].pos = t, pos[c]
+                        if c in looks:
+                            tracks[r].take(looks[c], rows[c], signatures)
             for c, conf in enumerate(confs[rows]):
                 if not mine[c] and conf >= open_conf:
-                    tracks.append({"number": number, "t": t, "pos": pos[c], "looks": [] if looks[c] is None else [looks[c]]})
+                    tracks.append(_Seen(number, t, pos[c], [], []))
+                    if c in looks:
+                        tracks[-1].take(looks[c], rows[c], signatures)
                     mine[c] = number
                     number += 1
             out += mine
         if len(g):
-            tracks = [k for k in tracks if times[-1] - k["t"] <= buffer_s]
-        told = sorted(((k["t"], *k["pos"], len(k["looks"]), len(k["looks"][0]) if k["looks"] else 0, *(x for v in k["looks"] for x in v)), k["number"]) for k in tracks)
-        return _told(out, given), _told([n for _, n in told], given), number - 1 - given, np.array([x for row, _ in told for x in row], float)
+            tracks = [k for k in tracks if times[-1] - k.t <= buffer_s]
+        left = np.array([(k.t, *k.pos) for k in tracks]).reshape(-1, 3)
+        order = np.lexsort(left.T[::-1])
+        tracks = [tracks[i] for i in order]
+        return _told(out, given), _told([k.number for k in tracks], given), number - 1 - given, left[order].ravel(), [k.fresh for k in tracks], sorted(n - 1 for n in asked)
 
-    return run_tracker(dets, read, confirm, key, seconds)
+    # on its way to Python a column of arrays takes, for each null, time by the nulls before it; an empty array does not
+    dets = dets.select(*([key] if key else []), "frame", "t", "det_idx", "mx", "my", "conf", F.filter(F.array("emb"), F.isnotnull).alias("emb"))
+    return run_tracker(dets, read, confirm, key, seconds, "emb", signatures)
 
 
 def summaries(obs: DataFrame, key: list[str] | None = None) -> DataFrame:

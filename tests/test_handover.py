@@ -44,6 +44,47 @@ def test_tracks_in_pieces_are_those_of_one_reading(spark, name):
     assert rows(run(6.0)) == rows(run(None)) != []
 
 
+def _looks(spark, n, look):
+    """Frames of two people 1.5 m apart who change sides now and then; ``look(frame, person)``: a vector or nothing."""
+    rows = [(f, f * 0.1, d, 20.0 + 1.5 * (d ^ (f // 7) % 2), 30.0, 0.9, look(f, d)) for f in range(n) for d in range(2)]
+    return spark.createDataFrame(rows, "frame int, t double, det_idx int, mx double, my double, conf double, emb array<float>").cache()
+
+
+def _tracks(df):
+    return sorted((r["tracklet_id"], r["frame"], r["det_idx"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("every", [1, 40, 161])
+def test_looks_that_tracks_carry_over_pieces(spark, every):
+    """A look from pieces ago decides who is who; a guess of 2 s does not know it."""
+    dets = _looks(spark, 600, lambda f, d: [1.0, 0.0] if f % every == 0 and d else [0.0, 1.0] if f % every == 0 else None)
+    want = _tracks(tracking.appearance_tracker(dets))
+    assert len(want) == 1200 and {t for t, _, _ in want} == {1, 2}
+    # without its looks before frame 300 the match has other tracks: they decide
+    blank = dets.withColumn("emb", F.when(F.col("frame") >= 300, F.col("emb")))
+    assert every == 1 or _tracks(tracking.appearance_tracker(blank)) != want
+    assert _tracks(tracking.appearance_tracker(dets, seconds=4.0)) == want
+
+
+def test_looks_that_nobody_asks_for(spark):
+    """Looks of the first frame only, carried over 100 pieces: to read a piece after another again took a round of jobs for each, minutes in all."""
+    dets = _looks(spark, 4000, lambda f, d: [float(d), 1.0] if f == 0 else None)
+    began = time.monotonic()
+    got = _tracks(tracking.appearance_tracker(dets, seconds=4.0))
+    assert time.monotonic() - began < 60
+    assert got == _tracks(tracking.appearance_tracker(dets))
+
+
+def test_frames_of_one_person_in_pieces(spark):
+    """Tracks that end, a piece without rows, two matches, one of them without a number."""
+    rows = [(m, f, f * 0.1, 0, 10.0 + f % 2, 20.0, 0.9, [1.0] if f % 50 == 0 else None) for m in (7, None) for f in range(300) if not 75 <= f < 165 and (m or f < 250)]
+    dets = spark.createDataFrame(rows, "match int, frame int, t double, det_idx int, mx double, my double, conf double, emb array<float>").cache()
+    rows = lambda df: sorted((r["match"] or 0, r["tracklet_id"], r["frame"]) for r in df.collect())
+    want = rows(tracking.appearance_tracker(dets, key="match"))
+    assert [m for m, _, _ in want].count(7) == 210 and {n for _, n, _ in want} == {1, 2}
+    assert rows(tracking.appearance_tracker(dets, key="match", seconds=4.0)) == want
+
+
 def test_field_prior_in_pieces(spark):
     """What is in reach depends on the last frame, also over the ends of pieces."""
     cands = spark.range(900).select((F.col("id") / 3).cast("int").alias("frame"), (F.col("id") % 3).cast("int").alias("cand_idx"), (F.floor(F.col("id") / 3) * 0.1).alias("t"), ((F.col("id") * 37) % 101).cast("double").alias("mx"), ((F.col("id") * 17) % 61).cast("double").alias("my"))
